@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    return []
+    from lumenforge.plans import behaviour_queries, request_queries, retrieval_queries
+
+    return [request_queries, behaviour_queries, retrieval_queries]
 
 
 def queries() -> dict:
