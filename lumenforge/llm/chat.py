@@ -9,12 +9,13 @@ can occur inside an escaped text; undoing it is one left-to-right pass.
 
 Defined results: rows without a conversation id are one conversation of their own (null id); turns are ordered by (turn, role,
 text), nulls first, so ties and repeated rows have one order; a null text is an empty text; a null role is the empty role;
-roles outside the template are formatted like `other`, and their order is invalid; an invalid order is formatted too and
+roles outside the template are formatted alike without loss, and their order is invalid; an invalid order is formatted too and
 flagged in `valid`; an empty table gives an empty table. Columns other than the four named ones are not read.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ TEMPLATE = {
     "begin": "<s>",
     "end": "</s>",
     "roles": {"system": {"loss": False}, "user": {"loss": False}, "assistant": {"loss": True}},
-    "open": ("<turn:", ">"),
+    "open": ("<turn:", ">\n"),
     "close": "</turn>",
 }
 #: state -> {role: next state}; a conversation is valid if it ends in one of ENDS.
@@ -81,12 +82,13 @@ def read_turns(formatted: Column, template: dict = TEMPLATE) -> Column:
     inner = F.substring(formatted, F.lit(len(template["begin"]) + 1), F.char_length(formatted) - len(template["begin"]) - len(template["end"]))
     pieces = F.split(inner, template["close"])
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    start = len(template["open"][0])
+    start = len(template["open"][0]) + len(template["open"][1])
+    opening, closing = (re.escape(x) for x in template["open"])
 
     def turn(p: Column) -> Column:
-        # the first > without a backslash behind it ends the opening string
-        role = F.regexp_extract(p, r"^<turn:((?:[^>]|>\\)*)>(?!\\)", 1)
-        text = F.substring(p, F.char_length(role) + start + 2, F.char_length(p))
+        # a > of the role has a backslash behind it, that of the template its line break
+        role = F.regexp_extract(p, "^" + opening + r"((?:[^>]|>\\)*)" + closing, 1)
+        text = F.substring(p, F.char_length(role) + start + 1, F.char_length(p))
         return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"))
 
     return F.transform(pieces, turn)

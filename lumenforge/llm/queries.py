@@ -86,7 +86,7 @@ e AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '([<>\[\]])', '\1\\', '
              regexp_replace(replace(role, '\', '\\'), '([<>\[\]])', '\1\\', 'g') AS r FROM c),
 t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
              coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-             7 + sum(length(r) + length(x) + 14) AS formatted_chars,
+             7 + sum(length(r) + length(x) + 15) AS formatted_chars,
              string_agg(CASE WHEN role IN ('system', 'user', 'assistant') THEN substr(role, 1, 1) ELSE 'x' END, '' ORDER BY turn, role, text) AS roles
       FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
