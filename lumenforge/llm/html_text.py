@@ -7,7 +7,7 @@ in page order. Boilerplate elements (menus, headers, footers, sidebars, notices,
 cut before scoring and inside the winner.
 
 Defined results: null and empty html and pages without text give an empty text; unclosed, crossed and unknown tags are closed
-as browsers do for blocks; repeated rows are independent; further columns pass unchanged.
+as browsers do for blocks; repeated rows are independent; further columns pass unchanged, but the output replaces an old column of its name.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenforge.llm.shared import cleared
+
 #: Elements of HTML by the way they are read.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas select".split())
@@ -248,8 +250,7 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """df with out_col: the main text of html_col."""
-    if out_col.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the table already has {out_col}")
+    df = cleared(df, [out_col], [html_col])
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType(), False)])
 
     def run(batches):

@@ -13,7 +13,7 @@ nothing but licence lines is its directory's licence file.
 
 Defined results: null or empty texts have no header; ties of the cosine go to the alphabetically first template; several
 licence files of one directory: the best cosine, then the first licence name; null paths inherit nothing; repeated rows are
-judged alike; further columns pass unchanged.
+judged alike; further columns pass unchanged, but an output replaces an old column of its name.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenforge.llm.shared import cleared
+
 MIN_COSINE = 0.45
 
 #: Names and opening or grant phrases of common public licences.
@@ -98,8 +100,7 @@ def ancestors(path: Column) -> Column:
 
 def scan(df: DataFrame, key: str, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """df with license, license_source (header, directory or none), license_cosine and license_directory. key: unique."""
-    if clash := {c.lower() for c in df.columns} & {"license", "license_source", "license_cosine", "license_directory"}:
-        raise ValueError(f"the table already has {sorted(clash)}")
+    df = cleared(df, ["license", "license_source", "license_cosine", "license_directory"], [key, path_col, text_col])
     own = own_licenses(df.select(key, text_col), key, text_col)
     placed = df.select(F.col(key), F.col(path_col).alias("_path"))
     files = placed.where(F.element_at(F.split("_path", "/"), -1).rlike(LICENSE_FILE)).join(own, key)

@@ -7,8 +7,8 @@ per block of samples (its sample count and root-mean-square level, granule = blo
 
 Defined results: a null text is an empty text (192 spaces of payload); equal texts give equal bytes (serial numbers come
 from the payload); media that is null, broken or cut short is not an error: read_media gives its status and keeps what
-could be read of complete packets on verified pages; repeated rows and ties are independent rows; an output name that the
-table already has is an error raised before any work.
+could be read of complete packets on verified pages; repeated rows and ties are independent rows; further columns pass
+unchanged, but an output replaces an old column of its name.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenforge.llm.shared import cleared
+
 #: Fixed values of the Ogg format (RFC 3533) and of this codec mapping.
 CAPTURE, CONTINUED, BEGIN, END, NO_GRANULE = b"OggS", 1, 2, 4, 0xFFFFFFFFFFFFFFFF
 SAMPLE_RATE, PAD_UNIT, BLOCK = 8000, 192, 4080
@@ -185,14 +187,9 @@ def payload_of(text: str | None) -> bytes:
     return raw + b" " * (max(PAD_UNIT, -(-len(raw) // PAD_UNIT) * PAD_UNIT) - len(raw))
 
 
-def _check_free(df: DataFrame, *names: str) -> None:
-    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"the table already has {sorted(clash)}")
-
-
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "media") -> DataFrame:
     """df with a binary column of Ogg files made from text_col."""
-    _check_free(df, out_col)
+    df = cleared(df, [out_col], [text_col])
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType(), False)])
 
     def run(batches):
@@ -208,7 +205,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "media") -> Dat
 def decode(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df without media_col, with media_status, payload, sample_rate, seconds and feature read from it."""
     new = [T.StructField("media_status", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("sample_rate", T.LongType()), T.StructField("seconds", T.DoubleType()), T.StructField("feature", T.StringType())]
-    _check_free(df.drop(media_col), *[f.name for f in new])
+    df = cleared(df, [f.name for f in new], [media_col])
     schema = T.StructType([f for f in df.schema.fields if f.name != media_col] + new)
 
     def run(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenforge.llm.shared import free_name
+from lumenforge.llm.shared import cleared, free_name
 
 BUCKETS, TOKEN_BUDGET, SHARD_ROWS = 12, 65_536, 20_000
 #: Lengths up to EXACT are levels of their own; above, a level spans 1/64 of the length.
@@ -83,8 +83,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buck
 
 def pack(df: DataFrame, length: Column | None = None, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shard_rows: int = SHARD_ROWS, text_col: str = "text") -> DataFrame:
     """df with n_tokens, bucket, bucket_length, batch_id, slot and padding."""
-    if clash := {c.lower() for c in df.columns} & {"n_tokens", *OUT}:
-        raise ValueError(f"the table already has {sorted(clash)}")
+    df = cleared(df, ["n_tokens", *OUT], [text_col])
     counted = df.withColumn("n_tokens", word_count(F.col(text_col)) if length is None else length.cast("long"))
     rows = histogram(counted.select("n_tokens"), "n_tokens")
     if not rows:
@@ -109,5 +108,6 @@ def pack(df: DataFrame, length: Column | None = None, buckets: int = BUCKETS, to
     order = Window.partitionBy("bucket", shard).orderBy(F.col("n_tokens"), F.col(row_hash))
     per_batch = F.greatest(F.floor(F.lit(token_budget) / F.greatest("bucket_length", F.lit(1))), F.lit(1))
     number = F.row_number().over(order) - 1
-    out = placed.withColumn("_n", number).withColumn("batch_id", F.concat_ws("-", F.col("bucket"), F.col(shard), F.floor(F.col("_n") / per_batch))).withColumn("slot", (F.col("_n") % per_batch).cast("int"))
-    return out.withColumn("padding", F.col("bucket_length") - F.col("n_tokens")).select(*df.columns, "n_tokens", *OUT)
+    place = free_name(df, "_place")
+    out = placed.withColumn(place, number).withColumn("batch_id", F.concat_ws("-", F.col("bucket"), F.col(shard), F.floor(F.col(place) / per_batch))).withColumn("slot", (F.col(place) % per_batch).cast("int"))
+    return out.withColumn("padding", F.col("bucket_length") - F.col("n_tokens")).select(*[f"`{c}`" for c in df.columns], "n_tokens", *OUT)

@@ -9,7 +9,8 @@ only). Lines of documents labelled good are content; lines of documents labelled
 line of every text.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows are judged alike; without labelled
-documents of both kinds the field is neutral and keeps what the base rules keep; further columns pass unchanged.
+documents of both kinds the field is neutral and keeps what the base rules keep; further columns pass unchanged, but an output replaces
+an old column of its name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenforge.llm import flat
+from lumenforge.llm.shared import cleared
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
 #: Limits of the fit: labelled documents, and lines of each that are used.
@@ -278,8 +280,7 @@ COUNTS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols",
 
 def judge(df: DataFrame, field: Field, text_col: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
     """df with the columns COUNTS: base counts, share of characters in content lines, and the verdict."""
-    if clash := {c.lower() for c in df.columns} & {n for n, _ in COUNTS}:
-        raise ValueError(f"the table already has {sorted(clash)}")
+    df = cleared(df, [n for n, _ in COUNTS], [text_col])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in COUNTS]])
     kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 

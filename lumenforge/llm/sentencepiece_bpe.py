@@ -9,8 +9,8 @@ Within a word a round also merges the later copies of the same pair, as long as
 to them next: up to the first merge that creates a pair of the same or a better rank. So the ids are those of the library.
 
 Defined results: a null text is an empty text; an empty text has no pieces (begin and end ids only); rows are independent, so
-ties, repeated rows and empty tables need no rule; further columns pass unchanged (an output name that the table already has
-is an error raised before any work).
+ties, repeated rows and empty tables need no rule; further columns pass unchanged, but an output replaces an old column
+of its name.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenforge.llm.shared import cleared
+
 SPACE_MARK = "▁"
 NO_RANK = np.int64(1 << 40)
 #: Characters of text whose words are encoded at once.
@@ -314,14 +316,9 @@ def _by_chars(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _check_free(df: DataFrame, names: list[str]) -> None:
-    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"the table already has {sorted(clash)}")
-
-
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """df with out_col: array<int> of the ids of text_col, begin and end ids included."""
-    _check_free(df, [out_col])
+    df = cleared(df, [out_col], [text_col])
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
@@ -338,7 +335,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df with out_col: the text of ids_col (null ids: empty text)."""
-    _check_free(df, [out_col])
+    df = cleared(df, [out_col], [ids_col])
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType(), False)])
 
     def run(batches):

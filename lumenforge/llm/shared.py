@@ -33,6 +33,12 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def cleared(df: DataFrame, outputs: list[str], inputs: list[str]) -> DataFrame:
+    """df without the columns whose names the outputs take: an output replaces an old column of its name. Inputs are kept."""
+    taken = {n.lower() for n in outputs} - {n.lower() for n in inputs}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,8 @@ and only unique symbols and windows travel back to their documents: no group is
 
 Defined results: words are [^\\x20\\x09-\\x0D]+; null and empty texts have no words; a text below WINDOW words loses nothing;
 all copies of a repeated window go, the first included, and repeats may overlap inside one text; windows are judged on the
-input; repeated rows are copies of each other; rows with a null id are ordinary documents; further columns pass unchanged.
+input; repeated rows are copies of each other; rows with a null id are ordinary documents; further columns pass unchanged, but an
+output replaces an old column of its name.
 Two different windows count as equal if their 64-bit hashes collide and no unique symbol tells them apart.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenforge.llm import flat
-from lumenforge.llm.shared import free_name
+from lumenforge.llm.shared import cleared, free_name
 
 WINDOW, ROUNDS, RUN_ROUNDS = 35, 6, 1
 
@@ -138,8 +139,7 @@ def digests(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", windo
 def _remove(df: DataFrame, text_col: str, id_col: str, window: int, rounds: int, out: str) -> DataFrame:
     if not 2 <= window <= 64:
         raise ValueError("window must be 2 to 64 words")
-    if clash := {c.lower() for c in df.columns} & {"n_words", "n_removed", out}:
-        raise ValueError(f"the table already has {sorted(clash)}")
+    df = cleared(df, ["n_words", "n_removed", out], [text_col, id_col])
     key, killed, single = (free_name(df, n) for n in ("_key", "_killed", "_single"))
     keyed = df.withColumn(key, F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 

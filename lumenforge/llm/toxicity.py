@@ -9,7 +9,8 @@ The model is fitted on a bounded sample of labelled rows (`SAMPLE_DOCS`, chosen
 fit only) and holds at most `MAX_TOKENS` tokens, so what is broadcast has a fixed size. Every token of every text is scored.
 
 Defined results: null and empty texts have no passage and get the score of no evidence; without labels of both kinds every
-text gets that score; repeated rows get equal scores; further columns pass unchanged.
+text gets that score; repeated rows get equal scores; further columns pass unchanged, but an output replaces an old column of its
+name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenforge.llm import flat
-from lumenforge.llm.shared import dropped, kept
+from lumenforge.llm.shared import cleared, dropped, kept
 
 SAMPLE_DOCS, MAX_TOKENS = 20_000, 1 << 16
 #: Mass of the prior as a share of the corpus counts, least z-score of a token that may start a passage, score of any other token.
@@ -227,8 +228,7 @@ OUT = [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("n_passages",
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with score (0 to 1), predicted, and the significant passages as text."""
-    if clash := {c.lower() for c in df.columns} & {n for n, _ in OUT}:
-        raise ValueError(f"the table already has {sorted(clash)}")
+    df = cleared(df, [n for n, _ in OUT], [text_col])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in OUT]])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
