@@ -135,7 +135,7 @@ def structured_data(pages: DataFrame, page: str, html: str) -> DataFrame:
     x = pages.select(page, raw).select(page, F.explode(many).alias("o"))
     get = lambda path, kind: F.try_variant_get("o", path, kind)
     price = F.coalesce(get("$.offers.price", "double"), get("$.offers[0].price", "double"))
-    return x.select(page, get("$['@type']", "string").alias("type"), F.coalesce(get("$.name", "string"), get("$.headline", "string")).alias("name"), F.least(get("$.aggregateRating.ratingValue", "double"), F.lit(5.0)).alias("rating"), price.alias("price")).where("type IS NOT NULL")
+    return x.select(page, get("$['@type']", "string").alias("type"), F.coalesce(get("$.name", "string"), get("$.headline", "string")).alias("name"), F.when(get("$.aggregateRating.ratingValue", "double").isNotNull(), F.least(get("$.aggregateRating.ratingValue", "double"), F.lit(5.0))).alias("rating"), price.alias("price")).where("type IS NOT NULL")
 
 
 def claims(df: DataFrame, key: str, text: str, per_source: int = 6) -> DataFrame:

@@ -24,7 +24,7 @@ def eval_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def gold_map(spark: SparkSession, path: str) -> DataFrame:
     """(query, gold_pos, gold_domain) of a JSON map; keys that begin with _ are skipped, empty lists stay as one row without a domain."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     m = F.from_json("value", "map<string, struct<relevantDomains: array<string>>>")
     return text.select(F.explode(m).alias("query", "g")).where(~F.startswith("query", F.lit("_"))).select("query", F.posexplode_outer("g.relevantDomains").alias("gold_pos", "gold_domain"))
 
@@ -34,7 +34,7 @@ def log_lines(spark: SparkSession, path: str, marker: str = r"^=== run (\d+)") -
 
     Lines of one file are numbered by the offset at which Spark reads them: a file is one text, split in order.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     started = F.regexp_extract("line", marker, 1).try_cast("long")
     by = Window.partitionBy("file").orderBy("n")
