@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from lumenforge.plans import attribution_queries, behaviour_queries, catalogue_queries, experiment_queries, learning_queries, request_queries, retrieval_queries, source_queries, stream_queries, text_queries
+    from lumenforge.plans import attribution_queries, behaviour_queries, catalogue_queries, experiment_queries, learning_queries, remaining_queries, request_queries, retrieval_queries, source_queries, stream_queries, text_queries
 
-    return [request_queries, behaviour_queries, retrieval_queries, catalogue_queries, experiment_queries, text_queries, learning_queries, stream_queries, source_queries, attribution_queries]
+    return [request_queries, behaviour_queries, retrieval_queries, catalogue_queries, experiment_queries, text_queries, learning_queries, stream_queries, source_queries, attribution_queries, remaining_queries]
 
 
 def queries() -> dict:

@@ -34,7 +34,7 @@ def log_lines(spark: SparkSession, path: str, marker: str = r"^=== run (\d+)") -
 
     Lines of one file are numbered by the offset at which Spark reads them: a file is one text, split in order.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     started = F.regexp_extract("line", marker, 1).try_cast("long")
     by = Window.partitionBy("file").orderBy("n")
