@@ -51,7 +51,7 @@ qt AS (SELECT query, term, min(pos) AS pos FROM (SELECT item_id AS query, unnest
 q AS (SELECT query, term FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS rn FROM qt) WHERE rn <= 6),
 dfs AS (SELECT term, count(*) AS df FROM idx GROUP BY 1)"""
 SQL_BM25 = SQL_INDEX + """, scored AS (SELECT s.run, q.query, idx.doc, round(sum(ln(greatest(1.0, (n_docs - df + 0.5) / (df + 0.5)) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))), 9) AS score
-  FROM q JOIN idx USING (term) JOIN dfs USING (term) JOIN lens USING (doc), st, (VALUES (1, 1.5, 0.75), (2, 1.2, 0.5), (3, 2.0, 0.9)) s(run, k1, b) GROUP BY 1, 2, 3),
+  FROM q JOIN idx USING (term) JOIN dfs USING (term) JOIN lens USING (doc), st, (VALUES (1::BIGINT, 1.5, 0.75), (2, 1.2, 0.5), (3, 2.0, 0.9)) s(run, k1, b) GROUP BY 1, 2, 3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run, query ORDER BY score DESC, doc) AS rank FROM scored)"""
 SQL_RUNS = SQL_BM25 + """, runs AS (SELECT run, query, doc, score, rank, source AS domain, (query * 37 % 900 + run * query % 7 * 60 + 100)::DOUBLE AS latency_ms FROM ranked JOIN documents ON doc_id = doc WHERE rank <= 10),
 gold AS (SELECT item_id AS query, doc_id AS doc, source AS gold_domain FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
