@@ -31,11 +31,3 @@ def dropped(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
