@@ -1,36 +1,12 @@
-"""Tables that a job keeps between its rounds, in the folder that all executors share."""
+"""What the operators share: tables kept between rounds, and column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from lumenforge.sources.storage import dropped, kept, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a new folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: its lineage ends there, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.kept_path = path
-    return back
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes what kept() has written, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["cleared", "dropped", "free_name", "kept", "shared_dir"]
 
 
 def cleared(df: DataFrame, outputs: list[str], inputs: list[str]) -> DataFrame:
