@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.shared import cleared
+from lumenforge.llm.shared import cleared, kept
 
 MIN_COSINE = 0.45
 
@@ -86,7 +86,7 @@ def line_scores(lines: DataFrame) -> DataFrame:
 
 def own_licenses(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """key, license, cosine of the best header line of each text that has one."""
-    lines = header_lines(df, key, text_col)
+    lines = kept(header_lines(df, key, text_col), "license-lines")  # the texts are read once
     found = lines.join(line_scores(lines), "line")
     best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("b")
     return found.groupBy(key).agg(best).select(key, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
