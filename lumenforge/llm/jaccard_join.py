@@ -6,11 +6,12 @@ The join finds every link between different sets that is needed to connect what
 1. Equal sets collapse into one class before anything is joined; classes, not documents, are compared.
 2. Shingles have one global order (seldom ones first, by counts over all documents; then by hash). Linked sets share a
    shingle among their first |A| - ceil(0.75 |A|) + 1, the prefix, so only prefixes are shuffled, by shingle.
-3. Classes with one prefix shingle in common form a group. A group pairs every class with one member (a star), after the
-   size and position filters; pairs are verified on the whole sets, and verified links become components.
-4. Groups whose classes then lie in several components are expanded: pairs across components are verified too. Pairs inside
-   one component need no check, as they cannot change the result. So a group of n near copies costs about n checks, and no
-   link between components is lost.
+3. Classes with one prefix shingle in common form a group. A group pairs every class with one member (a star): the most
+   central one, whose shingles are the most frequent, which for a group of edited copies is the text that they come from.
+   Pairs with enough prefix shingles in common are verified on the whole sets, and verified links become components.
+4. Groups whose classes then lie in several components are expanded: pairs across components that pass the size and position
+   filters and share enough of their prefixes are verified too. Pairs inside one component need no check, as they cannot change the result. So a group of n
+   near copies costs about n checks, and no link between components is lost.
 
 Shingles and sets are compared by 64-bit hashes; a class is known by a 64-bit hash of its set.
 
@@ -73,14 +74,28 @@ class Order:
         self.gate = np.zeros(1 << GATE_BITS, bool)
         self.gate[(keys >> np.uint64(64 - GATE_BITS)).astype(np.int64)] = True
 
-    def prefix(self, found: np.ndarray, length: int) -> np.ndarray:
+    def prefix(self, found: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+        """(first shingles in the order, centrality: four times the mean level)."""
         level = np.zeros(len(found), np.uint8)
         if len(self.keys):
             maybe = np.flatnonzero(self.gate[(found >> np.uint64(64 - GATE_BITS)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.keys, found[maybe]), len(self.keys) - 1)
             hit = self.keys[at] == found[maybe]
             level[maybe[hit]] = self.levels[at[hit]]
-        return found[np.argsort(level, kind="stable")[:length]]
+        return found[np.argsort(level, kind="stable")[:length]], min(127, 4 * int(level.sum(dtype=np.int64)) // len(found))
+
+
+#: A posting's place packs centrality, set size and position.
+SIZE_BITS = 28
+
+
+def packed(central, n, position):
+    return (np.int64(central) << (2 * SIZE_BITS)) | (np.int64(n) << SIZE_BITS) | position
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mask = (1 << SIZE_BITS) - 1
+    return place >> (2 * SIZE_BITS), (place >> SIZE_BITS) & mask, place & mask
 
 
 def survey(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -132,7 +147,7 @@ def frequent(surveyed: DataFrame, limit: int = HEAVY_SHINGLES) -> Order:
 
 
 def postings(df: DataFrame, order: Order, text_col: str) -> DataFrame:
-    """(shingle, class, set size, position) of every prefix shingle; a class comes once from each task."""
+    """(shingle, class, place) of every prefix shingle; a class comes once from each task."""
     shared = df.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
@@ -145,10 +160,10 @@ def postings(df: DataFrame, order: Order, text_col: str) -> DataFrame:
                     if not n or (own := class_of(found)) in seen:
                         continue
                     seen.add(own)
-                    prefix = order.prefix(found, prefix_length(n))
+                    prefix, central = order.prefix(found, prefix_length(n))
                     tokens.append(prefix)
                     classes.append(np.full(len(prefix), own, np.int64))
-                    places.append((np.int64(n) << 31) + np.arange(len(prefix)))
+                    places.append(packed(central, n, np.arange(len(prefix))))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if tokens:
@@ -182,55 +197,97 @@ def _runs(batches, columns: int):
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """kind 0: pairs (a, b) of each group with its least class; kind 1: members (shingle, class, place) of groups of three or more."""
+    """kind 0: pairs (a, b) of each group with its most central class, x shingles in common so far, y sizes;
+    kind 1: members (a = shingle, b = class, x = place) of the groups."""
 
     def run(batches):
         for token, owner, place in _runs(batches, 3):
+            order = np.lexsort((owner, -(place >> (2 * SIZE_BITS)), token))
+            token, owner, place = token[order], owner[order], place[order]
             again = np.append(False, (token[1:] == token[:-1]) & (owner[1:] == owner[:-1]))
             token, owner, place = token[~again], owner[~again], place[~again]
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             length = np.diff(np.append(starts, len(token)))
+            shared = np.repeat(length > 1, length)
             pivot = np.repeat(starts, length)
-            member = np.arange(len(token))
-            n, p = place >> 31, place & ((1 << 31) - 1)
-            good = (member != pivot) & may_link(n, p, n[pivot], p[pivot])
-            pairs = np.unique(np.stack([owner[pivot[good]], owner[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
-            large = np.repeat(length > 2, length)
-            kinds = np.append(np.zeros(len(pairs), np.int32), np.ones(int(large.sum()), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.append(pairs[:, 0], token[large])), pa.array(np.append(pairs[:, 1], owner[large])), pa.array(np.append(np.zeros(len(pairs), np.int64), place[large]))], names=["kind", "a", "b", "place"])
+            _, n, _ = unpacked(place)
+            member = np.flatnonzero(shared & (np.arange(len(token)) != pivot))
+            member = member[100 * np.minimum(n[member], n[pivot[member]]) >= PERCENT * np.maximum(n[member], n[pivot[member]])]
+            a, b, sizes = owner[pivot[member]], owner[member], (n[pivot[member]] << SIZE_BITS) | n[member]
+            order = np.lexsort((b, a))
+            a, b, sizes = a[order], b[order], sizes[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(a)))
+            kinds = np.append(np.zeros(len(first), np.int32), np.ones(int(shared.sum()), np.int32))
+            columns = [kinds, np.append(a[first], token[shared]), np.append(b[first], owner[shared]), np.append(counts, place[shared]), np.append(sizes[first], np.zeros(int(shared.sum()), np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "a", "b", "x", "y"])
+
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "kind int, a long, b long, x long, y long")
 
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "class").mapInArrow(run, "kind int, a long, b long, place long")
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose common prefix shingles (sum of x) allow a link: overlap <= common + the longer rest. y: both sizes."""
+    mask = F.lit((1 << SIZE_BITS) - 1).cast("long")
+    n1, n2 = F.shiftright("y", SIZE_BITS), F.col("y").bitwiseAND(mask)
+    rest = lambda n: F.floor((PERCENT * n + 99) / 100) - 1
+    needed = F.ceil(PERCENT * (n1 + n2) / (100.0 + PERCENT)) - F.greatest(rest(n1), rest(n2))
+    return pairs.groupBy("a", "b").agg(F.sum("x").alias("x"), F.min("y").alias("y")).where(F.col("x") >= needed).select("a", "b")
+
+
+def promising(groups: DataFrame) -> DataFrame:
+    """Star pairs that share enough of their prefixes. A star counts only the groups of its own centre, so a pair that fails
+    here may still link; the next round has it."""
+    return _enough(groups.where("kind = 0"))
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs of classes of one group that lie in different components. members: shingle, class, place, label."""
+    """Distinct pairs of classes that may link, of one group but of different components. members: shingle, class, place, label.
+
+    The first shared place of a class bounds its overlap with any other, which drops most pairs where they arise; the rest are
+    counted over all groups, and overlap <= common prefix shingles + the longer rest drops those that share too few.
+    """
+    first = F.min(F.col("place").bitwiseAND((1 << SIZE_BITS) - 1))
+    placed = members.join(members.groupBy("class").agg(first.alias("first")), "class").select("shingle", "class", "place", "label", "first")
+
+    def told(a, b, sizes):
+        a, b, sizes = np.concatenate(a), np.concatenate(b), np.concatenate(sizes)
+        order = np.lexsort((b, a))
+        a, b, sizes = a[order], b[order], sizes[order]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.diff(np.append(at, len(a)))), pa.array(sizes[at])], names=["a", "b", "x", "y"])
 
     def run(batches):
-        for token, owner, place, label in _runs(batches, 4):
-            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            ends = np.append(starts[1:], len(token))
-            found = []
-            mixed = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
-            for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-                n, p = place[a:b] >> 31, place[a:b] & ((1 << 31) - 1)
-                order = np.argsort(n, kind="stable")
-                n, p, own, comp = n[order], p[order], owner[a:b][order], label[a:b][order]
-                until = np.searchsorted(n, (100 * n) // PERCENT, "right")
-                for i in range(len(n) - 1):
-                    j = slice(i + 1, int(until[i]))
-                    good = (comp[j] != comp[i]) & may_link(n[i], p[i], n[j], p[j])
-                    if good.any():
-                        other = own[j][good]
-                        found.append(np.stack([np.minimum(own[i], other), np.maximum(own[i], other)], 1))
+        for token, owner, place, label, first in _runs(batches, 5):
+            _, n, _ = unpacked(place)
+            order = np.lexsort((n, token))
+            token, owner, n, label, first = token[order], owner[order], n[order], label[order], first[order]
+            one, step, found, held = np.arange(len(token)), 0, [], 0
+            while len(one):  # all pairs at distance 1, 2, ... of a group, as long as the sizes fit
+                step += 1
+                one = one[one + step < len(token)]
+                two = one + step
+                near = (token[one] == token[two]) & (PERCENT * n[two] <= 100 * n[one])
+                one, two = one[near], two[near]
+                good = (label[one] != label[two]) & may_link(n[one], first[one], n[two], first[two])
+                x, y = one[good], two[good]
+                if len(x):
+                    swap = owner[x] > owner[y]
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    found.append((owner[x], owner[y], (n[x] << SIZE_BITS) | n[y]))
+                    held += len(x)
+                if held > 1_000_000:
+                    yield told(*zip(*found, strict=True))
+                    found, held = [], 0
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                yield told(*zip(*found, strict=True))
 
-    return members.repartition("shingle").sortWithinPartitions("shingle", "label", "class").mapInArrow(run, "a long, b long").distinct()
+    pairs = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, x long, y long")
+    return _enough(pairs)
 
 
-def needed_sets(df: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
-    """(class, set) of the classes in a column `class`; a filter of fixed size may let others through."""
+def needed_sets(df: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
+    """(class, set) of the classes in pairs (a, b); a filter of fixed size may let others through."""
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("class"))
     slot = F.pmod("class", F.lit(FILTER_BITS))  # a class is a hash already
     bit = F.expr(f"shiftleft(1L, cast(pmod(class, {FILTER_BITS}L) & 63 as int))")
     words = classes.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
@@ -303,17 +360,15 @@ def connected(edges: DataFrame) -> DataFrame:
 def classes_joined(df: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(documents: id, kind, item = class, n; labels: node, label of the classes that link with another class)."""
     surveyed = kept(survey(df, text_col, id_col), "survey")
-    order = frequent(surveyed)
-    groups = kept(star_pairs(postings(df, order, text_col)), "groups")
-    pairs = groups.where("kind = 0").select("a", "b").distinct()
-    both = groups.where("kind = 0").select(F.explode(F.array("a", "b")).alias("class")).union(groups.where("kind = 1").select("b"))
-    sets = kept(needed_sets(df, both, text_col), "sets")
-    edges = kept(verified(pairs, sets), "links")
+    groups = kept(star_pairs(postings(df, frequent(surveyed), text_col)), "groups")
+    pairs = kept(promising(groups), "pairs")
+    edges = kept(verified(pairs, needed_sets(df, pairs, text_col)), "links")
     labels = connected(edges)
-    members = groups.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("class"), "place")
+    members = groups.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("class"), F.col("x").alias("place"))
     marked = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("shingle", "class", "place", F.coalesce("label", "class").alias("label"))
-    crossing = kept(cross_pairs(marked), "crossing")
-    more = kept(verified(crossing, sets), "links")
+    crossing = kept(cross_pairs(marked).join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "crossing")
+    dropped(groups)
+    more = kept(verified(crossing, needed_sets(df, crossing, text_col)), "links")
     if more.limit(1).count():
         labels = connected(edges.union(more))
     return surveyed.where("kind = 0"), labels
