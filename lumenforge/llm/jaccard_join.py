@@ -243,24 +243,22 @@ def promising(groups: DataFrame) -> DataFrame:
 def cross_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs of classes that may link, of one group but of different components. members: shingle, class, place, label.
 
-    The first shared place of a class bounds its overlap with any other, which drops most pairs where they arise; the rest are
-    counted over all groups, and overlap <= common prefix shingles + the longer rest drops those that share too few.
+    A pair is told only where the size and position filters hold, as they do at the first common shingle of every link. Pairs
+    then meet the shared parts of both prefixes: overlap <= common prefix shingles + the longer rest drops most of them.
     """
-    first = F.min(F.col("place").bitwiseAND((1 << SIZE_BITS) - 1))
-    placed = members.join(members.groupBy("class").agg(first.alias("first")), "class").select("shingle", "class", "place", "label", "first")
 
-    def told(a, b, sizes):
-        a, b, sizes = np.concatenate(a), np.concatenate(b), np.concatenate(sizes)
+    def told(a, b):
+        a, b = np.concatenate(a), np.concatenate(b)
         order = np.lexsort((b, a))
-        a, b, sizes = a[order], b[order], sizes[order]
-        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.diff(np.append(at, len(a)))), pa.array(sizes[at])], names=["a", "b", "x", "y"])
+        a, b = a[order], b[order]
+        at = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], names=["a", "b"])
 
     def run(batches):
-        for token, owner, place, label, first in _runs(batches, 5):
-            _, n, _ = unpacked(place)
+        for token, owner, place, label in _runs(batches, 4):
+            _, n, position = unpacked(place)
             order = np.lexsort((n, token))
-            token, owner, n, label, first = token[order], owner[order], n[order], label[order], first[order]
+            token, owner, n, position, label = token[order], owner[order], n[order], position[order], label[order]
             one, step, found, held = np.arange(len(token)), 0, [], 0
             while len(one):  # all pairs at distance 1, 2, ... of a group, as long as the sizes fit
                 step += 1
@@ -268,12 +266,10 @@ def cross_pairs(members: DataFrame) -> DataFrame:
                 two = one + step
                 near = (token[one] == token[two]) & (PERCENT * n[two] <= 100 * n[one])
                 one, two = one[near], two[near]
-                good = (label[one] != label[two]) & may_link(n[one], first[one], n[two], first[two])
-                x, y = one[good], two[good]
-                if len(x):
-                    swap = owner[x] > owner[y]
-                    x, y = np.where(swap, y, x), np.where(swap, x, y)
-                    found.append((owner[x], owner[y], (n[x] << SIZE_BITS) | n[y]))
+                good = (label[one] != label[two]) & may_link(n[one], position[one], n[two], position[two])
+                if good.any():
+                    x, y = owner[one[good]], owner[two[good]]
+                    found.append((np.minimum(x, y), np.maximum(x, y)))
                     held += len(x)
                 if held > 1_000_000:
                     yield told(*zip(*found, strict=True))
@@ -281,8 +277,17 @@ def cross_pairs(members: DataFrame) -> DataFrame:
             if found:
                 yield told(*zip(*found, strict=True))
 
-    pairs = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, x long, y long")
-    return _enough(pairs)
+    def sharing(batches):
+        for batch in batches:
+            n = [unpacked(batch.column(i).to_numpy())[1] for i in (4, 5)]
+            common = np.array([len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), True)) for x, y in zip(batch.column(2), batch.column(3), strict=True)], np.int64)
+            needed = -(-PERCENT * (n[0] + n[1]) // (100 + PERCENT)) - np.maximum(*[(PERCENT * m + 99) // 100 - 1 for m in n])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(common >= needed))
+
+    pairs = members.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
+    parts = members.groupBy("class").agg(F.collect_set("shingle").alias("part"), F.max("place").alias("place"))  # a class's own prefix
+    left, right = (parts.select(F.col("class").alias(c), F.col("part").alias(f"part_{c}"), F.col("place").alias(f"place_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "part_a", "part_b", "place_a", "place_b").mapInArrow(sharing, "a long, b long")
 
 
 def needed_sets(df: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
