@@ -4,12 +4,14 @@ Header lines and licence files are compared with licence templates by the cosine
 licence of its own inherits that of the nearest ancestor directory that has one, by path joins.
 
 Candidate lines are those that hold a licence word; identical lines are scored once. Document frequencies are counted over
-all distinct candidate lines and the templates. The templates are a constant, so their vectors are broadcast; nothing that
+all distinct candidate lines and the templates. Texts that hold a licence word are compared once more as a whole, one vector a
+text, with the templates and the full texts in `license_texts`; a text at least half of whose words are those of the best template
+is a licence text, however long it is. Templates and full texts are constants, so their vectors are broadcast; nothing that
 grows with the corpus is.
 
 A file sits at `path` (slash-separated). A file named LICENSE, LICENCE, COPYING or NOTICE (any extension) states the licence
-of its directory. For tables without paths, `document_paths` derives one: source/language/id, where a document that consists of
-nothing but licence lines is its directory's licence file.
+of its directory. For tables without paths, `document_paths` derives one: a document sits at source/language/block/id, a licence
+text at its language's folder, or at its source's if it is in English, the language of the licences themselves.
 
 Defined results: null or empty texts have no header; ties of the cosine go to the alphabetically first template; several
 licence files of one directory: the best cosine, then the first licence name; null paths inherit nothing; repeated rows are
@@ -18,12 +20,18 @@ judged alike; further columns pass unchanged, but an output replaces an old colu
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.llm.shared import cleared, kept
 
 MIN_COSINE = 0.45
+#: Least share of the words of a licence text that its template holds.
+MIN_SHARE = 0.5
+#: Ids of a folder of derived paths.
+BLOCK_IDS = 1000
 
 #: Names and opening or grant phrases of common public licences.
 TEMPLATES = [
@@ -54,6 +62,18 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, license string, line string")
 
 
+def file_templates(spark: SparkSession) -> DataFrame:
+    """The templates and the full licence texts."""
+    texts = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate([*TEMPLATES, *texts])], "template int, license string, line string")
+
+
+def licensed_texts(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, text) of the texts with a licence word."""
+    text = F.col(text_col).cast("string")
+    return df.where(text.rlike(LICENSE_WORD)).select(key, text.alias("text"))
+
+
 def header_lines(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, line) of every line with a licence word."""
     text = F.col(text_col).cast("string")
@@ -61,35 +81,50 @@ def header_lines(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return df.where(text.rlike(LICENSE_WORD)).select(key, F.explode(lines).alias("line")).withColumn("line", F.trim("line"))
 
 
-def line_scores(lines: DataFrame) -> DataFrame:
-    """line, license, cosine: the best template of every distinct line that reaches MIN_COSINE."""
-    spark = lines.sparkSession
-    distinct = lines.select("line").distinct()
-    known = templates(spark)
-    line_tokens = distinct.select("line", F.explode(tokens(F.col("line"))).alias("token")).groupBy("line", "token").agg(F.count("*").alias("tf"))
+def cosines(units: DataFrame, by: str, known: DataFrame) -> DataFrame:
+    """by, license, cosine, share (words that the template holds) of every pair of a unit (by, line) and a template that reaches MIN_COSINE."""
+    line_tokens = units.select(by, F.explode(tokens(F.col("line"))).alias("token")).groupBy(by, "token").agg(F.count("*").alias("tf"))
     template_tokens = known.select("template", "license", F.explode(tokens(F.col("line"))).alias("token")).groupBy("template", "license", "token").agg(F.count("*").alias("tf"))
-    # frequencies over all lines and templates; a partial sum per task is all that is shuffled for a frequent word
+    # frequencies over all units and templates; a partial sum per task is all that is shuffled for a frequent word
     df_counts = line_tokens.groupBy("token").agg(F.count("*").alias("df")).unionByName(template_tokens.groupBy("token").agg(F.countDistinct("template").alias("df"))).groupBy("token").agg(F.sum("df").alias("df"))
-    total = distinct.agg((F.count("*") + len(TEMPLATES)).alias("total"))
+    total = units.agg((F.count("*") + known.count()).alias("total"))
     idf = df_counts.crossJoin(F.broadcast(total)).select("token", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weighted = line_tokens.join(idf, "token").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norms = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = weighted.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
     # the templates' tokens are a constant of the module, so this side is broadcast
     fixed = template_tokens.join(idf, "token").withColumn("v", (1 + F.log("tf")) * F.col("idf"))
     fixed_norm = fixed.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v_norm"))
     fixed = fixed.join(fixed_norm, "template").select("template", "license", "token", (F.col("v") / F.col("v_norm")).alias("v"))
-    dots = weighted.join(F.broadcast(fixed), "token").groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(norms, "line").select("line", "license", (F.col("dot") / F.col("norm")).alias("cosine")).where(F.col("cosine") >= MIN_COSINE)
+    dots = weighted.join(F.broadcast(fixed), "token").groupBy(by, "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sum("tf").alias("held"))
+    return dots.join(norms, by).select(by, "license", (F.col("dot") / F.col("norm")).alias("cosine"), (F.col("held") / F.col("words")).alias("share")).where(F.col("cosine") >= MIN_COSINE)
+
+
+def _best(scored: DataFrame, by: str) -> DataFrame:
     best = F.min(F.struct((-F.round("cosine", 9)).alias("c"), F.col("license"))).alias("b")
-    return scored.groupBy("line").agg(best).select("line", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    return scored.groupBy(by).agg(best).select(by, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+
+
+def line_scores(lines: DataFrame) -> DataFrame:
+    """line, license, cosine: the best template of every distinct line that reaches MIN_COSINE."""
+    return _best(cosines(lines.select("line").distinct(), "line", templates(lines.sparkSession)), "line")
+
+
+def text_scores(texts: DataFrame, key: str) -> DataFrame:
+    """key, license, cosine of the texts (key, text) that are licence texts as a whole; equal texts are scored once."""
+    named = texts.select(key, F.sha2("text", 256).alias("digest"), F.col("text").alias("line"))
+    units = named.groupBy("digest").agg(F.any_value("line").alias("line"))
+    found = _best(cosines(units, "digest", file_templates(texts.sparkSession)).where(F.col("share") >= MIN_SHARE), "digest")
+    return named.select(key, "digest").join(found, "digest").select(key, "license", "cosine")
 
 
 def own_licenses(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """key, license, cosine of the best header line of each text that has one."""
-    lines = kept(header_lines(df, key, text_col), "license-lines")  # the texts are read once
-    found = lines.join(line_scores(lines), "line")
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("b")
-    return found.groupBy(key).agg(best).select(key, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    """key, license, cosine, whole of each text that has a licence: that of the whole text if it is one, else the best header line's."""
+    texts = kept(licensed_texts(df, key, text_col), "license-texts")  # all texts are read once
+    lines = kept(header_lines(texts, key, "text"), "license-lines")
+    found = lines.join(line_scores(lines), "line").select(key, "license", "cosine", F.lit(False).alias("whole"))
+    every = found.unionByName(text_scores(texts, key).withColumn("whole", F.lit(True)))
+    best = F.min(F.struct((~F.col("whole")).alias("part"), (-F.col("cosine")).alias("c"), F.col("license"))).alias("b")
+    return every.groupBy(key).agg(best).select(key, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (~F.col("b.part")).alias("whole"))
 
 
 def ancestors(path: Column) -> Column:
@@ -98,10 +133,13 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("directory"), n.alias("depth")))
 
 
-def scan(df: DataFrame, key: str, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """df with license, license_source (header, directory or none), license_cosine and license_directory. key: unique."""
+def scan(df: DataFrame, key: str, path_col: str = "path", text_col: str = "text", own: DataFrame | None = None) -> DataFrame:
+    """df with license, license_source (header: the text's own; directory or none), license_cosine and license_directory. key: unique.
+
+    own: own_licenses of df, if they are known.
+    """
     df = cleared(df, ["license", "license_source", "license_cosine", "license_directory"], [key, path_col, text_col])
-    own = own_licenses(df.select(key, text_col), key, text_col)
+    own = (own_licenses(df.select(key, text_col), key, text_col) if own is None else own).select(key, "license", "cosine")
     placed = df.select(F.col(key), F.col(path_col).alias("_path"))
     files = placed.where(F.element_at(F.split("_path", "/"), -1).rlike(LICENSE_FILE)).join(own, key)
     directory = F.regexp_replace("_path", "/?[^/]*$", "")
@@ -121,14 +159,20 @@ def scan(df: DataFrame, key: str, path_col: str = "path", text_col: str = "text"
     return df.join(judged, key, "left")
 
 
-def document_paths(docs: DataFrame) -> DataFrame:
-    """docs with path: source/language/id.txt, or .../LICENSE-id for a document whose first line is a licence line and that is no longer than 400 characters."""
-    is_file = F.coalesce((F.char_length("text") <= 400) & F.split("text", "\n")[0].rlike(LICENSE_WORD), F.lit(False))
-    name = F.when(is_file, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), name))
+def document_paths(docs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """docs with path: source/language/block/id.txt; a licence text: source/LICENSE-id if it is in English, else source/language/LICENSE-id."""
+    own = own_licenses(docs, "doc_id") if own is None else own
+    found = docs.join(own.where("whole").select("doc_id", F.lit(True).alias("_file")), "doc_id", "left")
+    source, lang, number = F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string")
+    block = F.floor(F.col("doc_id") / BLOCK_IDS).cast("string")
+    stated = F.concat(F.lit("LICENSE-"), number)
+    path = F.when(F.col("_file").isNull(), F.concat_ws("/", source, lang, block, F.concat(number, F.lit(".txt")))).when(lang == "en", F.concat_ws("/", source, stated)).otherwise(F.concat_ws("/", source, lang, stated))
+    return found.withColumn("path", path).drop("_file")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, path and licence of every document; rows that share a doc_id are one file."""
-    one = document_paths(docs.select("doc_id", "text", "source", "lang"))
-    return scan(one, "doc_id").select("doc_id", "path", "license", "license_source", F.round("license_cosine", 6).alias("license_cosine"), "license_directory")
+    docs = docs.select("doc_id", "text", "source", "lang")
+    own = kept(own_licenses(docs, "doc_id"), "own-licenses")
+    placed = document_paths(docs.drop("text"), own).withColumn("text", F.lit(None).cast("string"))
+    return scan(placed, "doc_id", own=own).select("doc_id", "path", "license", "license_source", F.round("license_cosine", 6).alias("license_cosine"), "license_directory")

@@ -5,11 +5,12 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from lumenforge.llm import chat, html_text, jaccard_join, licenses, ogg, packing, quality, sentencepiece_bpe, substring_dedup, toxicity
+from lumenforge.llm import chat, html_text, jaccard_join, licenses, ogg, packing, quality, queries, sentencepiece_bpe, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -212,6 +213,37 @@ def test_license_headers_and_inheritance(spark):
     assert licenses.scan(df.where("false"), "id").count() == 0
 
 
+def test_license_texts_are_found_as_a_whole(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    mit, gpl = (folder / "MIT.txt").read_text(), (folder / "GPL-3.0.txt").read_text()
+    prose = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Ann Example\n\n" + mit, "s", "en"), (2, gpl.replace("\n", " "), "s", "de"), (3, "Released under the MIT License.\n" + prose, "s", "fr"), (4, prose, "s", "fr"), (5, prose + ".", "s", "de"), (6, None, "t", None)]
+    assert all(len(rows[k][1]) > 400 for k in (0, 1))
+    out = {r.doc_id: (r.path, r.license, r.license_source, r.license_directory) for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert out[1] == ("s/LICENSE-1", "MIT", "header", None) and out[2] == ("s/de/LICENSE-2", "GPL-3.0", "header", None)
+    assert out[3] == ("s/fr/0/3.txt", "MIT", "header", None)  # a licence line first, but no licence text
+    assert out[4][1:] == ("MIT", "directory", "s") and out[5][1:] == ("GPL-3.0", "directory", "s/de")
+    assert out[6] == ("t/und/0/6.txt", None, "none", None)
+
+
+def test_license_query_inherits(spark, sf_dir):
+    """Inherited rows of the registered query against a walk up each path."""
+    rows = queries.QUERIES["op5_licenses"](spark, sf_dir).collect()
+    stated = {}
+    for r in sorted((r for r in rows if r.path.split("/")[-1].startswith("LICENSE") and r.license_source == "header"), key=lambda r: (-r.license_cosine, r.license)):
+        stated.setdefault(r.path.rpartition("/")[0], r.license)
+    inherited = 0
+    for r in rows:
+        if r.license_source == "header":
+            continue
+        at = r.path.rpartition("/")[0]
+        while at and at not in stated:
+            at = at.rpartition("/")[0]
+        assert (r.license, r.license_source, r.license_directory) == ((stated[at], "directory", at) if at in stated else (None, "none", None))
+        inherited += at in stated
+    assert stated and inherited > 0
+
+
 # chat
 
 
