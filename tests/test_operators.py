@@ -200,3 +200,23 @@ def test_equi_joins_only(spark, sf_dir):
         assert "CartesianProduct" not in plan, name
         if name != "r1_bm25":  # there the other side is one row of statistics
             assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_passages_are_searched_by_all_their_terms(spark, tmp_path):
+    from lumenforge.plans import retrieval_queries as Q
+
+    terms = [f"word{k}" for k in range(10)]
+    texts = {1: " ".join(terms[:6] * 3), 2: " ".join(terms) + " other", 3: " ".join(terms[4:]), 4: "nothing here"}
+    spark.createDataFrame([(k, t, "s") for k, t in texts.items()], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(terms) + " word0")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in Q.f11_all_terms(spark, str(tmp_path)).collect()] == [(7, 2)]
+    held = {d: t.split() for d, t in texts.items()}
+    mean = sum(len([w for w in t if w not in X.STOP_WORDS]) for t in held.values()) / len(held)
+    want = {}
+    for d, words in held.items():
+        for t in terms:
+            df, tf = sum(t in w for w in held.values()), words.count(t)
+            if tf:
+                want[d] = want.get(d, 0) + math.log(max(1.0, (len(held) - df + 0.5) / (df + 0.5)) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
+    got = {r.doc: r.score for r in Q.r1_bm25(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want) and max(got, key=got.get) == 2
