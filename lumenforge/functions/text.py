@@ -40,9 +40,14 @@ def canonical_url(url: Column) -> Column:
     return F.lower(F.when(F.size(params) > 0, F.concat(path, F.lit("?"), F.array_join(params, "&"))).otherwise(path))
 
 
+def text_key(text: Column) -> Column:
+    """A text in lower case with everything but letters and digits collapsed to single spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def title_key(title: Column) -> Column:
-    """First 80 characters of a title in lower case with everything but letters and digits collapsed to single spaces."""
-    return F.substring(F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", " ")), 1, 80)
+    """First 80 characters of a title's text key."""
+    return F.substring(text_key(title), 1, 80)
 
 
 def suffixes(host: Column) -> Column:

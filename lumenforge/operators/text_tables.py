@@ -142,7 +142,7 @@ def claims(df: DataFrame, key: str, text: str, per_source: int = 6) -> DataFrame
     """(key, n, claim, negated, value, unit): up to per_source sentences of 40 to 300 characters that state a number or use a stating verb."""
     s = df.select(key, F.posexplode(X.sentences(F.col(text))).alias("n", "claim")).where(F.char_length("claim").between(40, 300))
     score = F.when(F.col("claim").rlike(r"\d"), 1.0).otherwise(0.0) + F.when(F.col("claim").rlike(r"(?i)\b(is|are|was|were|has|have|will)\b"), 0.5).otherwise(0.0)
-    s = s.withColumn("score", score).where("score > 0").withColumn("k", X.title_key(F.col("claim")))
+    s = s.withColumn("score", score).where("score > 0").withColumn("k", X.text_key(F.col("claim")))
     s = s.withColumn("_d", F.row_number().over(Window.partitionBy(key, "k").orderBy("n"))).where("_d = 1")
     s = s.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "n"))).where(F.col("_p") <= per_source)
     number = F.regexp_extract("claim", r"(\d+(?:\.\d+)?)\s?(%|km|kg|million|billion)?", 1).try_cast("double")

@@ -150,7 +150,7 @@ def t29_claims(spark, sf_dir):
 @query()
 def a46_corroboration(spark, sf_dir):
     """Claims that several documents state: distinct sources, agreement and verdict."""
-    c = T.claims(docs(spark, sf_dir), "doc_id", "text").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id").withColumn("k", F.md5(X.title_key(F.col("claim"))))
+    c = T.claims(docs(spark, sf_dir), "doc_id", "text").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id").withColumn("k", F.md5(X.text_key(F.col("claim"))))
     g = c.groupBy("k").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("n"), F.round(F.count_if(~F.col("negated")) / F.count("*"), 6).alias("agreement"))
     return g.withColumn("verdict", F.when((F.col("sources") >= 3) & (F.col("agreement") >= 0.7), "supported").when(F.col("agreement") < 0.5, "disputed").otherwise("unclear"))
 

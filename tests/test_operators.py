@@ -220,3 +220,16 @@ def test_passages_are_searched_by_all_their_terms(spark, tmp_path):
                 want[d] = want.get(d, 0) + math.log(max(1.0, (len(held) - df + 0.5) / (df + 0.5)) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
     got = {r.doc: r.score for r in Q.r1_bm25(spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want) and max(got, key=got.get) == 2
+
+
+def test_claims_differ_after_eighty_characters(spark, tmp_path):
+    from lumenforge.plans import text_queries as TQ
+
+    start = "The long report of the northern harbour office that was printed in the spring says there are "
+    texts = [(1, start + "12 ships. " + start + "not 12 ships. " + start + "12 Ships!", "a"), (2, start + "45 ships.", "b"), (3, start + "45 ships.", "c")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.n, r.negated) for r in text_tables.claims(df, "doc_id", "text").collect())
+    assert got == [(1, 0, False), (1, 1, True), (2, 0, False), (3, 0, False)]
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted((r.sources, r.n, r.agreement, r.verdict) for r in TQ.a46_corroboration(spark, str(tmp_path)).collect())
+    assert rows == [(1, 1, 0.0, "disputed"), (1, 1, 1.0, "unclear"), (2, 2, 1.0, "unclear")]
