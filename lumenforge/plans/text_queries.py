@@ -100,10 +100,10 @@ def t16_entities(spark, sf_dir):
 def t17_expansion(spark, sf_dir):
     """Benchmark terms expanded by the terms that most often follow them in the corpus (top two), minus those present."""
     words = F.array_distinct(X.tokens(F.col("text")))
-    pairs = docs(spark, sf_dir).select(F.explode(F.arrays_zip(F.slice(X.tokens(F.col("text")), 1, 100000).alias("a"), F.slice(X.tokens(F.col("text")), 2, 100000).alias("b"))).alias("p")).select("p.a", "p.b").where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = docs(spark, sf_dir).select(F.explode(F.arrays_zip(X.tokens(F.col("text")).alias("a"), F.slice(X.tokens(F.col("text")), 2, F.size(X.tokens(F.col("text")))).alias("b"))).alias("p")).select("p.a", "p.b").where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
     near = R.top_k(pairs, ["a"], "n", "b", 2)
     q = V.table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"))
-    x = q.select("item_id", "words", F.explode(F.slice("words", 1, 6)).alias("a")).join(near, "a")
+    x = q.select("item_id", "words", F.explode("words").alias("a")).join(near, "a")
     return x.groupBy("item_id", "words").agg(F.collect_set("b").alias("more")).select("item_id", F.array_join(F.slice(F.sort_array(F.array_except("more", "words")), 1, 8), " ").alias("expansion"))
 
 
@@ -111,8 +111,8 @@ def t17_expansion(spark, sf_dir):
 def t18_decomposition(spark, sf_dir):
     """Sub-queries of user turns: parts of comparisons and conjunctions."""
     c = V.table(spark, sf_dir, "conversations").where("role = 'user'")
-    parts = F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), r"\s+(?:vs\.?|versus|and|und|et|y)\s+|[,;]\s*"), F.trim), lambda x: x != ""))
-    return c.select("conv_id", "turn", F.posexplode(F.slice(parts, 1, 6)).alias("n", "part")).groupBy("conv_id", "turn").agg(F.count("*").alias("parts"))
+    parts = F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), r"\s+(?:vs\.?|versus|and|und|et|y)\s+|[,;]\s*"), lambda x: F.trim(x)), lambda x: x != ""))
+    return c.select("conv_id", "turn", F.posexplode(parts).alias("n", "part")).groupBy("conv_id", "turn").agg(F.count("*").alias("parts"))
 
 
 @query()

@@ -233,3 +233,25 @@ def test_claims_differ_after_eighty_characters(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     rows = sorted((r.sources, r.n, r.agreement, r.verdict) for r in TQ.a46_corroboration(spark, str(tmp_path)).collect())
     assert rows == [(1, 1, 0.0, "disputed"), (1, 1, 1.0, "unclear"), (2, 2, 1.0, "unclear")]
+
+
+def test_expansion_and_decomposition_take_whole_texts(spark, tmp_path):
+    from lumenforge.plans import text_queries as TQ
+
+    many = ["xx yy"] * 50_001 + ["late tail late tail late end"]
+    texts = [" ".join(many), "", None, "one", " ".join(f"w{k} v{k}" for k in range(12))]
+    passage = [f"w{k}" for k in range(6)] + ["late", "xx"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    turn = " and ".join(f"part {k}" for k in range(9))
+    spark.createDataFrame([(1, 0, "user", turn), (1, 1, "assistant", turn), (2, 0, "user", "a, b; a")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    follow = {}
+    for t in texts:
+        words = (t or "").split()
+        for a, b in zip(words, words[1:]):
+            follow.setdefault(a, {}).setdefault(b, 0)
+            follow[a][b] += 1
+    more = {b for a in passage for b, _ in sorted(follow.get(a, {}).items(), key=lambda x: (-x[1], x[0]))[:2]} - set(passage)
+    assert {"tail", "end", "yy"} <= more and len(more) > 8
+    assert [(r.item_id, r.expansion) for r in TQ.t17_expansion(spark, str(tmp_path)).collect()] == [(1, " ".join(sorted(more)[:8]))]
+    assert {(r.conv_id, r.turn): r.parts for r in TQ.t18_decomposition(spark, str(tmp_path)).collect()} == {(1, 0): 9, (2, 0): 2}
