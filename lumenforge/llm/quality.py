@@ -4,8 +4,8 @@ Counting rules come first (too few words, too much repetition). What passes them
 conditional random field over line features marks each line as content or boilerplate by Viterbi decoding, and the document
 is kept when content lines hold at least `min_content` of its characters.
 
-The field is fitted on a bounded sample of labelled documents (`sample_docs`, `sample_lines`: documented limits of the fit
-only). Lines of documents labelled good are content; lines of documents labelled bad are boilerplate. Scoring covers every
+The field is fitted on a bounded sample of labelled documents (`sample_docs`: a documented limit of the fit only), on all
+lines of each. Lines of documents labelled good are content; lines of documents labelled bad are boilerplate. Scoring covers every
 line of every text.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows are judged alike; without labelled
@@ -27,8 +27,8 @@ from lumenforge.llm import flat
 from lumenforge.llm.shared import cleared
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
-#: Limits of the fit: labelled documents, and lines of each that are used.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 200
+#: Limit of the fit: labelled documents.
+SAMPLE_DOCS = 4000
 CONTENT, BOILERPLATE = 1, 0
 
 _SYMBOL = np.zeros(256, bool)
@@ -247,7 +247,7 @@ def fit_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 120
     return Field(*theta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Field:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Field:
     """Field fitted on at most sample_docs labelled documents (chosen by a hash of the id, so alike in every run)."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
     sample = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), id_col).select("_text", "_label")
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
                 found = Lines(data, offsets)
                 x, failed = found.features(), found.base()["base_failed"]
                 for k in np.flatnonzero(~failed).tolist():
-                    a, b = found.first_line[k], min(found.first_line[k + 1], found.first_line[k] + sample_lines)
+                    a, b = found.first_line[k], found.first_line[k + 1]
                     codes.append(np.packbits(x[a:b].astype(bool), axis=1).tobytes())
                     rows.append(int(b - a))
                     ys.append(int(label[row + k]))

@@ -421,3 +421,14 @@ def test_quality_verdict(spark, sf_dir):
     out = quality.judge(docs, quality.fit(docs, train)).join(labels.where("doc_id % 2 = 0"), "doc_id").where("NOT base_failed").toPandas()
     assert (out.kept == (out.quality == 1)).mean() >= 0.95
     assert quality.judge(docs, quality.fit(docs, labels.where("false"))).where("kept = base_failed").count() == 0
+
+
+def test_quality_is_fitted_on_all_lines(spark, monkeypatch):
+    rows = [(k, "\n".join(f"line{k}x{i} word{k}y{i}" for i in range(n)), k % 2) for k, n in enumerate([450, 60, 201])]
+    seen = []
+    monkeypatch.setattr(quality, "fit_field", lambda x, y, first: seen.append((x, y, first)) or quality.Field.neutral())
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    (x, y, first), = seen
+    assert len(x) == len(y) == first[-1] == 711 and sorted(np.diff(first)) == [60, 201, 450]
+    assert x[:, -1].sum() == x[:, -2].sum() == 3  # each document shows its first and its last line
