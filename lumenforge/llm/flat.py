@@ -2,10 +2,15 @@
 
 Every text operator of this package walks Arrow record batches inside Spark tasks. The texts of a batch lie in one byte
 buffer, so words are found and hashed for many documents at once, and no Python object is made per word.
+
+A word's hash mixes its bytes eight at a time through a bijective finaliser (two words of one length up to eight bytes never
+share a hash; longer ones share one by chance only, once in 2^64 pairs; words beyond `LONG_WORD` bytes are hashed by BLAKE2).
+Where an equal hash decides something, `Words.exact_ids` compares the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,36 +19,17 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 21
-
-_rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-STEP = np.uint64(int(_rng.integers(1, 2**62)) * 4 + 3)
+#: Bytes beyond which a word is hashed on its own.
+LONG_WORD = 256
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 #: The ASCII white space of the word rule [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def folded_codes() -> np.ndarray:
-    """Byte codes under which A-Z equal a-z."""
-    codes = BYTE_CODES.copy()
-    codes[65:91] = codes[97:123]
-    return codes
-
-
-FOLDED_CODES = folded_codes()
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """STEP to the powers 0..n-1, modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 4096), STEP, np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
+#: A-Z to a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,16 +39,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the ordered pairs of two arrays."""
+    return mix(a * MIX_A + mix(b ^ MIX_B))
+
+
 def chained(h: np.ndarray, width: int, salt: int) -> np.ndarray:
-    """Hash of every run of `width` consecutive values (len(h) - width + 1 of them)."""
+    """Hash of every run of `width` consecutive values (len(h) - width + 1 of them), by doubling."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(salt), np.uint64)
-    coefficient = powers(width + 1)[1:]
-    for j in range(width):
-        out += h[j : n + j] * coefficient[j]
-    return mix(out)
+    span, out = 1, h
+    while 2 * span <= width:
+        out = joined(out[:-span], out[span:])
+        span *= 2
+    if span < width:
+        out = joined(out[:n], out[width - span : width - span + n])
+    return mix(out[:n] ^ np.uint64(salt))
 
 
 def text_parts(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -83,7 +76,7 @@ def text_parts(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tup
 class Words:
     """Words of some documents: byte starts and ends, 64-bit hashes, and the first word of each document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE, codes: np.ndarray | None = BYTE_CODES):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE, fold: bool = False, hashed: bool = True):
         gap = separator[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
@@ -98,15 +91,73 @@ class Words:
         self.ends = np.flatnonzero(inside & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.count = np.diff(self.first)
-        if codes is None:
-            return
-        if not len(self.starts):
-            self.hashes = np.zeros(0, np.uint64)
-            return
-        lengths = self.ends - self.starts
-        at = np.cumsum(lengths) - lengths
-        position = np.arange(int(lengths.sum()), dtype=np.int64)
-        position -= np.repeat(at, lengths)
-        values = codes[data[inside]]
-        values *= powers(int(lengths.max()))[position]
-        self.hashes = mix(np.add.reduceat(values, at) + lengths.astype(np.uint64))
+        self.data = FOLD[data] if fold else data
+        if hashed:
+            self._eights = np.ndarray((len(data) + 1,), "<u8", np.append(self.data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+            self.hashes = self._hashed()
+
+    def _eight(self, who: np.ndarray, k: int) -> np.ndarray:
+        """The k-th eight bytes of some words, zeros beyond their ends."""
+        left = self.ends[who] - self.starts[who] - 8 * k
+        return self._eights[self.starts[who] + 8 * k] & MASKS[np.minimum(left, 8)]
+
+    def _hashed(self) -> np.ndarray:
+        length = self.ends - self.starts
+        who = np.arange(len(length))
+        out = mix(length.astype(np.uint64) * MIX_B)
+        for k in range(LONG_WORD // 8):
+            if not len(who):
+                return out
+            out[who] = mix((out[who] * MIX_A) ^ self._eight(who, k))
+            who = who[length[who] > 8 * (k + 1)]
+        for w in who.tolist():
+            out[w] = int.from_bytes(hashlib.blake2b(self.data[self.starts[w] : self.ends[w]], digest_size=8).digest(), "little")
+        return out
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words a[i] and b[i] have the same bytes."""
+        length = self.ends[a] - self.starts[a]
+        same = length == self.ends[b] - self.starts[b]
+        who, k = np.flatnonzero(same), 0
+        while len(who) and k < LONG_WORD // 8:
+            good = self._eight(a[who], k) == self._eight(b[who], k)
+            same[who[~good]] = False
+            k += 1
+            who = who[good & (length[who] > 8 * k)]
+        for w in who.tolist():
+            same[w] = np.array_equal(self.data[self.starts[a[w]] : self.ends[a[w]]], self.data[self.starts[b[w]] : self.ends[b[w]]])
+        return same
+
+    def exact_ids(self) -> np.ndarray:
+        """A number for each word: equal numbers if and only if the bytes are equal."""
+        order = np.argsort(self.hashes, kind="stable")
+        equal = self.hashes[order[1:]] == self.hashes[order[:-1]]
+        out = np.zeros(len(order), np.int64)
+        if self._equal(order[:-1][equal], order[1:][equal]).all():
+            out[order[1:]] = np.cumsum(~equal)
+            return out
+        known: dict[bytes, int] = {}
+        raw = self.data.tobytes()
+        return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)], np.int64)
+
+
+def numbered_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair (a[i], b[i]): equal numbers if and only if the pairs are equal."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
+
+
+def exact_grams(ids: np.ndarray, width: int) -> np.ndarray:
+    """A number for every run of `width` consecutive ids: equal numbers if and only if the runs are equal."""
+    out = ids
+    for span in range(1, width):
+        out = numbered_pairs(out[: len(ids) - span], ids[span:])
+    return out
+
+
+def joined_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> list[bytes]:
+    """The words of each document joined by one space."""
+    raw = (FOLD[data] if fold else data).tobytes()
+    at = offsets.tolist()
+    return [b" ".join(raw[a:b].split()) for a, b in zip(at[:-1], at[1:], strict=True)]

@@ -48,7 +48,7 @@ class Model:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> flat.Words:
-    return flat.Words(data, offsets, BREAKS, flat.FOLDED_CODES)
+    return flat.Words(data, offsets, BREAKS, fold=True)
 
 
 def segments(position: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:

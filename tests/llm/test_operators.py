@@ -4,13 +4,15 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lumenforge.llm import chat, html_text, jaccard_join, licenses, ogg, packing, quality, queries, sentencepiece_bpe, substring_dedup, toxicity
+from lumenforge.llm import chat, flat, html_text, jaccard_join, licenses, ogg, packing, quality, queries, sentencepiece_bpe, shared, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -185,21 +187,60 @@ def test_jaccard_components(spark):
     assert kept == set(want)
 
 
-def test_jaccard_null_ids_repeats_and_nothing(docs):
+def thue_morse(n, swapped=False):
+    """The first n letters of the sequence over a and b: two complementary ones meet in every polynomial hash modulo 2^64."""
+    return "".join("ab"[(bin(i).count("1") + swapped) % 2] for i in range(n))
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(8)
+    texts = [thue_morse(n, x) for n in (64, 1024, 2048, 4096) for x in (False, True)] + ["".join(rng.choice("abé") for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    column = " ".join(texts).encode()
+    words = flat.Words(np.frombuffer(column, np.uint8), np.array([0, len(column)]))
+    groups = collections.defaultdict(set)
+    for text, h, k in zip(texts, words.hashes.tolist(), words.exact_ids().tolist(), strict=True):
+        groups[text].add((h, k))
+    assert all(len(x) == 1 for x in groups.values()) and len({h for x in groups.values() for h, _ in x}) == len(groups) == len({k for x in groups.values() for _, k in x})
+    words.hashes[:] = 7  # numbers of words hold if hashes do not
+    assert len(set(words.exact_ids().tolist())) == len(groups)
+    ids = np.array([rng.randint(0, 2) for _ in range(200)])
+    grams = flat.exact_grams(ids, 5).tolist()
+    assert len(set(zip(grams, (tuple(ids[i : i + 5]) for i in range(196))))) == len(set(grams)) == len({tuple(ids[i : i + 5]) for i in range(196)})
+
+
+def test_jaccard_null_ids_repeats_and_nothing(spark, docs):
     out = jaccard_join.components(docs)
     assert out.count() == docs.count()
     assert jaccard_join.components(empty(docs)).count() == 0
-    assert jaccard_join.representatives(docs).where("doc_id = 2").count() == 1
+    # one id with two texts: two documents; equal rows: one; null ids and texts
+    rows = [(1, "a b c d e f"), (1, "other words than those there"), (1, "A b c  d e f"), (None, "a b c d e f"), (None, "only null ids here"), (None, "only null ids here"), (2, None), (2, None), (3, "")]
+    kept = jaccard_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, " ".join((r.text or "").lower().split())) for r in kept) == [(0, "only null ids here"), (1, "a b c d e f"), (1, "other words than those there"), (2, ""), (2, ""), (3, "")]
 
 
-def test_jaccard_prefix_order_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HEAVY_IN_BATCH", 1)
-    texts = near_copies(7)
+def test_jaccard_hot_shingles_blocks_and_like_words(spark, monkeypatch):
+    """Every shingle that two documents hold is hot, runs are dealt over blocks, joins are salted: the result is the same."""
+    for module, name, value in ((jaccard_join, "HEAVY_IN_PART", 1), (jaccard_join, "HOT_ROWS", 2), (jaccard_join, "SMALL_RUN", 2), (shared, "HOT_ROWS", 2), (shared, "BLOCK_ROWS", 3)):
+        monkeypatch.setattr(module, name, value)
+    texts = near_copies(7) + [thue_morse(1024), thue_morse(1024, True)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     _, want = brute_components(texts)
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.components(df).collect()) == list(enumerate(want))
 
 
+def test_jaccard_group_work_is_linear():
+    """100,000 near copies that share a shingle and a component make no pair, in well under a second a batch."""
+    n = 100_000
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, 300 << jaccard_join.SIZE_BITS)), pa.array([b"one label"] * n, pa.binary())], names=["shingle", "group", "place", "label"])
+
+    class Frame:  # only what small_runs asks of its table
+        def __getattr__(self, name):
+            return lambda *a: a[0] if name == "mapInArrow" else self
+
+    began = time.time()
+    assert list(jaccard_join.small_runs(Frame())(iter([batch]))) == [] and time.time() - began < 5
+
+
 # licences
 
 
