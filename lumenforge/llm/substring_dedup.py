@@ -1,22 +1,29 @@
 """Operator 7: exact substring dedup by recompression.
 
-Rounds rename maximal runs of equal symbols and then adjacent pairs (left kind, right kind by a bit of the name), so a text
-shrinks by about a quarter each round. A name is a 64-bit hash of the named content: the same run or pair gets the same name in
-every document, in every task, without a dictionary. Along with each symbol goes the span of words that its naming depended
-on; a symbol whose span lies inside a window of `WINDOW` words occurs in every other copy of that window too.
-
-1. Spark counts the high-level symbols over the corpus. A symbol that occurs once rules out every window that holds its span.
-2. The windows that are left (mostly true repeats) are verified: Spark counts their hashes, and those that occur once go too.
-3. Words covered by a remaining window are removed.
-
-Counting is a sum with partial sums in each task, so a passage shared by a third of all documents is one partial row of a task,
-and only unique symbols and windows travel back to their documents: no group is ever gathered.
+Recompression renames maximal runs of equal symbols and then adjacent pairs (left kind, right kind by a bit of the name), so
+that equal substrings get the same symbols inside, whatever surrounds them. Here a task forms several levels of runs and pairs
+at once, a phrase, and every Spark round gives the phrases of the whole corpus their global names:
+
+1. Round 1 forms phrases of words. The naming table counts equal phrases of all documents (by a 128-bit BLAKE2 digest of their
+   words) and numbers those that occur twice or more; the numbers go back by a join. A phrase without a number is unique, and so
+   is every window that holds all words which its forming depended on. Whole documents are phrases, too.
+2. Later rounds form phrases of names, as long as the symbols go on without a gap, and name them in the same way (a digest of
+   names, so equal names mean equal words). A named phrase of `WINDOW` words or more reveals a long repeat: all its windows are
+   repeated, and only its first copy has to tell them to others. So a group of copies costs one copy.
+3. The windows that are still told are verified on their words: Spark counts 128-bit BLAKE2 digests of the words of each, and
+   those that are told once go.
+4. Words covered by a repeated window are removed.
+
+"First" is the least (document number, place): a copy that leaves a window to an earlier one never depends on a later one, so
+of equal windows one is always told.
+
+Counts are sums with partial sums in each task, and the join that brings names back deals hot names over many tasks, so a
+phrase in a third of all documents is no burden: no group is ever gathered.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+; null and empty texts have no words; a text below WINDOW words loses nothing;
 all copies of a repeated window go, the first included, and repeats may overlap inside one text; windows are judged on the
 input; repeated rows are copies of each other; rows with a null id are ordinary documents; further columns pass unchanged, but an
 output replaces an old column of its name.
-Two different windows count as equal if their 64-bit hashes collide and no unique symbol tells them apart.
 """
 
 from __future__ import annotations
@@ -25,43 +32,43 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenforge.llm import flat
-from lumenforge.llm.shared import cleared, free_name
+from lumenforge.llm.shared import cleared, dropped, free_name, kept, salted_join
 
-WINDOW, ROUNDS, RUN_ROUNDS = 35, 6, 1
+#: Words of a window, Spark rounds of naming, levels of runs and pairs in a phrase of words and in a phrase of names.
+WINDOW, ROUNDS, WORD_LEVELS, NAME_LEVELS = 35, 5, 6, 4
+FAR = np.int64(1) << 30
 
 
-def symbols(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, run_rounds: int = RUN_ROUNDS) -> tuple[np.ndarray, ...]:
-    """(name, document, first, last word that the naming depended on) of each symbol after the rounds.
+def phrases(hashes: np.ndarray, doc: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first symbol, first and last symbol that its forming depended on) of each phrase of the symbols of some documents.
 
-    Word positions count through the whole part; a dependency on a document's edge gives a span beyond that edge.
+    A symbol's hash decides its kind; symbol positions count through all documents. A dependency on a document's edge gives a
+    place beyond that edge.
     """
-    name = hashes.copy()
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    low = np.arange(len(name), dtype=np.int64)
-    high = low.copy()
-    far = np.int64(1) << 40
-    for level in range(rounds):
+    name, at = hashes.copy(), np.arange(len(hashes), dtype=np.int64)
+    low, high = at.copy(), at.copy()
+    for level in range(levels):
         if len(name) < 2:
             break
         salt = np.uint64(level * 2 + 1)
         inner = doc[1:] == doc[:-1]
-        if level < run_rounds:
+        if level == 0:  # maximal runs, with what ends them on both sides
             starts = np.flatnonzero(np.append(True, ~inner | (name[1:] != name[:-1])))
             length = np.diff(np.append(starts, len(name)))
             own_low, own_high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            named = name[starts]
-            run = length > 1
+            named, run = name[starts], length > 1
             named[run] = flat.mix(named[run] * flat.MIX_A + length[run].astype(np.uint64) + salt)
             ends = starts + length - 1
-            before = np.where((starts > 0) & (doc[starts - 1] == doc[starts]), low[starts - 1], -far)
+            before = np.where((starts > 0) & (doc[starts - 1] == doc[starts]), low[starts - 1], -FAR)
             after_at = np.minimum(ends + 1, len(name) - 1)
-            after = np.where((ends + 1 < len(name)) & (doc[after_at] == doc[ends]), high[after_at], far)
-            name, doc, low, high = named, doc[starts], np.minimum(own_low, before), np.maximum(own_high, after)
+            after = np.where((ends + 1 < len(name)) & (doc[after_at] == doc[ends]), high[after_at], FAR)
+            name, doc, at, low, high = named, doc[starts], at[starts], np.minimum(own_low, before), np.maximum(own_high, after)
             inner = doc[1:] == doc[:-1]
         kind = (flat.mix(name ^ np.uint64((level * 2 + 1) * int(flat.MIX_B) % (1 << 64))) >> np.uint64(63)).astype(bool)
         joins = np.append(inner & ~kind[:-1] & kind[1:], False)
@@ -73,57 +80,230 @@ def symbols(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, run_rou
         alone = ~joins & ~second
         reach = np.flatnonzero(alone & ~kind)  # a left kind stays alone because of what follows
         nxt = np.minimum(reach + 1, len(name) - 1)
-        new_high[reach] = np.maximum(high[reach], np.where((reach + 1 < len(name)) & (doc[nxt] == doc[reach]), high[nxt], far))
+        new_high[reach] = np.maximum(high[reach], np.where((reach + 1 < len(name)) & (doc[nxt] == doc[reach]), high[nxt], FAR))
         reach = np.flatnonzero(alone & kind)  # a right kind because of what precedes
         prv = np.maximum(reach - 1, 0)
-        new_low[reach] = np.minimum(low[reach], np.where((reach > 0) & (doc[prv] == doc[reach]), low[prv], -far))
+        new_low[reach] = np.minimum(low[reach], np.where((reach > 0) & (doc[prv] == doc[reach]), low[prv], -FAR))
         new_name = name.copy()
-        new_name[left] = flat.mix(name[left] * flat.MIX_A + flat.mix(name[right] + salt) * flat.MIX_B)
+        new_name[left] = flat.joined(name[left] + salt, name[right])
         keep = ~second
-        name, doc, low, high = new_name[keep], doc[keep], new_low[keep], new_high[keep]
-    return name, doc, low, high
-
-
-def ruled_out(name: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(name, document, first window, further windows) of the symbols whose span fits into a window of its document."""
-    base, end = first[doc], first[doc + 1]
-    lo = np.maximum(high + 1 - window, base) - base
-    hi = np.minimum(low, end - window) - base
-    fits = (low >= base) & (high < end) & (lo <= hi)
-    return name[fits], doc[fits], lo[fits], (hi - lo)[fits]
-
-
-def window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Hash of each run of `window` words by prefix sums: sum of h[i+k] * STEP^k."""
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.append(np.zeros(1, np.uint64), np.cumsum(hashes * flat.powers(len(hashes))))
-    inverse = np.uint64(pow(int(flat.STEP), -1, 1 << 64))
-    back = np.full(n, inverse, np.uint64)
-    back[0] = 1
-    return flat.mix((total[window:] - total[:n]) * np.multiply.accumulate(back))
-
-
-def open_windows(count: int, killed: list | None, window: int) -> np.ndarray:
-    """True for the windows of a document of `count` words that no unique symbol rules out. killed: 64 * first + further."""
-    n = max(0, count - window + 1)
-    change = np.zeros(n + 1, np.int64)
-    if killed is not None and len(killed) and n:
-        packed = np.asarray(killed, np.int64)
-        lo = packed >> 6
-        np.add.at(change, np.minimum(lo, n), 1)
-        np.add.at(change, np.minimum(lo + (packed & 63) + 1, n), -1)
-    return np.cumsum(change)[:n] == 0
-
-
-def _lists(column: pa.Array) -> list[np.ndarray | None]:
-    """Numpy views of the lists of a column."""
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    valid = column.is_valid().to_numpy(zero_copy_only=False)
-    sizes = np.where(valid, np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64), 0)
-    ends = np.cumsum(sizes)
-    return [values[e - s : e] if v else None for e, s, v in zip(ends.tolist(), sizes.tolist(), valid.tolist(), strict=True)]
+        name, doc, at, low, high = new_name[keep], doc[keep], at[keep], new_low[keep], new_high[keep]
+    return at, low, high
+
+
+def digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def word_bounds(words: flat.Words) -> np.ndarray:
+    """Where each word starts in its document's words joined by one space."""
+    step = words.ends - words.starts + 1
+    at = np.cumsum(step) - step
+    return at - np.repeat(at[np.minimum(words.first[:-1], max(len(at) - 1, 0))], words.count) if len(at) else at
+
+
+def covered(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """True for the places in any [low, high)."""
+    return np.cumsum(np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1))[:size] > 0
+
+
+def listed(values: np.ndarray, doc: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """Lists of a column, one for each of n documents; values ordered by document."""
+    ends = np.append(0, np.cumsum(np.bincount(doc, minlength=n)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def owners(column: pa.Array) -> np.ndarray:
+    """The document of each value of a column of lists; null lists are empty."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return np.repeat(np.arange(len(column)), sizes)
+
+
+def unlisted(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, document of each) of a column of lists of numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False), owners(column)
+
+
+def ranges(flags: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high of each maximal range of True one after the other, relative to its document; document). base: where documents start."""
+    edge = np.zeros(len(flags) + 1, bool)
+    edge[base] = True
+    before = np.append(False, flags[:-1]) & ~edge[:-1] if len(flags) else flags
+    after = np.append(flags[1:], False) & ~edge[1:] if len(flags) else flags
+    low, high = np.flatnonzero(flags & ~before), np.flatnonzero(flags & ~after) + 1
+    doc = np.searchsorted(base, low, "right") - 1
+    return np.stack([low - base[doc], high - base[doc]], 1).ravel(), np.repeat(doc, 2)
+
+
+def flags_of(column: pa.Array, base: np.ndarray) -> np.ndarray:
+    """The inverse of ranges."""
+    values, doc = unlisted(column)
+    at = values + base[doc]
+    return covered(at[0::2], at[1::2], int(base[-1]))
+
+
+STATE = "{key} long, n int, alive array<int>, known array<int>, name array<long>, left array<long>, right array<long>, start array<int>, size array<int>"
+
+
+def first_phrases(rows: DataFrame, key: str, text_col: str, window: int) -> DataFrame:
+    """key, n words, and the phrases of words of each document of `window` words or more: halves of the digest, start, and the
+    words before and behind the start that its forming depended on. The last phrase is the whole document."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0)
+            for row, data, offsets in flat.text_parts(batch.column(1)):
+                words = flat.Words(data, offsets)
+                texts = flat.joined_words(data, offsets)
+                at_word = word_bounds(words)
+                start, low, high = phrases(words.hashes, np.repeat(np.arange(len(texts)), words.count), WORD_LEVELS)
+                first = np.searchsorted(start, words.first)
+                long = np.flatnonzero(words.count >= window).tolist()
+                out = []
+                for k in long:
+                    a, b, base, text = first[k], first[k + 1], words.first[k], texts[k]
+                    cuts = [*at_word[start[a:b]].tolist(), len(text) + 1]
+                    one, two = halves([*[digest(text[x : y - 1]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], digest(b"whole " + text)])
+                    own = start[a:b]
+                    out.append((int(words.count[k]), one, two, np.append(own - base, 0), np.append(np.minimum(own - low[a:b], FAR), 0), np.append(np.minimum(high[a:b] - own, FAR), 0)))
+                if out:
+                    columns = list(zip(*out, strict=True))
+                    doc = np.repeat(np.arange(len(out)), [len(x) for x in columns[1]])
+                    lists = [listed(np.concatenate(c), doc, len(out), t) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([row + k for k in long])), pa.array(columns[0], pa.int32()), *lists], names=[key, "n", "left", "right", "start", "before", "behind"])
+
+    schema = f"`{key}` long, n int, left array<long>, right array<long>, start array<int>, before array<int>, behind array<int>"
+    return rows.select(key, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def named(state: DataFrame, key: str, number: int) -> DataFrame:
+    """key, names: (place in the list, name, first document) of the phrases (left, right) that occur twice or more: one Spark
+    round. The naming table is kept, so a name stays what it is if a task is run again."""
+    told = state.select(key, F.posexplode(F.arrays_zip("left", "right")).alias("at", "p")).select(key, "at", "p.left", "p.right").where("right IS NOT NULL")
+    table = told.groupBy("left", "right").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
+    table = kept(table.select("left", "right", "n", "first", (F.monotonically_increasing_id() + (number << 56) + 1).alias("name")), "names")
+    back = salted_join(told, table.drop("n"), ["left", "right"], table.select("left", "right", "n"), F.col(key))
+    return back.groupBy(key).agg(F.collect_list(F.struct("at", "name", "first")).alias("names"))
+
+
+def _given(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(document, place, name, first) of the names that came back."""
+    values, doc = column.flatten(), owners(column)
+    return (doc, *[values.field(k).to_numpy(zero_copy_only=False) for k in range(3)])
+
+
+def _next_state(batch, key, n, base, alive, known, name, doc, start, size, window: int) -> pa.RecordBatch:
+    """The state with the next phrases of names; symbols that touch no told window are left out."""
+    words = np.append(0, np.cumsum(n))
+    at = np.flatnonzero(alive)
+    owner = np.searchsorted(base, at, "right") - 1
+    place = at - base[owner] + words[owner]
+    reach = np.append(0, np.cumsum(covered(place, place + window, int(words[-1]))))
+    low = start + words[doc]
+    stays = np.flatnonzero((name != 0) & (reach[low + size] > reach[low]))
+    name, doc, start, size, low = name[stays], doc[stays], start[stays], size[stays], low[stays]
+    part = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (low[1:] != low[:-1] + size[:-1])).astype(np.int64))[: len(name)]
+    first = phrases(flat.mix(name.view(np.uint64)), part, NAME_LEVELS)[0]
+    ends = np.append(first[1:], len(name))
+    several = np.flatnonzero(ends - first > 1)
+    one, two = halves([digest(name[a:b].tobytes()) for a, b in zip(first[several].tolist(), ends[several].tolist(), strict=True)])
+    left, right, open_ = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.ones(len(first), bool)
+    left[several], right[several], open_[several] = one, two, False
+    total = np.append(0, np.cumsum(size))
+    own, k = doc[first], len(n)
+    right_list = pa.ListArray.from_arrays(listed(right, own, k, pa.int64()).offsets, pa.array(right, pa.int64(), mask=open_))
+    kept_name = np.where(open_, name[first] if len(first) else left, 0)
+    columns = [batch.column(0), pa.array(n, pa.int32()), *[listed(*ranges(f, base), k, pa.int32()) for f in (alive, known)], listed(kept_name, own, k, pa.int64()), listed(left, own, k, pa.int64()), right_list, listed(start[first], own, k, pa.int32()), listed(total[ends] - total[first], own, k, pa.int32())]
+    rest = pa.RecordBatch.from_arrays(columns, names=[key, "n", "alive", "known", "name", "left", "right", "start", "size"])
+    some = (np.bincount(owner, minlength=k) + np.bincount(np.searchsorted(base, np.flatnonzero(known), "right") - 1, minlength=k)) > 0
+    return rest.filter(pa.array(some))
+
+
+def first_state(joined: DataFrame, key: str, window: int) -> DataFrame:
+    """State after round 1. joined: first_phrases with their names. alive: windows that are told; known: repeated ones."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(1).to_numpy().astype(np.int64)
+            base = np.append(0, np.cumsum(n - window + 1))
+            keys = batch.column(0).to_numpy()
+            start, doc = unlisted(batch.column(2))
+            before, behind = (unlisted(batch.column(c))[0].astype(np.int64) for c in (3, 4))
+            start = start.astype(np.int64)
+            begin = np.append(0, np.cumsum(np.bincount(doc, minlength=len(n))))
+            name = np.zeros(len(start), np.int64)
+            whole = begin[1:] - 1  # the last phrase of a document is all of it
+            owner, at, given, first = _given(batch.column(5))
+            name[begin[owner] + at] = given
+            ends = np.append(start[1:], 0)
+            ends[np.maximum(whole - 1, 0)] = n
+            part = np.ones(len(start), bool)
+            part[whole] = False
+            copied = name[whole] != 0
+            later = np.zeros(len(n), bool)
+            of_whole = begin[owner] + at == whole[owner]
+            later[owner[of_whole]] = first[of_whole] != keys[owner[of_whole]]
+            # a unique phrase rules out the windows that hold what its forming depended on
+            lone = np.flatnonzero(part & (name == 0))
+            lo = np.maximum(start[lone] + behind[lone] + 1 - window, 0)
+            hi = np.minimum(start[lone] - before[lone], n[doc[lone]] - window)
+            fits = (start[lone] >= before[lone]) & (start[lone] + behind[lone] < n[doc[lone]]) & (lo <= hi)
+            lo, hi, at_doc = lo[fits], hi[fits], base[doc[lone[fits]]]
+            known = np.repeat(copied, n - window + 1)
+            alive = ~np.repeat(later, n - window + 1) & ~(covered(lo + at_doc, hi + at_doc + 1, int(base[-1])) & ~known)
+            own = np.flatnonzero(part)
+            yield _next_state(batch, key, n, base, alive, known, name[own], doc[own], start[own], ends[own] - start[own], window)
+
+    return joined.select(key, "n", "start", "before", "behind", "names").mapInArrow(run, STATE.format(key=f"`{key}`"))
+
+
+def next_state(joined: DataFrame, key: str, window: int) -> DataFrame:
+    """State after a later round. joined: the state before with the names of its phrases."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(1).to_numpy().astype(np.int64)
+            base = np.append(0, np.cumsum(n - window + 1))
+            keys = batch.column(0).to_numpy()
+            alive, known = flags_of(batch.column(2), base), flags_of(batch.column(3), base)
+            name, doc = unlisted(batch.column(4))
+            name = name.copy()
+            start, size = (unlisted(batch.column(c))[0].astype(np.int64) for c in (5, 6))
+            begin = np.append(0, np.cumsum(np.bincount(doc, minlength=len(n))))
+            owner, at, given, first = _given(batch.column(7))
+            place = begin[owner] + at
+            name[place] = given
+            long = size[place] >= window
+            place, owner, first = place[long], owner[long], first[long]
+            lo = base[owner] + start[place]
+            hi = lo + size[place] - window + 1
+            known |= covered(lo, hi, int(base[-1]))
+            # its windows are told by the first copy: the first document's first one
+            order = np.lexsort((start[place], name[place], owner))
+            again = np.zeros(len(place), bool)
+            again[order[1:]] = (owner[order[1:]] == owner[order[:-1]]) & (name[place][order[1:]] == name[place][order[:-1]])
+            later = again | (first != keys[owner])
+            alive &= ~covered(lo[later], hi[later], int(base[-1]))
+            yield _next_state(batch, key, n, base, alive, known, name, doc, start, size, window)
+
+    return joined.select(key, "n", "alive", "known", "name", "start", "size", "names").mapInArrow(run, STATE.format(key=f"`{key}`"))
+
+
+def judged_windows(rows: DataFrame, key: str, text_col: str, window: int, rounds: int) -> DataFrame:
+    """key, alive, known after the rounds, of the documents that have such windows. rows is kept."""
+    parsed = kept(first_phrases(rows, key, text_col, window), "phrases")
+    state = kept(first_state(parsed.join(named(parsed, key, 0), key, "left"), key, window), "state")
+    dropped(parsed)
+    for number in range(1, rounds):
+        after = kept(next_state(state.join(named(state, key, number), key, "left"), key, window), "state")
+        dropped(state)
+        state = after
+    return state.select(key, "alive", "known")
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -137,76 +317,62 @@ def digests(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", windo
 
 
 def _remove(df: DataFrame, text_col: str, id_col: str, window: int, rounds: int, out: str) -> DataFrame:
-    if not 2 <= window <= 64:
-        raise ValueError("window must be 2 to 64 words")
+    if window < 2 or rounds < 1:
+        raise ValueError("a window has two words or more, and there is one round or more")
     df = cleared(df, ["n_words", "n_removed", out], [text_col, id_col])
-    key, killed, single = (free_name(df, n) for n in ("_key", "_killed", "_single"))
-    keyed = df.withColumn(key, F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    key, alive, known, single = (free_name(df, n) for n in ("_key", "_alive", "_known", "_single"))
+    rows = kept(df.withColumn(key, F.monotonically_increasing_id()), "rows")
+    told = judged_windows(rows, key, text_col, window, rounds).select(key, F.col("alive").alias(alive), F.col("known").alias(known))
+    marked = rows.join(told, key, "left")
+    at_text, at_key, at_alive, at_known = (marked.columns.index(c) for c in (text_col, key, alive, known))
 
-    def name_symbols(batches):
+    def tell_windows(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in flat.text_parts(batch.column(1)):
-                words = flat.Words(data, offsets)
-                name, doc, lo, more = ruled_out(*symbols(words.hashes, words.first, rounds), words.first, window)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(keys[row + doc]), pa.array(lo * 64 + more)], names=["name", "key", "windows"])
-
-    named = keyed.select(key, F.col(text_col).cast("string")).mapInArrow(name_symbols, "name long, key long, windows long")
-    once = named.groupBy("name").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("windows").alias("windows")).where("n = 1")
-    ruled = once.groupBy(F.col("key").alias(key)).agg(F.collect_list("windows").alias(killed))
-    marked = keyed.join(ruled, key, "left")
-    at_text, at_key, at_killed = (marked.columns.index(c) for c in (text_col, key, killed))
-
-    def hash_windows(batches):
-        for batch in batches:
-            keys, kills = batch.column(at_key).to_numpy(zero_copy_only=False), _lists(batch.column(at_killed))
-            for row, data, offsets in flat.text_parts(batch.column(at_text)):
-                words = flat.Words(data, offsets)
-                every = window_hashes(words.hashes, window)
-                hashes, owners, places = [], [], []
-                for k, (a, n) in enumerate(zip(words.first[:-1].tolist(), words.count.tolist(), strict=True)):
-                    at = np.flatnonzero(open_windows(n, kills[row + k], window))
-                    if len(at):
-                        hashes.append(every[a + at])
-                        owners.append(np.full(len(at), keys[row + k]))
-                        places.append(at)
-                if hashes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places).astype(np.int64))], names=["hash", "key", "place"])
-
-    windows = marked.mapInArrow(hash_windows, "hash long, key long, place long")
-    lone = windows.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("place").alias("place")).where("n = 1")
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(at_alive)), 0))
+            keys = batch.column(at_key).to_numpy(zero_copy_only=False)
+            for row, data, offsets in flat.text_parts(batch.column(at_text).cast(pa.string())):
+                words = flat.Words(data, offsets, hashed=False)
+                base = np.append(0, np.cumsum(np.maximum(words.count - window + 1, 0)))
+                part = batch.slice(row, len(offsets) - 1)
+                open_, repeated = flags_of(part.column(at_alive), base), flags_of(part.column(at_known), base)
+                at_word = word_bounds(words)
+                for k, text in enumerate(flat.joined_words(data, offsets)):
+                    at = np.flatnonzero(open_[base[k] : base[k + 1]])
+                    if not len(at):
+                        continue
+                    own = np.append(at_word[words.first[k] : words.first[k + 1]], len(text) + 1)
+                    one, two = halves([digest(text[x : y - 1]) for x, y in zip(own[at].tolist(), own[at + window].tolist(), strict=True)])
+                    weight = np.where(repeated[base[k] + at], 2, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(at), keys[row + k])), pa.array(at), pa.array(weight)], names=["one", "two", "key", "place", "n"])
+
+    windows = marked.mapInArrow(tell_windows, "one long, two long, key long, place long, n long")
+    lone = windows.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("place").alias("place")).where("n = 1")
     singles = lone.groupBy(F.col("key").alias(key)).agg(F.collect_list("place").alias(single))
     judged = marked.join(singles, key, "left")
-    columns = [c for c in df.columns]
-    order = [judged.columns.index(c) for c in columns]
-    at_text, at_killed, at_single = (judged.columns.index(c) for c in (text_col, killed, single))
+    order = [judged.columns.index(c) for c in df.columns]
+    at_text, at_alive, at_known, at_single = (judged.columns.index(c) for c in (text_col, alive, known, single))
     schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out, T.StringType())])
 
     def cut(batches):
         for batch in batches:
-            kills, lones = _lists(batch.column(at_killed)), _lists(batch.column(at_single))
-            for row, data, offsets in flat.text_parts(batch.column(at_text)):
-                words = flat.Words(data, offsets, codes=None)
-                raw = data.tobytes()
-                counts, removed, texts = [], [], []
-                for k, (a, n) in enumerate(zip(words.first[:-1].tolist(), words.count.tolist(), strict=True)):
-                    left = open_windows(n, kills[row + k], window)
-                    if lones[row + k] is not None:
-                        left[lones[row + k]] = False
-                    change = np.zeros(n + 1, np.int64)
-                    at = np.flatnonzero(left)
-                    change[at] += 1
-                    change[at + window] -= 1
-                    stays = np.cumsum(change)[:n] == 0
-                    if stays.all():
-                        text = b" ".join(raw[offsets[k] : offsets[k + 1]].split())
-                    else:
-                        here = np.flatnonzero(stays) + a
-                        text = b" ".join([raw[x:y] for x, y in zip(words.starts[here].tolist(), words.ends[here].tolist(), strict=True)])
-                    counts.append(n)
-                    removed.append(n - int(stays.sum()))
-                    texts.append(hashlib.sha256(text).hexdigest() if out == "kept_sha256" else text.decode())
+            for row, data, offsets in flat.text_parts(batch.column(at_text).cast(pa.string())):
+                words = flat.Words(data, offsets, hashed=False)
                 part = batch.slice(row, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in order], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=schema.names)
+                base = np.append(0, np.cumsum(np.maximum(words.count - window + 1, 0)))
+                gone = flags_of(part.column(at_alive), base)
+                places, owner = unlisted(part.column(at_single))
+                gone[base[owner] + places.astype(np.int64)] = False
+                gone |= flags_of(part.column(at_known), base)
+                at = np.flatnonzero(gone)
+                owner = np.searchsorted(base, at, "right") - 1
+                place = at - base[owner] + words.first[owner]
+                stays = ~covered(place, place + window, len(words.starts))
+                left = np.append(0, np.cumsum(stays))[words.first]
+                raw, texts = data.tobytes(), []
+                starts, ends = words.starts[stays].tolist(), words.ends[stays].tolist()
+                for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True):
+                    text = b" ".join([raw[x:y] for x, y in zip(starts[a:b], ends[a:b], strict=True)])
+                    texts.append(hashlib.sha256(text).hexdigest() if out == "kept_sha256" else text.decode())
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in order], pa.array(words.count, pa.int64()), pa.array(words.count - np.diff(left), pa.int64()), pa.array(texts, pa.string())], names=schema.names)
 
     return judged.mapInArrow(cut, schema)

@@ -322,16 +322,29 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window", [3, 35])
-def test_substring_dedup(spark, window):
+@pytest.mark.parametrize(("window", "rounds"), [(3, 1), (3, 4), (35, 5)])
+def test_substring_dedup(spark, window, rounds, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)  # hot names are dealt over parts
     rng = random.Random(window)
     small = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(60)]
-    texts = (edge_texts() + near_copies()) if window == 35 else small + ["a " * 50, "a a a a", "a b a b a b a b"]
+    long = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    mixed = [" ".join(rng.choice(long) for _ in range(rng.randint(1, 80))) for _ in range(30)]
+    one = thue_morse(1024) + " " + " ".join(f"t{k}" for k in range(40))
+    texts = (edge_texts() + near_copies() + mixed + [one, one.replace(thue_morse(1024), thue_morse(1024, True))]) if window == 35 else small + ["a " * 50, "a a a a", "a b a b a b a b"]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, kept_text string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(df, window=window).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(df, window=window, rounds=rounds).collect()}
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts, window)
 
 
+def test_substring_rounds_reveal_long_repeats(spark):
+    """With more rounds of naming, fewer windows of a group of copies have to be told; one copy tells them."""
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join([f"x{k}", *words, f"y{k}"]) for k in range(6)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_key long, text string")
+    told = [sum(b - a for r in substring_dedup.judged_windows(rows, "_key", "text", 35, n).collect() for a, b in zip(r.alive[::2], r.alive[1::2])) for n in (1, 3, 5)]
+    assert told[0] >= 6 * 850 > told[1] > told[2] >= 866
+
+
 def test_substring_repeated_rows_and_nothing(docs):
     out = substring_dedup.digests(docs).where("doc_id = 2").collect()
     assert len(out) == 2 and all(r.n_removed == r.n_words for r in out)
