@@ -37,7 +37,7 @@ def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
     return counts.sparkSession.createDataFrame(rows, found.schema).withColumn("_hot", F.lit(True)) if rows else None
 
 
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, by: Column) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, by: Column, how: str = "inner") -> DataFrame:
     """rows JOIN table on keys, where one key may hold any share of the rows.
 
     table has each key once; counts has keys and n, the number of their rows. The hot keys are at most HOT_SHARE, so their list
@@ -45,10 +45,10 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], counts: Data
     """
     hot = hot_keys(counts, keys)
     if hot is None:
-        return rows.join(table, keys)
+        return rows.join(table, keys, how)
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     told = table.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return marked.join(told, [*keys, "_salt"]).drop("_salt")
+    return marked.join(told, [*keys, "_salt"], how).drop("_salt")
 
 
 def block_join(left: DataFrame, right: DataFrame, key: str, left_by: Column, right_by: Column) -> DataFrame:

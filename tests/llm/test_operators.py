@@ -247,11 +247,11 @@ def test_jaccard_group_work_is_linear():
 def test_license_headers_and_inheritance(spark):
     rows = [("a", "x/LICENSE", "Released under the MIT License.", "p"), ("b", "x/y/f.py", "code", "p"), ("c", "x/y/z/COPYING", "This work is licensed under the GNU General Public License, version 3.", "p"), ("d", "x/y/z/g.py", "print", "p"), ("e", "x/h.py", "# Licensed under the Apache License, Version 2.0.\ncode", "p"), ("f", "other/i.py", None, "p"), ("g", None, "", "p"), ("h", "x/y/k.py", "licence to fish and drive", "p")]
     df = spark.createDataFrame(rows, "id string, path string, text string, license string")
-    out = {r.id: (r.license, r.license_source, r.license_directory) for r in licenses.scan(df, "id").collect()}
+    out = {r.id: (r.license, r.license_source, r.license_directory) for r in licenses.scan(df).collect()}
     assert out["a"][:2] == ("MIT", "header") and out["e"][:2] == ("Apache-2.0", "header")
     assert out["b"] == ("MIT", "directory", "x") and out["d"] == ("GPL-3.0", "directory", "x/y/z")
     assert out["f"][1] == out["g"][1] == "none" and out["h"] == ("MIT", "directory", "x")
-    assert licenses.scan(df.where("false"), "id").count() == 0
+    assert licenses.scan(df.where("false")).count() == 0
 
 
 def test_license_texts_are_found_as_a_whole(spark):
@@ -267,6 +267,70 @@ def test_license_texts_are_found_as_a_whole(spark):
     assert out[6] == ("t/und/0/6.txt", None, "none", None)
 
 
+def brute_license(texts):
+    """(license, cosine, whole) of each text by plain loops over its units."""
+    tokens = lambda t: collections.Counter(x for x in re.split("[^a-z0-9]+", t.lower()) if x)
+    folder = Path(licenses.__file__).parent / "license_texts"
+    known = [(n, tokens(t)) for n, t in [*licenses.TEMPLATES, *[(f.stem, f.read_text()) for f in sorted(folder.glob("*.txt"))]]]
+    word, parts = re.compile(licenses.LICENSE_WORD), {}
+    for t in set(texts) - {None}:
+        if word.search(t):
+            lines = re.split("\r?\n", t)
+            parts[t] = [(" ".join(lines[i : i + k]), False) for i, x in enumerate(lines) if word.search(x) for k in licenses.BLOCK_LINES] + [(t, True)]
+    vectors = {u: tokens(u) for own in parts.values() for u, _ in own}
+    df = collections.Counter(x for v in [*vectors.values(), *[v for _, v in known]] for x in v)
+    total = len(vectors) + len(known)
+    weigh = lambda v: {x: (1 + np.log(n)) * (np.log((total + 1) / (df[x] + 1)) + 1) for x, n in v.items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    told = [(n, v, weigh(v)) for n, v in known]
+    out = []
+    for t in texts:
+        best = []
+        for unit, whole in parts.get(t, []):
+            w = weigh(vectors[unit])
+            for name, v, x in told:
+                cosine = sum(w[k] * x[k] for k in w.keys() & x.keys()) / (norm(w) * norm(x))
+                share = sum(n for k, n in vectors[unit].items() if k in v) / sum(vectors[unit].values())
+                if cosine >= licenses.MIN_COSINE and (not whole or share >= licenses.MIN_SHARE):
+                    best.append((not whole, -round(cosine, 9), name))
+        out.append((min(best)[2], -min(best)[1], not min(best)[0]) if best else None)
+    return out
+
+
+NOTICE = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_license_cosines_against_loops(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"p{rng.randint(0, 99)}" for _ in range(n))
+    texts = [NOTICE + "\n" + prose(80), (folder / "ISC.txt").read_text(), "Copyright 2001 A\n" + prose(9), None, "", "licence", "Licensed under the BSD License\r\n" + prose(30), prose(40), NOTICE, NOTICE]
+    texts += [name_text[1].lower() + "\n" + prose(rng.randint(0, 50)) for name_text in licenses.TEMPLATES] + ["x " * 200_000 + "\nReleased under the MIT License.\n" + "y " * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = df.select("id", licenses.digest_of(df.text).alias("digest")).join(licenses.own_licenses(df), "digest", "left").collect()
+    got = {r.id: (r.license, pytest.approx(r.cosine, abs=2e-9), r.whole) if r.license else None for r in rows}
+    want = brute_license(texts)
+    assert len(rows) == len(texts) and [got[k] for k in range(len(texts))] == want
+    assert want[0][0] == want[8][0] == "GPL-3.0" and want[1][0] == "ISC" and want[-1][0] == "MIT"
+
+
+def test_license_rows_stay_rows(spark):
+    """Repeated ids and rows, null ids and paths, clashing names, an empty table."""
+    mit = "Released under the MIT License."
+    rows = [(1, mit, "s", "en"), (1, "other text", "s", "en"), (1, mit, "s", "en"), (None, mit, None, None), (None, None, None, None), (2, "", "s", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = licenses.report(df).collect()
+    assert collections.Counter((r.doc_id, r.license, r.license_source) for r in out) == collections.Counter([(1, "MIT", "header"), (1, "MIT", "directory"), (1, "MIT", "header"), (None, "MIT", "header"), (None, "MIT", "directory"), (2, "MIT", "directory")])
+    assert licenses.report(df.where("false")).count() == 0
+    clash = df.selectExpr("*", "source AS path", "1 AS cosine", "map(1, 2) AS whole", "'x' AS _own", "2 AS license")
+    found = licenses.scan(clash)
+    assert found.columns == [*[c for c in clash.columns if c != "license"], "license", "license_source", "license_cosine", "license_directory"]
+    assert sorted((r.doc_id or 0, r.license or "", r.cosine, r._own) for r in found.collect()) == sorted([(1, "MIT", 1, "x"), (1, "", 1, "x"), (1, "MIT", 1, "x"), (0, "MIT", 1, "x"), (0, "", 1, "x"), (2, "", 1, "x")])
+
+
 def test_license_query_inherits(spark, sf_dir):
     """Inherited rows of the registered query against a walk up each path."""
     rows = queries.QUERIES["op5_licenses"](spark, sf_dir).collect()
