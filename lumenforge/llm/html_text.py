@@ -1,13 +1,19 @@
 """Operator 3: main text of web pages by tree scoring.
 
-A tolerant tag reader builds a small element tree. Paragraph-like blocks pass points (one, one for each comma, up to three for
-length) to their ancestors, in full to the parent and in falling shares above; link density discounts every container. The
-container with the best score is kept with those siblings that score alike or read like paragraphs, and its blocks are joined
-in page order. Boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are
-cut before scoring and inside the winner.
+A tolerant tag reader builds a small element tree in one pass over the page. Paragraph-like blocks pass points (one, one for
+each comma, up to three for length) to their ancestors, in full to the parent and in falling shares above; link density
+discounts every container. The container with the best score is kept with those siblings that score alike or read like
+paragraphs, and its blocks are joined in page order.
+
+Elements that are boilerplate by what they are (menus, footers, sidebars, forms, scripts, styles; headers outside an article) are
+cut before scoring. Names of classes and ids are weaker evidence: a part is cut for its name only if one of its names consists
+of such words alone (`site-header`, `related-posts`; not `social-history`), and then not if it holds an article or is a
+paragraph that reads like running text. Headings, captions and tables of the article stay.
 
 Defined results: null and empty html and pages without text give an empty text; unclosed, crossed and unknown tags are closed
-as browsers do for blocks; repeated rows are independent; further columns pass unchanged, but the output replaces an old column of its name.
+as browsers do for blocks; a quote in a tag counts only behind an equals sign; an unclosed value, comment or script goes to the
+next tag end, or to the end of the page; very long and malformed pages take time in proportion to their length; repeated rows are
+independent; further columns pass unchanged, but the output replaces an old column of its name.
 """
 
 from __future__ import annotations
@@ -24,37 +30,52 @@ from lumenforge.llm.shared import cleared
 
 #: Elements of HTML by the way they are read.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas select".split())
-CUT = frozenset("nav header footer aside form button dialog menu head label fieldset audio video figure map".split()) | RAW
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg object canvas select".split())
+CUT = frozenset("nav footer aside form button dialog menu head audio video map".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-PARAGRAPH = frozenset("p pre blockquote td li h1 h2 h3 h4 h5 h6 dd dt figcaption".split())
+PARAGRAPH = frozenset("p pre blockquote td li h1 h2 h3 h4 h5 h6 dd dt figcaption caption".split())
 CLOSES_P = BLOCK - {"html", "body"}
-#: Class, id and role words of parts that are no main text; a whole word or a word of a hyphened name.
-BAD_NAME = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|comments?|disqus|replies|respond|toolbar|widget|skip|legal|copyright)(?:$|[\s_-])", re.I)
+#: What an open item is closed by, and the elements that hold items of their own.
+ITEMS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HOLDERS = ("table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "td", "li", "blockquote")
+#: Words of class and id names of parts that are no main text, and words that say nothing about a part.
+BAD_WORD = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice gdpr popup modal newsletter subscribe signup share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager comment comments disqus replies respond toolbar widget skip legal copyright".split())
+PLAIN_WORD = frozenset("site page top bottom left right box bar block list wrap wrapper container inner outer section link links button buttons icon icons item items area content slot unit form post posts story stories text global primary secondary main fixed sticky title heading body group row col column".split())
 GOOD_ROLE = frozenset(["main", "article"])
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Length of a paragraph that reads like running text whatever its name is.
+RUNNING_TEXT = 40
+COMMAS = re.compile("[,،、，﹐﹑､]")
 #: Shares of a paragraph's points for its parent, grandparent and so on.
 SHARES = (1.0, 0.5, 0.33, 0.25)
 SIBLING_SHARE = 0.2
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+OPENING = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+TAG_END = re.compile(r">|=\s*([\"'])")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "name", "score", "length", "linked", "good")
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "score", "length", "linked", "good", "at")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.parts = tag, parent, []
-        self.cut, self.good, self.score, self.length, self.linked = False, False, 0.0, 0, 0
+        self.tag, self.parent, self.parts, self.at = tag, parent, [], 0
+        self.cut, self.named, self.good, self.score, self.length, self.linked = False, False, False, 0.0, 0, 0
+
+
+def bad_name(name: str) -> bool:
+    """Whether a class or id name says that its part is boilerplate, and nothing else."""
+    words = [w.lower() for w in NAME_PARTS.findall(name)]
+    return any(w in BAD_WORD for w in words) and all(w in BAD_WORD or w in PLAIN_WORD or w.isdigit() for w in words)
 
 
 def _attributes(node: Node, raw: str) -> None:
     for m in ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
-        if key in ("class", "id") and node.tag not in ("article", "main", "body", "html") and BAD_NAME.search(value):
-            node.cut = True
+        if key in ("class", "id") and node.tag not in ("article", "main", "body", "html"):
+            node.named |= any(map(bad_name, value.split()))
         elif key == "role":
             node.cut |= value.lower() in BAD_ROLE
             node.good |= value.lower() in GOOD_ROLE
@@ -62,69 +83,126 @@ def _attributes(node: Node, raw: str) -> None:
             node.cut = True
 
 
-def parse(page: str) -> Node:
-    """Element tree of a page; text parts are strings between the child nodes."""
-    root = Node("html", None)
-    here, at, size = root, 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
-            here.parts.append(page[at:])
-            break
-        if m.start() > at:
-            here.parts.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if tag == "p" and node is None:
+class Reader:
+    """One pass over a page: the open elements are a stack, and the places of each tag in it are known."""
+
+    def __init__(self, page: str):
+        self.page, self.size, self.last_end = page, len(page), page.rfind(">")
+        self.root = Node("html", None)
+        self.open, self.places = [self.root], {"html": [0]}
+        self.blocks = [0]  # how many block elements are open up to each place of the stack
+        self.never: set[str] = set()  # raw elements without any further closing tag
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of some tags, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close(self, place: int) -> None:
+        """Closes the open element at a place and all inside it."""
+        for node in self.open[place:]:
+            self.places[node.tag].pop()
+        del self.open[place:], self.blocks[place:]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+        self.blocks.append(self.blocks[-1] + (node.tag in BLOCK))
+
+    def close_items(self, tags) -> None:
+        """Ends an open element of tags, unless an element that holds its own items is open inside it."""
+        place = self.last(tags)
+        if place > 0 and place >= self.last(HOLDERS):
+            self.close(place)
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, -1 if none does."""
+        while at <= self.last_end:
+            m = TAG_END.search(self.page, at)
+            if m is None:
+                return -1
+            if not m[1]:
+                return m.start()
+            closing = self.page.find(m[1], m.end())
+            if closing < 0:
+                return self.page.find(">", m.end())
+            at = closing + 1
+        return -1
+
+    def read(self) -> Node:
+        page, at = self.page, 0
+        while True:
+            m = OPENING.search(page, at)
+            if m is None or m.start() > self.last_end and not (m[1] or m[2]):
+                self.open[-1].parts.append(page[at:])
+                return self.root
+            if m.start() > at:
+                self.open[-1].parts.append(page[at : m.start()])
+            if m[1] or m[2] or m[3]:
+                mark = "-->" if m[1] else "]]>" if m[2] else ">"
+                end = page.find(mark, m.end() - (2 if m[1] else 0))
+                if end < 0:
+                    return self.root
+                at = end + len(mark)
                 continue
-            if node is not None and node.parent is not None and not (tag not in BLOCK and _crosses_block(here, node)):
-                here = node.parent
-            continue
-        if tag == "html" or tag == "body" and here is root:
-            continue
+            end = self.tag_end(m.end())
+            if end < 0:
+                self.open[-1].parts.append(page[m.start() :])
+                return self.root
+            at = self.element(m[5].lower(), bool(m[4]), page[m.end() : end], end + 1)
+
+    def element(self, tag: str, closing: bool, raw: str, at: int) -> int:
+        if closing:
+            place = self.last((tag,))
+            # an inline element is not closed across a block
+            if place > 0 and (tag in BLOCK or self.blocks[-1] == self.blocks[place]):
+                self.close(place)
+            return at
+        if tag == "html" or tag == "body" and len(self.open) == 1:
+            return at
         if tag in CLOSES_P:
-            here = _closed(here, ("p",))
-        if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            here = _closed(here, {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag])
-        node = Node(tag, here)
-        node.cut = tag in CUT
-        _attributes(node, m[3])
-        here.parts.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-            continue
+            self.close_items(("p",))
+        if tag in ITEMS:
+            self.close_items(ITEMS[tag])
+        node = Node(tag, self.open[-1])
+        node.cut = tag in CUT or tag == "header" and self.last(("article", "main")) < 0
+        if raw:
+            _attributes(node, raw)
+        self.open[-1].parts.append(node)
+        if tag in VOID or raw.endswith("/") and tag not in BLOCK:
+            return at
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size if tag in ("script", "style", "template", "textarea") else at
-            if end or tag in ("script", "style", "template", "textarea"):
-                continue
-        here = node
-    return root
+            end = None if tag in self.never else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+            if end:
+                return end.end()
+            self.never.add(tag)
+            if tag in ("script", "style", "template", "textarea"):
+                return self.size
+        self.push(node)
+        return at
 
 
-def _crosses_block(here: Node, to: Node) -> bool:
-    while here is not to:
-        if here.tag in BLOCK:
-            return True
-        here = here.parent
-    return False
+def parse(page: str) -> Node:
+    """Element tree of a page; text parts are strings between the child nodes. Parts are cut for their names here."""
+    root = Reader(page).read()
+    _measure(root)
+    order = _nodes(root)
+    holds = set()
+    for node in reversed(order):  # children first
+        if node.tag in ("article", "main") or node.good or id(node) in holds:
+            holds.add(id(node.parent))
+    for node in order:
+        if node.named and not node.cut and id(node) not in holds:
+            node.cut = not (node.tag in PARAGRAPH and node.length >= RUNNING_TEXT and density(node) < 0.5)
+    return root
 
 
-def _closed(here: Node, tags: tuple[str, ...]) -> Node:
-    """Where a new block goes when an open element of `tags` must end first; lists and tables hold their own items."""
-    node = here
-    while node.parent is not None:
-        if node.tag in tags:
-            return node.parent
-        if node.tag in ("table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "td", "li", "blockquote"):
-            return here
-        node = node.parent
-    return here
+def _nodes(root: Node) -> list[Node]:
+    """Uncut nodes, parents before children."""
+    out, todo = [], [root]
+    while todo:
+        out.append(todo.pop())
+        todo += [p for p in out[-1].parts if not isinstance(p, str) and not p.cut]
+    return out
 
 
 def plain(text: str) -> str:
@@ -145,9 +223,9 @@ def blocks(top: Node) -> list[tuple[Node, str]]:
                 out.append((owner, text))
             held = []
 
-    stack = [(top, iter(top.parts))]
+    stack = [(top, iter(top.parts), top)]
     while stack:
-        node, parts = stack[-1]
+        node, parts, around = stack[-1]
         for part in parts:
             if isinstance(part, str):
                 held.append(part)
@@ -156,16 +234,16 @@ def blocks(top: Node) -> list[tuple[Node, str]]:
             elif part.tag in ("br", "wbr", "img"):
                 held.append(" " if part.tag == "br" else "")
             else:
+                stack.append((part, iter(part.parts), owner))
                 if part.tag in BLOCK:
                     end()
                     owner = part
-                stack.append((part, iter(part.parts)))
                 break
         else:
             stack.pop()
             if node.tag in BLOCK or not stack:
                 end()
-                owner = next((n for n, _ in reversed(stack) if n.tag in BLOCK), top)
+                owner = around
     return out
 
 
@@ -195,7 +273,7 @@ def main_nodes(root: Node) -> list[Node]:
     order = _measure(root)
     touched = []
     for block, text in blocks(root):
-        points = 1.0 + text.count(",") + text.count("、") + min(len(text) / 100, 3.0)
+        points = 1.0 + len(COMMAS.findall(text)) + min(len(text) / 100, 3.0)
         points *= 1.0 - density(block)
         node = block if block.tag not in PARAGRAPH else block.parent
         for share in SHARES:

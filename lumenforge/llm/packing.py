@@ -3,14 +3,16 @@
 Dynamic programming over the global length histogram chooses the bucket boundaries with the least padding; documents of a
 bucket form batches within a token budget.
 
-The histogram has one entry per length level: exact lengths up to `EXACT`, and beyond steps of 1/64 of the length, so its size
-is bounded by a constant whatever the corpus, and it covers every document. Boundaries lie on real maximum lengths of a level,
-so padding is counted exactly for the chosen boundaries. Batches are numbered inside shards of a bucket (a document's shard
-comes from its hash; the number of shards grows with the bucket), so no bucket is sorted or numbered by one task.
+The histogram has one entry per length that occurs, up to `EXACT` words; the few texts beyond lie in steps of 1/1024 of the
+length, so its size is bounded whatever the corpus, and it covers every document. Boundaries lie on real maximum lengths of an
+entry, so padding is counted exactly for the chosen boundaries; they are optimal if no boundary falls beyond `EXACT`, and else
+within 1/1024 of the lengths there. Batches are numbered inside shards of a bucket (a document's shard comes from its hash and,
+so that very many equal rows are no burden, from the partition it is read from; the number of shards grows with the bucket), so
+no bucket is sorted or numbered by one task.
 
 Defined results: a null text has 0 tokens and is packed like an empty one, into the first bucket; a document longer than the
 budget is a batch of its own; equal lengths are ordered by a hash of the row; repeated rows are separate documents; an empty
-table gives an empty table; further columns pass unchanged.
+table gives an empty table; further columns of any type pass unchanged, but an output replaces an old column of its name.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenforge.llm.shared import cleared, free_name
 
 BUCKETS, TOKEN_BUDGET, SHARD_ROWS = 12, 65_536, 20_000
-#: Lengths up to EXACT are levels of their own; above, a level spans 1/64 of the length.
-EXACT = 2048
+#: Lengths up to EXACT are levels of their own; above, there are STEPS levels for each doubling.
+EXACT, STEPS = 1 << 16, 1024
 
 OUT = ["bucket", "bucket_length", "batch_id", "slot", "padding"]
 
@@ -35,13 +38,20 @@ def word_count(text: Column) -> Column:
 
 
 def level_of(length: Column) -> Column:
-    """Level of a length: itself up to EXACT, then 64 levels for each doubling."""
-    steps = F.floor((F.log2(length.cast("double")) - float(np.log2(EXACT))) * 64)
+    """Level of a length: itself up to EXACT, then STEPS levels for each doubling."""
+    steps = F.floor((F.log2(length.cast("double")) - float(np.log2(EXACT))) * STEPS)
     return F.when(length <= EXACT, length).otherwise(F.lit(EXACT + 1) + steps).cast("long")
 
 
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark has a hash of this type: not of maps."""
+    if isinstance(kind, T.StructType):
+        return all(hashable(f.dataType) for f in kind.fields)
+    return hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def histogram(df: DataFrame, length_col: str) -> list:
-    """(level, longest, documents, tokens) by level; at most EXACT + 64 rows for each doubling beyond it."""
+    """(level, longest, documents, tokens) by level; at most EXACT rows, and STEPS for each doubling beyond it."""
     rows = df.groupBy(level_of(F.col(length_col)).alias("level")).agg(F.max(length_col).alias("longest"), F.count("*").alias("n"), F.sum(length_col).alias("tokens")).collect()
     return sorted(rows, key=lambda r: r.level)
 
@@ -103,8 +113,8 @@ def pack(df: DataFrame, length: Column | None = None, buckets: int = BUCKETS, to
     row_hash = free_name(df, "_row_hash")
     shard = free_name(df, "_shard")
     placed = counted.withColumn("bucket", bucket.cast("int")).withColumn("bucket_length", size.cast("long"))
-    placed = placed.withColumn(row_hash, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).withColumn(shard, F.pmod(F.col(row_hash), shards.cast("long")))
-    # a text that is repeated very often has one hash: its rows are numbered together, in one shard of ordinary size times its copies
+    named = [F.col(f"`{f.name}`") for f in df.schema.fields if hashable(f.dataType)] or [F.col("n_tokens")]
+    placed = placed.withColumn(row_hash, F.xxhash64(*named)).withColumn(shard, F.pmod(F.xxhash64(F.col(row_hash), F.spark_partition_id()), shards.cast("long")))
     order = Window.partitionBy("bucket", shard).orderBy(F.col("n_tokens"), F.col(row_hash))
     per_batch = F.greatest(F.floor(F.lit(token_budget) / F.greatest("bucket_length", F.lit(1))), F.lit(1))
     number = F.row_number().over(order) - 1

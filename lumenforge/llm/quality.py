@@ -251,6 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, text
     """Field fitted on at most sample_docs labelled documents (chosen by a hash of the id, so alike in every run)."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
     sample = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), id_col).select("_text", "_label")
+    sample = sample.orderBy(F.xxhash64("_text"), "_text", "_label").limit(sample_docs)  # an id may have several rows
 
     def lines(batches):
         for batch in batches:
@@ -266,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, text
                     ys.append(int(label[row + k]))
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array(rows, pa.int32()), pa.array(ys, pa.int32())], names=["codes", "n", "label"])
 
-    got = sorted(sample.mapInArrow(lines, "codes binary, n int, label int").limit(sample_docs).collect(), key=lambda r: (bytes(r.codes), r.label))
+    got = sorted(sample.mapInArrow(lines, "codes binary, n int, label int").collect(), key=lambda r: (bytes(r.codes), r.label))
     if not got:
         return Field.neutral()
     width = -(-N_FEATURES // 8)

@@ -123,7 +123,7 @@ def _scan(data: np.ndarray, offsets: np.ndarray, model: Model):
 
 def _sampled(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, sample_docs: int) -> DataFrame:
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), id_col).select("_text", "_label")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), id_col).select("_text", "_label").orderBy(F.xxhash64("_text"), "_text", "_label").limit(sample_docs)  # an id may have several rows
 
 
 def distinct_sample(sample: DataFrame) -> DataFrame:
@@ -183,30 +183,27 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     rest = max(float(top[0].c) - clean.sum(), 1.0)
     # unseen-in-clean tokens keep half a count, so that the law has a tail
     model.rate = karlin_rate(np.append(gains, DRIFT), np.append(np.maximum(clean, 0.5), rest))
-    best = _best_segments(sample, model, sample_docs)
-    dropped(sample)
-    quiet = [(n, s) for label, n, s, _ in best if not label and n > 0]
+    quiet = [(n, s) for label, n, s, _ in _judged(sample, model) if not label and n > 0]
     # method of moments for E = K n exp(-rate S) over the clean documents, with half a document as the prior
     chance = sum(np.exp(min(model.rate * s, 50.0)) > 1 for _, s in quiet) + 0.5
     model.scale = float(min(max(chance / (sum(n for n, _ in quiet) + 1.0), 1e-8), 0.1))
-    x = np.array([evidence(parts, n, model)[0] for _, n, _, parts in best])
-    y = np.array([label for label, *_ in best], float)
-    model.slope, model.offset = logistic(np.log1p(x), y)
+    judged = _judged(sample, model)
+    dropped(sample)
+    model.slope, model.offset = logistic(np.log1p(np.array([x for *_, x in judged])), np.array([label for label, *_ in judged], float))
     return model
 
 
-def _best_segments(sample: DataFrame, model: Model, limit: int) -> list[tuple[int, int, float, list]]:
-    """(label, words, best score, passages) of each sampled document; bounded like the sample."""
+def _judged(sample: DataFrame, model: Model) -> list[tuple[int, int, float, float]]:
+    """(label, words, best score, evidence of all passages) of each sampled document; bounded like the sample."""
 
     def run(batches):
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for row, data, offsets in flat.text_parts(batch.column(0)):
-                rows = [(int(label[row + k]), n, sorted((s for *_, s in found), reverse=True)[:32]) for k, _, n, found in _scan(data, offsets, model)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["label", "n", "s"])
+                rows = [(int(label[row + k]), n, max((s for *_, s in found), default=0.0), evidence(found, n, model)[0]) for k, _, n, found in _scan(data, offsets, model)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.float64()))], names=["label", "n", "best", "evidence"])
 
-    got = sample.mapInArrow(run, "label int, n long, s array<double>").limit(limit).collect()
-    return sorted((r.label, r.n, max(r.s, default=0.0), [(0, 0, v) for v in r.s]) for r in got)
+    return sorted(tuple(r) for r in sample.mapInArrow(run, "label int, n long, best double, evidence double").collect())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
