@@ -302,9 +302,10 @@ def promising(stars: DataFrame) -> DataFrame:
 
 
 def small_runs(members: DataFrame) -> DataFrame:
-    """members: shingle, group, place, label; of shingles that are not hot. kind 0: pairs (a, b) of groups with different
+    """members: shingle, group, place, label, before; of shingles that are not hot. kind 0: pairs (a, b) of groups with different
     labels that may link, of shingles that at most SMALL_RUN groups hold; kind 1: the groups of the other shingles (a = shingle,
-    b = group, place, label), if they have several labels."""
+    b = group, place, label, before), if they have several labels. before: the shingle in front of this one in the group's
+    prefix. Two groups with the same one there are a pair of that shingle already, and are not told again here."""
 
     def run(batches):
         held = None
@@ -325,9 +326,9 @@ def small_runs(members: DataFrame) -> DataFrame:
             several = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
             large = np.flatnonzero(np.repeat(several & (length > SMALL_RUN), length))
             if len(large):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(large), np.int32)), pa.array(token[large]), pa.array(owner[large]), pa.array(place[large]), now.column(3).take(pa.array(large)).combine_chunks()], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(large), np.int32)), pa.array(token[large]), pa.array(owner[large]), pa.array(place[large]), now.column(3).take(pa.array(large)).combine_chunks(), pa.array(now.column(4).to_numpy()[large])], names=names)
             small = np.flatnonzero(np.repeat(several & (length <= SMALL_RUN), length))
-            token, owner, place, label = token[small], owner[small], place[small], label[small]
+            token, owner, place, label, before = token[small], owner[small], place[small], label[small], now.column(4).to_numpy()[small]
             _, n, position = unpacked(place)
             low, high = [], []
             for step in range(1, SMALL_RUN):
@@ -335,7 +336,7 @@ def small_runs(members: DataFrame) -> DataFrame:
                 if not len(one):
                     break
                 two = one + step
-                good = (label[one] != label[two]) & may_link(n[one], position[one], n[two], position[two])
+                good = (label[one] != label[two]) & (before[one] != before[two]) & may_link(n[one], position[one], n[two], position[two])
                 low.append(np.minimum(owner[one[good]], owner[two[good]]))
                 high.append(np.maximum(owner[one[good]], owner[two[good]]))
             if low:
@@ -344,10 +345,10 @@ def small_runs(members: DataFrame) -> DataFrame:
                 x, y = x[order], y[order]
                 new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
                 x, y = x[new], y[new]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.int64())], names=names)
 
-    names = ["kind", "a", "b", "place", "label"]
-    return members.select("shingle", "group", "place", "label").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "kind int, a long, b long, place long, label binary")
+    names = ["kind", "a", "b", "place", "label", "before"]
+    return members.select("shingle", "group", "place", "label", "before").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "kind int, a long, b long, place long, label binary, before long")
 
 
 def block_pairs(members: DataFrame) -> DataFrame:
@@ -358,10 +359,10 @@ def block_pairs(members: DataFrame) -> DataFrame:
     main = kept(main.select("shingle", F.col("m.label").alias("main"), "n"), "main")
     own = salted_join(members, main.select("shingle", "main"), ["shingle"], main.select("shingle", "n"), F.col("group"))
     n, position = size_of("place"), F.col("place").bitwiseAND(F.lit((1 << SIZE_BITS) - 1).cast("long"))
-    own = kept(own.select("shingle", "group", "label", n.alias("n"), position.alias("p"), (F.col("label") == F.col("main")).alias("largest")), "large")
-    side = lambda k: own.select("shingle", F.col("largest").alias(f"largest{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("group", "label", "n", "p")])
+    own = kept(own.select("shingle", "group", "label", "before", n.alias("n"), position.alias("p"), (F.col("label") == F.col("main")).alias("largest")), "large")
+    side = lambda k: own.select("shingle", F.col("largest").alias(f"largest{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("group", "label", "before", "n", "p")])
     met = block_join(side(1).where("NOT largest1"), side(2), "shingle", F.col("group1"), F.col("group2"))
-    met = met.where((F.col("label1") != F.col("label2")) & (F.col("largest2") | (F.col("group1") < F.col("group2"))) & may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2")))
+    met = met.where((F.col("label1") != F.col("label2")) & (F.col("before1") != F.col("before2")) & (F.col("largest2") | (F.col("group1") < F.col("group2"))) & may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2")))
     return met.select(F.least("group1", "group2").alias("a"), F.greatest("group1", "group2").alias("b"))
 
 
@@ -372,9 +373,14 @@ def attached(rows: DataFrame, pairs: DataFrame, table: DataFrame, side: str, key
     return salted_join(rows, named, [side], pairs.groupBy(side).agg(F.count("*").alias("n")), F.col("b" if side == "a" else "a"))
 
 
+def prefixes(groups: DataFrame) -> DataFrame:
+    """group, prefix, n of each group."""
+    return groups.where("prefix IS NOT NULL").groupBy("group").agg(F.max("prefix").alias("prefix"), F.max("n").alias("n"))
+
+
 def sharing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The group pairs (a, b) that share enough of their prefixes."""
-    parts = groups.where("prefix IS NOT NULL").groupBy("group").agg(F.max("prefix").alias("prefix"), F.max("n").alias("n"))
+    parts = prefixes(groups)
     both = attached(attached(pairs, pairs, parts, "a", "group", ["prefix", "n"]), pairs, parts, "b", "group", ["prefix", "n"])
     return both.where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
 
@@ -488,10 +494,12 @@ def classes_joined(df: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame
     # group pairs across components: a group of several components has a label of its own
     labelled = kept(classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "group", F.coalesce("label", "class").alias("label")), "labelled")
     bounds = kept(labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")), "bounds")
-    group_labels = bounds.select("group", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.encode(F.col("group").cast("string"), "utf-8")).alias("label"))
-    cold = small_runs(stars.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("group"), F.col("x").alias("place")).join(group_labels, "group"))
-    met = kept(cold, "runs")
-    large = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("group"), "place", "label").unionByName(hot.distinct().join(group_labels, "group").select("shingle", "group", "place", "label"))
+    group_labels = bounds.join(prefixes(groups), "group").select("group", "prefix", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.encode(F.col("group").cast("string"), "utf-8")).alias("label"))
+    position = F.col("place").bitwiseAND(F.lit((1 << SIZE_BITS) - 1).cast("long")).cast("int")
+    before = F.when(position > 0, F.element_at("prefix", F.greatest(position, F.lit(1)))).otherwise(F.col("group")).alias("before")
+    marked = lambda rows: rows.join(group_labels, "group").select("shingle", "group", "place", "label", before)
+    met = kept(small_runs(marked(stars.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("group"), F.col("x").alias("place")))), "runs")
+    large = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("group"), "place", "label", "before").unionByName(marked(hot.distinct()))
     candidates = kept(met.where("kind = 0").select("a", "b").unionByName(block_pairs(kept(large, "large"))).distinct(), "candidates")
     mixed = bounds.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b"))
     matched = kept(sharing(candidates, groups).union(mixed), "matched")

@@ -4,13 +4,13 @@ Recompression renames maximal runs of equal symbols and then adjacent pairs (lef
 that equal substrings get the same symbols inside, whatever surrounds them. Here a task forms several levels of runs and pairs
 at once, a phrase, and every Spark round gives the phrases of the whole corpus their global names:
 
-1. Round 1 forms phrases of words. The naming table counts equal phrases of all documents (by a 128-bit BLAKE2 digest of their
+1. Round 1 forms phrases of words. The naming table counts equal phrases of all documents (by a 96-bit BLAKE2 digest of their
    words) and numbers those that occur twice or more; the numbers go back by a join. A phrase without a number is unique, and so
    is every window that holds all words which its forming depended on. Whole documents are phrases, too.
 2. Later rounds form phrases of names, as long as the symbols go on without a gap, and name them in the same way (a digest of
    names, so equal names mean equal words). A named phrase of `WINDOW` words or more reveals a long repeat: all its windows are
    repeated, and only its first copy has to tell them to others. So a group of copies costs one copy.
-3. The windows that are still told are verified on their words: Spark counts 128-bit BLAKE2 digests of the words of each, and
+3. The windows that are still told are verified on their words: Spark counts 96-bit BLAKE2 digests of the words of each, and
    those that are told once go.
 4. Words covered by a repeated window are removed.
 
@@ -43,6 +43,10 @@ from lumenforge.llm.shared import cleared, dropped, free_name, kept, salted_join
 #: Words of a window, Spark rounds of naming, levels of runs and pairs in a phrase of words and in a phrase of names.
 WINDOW, ROUNDS, WORD_LEVELS, NAME_LEVELS = 35, 5, 6, 4
 FAR = np.int64(1) << 30
+#: Bits of the filter for the texts that have windows to judge (a bound on what is broadcast; once it is full, more texts are shuffled).
+FILTER_BITS = 1 << 23
+#: Texts that a task remembers as told; it only saves repetitions.
+REMEMBERED = 1_000_000
 
 
 def phrases(hashes: np.ndarray, doc: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,12 +96,13 @@ def phrases(hashes: np.ndarray, doc: np.ndarray, levels: int) -> tuple[np.ndarra
 
 
 def digest(content: bytes) -> bytes:
-    return hashlib.blake2b(content, digest_size=16).digest()
+    return hashlib.blake2b(content, digest_size=12).digest()
 
 
 def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    """The first eight and the last four bytes of each digest."""
+    both = np.frombuffer(b"".join(digests), [("one", "<i8"), ("two", "<i4")])
+    return both["one"].copy(), both["two"].copy()
 
 
 def word_bounds(words: flat.Words) -> np.ndarray:
@@ -147,12 +152,12 @@ def flags_of(column: pa.Array, base: np.ndarray) -> np.ndarray:
     return covered(at[0::2], at[1::2], int(base[-1]))
 
 
-STATE = "{key} long, n int, alive array<int>, known array<int>, name array<long>, left array<long>, right array<long>, start array<int>, size array<int>"
+STATE = "id long, key binary, n int, alive array<int>, known array<int>, name array<long>, left array<long>, right array<int>, start array<int>, size array<int>, open boolean"
 
 
-def first_phrases(rows: DataFrame, key: str, text_col: str, window: int) -> DataFrame:
-    """key, n words, and the phrases of words of each document of `window` words or more: halves of the digest, start, and the
-    words before and behind the start that its forming depended on. The last phrase is the whole document."""
+def first_phrases(texts: DataFrame, window: int) -> DataFrame:
+    """key, n words, and the phrases of words of each text (key, text) of `window` words or more: halves of the digest, start, and
+    the words before and behind the start that its forming depended on. The last phrase is the whole document."""
 
     def run(batches):
         for batch in batches:
@@ -174,21 +179,20 @@ def first_phrases(rows: DataFrame, key: str, text_col: str, window: int) -> Data
                 if out:
                     columns = list(zip(*out, strict=True))
                     doc = np.repeat(np.arange(len(out)), [len(x) for x in columns[1]])
-                    lists = [listed(np.concatenate(c), doc, len(out), t) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([row + k for k in long])), pa.array(columns[0], pa.int32()), *lists], names=[key, "n", "left", "right", "start", "before", "behind"])
+                    lists = [listed(np.concatenate(c), doc, len(out), t) for c, t in zip(columns[1:], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([row + k for k in long])), pa.array(columns[0], pa.int32()), *lists], names=["key", "n", "left", "right", "start", "before", "behind"])
 
-    schema = f"`{key}` long, n int, left array<long>, right array<long>, start array<int>, before array<int>, behind array<int>"
-    return rows.select(key, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, "key binary, n int, left array<long>, right array<int>, start array<int>, before array<int>, behind array<int>")
 
 
-def named(state: DataFrame, key: str, number: int) -> DataFrame:
-    """key, names: (place in the list, name, first document) of the phrases (left, right) that occur twice or more: one Spark
+def named(state: DataFrame, number: int) -> DataFrame:
+    """id, names: (place in the list, name, first document) of the phrases (left, right) that occur twice or more: one Spark
     round. The naming table is kept, so a name stays what it is if a task is run again."""
-    told = state.select(key, F.posexplode(F.arrays_zip("left", "right")).alias("at", "p")).select(key, "at", "p.left", "p.right").where("right IS NOT NULL")
-    table = told.groupBy("left", "right").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
+    told = state.select("id", F.posexplode(F.arrays_zip("left", "right")).alias("at", "p")).select("id", "at", "p.left", "p.right").where("right IS NOT NULL")
+    table = told.groupBy("left", "right").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     table = kept(table.select("left", "right", "n", "first", (F.monotonically_increasing_id() + (number << 56) + 1).alias("name")), "names")
-    back = salted_join(told, table.drop("n"), ["left", "right"], table.select("left", "right", "n"), F.col(key))
-    return back.groupBy(key).agg(F.collect_list(F.struct("at", "name", "first")).alias("names"))
+    back = salted_join(told, table.drop("n"), ["left", "right"], table.select("left", "right", "n"), F.col("id"))
+    return back.groupBy("id").agg(F.collect_list(F.struct("at", "name", "first")).alias("names"))
 
 
 def _given(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -197,7 +201,7 @@ def _given(column: pa.Array) -> tuple[np.ndarray, ...]:
     return (doc, *[values.field(k).to_numpy(zero_copy_only=False) for k in range(3)])
 
 
-def _next_state(batch, key, n, base, alive, known, name, doc, start, size, window: int) -> pa.RecordBatch:
+def _next_state(batch, n, base, alive, known, name, doc, start, size, window: int) -> pa.RecordBatch:
     """The state with the next phrases of names; symbols that touch no told window are left out."""
     words = np.append(0, np.cumsum(n))
     at = np.flatnonzero(alive)
@@ -216,29 +220,31 @@ def _next_state(batch, key, n, base, alive, known, name, doc, start, size, windo
     left[several], right[several], open_[several] = one, two, False
     total = np.append(0, np.cumsum(size))
     own, k = doc[first], len(n)
-    right_list = pa.ListArray.from_arrays(listed(right, own, k, pa.int64()).offsets, pa.array(right, pa.int64(), mask=open_))
+    right_list = pa.ListArray.from_arrays(listed(right, own, k, pa.int64()).offsets, pa.array(right.astype(np.int32), mask=open_))
     kept_name = np.where(open_, name[first] if len(first) else left, 0)
-    columns = [batch.column(0), pa.array(n, pa.int32()), *[listed(*ranges(f, base), k, pa.int32()) for f in (alive, known)], listed(kept_name, own, k, pa.int64()), listed(left, own, k, pa.int64()), right_list, listed(start[first], own, k, pa.int32()), listed(total[ends] - total[first], own, k, pa.int32())]
-    rest = pa.RecordBatch.from_arrays(columns, names=[key, "n", "alive", "known", "name", "left", "right", "start", "size"])
+    columns = [batch.column(0), batch.column(1), pa.array(n, pa.int32()), *[listed(*ranges(f, base), k, pa.int32()) for f in (alive, known)], listed(kept_name, own, k, pa.int64()), listed(left, own, k, pa.int64()), right_list, listed(start[first], own, k, pa.int32()), listed(total[ends] - total[first], own, k, pa.int32())]
+    undecided = np.bincount(np.searchsorted(base, np.flatnonzero(alive & ~known), "right") - 1, minlength=k) > 0
+    columns.append(pa.array(undecided))
+    rest = pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", "alive", "known", "name", "left", "right", "start", "size", "open"])
     some = (np.bincount(owner, minlength=k) + np.bincount(np.searchsorted(base, np.flatnonzero(known), "right") - 1, minlength=k)) > 0
     return rest.filter(pa.array(some))
 
 
-def first_state(joined: DataFrame, key: str, window: int) -> DataFrame:
+def first_state(joined: DataFrame, window: int) -> DataFrame:
     """State after round 1. joined: first_phrases with their names. alive: windows that are told; known: repeated ones."""
 
     def run(batches):
         for batch in batches:
-            n = batch.column(1).to_numpy().astype(np.int64)
+            n = batch.column(2).to_numpy().astype(np.int64)
             base = np.append(0, np.cumsum(n - window + 1))
-            keys = batch.column(0).to_numpy()
-            start, doc = unlisted(batch.column(2))
-            before, behind = (unlisted(batch.column(c))[0].astype(np.int64) for c in (3, 4))
+            ids = batch.column(0).to_numpy()
+            start, doc = unlisted(batch.column(3))
+            before, behind = (unlisted(batch.column(c))[0].astype(np.int64) for c in (4, 5))
             start = start.astype(np.int64)
             begin = np.append(0, np.cumsum(np.bincount(doc, minlength=len(n))))
             name = np.zeros(len(start), np.int64)
             whole = begin[1:] - 1  # the last phrase of a document is all of it
-            owner, at, given, first = _given(batch.column(5))
+            owner, at, given, first = _given(batch.column(6))
             name[begin[owner] + at] = given
             ends = np.append(start[1:], 0)
             ends[np.maximum(whole - 1, 0)] = n
@@ -247,7 +253,7 @@ def first_state(joined: DataFrame, key: str, window: int) -> DataFrame:
             copied = name[whole] != 0
             later = np.zeros(len(n), bool)
             of_whole = begin[owner] + at == whole[owner]
-            later[owner[of_whole]] = first[of_whole] != keys[owner[of_whole]]
+            later[owner[of_whole]] = first[of_whole] != ids[owner[of_whole]]
             # a unique phrase rules out the windows that hold what its forming depended on
             lone = np.flatnonzero(part & (name == 0))
             lo = np.maximum(start[lone] + behind[lone] + 1 - window, 0)
@@ -257,25 +263,25 @@ def first_state(joined: DataFrame, key: str, window: int) -> DataFrame:
             known = np.repeat(copied, n - window + 1)
             alive = ~np.repeat(later, n - window + 1) & ~(covered(lo + at_doc, hi + at_doc + 1, int(base[-1])) & ~known)
             own = np.flatnonzero(part)
-            yield _next_state(batch, key, n, base, alive, known, name[own], doc[own], start[own], ends[own] - start[own], window)
+            yield _next_state(batch, n, base, alive, known, name[own], doc[own], start[own], ends[own] - start[own], window)
 
-    return joined.select(key, "n", "start", "before", "behind", "names").mapInArrow(run, STATE.format(key=f"`{key}`"))
+    return joined.select("id", "key", "n", "start", "before", "behind", "names").mapInArrow(run, STATE)
 
 
-def next_state(joined: DataFrame, key: str, window: int) -> DataFrame:
+def next_state(joined: DataFrame, window: int) -> DataFrame:
     """State after a later round. joined: the state before with the names of its phrases."""
 
     def run(batches):
         for batch in batches:
-            n = batch.column(1).to_numpy().astype(np.int64)
+            n = batch.column(2).to_numpy().astype(np.int64)
             base = np.append(0, np.cumsum(n - window + 1))
-            keys = batch.column(0).to_numpy()
-            alive, known = flags_of(batch.column(2), base), flags_of(batch.column(3), base)
-            name, doc = unlisted(batch.column(4))
+            ids = batch.column(0).to_numpy()
+            alive, known = flags_of(batch.column(3), base), flags_of(batch.column(4), base)
+            name, doc = unlisted(batch.column(5))
             name = name.copy()
-            start, size = (unlisted(batch.column(c))[0].astype(np.int64) for c in (5, 6))
+            start, size = (unlisted(batch.column(c))[0].astype(np.int64) for c in (6, 7))
             begin = np.append(0, np.cumsum(np.bincount(doc, minlength=len(n))))
-            owner, at, given, first = _given(batch.column(7))
+            owner, at, given, first = _given(batch.column(8))
             place = begin[owner] + at
             name[place] = given
             long = size[place] >= window
@@ -287,23 +293,27 @@ def next_state(joined: DataFrame, key: str, window: int) -> DataFrame:
             order = np.lexsort((start[place], name[place], owner))
             again = np.zeros(len(place), bool)
             again[order[1:]] = (owner[order[1:]] == owner[order[:-1]]) & (name[place][order[1:]] == name[place][order[:-1]])
-            later = again | (first != keys[owner])
+            later = again | (first != ids[owner])
             alive &= ~covered(lo[later], hi[later], int(base[-1]))
-            yield _next_state(batch, key, n, base, alive, known, name, doc, start, size, window)
+            yield _next_state(batch, n, base, alive, known, name, doc, start, size, window)
 
-    return joined.select(key, "n", "alive", "known", "name", "start", "size", "names").mapInArrow(run, STATE.format(key=f"`{key}`"))
+    return joined.select("id", "key", "n", "alive", "known", "name", "start", "size", "names").mapInArrow(run, STATE)
 
 
-def judged_windows(rows: DataFrame, key: str, text_col: str, window: int, rounds: int) -> DataFrame:
-    """key, alive, known after the rounds, of the documents that have such windows. rows is kept."""
-    parsed = kept(first_phrases(rows, key, text_col, window), "phrases")
-    state = kept(first_state(parsed.join(named(parsed, key, 0), key, "left"), key, window), "state")
+def judged_windows(texts: DataFrame, window: int, rounds: int) -> DataFrame:
+    """key, alive, known, id (of the text that tells) and open (some windows are not decided) after the rounds, of the texts (key,
+    text) that have such windows. Equal texts have one row."""
+    parsed = kept(first_phrases(texts, window).withColumn("id", F.monotonically_increasing_id()), "phrases")
+    state = kept(first_state(parsed.join(named(parsed, 0), "id", "left"), window), "state")
     dropped(parsed)
     for number in range(1, rounds):
-        after = kept(next_state(state.join(named(state, key, number), key, "left"), key, window), "state")
+        after = kept(next_state(state.join(named(state, number), "id", "left"), window), "state")
         dropped(state)
         state = after
-    return state.select(key, "alive", "known")
+    # of copies, all are known to be repeated and one has windows to tell
+    one = kept(state.groupBy("key").agg(F.max(F.struct("alive", "known", "id", "open")).alias("s")).select("key", "s.*"), "windows")
+    dropped(state)
+    return one
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -320,16 +330,33 @@ def _remove(df: DataFrame, text_col: str, id_col: str, window: int, rounds: int,
     if window < 2 or rounds < 1:
         raise ValueError("a window has two words or more, and there is one round or more")
     df = cleared(df, ["n_words", "n_removed", out], [text_col, id_col])
-    key, alive, known, single = (free_name(df, n) for n in ("_key", "_alive", "_known", "_single"))
-    rows = kept(df.withColumn(key, F.monotonically_increasing_id()), "rows")
-    told = judged_windows(rows, key, text_col, window, rounds).select(key, F.col("alive").alias(alive), F.col("known").alias(known))
-    marked = rows.join(told, key, "left")
-    at_text, at_key, at_alive, at_known = (marked.columns.index(c) for c in (text_col, key, alive, known))
+    key, alive, known, number, opened, single = (free_name(df, n) for n in ("_key", "_alive", "_known", "_id", "_open", "_single"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.withColumn(key, F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
+    told = judged_windows(keyed.select(F.col(key).alias("key"), text.alias("text")), window, rounds)
+    # rows of other texts stay where they are; a filter of fixed size may let some through
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = told.select(F.col("key").alias(key)).groupBy(F.shiftright(slot, 6).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {FILTER_BITS}L) & 63 as int))")).alias("_bits"))
+    bits = kept(bits, "filter")
+    word, held = free_name(keyed, "_word"), free_name(keyed, "_bits")
+    near = keyed.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(bits.withColumnsRenamed({"_word": word, "_bits": held})), word, "left")
+    hit = F.coalesce(F.expr(f"(shiftright(`{held}`, cast(pmod(xxhash64(`{key}`), {FILTER_BITS}L) & 63 as int)) & 1L) = 1"), F.lit(False))
+    none = F.lit(None).cast("array<int>")
+    apart = near.where(~hit).drop(word, held).withColumn(alive, none).withColumn(known, none)
+    copies = keyed.groupBy(key).agg(F.count("*").alias("n"))
+    judged_texts = told.select(F.col("key").alias(key), F.col("alive").alias(alive), F.col("known").alias(known), F.col("id").alias(number), F.col("open").alias(opened))
+    marked = salted_join(near.where(hit).drop(word, held), judged_texts, [key], copies, F.spark_partition_id(), "left")
+    at_text, at_id, at_alive, at_known = (marked.columns.index(c) for c in (text_col, number, alive, known))
 
     def tell_windows(batches):
+        seen: set[int] = set()
         for batch in batches:
             batch = batch.filter(pc.greater(pc.list_value_length(batch.column(at_alive)), 0))
-            keys = batch.column(at_key).to_numpy(zero_copy_only=False)
+            keys = batch.column(at_id).to_pylist()
+            fresh = [x not in seen and not seen.add(x) for x in keys]  # of copies, one is enough
+            batch, keys = batch.filter(pa.array(fresh, pa.bool_())), [x for x, f in zip(keys, fresh, strict=True) if f]
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for row, data, offsets in flat.text_parts(batch.column(at_text).cast(pa.string())):
                 words = flat.Words(data, offsets, hashed=False)
                 base = np.append(0, np.cumsum(np.maximum(words.count - window + 1, 0)))
@@ -343,12 +370,16 @@ def _remove(df: DataFrame, text_col: str, id_col: str, window: int, rounds: int,
                     own = np.append(at_word[words.first[k] : words.first[k + 1]], len(text) + 1)
                     one, two = halves([digest(text[x : y - 1]) for x, y in zip(own[at].tolist(), own[at + window].tolist(), strict=True)])
                     weight = np.where(repeated[base[k] + at], 2, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(at), keys[row + k])), pa.array(at), pa.array(weight)], names=["one", "two", "key", "place", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(at), keys[row + k])), pa.array(at.astype(np.int32)), pa.array(weight.astype(np.int32))], names=["one", "two", "key", "place", "n"])
 
-    windows = marked.mapInArrow(tell_windows, "one long, two long, key long, place long, n long")
+    windows = marked.mapInArrow(tell_windows, "one long, two int, key long, place int, n int")
     lone = windows.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("place").alias("place")).where("n = 1")
-    singles = lone.groupBy(F.col("key").alias(key)).agg(F.collect_list("place").alias(single))
-    judged = marked.join(singles, key, "left")
+    # a window that is told once is of a text without copies, so its rows are few
+    singles = lone.groupBy(F.col("key").alias(number)).agg(F.collect_list("place").alias(single))
+    unsure = F.coalesce(F.col(opened), F.lit(False))
+    judged = marked.where(unsure).join(singles, number, "left")
+    for rest in (marked.where(~unsure), apart):
+        judged = judged.unionByName(rest, allowMissingColumns=True)
     order = [judged.columns.index(c) for c in df.columns]
     at_text, at_alive, at_known, at_single = (judged.columns.index(c) for c in (text_col, alive, known, single))
     schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out, T.StringType())])

@@ -269,7 +269,7 @@ def test_jaccard_hot_shingles_blocks_and_like_words(spark, monkeypatch):
 def test_jaccard_group_work_is_linear():
     """100,000 near copies that share a shingle and a component make no pair, in well under a second a batch."""
     n = 100_000
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, 300 << jaccard_join.SIZE_BITS)), pa.array([b"one label"] * n, pa.binary())], names=["shingle", "group", "place", "label"])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, 300 << jaccard_join.SIZE_BITS)), pa.array([b"one label"] * n, pa.binary()), pa.array(np.arange(n))], names=["shingle", "group", "place", "label", "before"])
 
     class Frame:  # only what small_runs asks of its table
         def __getattr__(self, name):
@@ -440,14 +440,19 @@ def test_substring_rounds_reveal_long_repeats(spark):
     """With more rounds of naming, fewer windows of a group of copies have to be told; one copy tells them."""
     words = [f"w{k}" for k in range(900)]
     texts = [" ".join([f"x{k}", *words, f"y{k}"]) for k in range(6)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "_key long, text string")
-    told = [sum(b - a for r in substring_dedup.judged_windows(rows, "_key", "text", 35, n).collect() for a, b in zip(r.alive[::2], r.alive[1::2])) for n in (1, 3, 5)]
+    rows = spark.createDataFrame([(b"%d" % k, t) for k, t in enumerate(texts)], "key binary, text string")
+    told = [sum(b - a for r in substring_dedup.judged_windows(rows, 35, n).collect() for a, b in zip(r.alive[::2], r.alive[1::2])) for n in (1, 3, 5)]
     assert told[0] >= 6 * 850 > told[1] > told[2] >= 866
 
 
 def test_substring_repeated_rows_and_nothing(docs):
     out = substring_dedup.digests(docs).where("doc_id = 2").collect()
     assert len(out) == 2 and all(r.n_removed == r.n_words for r in out)
+    # a column of any type and names that the operator uses inside; copies with other white space
+    words = " ".join(f"w{k}" for k in range(50))
+    rows = [(k, t, {"a": 1}, b"k", "x") for k, t in enumerate([words, words.replace(" ", "\n"), words, None, " ".join(["z"] * 34), "u " * 36])]
+    found = substring_dedup.remove_repeats(docs.sparkSession.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, _key binary, _word string"))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r._key), r._word) for r in found.collect()) == [(k, n, m, b"k", "x") for k, (n, m) in enumerate([(50, 50), (50, 50), (50, 50), (0, 0), (34, 0), (36, 36)])]
     assert substring_dedup.digests(empty(docs)).count() == 0
 
 
