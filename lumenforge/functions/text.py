@@ -68,7 +68,7 @@ def script_label(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences: breaks after . ! ? and CJK terminators, not after common abbreviations."""
     parts = F.split(text, r"(?<=[.!?])(?<!\b(?:Mr|Mrs|Dr|St|vs|etc|e\.g|i\.e)\.)\s+|(?<=[\x{3002}\x{FF01}\x{FF1F}])|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -109,7 +109,7 @@ def entity_decode(text: Column) -> Column:
 
 def page_text(html: Column) -> Column:
     """Text of a page: boilerplate elements and comments out, block tags to line breaks, other tags to spaces, decoded, collapsed."""
-    x = F.regexp_replace(html, r"(?s)<(script|style|nav|footer|header|noscript)[^>]*>.*?</\1>|<!--.*?-->", " ")
+    x = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)</?(p|div|h[1-6]|li|ul|ol|tr|table|br|section|article|blockquote)[^>]*>", "\n")
     x = entity_decode(F.regexp_replace(x, r"<[^>]+>", " "))
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\s*\n\s*", "\n"))

@@ -22,9 +22,10 @@ def composition_loss(rows: DataFrame, query: str, backends: str, quality: str) -
     most the larger of 0.1 and a fifth of the quality counts as recovered.
     """
     named = rows.withColumn("_set", F.array_sort(F.array_distinct(backends)))
-    whole = named.groupBy(query, F.array_join("_set", ",").alias("rest")).agg(F.avg(quality).alias("without_q"))
+    mean = F.sum(F.col(quality).cast("decimal(28,8)")).cast("double") / F.count(quality)  # decimals: the same sum in any order
+    whole = named.groupBy(query, F.array_join("_set", ",").alias("rest")).agg(mean.alias("without_q"))
     used = named.select(query, quality, "_set", F.explode("_set").alias("backend")).withColumn("rest", F.array_join(F.array_except("_set", F.array("backend")), ","))
-    have = used.groupBy(query, "backend", "rest").agg(F.avg(quality).alias("with_q"))
+    have = used.groupBy(query, "backend", "rest").agg(mean.alias("with_q"))
     loss = F.col("with_q") - F.col("without_q")
     out = have.join(whole, [query, "rest"])
     return out.select(query, "backend", "rest", F.round("with_q", 6).alias("with_q"), F.round("without_q", 6).alias("without_q"), F.round(loss, 6).alias("loss"), (loss <= F.greatest(F.lit(0.1), 0.2 * F.col("with_q"))).alias("recovered"))

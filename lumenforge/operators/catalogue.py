@@ -81,13 +81,26 @@ def page_slice(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).withColumn("total_pages", F.ceil(F.col("total") / size).cast("long"))
 
 
+def resolved(url: Column, href: Column) -> Column:
+    """Absolute form of a link on a page: against its scheme, host or folder, with ./ and ../ removed from the path; null for other schemes."""
+    host = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    path = F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    full = F.when(href.startswith("//"), F.concat(F.regexp_extract(url, "^(https?:)", 1), href)).when(href.startswith("/"), F.concat(host, href)).when(href.startswith("?"), F.concat(host, path, href)).otherwise(F.concat(host, folder, href))
+    absolute = F.when(href.rlike("(?i)^https?://"), href).when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None).otherwise(full)
+    own = F.regexp_extract(absolute, r"^(https?://[^/?#]+)", 1)
+    steps = F.split(F.regexp_extract(absolute, r"^https?://[^/?#]+/([^?#]*)", 1), "/")
+    last = F.element_at(steps, -1)
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    tidy = F.concat(own, F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"), F.regexp_extract(absolute, r"^[^?#]*(\?.*)$", 1))
+    return F.when(F.array_contains(steps, ".") | F.array_contains(steps, ".."), tidy).otherwise(absolute)
+
+
 def links(pages: DataFrame, page: str, url: str, html: str) -> DataFrame:
     """(page, dst): distinct absolute http(s) links; relative ones are resolved against the page, assets and fragments are dropped."""
-    host = F.regexp_extract(F.col(url), r"^(https?://[^/?#]+)", 1)
     raw = F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\s[^>]*href="([^"#]+)'), 1))).alias("href")
-    x = pages.select(page, host.alias("_host"), raw)
-    full = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("//"), F.concat(F.lit("https:"), F.col("href"))).when(F.col("href").startswith("/"), F.concat("_host", "href")).when(F.col("href").rlike("^[a-z]+:"), None).otherwise(F.concat(F.col("_host"), F.lit("/"), F.col("href")))
-    return x.select(page, full.alias("dst")).where(F.col("dst").isNotNull() & ~F.col("dst").rlike(r"(?i)\.(css|js|png|jpe?g|gif|svg|ico|pdf|zip|mp4)(\?|$)")).distinct()
+    x = pages.select(page, F.col(url).alias("_url"), raw).select(page, resolved(F.col("_url"), F.col("href")).alias("dst"))
+    return x.where(F.col("dst").isNotNull() & ~F.col("dst").rlike(r"(?i)\.(css|js|png|jpe?g|gif|svg|ico|pdf|zip|mp4)(\?|$)")).distinct()
 
 
 def robots_rules(dumps: DataFrame, domain: str, body: str) -> DataFrame:

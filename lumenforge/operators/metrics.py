@@ -33,10 +33,10 @@ def per_interval(df: DataFrame, ts: str, interval: str, key: list[str], aggregat
 def panel(df: DataFrame, ts: str, interval: str, key: list[str], latency: str, failed: Column, slow_s: float = 5.0) -> DataFrame:
     """Requests, errors, latency and a health score (1 - error ratio, less up to a half for slow averages) per interval and key."""
     n = F.count("*")
-    out = per_interval(df, ts, interval, key, [n.alias("requests"), F.count_if(failed).alias("errors"), F.round(F.avg(latency), 6).alias("avg_latency"), F.round(F.percentile(latency, F.lit(0.95)), 6).alias("p95"), F.round(F.percentile(latency, F.lit(0.99)), 6).alias("p99")])
+    out = per_interval(df, ts, interval, key, [n.alias("requests"), F.count_if(failed).alias("errors"), F.avg(latency).alias("_avg"), F.round(F.percentile(latency, F.lit(0.95)), 6).alias("p95"), F.round(F.percentile(latency, F.lit(0.99)), 6).alias("p99")])
     ratio = F.col("errors") / F.col("requests")
-    health = F.greatest(F.lit(0.0), 1.0 - ratio - 0.5 * F.least(F.lit(1.0), F.col("avg_latency") / slow_s))
-    return out.withColumn("error_ratio", F.round(ratio, 6)).withColumn("health", F.round(health, 6))
+    health = F.greatest(F.lit(0.0), 1.0 - ratio - 0.5 * F.least(F.lit(1.0), F.col("_avg") / slow_s))
+    return out.withColumn("avg_latency", F.round("_avg", 6)).withColumn("error_ratio", F.round(ratio, 6)).withColumn("health", F.round(health, 6)).drop("_avg")
 
 
 def slowest(df: DataFrame, column: str, share: float, limit: int, tie: str) -> DataFrame:

@@ -12,8 +12,8 @@ from lumenforge.functions import text as X
 
 
 def field_bm25(terms: Column, title: Column, content: Column, weight: float = 2.0, k1: float = 1.5, b: float = 0.75, usual: float = 150.0) -> Column:
-    """Corpus-free BM25 of one candidate in [0.01, 0.99]: tf = weight * title + content with a fixed idf; 0.5 without terms, 0.01 without a match."""
-    t, c = X.tokens(title), X.tokens(content)
+    """Corpus-free BM25 of one candidate (tokens of its title and content) in [0.01, 0.99]: tf = weight * title + content with a fixed idf; 0.5 without terms, 0.01 without a match."""
+    t, c = title, content
     length = F.size(c) + weight * F.size(t)
 
     def one(term: Column) -> Column:
@@ -26,8 +26,8 @@ def field_bm25(terms: Column, title: Column, content: Column, weight: float = 2.
 
 
 def relevance(terms: Column, title: Column, content: Column, age_days: Column, authority: Column) -> Column:
-    """Heuristic relevance: title hits 0.6, content hits 0.3, base 0.05, freshness and authority up to 0.1 each, capped at 1."""
-    t, c = X.tokens(title), X.tokens(content)
+    """Heuristic relevance of the tokens of a title and content: title hits 0.6, content hits 0.3, base 0.05, freshness and authority up to 0.1 each, capped at 1."""
+    t, c = title, content
     n = F.greatest(F.size(terms), F.lit(1))
     in_title, in_text = F.size(F.array_intersect(terms, t)) / n, F.size(F.array_intersect(terms, c)) / n
     fresh = 0.1 * F.exp(-F.greatest(age_days, F.lit(0)) / 30.0)

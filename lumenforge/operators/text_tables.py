@@ -27,7 +27,7 @@ TOPICS = [("technology", "software|computer|program|code|data"), ("business", "m
 
 def sections(pages: DataFrame, page: str, html: str) -> DataFrame:
     """(page, n, level, heading, path, text): headings split the page; the path holds the open headings of the levels above."""
-    marked = F.regexp_replace(F.regexp_replace(F.col(html), r"(?s)<(script|style|nav|footer|header)[^>]*>.*?</\1>|<!--.*?-->", " "), r"(?is)<h([1-6])[^>]*>(.*?)</h\1>", "\u0001$1$2\u0002")
+    marked = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " "), r"(?is)<h([1-6])[^>]*>(.*?)</h\1>", "\u0001$1$2\u0002")
     parts = pages.select(page, F.posexplode(F.split(marked, "\u0001")).alias("n", "part"))
     level = F.regexp_extract("part", "(?s)^([1-6])[^\u0002]*\u0002", 1)
     plain = lambda c: F.trim(F.regexp_replace(X.entity_decode(F.regexp_replace(c, r"<[^>]*>", " ")), r"\s+", " "))
@@ -84,7 +84,7 @@ def word_windows(df: DataFrame, key: str, text: str, size: int, overlap: int) ->
 
 def pack_paragraphs(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(key, n, chunk): paragraphs packed greedily up to `words` words; a longer paragraph is a chunk of its own."""
-    parts = F.filter(F.transform(F.split(F.col(text), r"\n+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.col(text), r"\n+"), lambda s: F.trim(s)), lambda p: p != "")
     count = lambda s: F.size(F.split(s, r"\s+"))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 

@@ -36,8 +36,8 @@ def compositions(spark, sf_dir):
 
 
 SQL_COMP = """comp AS (SELECT 'q' || (regexp_extract(props, '([0-9]+)', 1)::BIGINT % 20)::VARCHAR AS query, event_id, value / 100 AS quality, concat_ws(',', CASE WHEN event_id & 1 > 0 THEN 'b0' END, CASE WHEN event_id & 2 > 0 THEN 'b1' END, CASE WHEN event_id & 4 > 0 THEN 'b2' END) AS s FROM events),
-whole AS (SELECT query, s AS rest, avg(quality) AS without_q FROM comp GROUP BY 1, 2),
-have AS (SELECT query, b AS backend, array_to_string(list_filter(string_split(s, ','), lambda x: x <> b), ',') AS rest, avg(quality) AS with_q FROM comp, (VALUES ('b0'), ('b1'), ('b2')) v(b) WHERE contains(s, b) GROUP BY 1, 2, 3),
+whole AS (SELECT query, s AS rest, sum(quality::DECIMAL(28,8))::DOUBLE / count(*) AS without_q FROM comp GROUP BY 1, 2),
+have AS (SELECT query, b AS backend, array_to_string(list_filter(string_split(s, ','), lambda x: x <> b), ',') AS rest, sum(quality::DECIMAL(28,8))::DOUBLE / count(*) AS with_q FROM comp, (VALUES ('b0'), ('b1'), ('b2')) v(b) WHERE contains(s, b) GROUP BY 1, 2, 3),
 loss AS (SELECT query, backend, rest, with_q, without_q, with_q - without_q AS loss, with_q - without_q <= greatest(0.1, 0.2 * with_q) AS recovered FROM have JOIN whole USING (query, rest))"""
 
 
@@ -111,8 +111,7 @@ def d6_distinct_turns(spark, sf_dir):
 @query("WITH " + Q.SQL_BM25 + ", l AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored WHERE run = 2) SELECT query, doc, rank FROM l WHERE rank <= 5")
 def w1_ranked_lists(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
-    s = R.bm25(Q.query_terms(spark, sf_dir), Q.index_of(spark, sf_dir), R.corpus_stats(d, "text"), [Q.SETTINGS[1]])
-    return R.top_k(s, ["query"], "score", "doc", 5).select("query", "doc", "rank")
+    return R.search(Q.query_terms(spark, sf_dir), d, "doc_id", "text", 5, [Q.SETTINGS[1]]).select("query", "doc", "rank")
 
 
 @query("WITH " + TQ.SQL_CANDIDATES + " SELECT query, doc, round(0.6 * (1 / (1 + exp(-(score / 10 - 1)))) + 0.4 * (1.0 / rank), 6) AS blended FROM cand")
@@ -152,7 +151,7 @@ def r5_hybrid_search(spark, sf_dir):
 def r9_heuristic_rerank(spark, sf_dir):
     """Weighted parts: relevance, content quality, recency, authority and rank."""
     c = TQ.candidates(spark, sf_dir, 15)
-    s = 0.4 * K.relevance(F.col("terms"), F.col("title"), F.col("text"), F.col("doc") % 60, F.lit(0.0)) + 0.2 * K.content_quality(F.col("text")) + 0.15 * K.recency(F.col("doc") % 60) + 0.1 * (F.col("doc") % 10 / 10.0) + 0.15 / F.col("rank")
+    s = 0.4 * K.relevance(F.col("terms"), F.col("tt"), F.col("ct"), F.col("doc") % 60, F.lit(0.0)) + 0.2 * K.content_quality(F.col("text")) + 0.15 * K.recency(F.col("doc") % 60) + 0.1 * (F.col("doc") % 10 / 10.0) + 0.15 / F.col("rank")
     return R.top_k(c.select("query", "doc", F.round(s, 6).alias("s")), ["query"], "s", "doc", 15).select("query", "doc", "s", F.col("rank").alias("place"))
 
 

@@ -177,9 +177,16 @@ def t3_title_key(spark, sf_dir):
     return V.catalogue(spark, sf_dir).select("id", X.title_key(F.col("title")).alias("key"))
 
 
-@query("""WITH x AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"#]+)', 1))) AS href FROM pages),
-f AS (SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN host || href WHEN regexp_matches(href, '^[a-z]+:') THEN NULL ELSE host || '/' || href END AS dst FROM x)
-SELECT DISTINCT page_id, dst FROM f WHERE dst IS NOT NULL AND NOT regexp_matches(dst, '(?i)\\.(css|js|png|jpe?g|gif|svg|ico|pdf|zip|mp4)(\\?|$)')""")
+SQL_LINKS = r"""x AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"#]+)', 1))) AS href FROM pages),
+f AS (SELECT page_id, url, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href WHEN starts_with(href, '/') THEN host || href
+  WHEN starts_with(href, '?') THEN host || path || href ELSE host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || href END AS a FROM x),
+g AS (SELECT page_id, url, a, regexp_extract(a, '^(https?://[^/?#]+)', 1) AS own, string_split(regexp_extract(a, '^https?://[^/?#]+/([^?#]*)', 1), '/') AS steps FROM f),
+h AS (SELECT page_id, url, CASE WHEN list_contains(steps, '.') OR list_contains(steps, '..') THEN own || '/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(steps, lambda x: [x])), lambda acc, x: CASE WHEN x[1] = '..' THEN acc[:-2] WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END)
+  || CASE WHEN steps[-1] IN ('.', '..') THEN [''] ELSE [] END, '/') || regexp_extract(a, '^[^?#]*(\?.*)$', 1) ELSE a END AS dst FROM g),
+links AS (SELECT DISTINCT page_id, url, dst FROM h WHERE dst IS NOT NULL AND NOT regexp_matches(dst, '(?i)\.(css|js|png|jpe?g|gif|svg|ico|pdf|zip|mp4)(\?|$)'))"""
+
+
+@query("WITH " + SQL_LINKS + " SELECT DISTINCT page_id, dst FROM links")
 def t21_links(spark, sf_dir):
     return C.links(V.table(spark, sf_dir, "pages"), "page_id", "url", "html")
 

@@ -68,8 +68,8 @@ def a16_slow_per_minute(spark, sf_dir):
 
 
 @query(R + """, p AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket, backend, count(*) AS requests, count(*) FILTER (outcome = 'error') AS errors,
-  round(avg(latency_s), 6) AS avg_latency, round(quantile_cont(latency_s, 0.95), 6) AS p95, round(quantile_cont(latency_s, 0.99), 6) AS p99 FROM requests GROUP BY 1, 2)
-SELECT *, round(errors / requests, 6) AS error_ratio, round(greatest(0.0, 1.0 - errors / requests - 0.5 * least(1.0, avg_latency / 5.0)), 6) AS health FROM p""")
+  avg(latency_s) AS mean, round(quantile_cont(latency_s, 0.95), 6) AS p95, round(quantile_cont(latency_s, 0.99), 6) AS p99 FROM requests GROUP BY 1, 2)
+SELECT * EXCLUDE mean, round(mean, 6) AS avg_latency, round(errors / requests, 6) AS error_ratio, round(greatest(0.0, 1.0 - errors / requests - 0.5 * least(1.0, mean / 5.0)), 6) AS health FROM p""")
 def a17_panel(spark, sf_dir):
     return M.panel(V.requests(spark, sf_dir), "ts", "6 hours", ["backend"], "latency_s", failed())
 

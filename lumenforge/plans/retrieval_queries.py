@@ -11,6 +11,7 @@ from lumenforge.operators import evaluation as E
 from lumenforge.operators import retrieval as R
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
+from lumenforge.sources.storage import kept
 
 query = Registry()
 SETTINGS = [(1, 1.5, 0.75), (2, 1.2, 0.5), (3, 2.0, 0.9)]
@@ -29,17 +30,16 @@ def query_terms(spark, sf_dir) -> DataFrame:
 def runs(spark, sf_dir, settings=SETTINGS) -> DataFrame:
     """run, query, doc, score, rank, domain, latency_ms of the top 10: three parameter sets stand for three runs."""
     docs = V.table(spark, sf_dir, "documents")
-    scored = R.bm25(query_terms(spark, sf_dir), index_of(spark, sf_dir), R.corpus_stats(docs, "text"), settings)
-    best = R.top_k(scored, ["run", "query"], "score", "doc", 10)
-    named = best.join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("domain")), "doc")
+    best = R.search(query_terms(spark, sf_dir), docs, "doc_id", "text", 10, settings)
+    named = kept(best, "runs").join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("domain")), "doc")
     return named.withColumn("latency_ms", (F.col("query") * 37 % 900 + F.col("run") * F.col("query") % 7 * 60 + 100).cast("double"))
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """query, doc, gold_domain: documents that contain the whole passage. The index finds the documents with all its terms first."""
+    """query, doc, gold_domain: documents that contain the whole passage. The documents with all its terms are found first."""
     docs, b = V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark")
     terms = b.select(F.col("item_id").alias("query"), F.explode(X.tokens(F.col("text"))).alias("term"))
-    pairs = R.all_terms_match(terms, index_of(spark, sf_dir))
+    pairs = R.all_terms_match(terms, docs, "doc_id", "text")
     x = pairs.join(b.select(F.col("item_id").alias("query"), F.col("text").alias("passage")), "query").join(docs.select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("gold_domain")), "doc")
     return x.where(F.contains("text", "passage")).select("query", "doc", "gold_domain")
 
@@ -49,7 +49,7 @@ SQL_INDEX = f"""terms AS (SELECT doc_id AS doc, unnest(list_filter(string_split_
 idx AS (SELECT term, doc, count(*) AS tf FROM terms GROUP BY 1, 2), lens AS (SELECT doc, count(*) AS doc_len FROM terms GROUP BY 1),
 st AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM terms) / (SELECT count(*) FROM documents) AS avg_len),
 qt AS (SELECT query, term, min(pos) AS pos FROM (SELECT item_id AS query, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({STOPS})) AS t FROM benchmark)) GROUP BY 1, 2),
-q AS (SELECT query, term FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS rn FROM qt) WHERE rn <= 6),
+q AS (SELECT query, term FROM qt),
 dfs AS (SELECT term, count(*) AS df FROM idx GROUP BY 1)"""
 SQL_BM25 = SQL_INDEX + """, scored AS (SELECT s.run, q.query, idx.doc, round(sum(ln(greatest(1.0, (n_docs - df + 0.5) / (df + 0.5)) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))), 9) AS score
   FROM q JOIN idx USING (term) JOIN dfs USING (term) JOIN lens USING (doc), st, (VALUES (1::BIGINT, 1.5, 0.75), (2, 1.2, 0.5), (3, 2.0, 0.9)) s(run, k1, b) GROUP BY 1, 2, 3),
@@ -86,8 +86,7 @@ def r1_bm25(spark, sf_dir):
 @query(W + SQL_BM25 + ", t AS (SELECT query, doc, score, rank FROM ranked WHERE run = 1 AND rank <= 20) SELECT query, doc, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS scaled FROM t WINDOW w AS (PARTITION BY query)")
 def w2_min_max(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    scored = R.bm25(query_terms(spark, sf_dir), index_of(spark, sf_dir), R.corpus_stats(docs, "text"))
-    out = R.min_max(R.top_k(scored, ["query"], "score", "doc", 20), ["query"], "score", "scaled")
+    out = R.min_max(R.search(query_terms(spark, sf_dir), docs, "doc_id", "text", 20), ["query"], "score", "scaled")
     return out.select("query", "doc", F.round("scaled", 6).alias("scaled"))
 
 
@@ -95,8 +94,7 @@ def w2_min_max(spark, sf_dir):
 f AS (SELECT query, doc, round(sum(p), 9) AS score, min(seen) AS seen FROM p GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen, doc) AS rank FROM f) SELECT query, doc, score, rank FROM n WHERE rank <= 10""")
 def r4_rank_fusion(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    scored = R.bm25(query_terms(spark, sf_dir), index_of(spark, sf_dir), R.corpus_stats(docs, "text"), [SETTINGS[0], SETTINGS[2]])
-    best = R.top_k(scored, ["run", "query"], "score", "doc", 30)
+    best = R.search(query_terms(spark, sf_dir), docs, "doc_id", "text", 30, [SETTINGS[0], SETTINGS[2]])
     fused = R.rank_fusion([(best.where("run = 1"), 0.3), (best.where("run = 3"), 0.7)], "query", "doc")
     return fused.where("rank <= 10").select("query", "doc", "score", "rank")
 
@@ -122,7 +120,7 @@ def j8_near_queries(spark, sf_dir):
 
 @query(W + SQL_INDEX + ", n AS (SELECT query, count(*) AS n FROM q GROUP BY 1), m AS (SELECT query, doc, count(*) AS m FROM q JOIN idx USING (term) GROUP BY 1, 2) SELECT query, doc FROM m JOIN n USING (query) WHERE m = n")
 def f11_all_terms(spark, sf_dir):
-    return R.all_terms_match(query_terms(spark, sf_dir), index_of(spark, sf_dir))
+    return R.all_terms_match(query_terms(spark, sf_dir), V.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(W + SQL_INDEX + ", m AS (SELECT query, doc, count(*) AS m FROM q JOIN idx USING (term) GROUP BY 1, 2) SELECT query, lang, count(*) AS docs, max(m) AS most FROM m JOIN documents ON doc_id = doc GROUP BY 1, 2")
@@ -135,7 +133,7 @@ def j2_postings_documents(spark, sf_dir):
 @query(W + SQL_BM25 + ", t AS (SELECT * FROM ranked WHERE run = 1 AND rank <= 30), c AS (SELECT t.*, source, row_number() OVER (PARTITION BY query, source ORDER BY rank) AS rn FROM t JOIN documents ON doc_id = doc) SELECT query, doc, source, rank FROM c WHERE rn <= 2")
 def w3_source_cap(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source")
-    best = R.top_k(R.bm25(query_terms(spark, sf_dir), index_of(spark, sf_dir), R.corpus_stats(V.table(spark, sf_dir, "documents"), "text")), ["query"], "score", "doc", 30).join(docs, "doc")
+    best = R.search(query_terms(spark, sf_dir), V.table(spark, sf_dir, "documents"), "doc_id", "text", 30).join(docs, "doc")
     return best.withColumn("rn", F.row_number().over(Window.partitionBy("query", "source").orderBy("rank"))).where("rn <= 2").select("query", "doc", "source", "rank")
 
 
@@ -147,14 +145,15 @@ def w4_best_per_source(spark, sf_dir):
     return R.top_k(best, ["query"], "score", "doc", 5).withColumnRenamed("rank", "place")
 
 
-def metrics(spark, sf_dir) -> DataFrame:
+def metrics(spark, sf_dir, ranked: DataFrame | None = None) -> DataFrame:
     g = gold(spark, sf_dir).select("query", "gold_domain").distinct()
-    return E.ranking_metrics(runs(spark, sf_dir), g, ["run", "query"])
+    return E.ranking_metrics(runs(spark, sf_dir) if ranked is None else ranked, g, ["run", "query"])
 
 
 def judged(spark, sf_dir) -> DataFrame:
-    r = runs(spark, sf_dir).groupBy("run", "query").agg(F.count("*").alias("n_results"), F.max("latency_ms").alias("latency_ms"))
-    return metrics(spark, sf_dir).join(r, ["run", "query"]).withColumn("passed", F.col("ndcg") >= 0.5)
+    ranked = runs(spark, sf_dir)
+    r = ranked.groupBy("run", "query").agg(F.count("*").alias("n_results"), F.max("latency_ms").alias("latency_ms"))
+    return metrics(spark, sf_dir, ranked).join(r, ["run", "query"]).withColumn("passed", F.col("ndcg") >= 0.5)
 
 
 SQL_JUDGED = SQL_RUNS + """, judged AS (SELECT m.*, n_results, latency_ms, ndcg >= 0.5 AS passed FROM metrics m JOIN (SELECT run, query, count(*) AS n_results, max(latency_ms) AS latency_ms FROM runs GROUP BY 1, 2) USING (run, query))"""

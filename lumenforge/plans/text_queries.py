@@ -12,6 +12,7 @@ from lumenforge.operators import text_tables as T
 from lumenforge.plans import retrieval_queries as Q
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
+from lumenforge.sources.storage import kept
 
 query = Registry()
 STOPS = Q.STOPS
@@ -85,7 +86,10 @@ def t14_keywords(spark, sf_dir):
     return V.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.keywords(X.clean_query(F.col("text"))), " ").alias("keywords"))
 
 
-@query()
+@query(r"""WITH u AS (SELECT text AS t FROM conversations WHERE role = 'user'),
+s AS (SELECT CASE WHEN regexp_matches(t, '(?i)^(what|who|when|where|why|how)\b') THEN 2.0 ELSE 0 END + CASE WHEN contains(t, '?') THEN 1.0 ELSE 0 END AS question, CASE WHEN regexp_matches(t, '(?i)\b(vs|versus|compare|better)\b') THEN 2.5 ELSE 0 END AS compare,
+  CASE WHEN regexp_matches(t, '(?i)\b(buy|price|cheap|deal)\b') THEN 2.0 ELSE 0 END AS buy, CASE WHEN regexp_matches(t, '(?i)\b(news|latest|today)\b') THEN 2.0 ELSE 0 END AS news FROM u)
+SELECT CASE WHEN greatest(question, compare, buy, news) = 0 THEN 'search' WHEN question = greatest(question, compare, buy, news) THEN 'question' WHEN news = greatest(question, compare, buy, news) THEN 'news' WHEN compare = greatest(question, compare, buy, news) THEN 'compare' ELSE 'buy' END AS intent, count(*) AS n FROM s GROUP BY 1""")
 def t15_intents(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations").where("role = 'user'")
     return c.groupBy(T.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
@@ -96,7 +100,12 @@ def t16_entities(spark, sf_dir):
     return T.entities(docs(spark, sf_dir), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("mentions"), F.countDistinct("mention").alias("distinct_mentions"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({STOPS})) AS w FROM documents),
+x AS (SELECT w, unnest(range(1, len(w))) AS i FROM t), pairs AS (SELECT w[i] AS a, w[i + 1] AS b, count(*) AS n FROM x GROUP BY 1, 2),
+near AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rn FROM pairs) WHERE rn <= 2),
+q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({STOPS}))) AS words FROM benchmark),
+m AS (SELECT item_id, list(DISTINCT b) FILTER (NOT list_contains(words, b)) AS more FROM (SELECT item_id, words, unnest(words) AS a FROM q) JOIN near USING (a) GROUP BY 1)
+SELECT item_id, coalesce(array_to_string(list_sort(more)[1:8], ' '), '') AS expansion FROM m""")
 def t17_expansion(spark, sf_dir):
     """Benchmark terms expanded by the terms that most often follow them in the corpus (top two), minus those present."""
     words = F.array_distinct(X.tokens(F.col("text")))
@@ -107,7 +116,7 @@ def t17_expansion(spark, sf_dir):
     return x.groupBy("item_id", "words").agg(F.collect_set("b").alias("more")).select("item_id", F.array_join(F.slice(F.sort_array(F.array_except("more", "words")), 1, 8), " ").alias("expansion"))
 
 
-@query()
+@query(r"""SELECT conv_id, turn, len(list_distinct(list_filter(list_transform(string_split_regex(lower(text), '\s+(?:vs\.?|versus|and|und|et|y)\s+|[,;]\s*'), lambda x: trim(x)), lambda x: x <> ''))) AS parts FROM conversations WHERE role = 'user' AND parts > 0""")
 def t18_decomposition(spark, sf_dir):
     """Sub-queries of user turns: parts of comparisons and conjunctions."""
     c = V.table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -115,7 +124,9 @@ def t18_decomposition(spark, sf_dir):
     return c.select("conv_id", "turn", F.posexplode(parts).alias("n", "part")).groupBy("conv_id", "turn").agg(F.count("*").alias("parts"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT role, greatest(CASE WHEN regexp_matches(text, '(?i)\b(ignore|disregard|forget)\b.{0,30}\b(previous|above|prior|all)\b.{0,20}\b(instructions?|rules?|prompts?)\b') THEN 3 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)\byou are now\b|\bact as\b.{0,20}\b(admin|root|system|developer)\b') THEN 2 ELSE 0 END,
+  CASE WHEN regexp_matches(text, '(?i)\b(reveal|show|print|repeat)\b.{0,20}\b(system prompt|hidden instructions?)\b') THEN 3 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)<\|?(system|im_start|im_end)\|?>|\[/?INST\]|</s>') THEN 1 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)\b(base64|rot13)\b.{0,20}\b(decode|decrypt)\b') THEN 1 ELSE 0 END) AS severity FROM conversations)
+SELECT role, severity, severity >= 3 AS quarantine, count(*) AS n FROM s GROUP BY 1, 2""")
 def t19_injection_scan(spark, sf_dir):
     s = T.injection_scan(V.table(spark, sf_dir, "conversations"), "text")
     return s.groupBy("role", "severity", "quarantine").agg(F.count("*").alias("n"))
@@ -131,7 +142,8 @@ def t23_topics(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.topic(F.col("text")).alias("topic"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, round(0.25 * (CASE WHEN len(w) BETWEEN 50 AND 2000 THEN 1.0 WHEN len(w) > 0 THEN 0.5 ELSE 0 END + least(1.0, len(regexp_extract_all(text, '[.!?]')) / 5.0) + CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END + (1 - least(1.0, len(regexp_extract_all(text, '[#*$%&|<>]')) / greatest(length(text), 1) * 10))), 6) AS quality FROM w""")
 def t26_content_quality(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(K.content_quality(F.col("text")), 6).alias("quality"))
 
@@ -163,46 +175,54 @@ def j17_conflicts(spark, sf_dir):
 
 
 def candidates(spark, sf_dir, k: int):
-    """Top k documents of each benchmark passage with their texts; the title is the first line."""
+    """Top k documents of each benchmark passage with their texts and the tokens tt, ct of title and text; the title is the first
+    line. They are kept, so that scores don't cut the texts into tokens once for each term."""
     d = docs(spark, sf_dir)
-    scored = R.bm25(Q.query_terms(spark, sf_dir), Q.index_of(spark, sf_dir), R.corpus_stats(d, "text"))
-    best = R.top_k(scored, ["query"], "score", "doc", k)
+    best = R.search(Q.query_terms(spark, sf_dir), d, "doc_id", "text", k).drop("run")
     terms = Q.query_terms(spark, sf_dir).groupBy("query").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    return best.join(d.select(F.col("doc_id").alias("doc"), "text", "source"), "doc").join(terms, "query").withColumn("title", F.split("text", "\n")[0])
+    found = best.join(d.select(F.col("doc_id").alias("doc"), "text", "source"), "doc").join(terms, "query").withColumn("title", F.split("text", "\n")[0])
+    return kept(found.withColumn("tt", X.tokens(F.col("title"))).withColumn("ct", X.tokens(F.col("text"))), "candidates")
 
 
 SQL_CANDIDATES = Q.SQL_BM25 + f""", cand AS (SELECT r.query, r.doc, r.score, r.rank, d.text, d.source, string_split(d.text, chr(10))[1] AS title, (SELECT list_sort(list(DISTINCT term)) FROM q WHERE q.query = r.query) AS terms FROM ranked r JOIN documents d ON d.doc_id = r.doc WHERE run = 1 AND rank <= 20),
 tok AS (SELECT *, list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({STOPS})) AS tt, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({STOPS})) AS ct FROM cand)"""
 
 
+SQL_SCORED = SQL_CANDIDATES + """, tf AS (SELECT query, doc, len(terms) AS n, len(ct) + 2.0 * len(tt) AS length, unnest(list_transform(terms, lambda t: 2.0 * len(list_filter(tt, lambda w: w = t)) + len(list_filter(ct, lambda w: w = t)))) AS tf FROM tok),
+bm AS (SELECT query, doc, CASE WHEN sum(tf) = 0 THEN 0.01 ELSE greatest(0.01, least(0.99, sum(tf::DOUBLE * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 150.0))) / (max(n) * 2.5))) END AS bm FROM tf GROUP BY 1, 2),
+parts AS (SELECT query, doc, source, bm, least(1.0, 0.05 + 0.6 * len(list_intersect(list_distinct(terms), tt)) / len(terms) + 0.3 * len(list_intersect(list_distinct(terms), ct)) / len(terms) + 0.1 * exp(-(doc % 60) / 30.0) + 0.1 * (doc % 10 / 10.0)) AS h,
+  least(0.05, list_sum(list_transform(terms, lambda w: CASE WHEN contains(lower(title), w) THEN 0.04 WHEN contains(lower(text), w) THEN 0.02 ELSE 0 END))) AS boost FROM tok JOIN bm USING (query, doc))"""
+
+
 @query("WITH " + SQL_CANDIDATES + """, tf AS (SELECT query, doc, len(terms) AS n, len(ct) + 2.0 * len(tt) AS length, unnest(list_transform(terms, lambda t: 2.0 * len(list_filter(tt, lambda w: w = t)) + len(list_filter(ct, lambda w: w = t)))) AS tf FROM tok)
 SELECT query, doc, round(CASE WHEN sum(tf) = 0 THEN 0.01 ELSE greatest(0.01, least(0.99, sum(tf::DOUBLE * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 150.0))) / (max(n) * 2.5))) END, 6) AS score FROM tf GROUP BY 1, 2""")
 def r2_field_bm25(spark, sf_dir):
-    return candidates(spark, sf_dir, 20).select("query", "doc", F.round(K.field_bm25(F.col("terms"), F.col("title"), F.col("text")), 6).alias("score"))
+    return candidates(spark, sf_dir, 20).select("query", "doc", F.round(K.field_bm25(F.col("terms"), F.col("tt"), F.col("ct")), 6).alias("score"))
 
 
 @query("WITH " + SQL_CANDIDATES + " SELECT query, doc, round(least(1.0, 0.05 + 0.6 * len(list_intersect(list_distinct(terms), tt)) / len(terms) + 0.3 * len(list_intersect(list_distinct(terms), ct)) / len(terms) + 0.1 * exp(-(doc % 60) / 30.0) + 0.1 * (doc % 10 / 10.0)), 6) AS relevance FROM tok")
 def r7_relevance(spark, sf_dir):
     age, authority = F.col("doc") % 60, F.col("doc") % 10 / 10.0
-    return candidates(spark, sf_dir, 20).select("query", "doc", F.round(K.relevance(F.col("terms"), F.col("title"), F.col("text"), age, authority), 6).alias("relevance"))
+    return candidates(spark, sf_dir, 20).select("query", "doc", F.round(K.relevance(F.col("terms"), F.col("tt"), F.col("ct"), age, authority), 6).alias("relevance"))
 
 
-@query()
+@query("WITH " + SQL_SCORED + """ SELECT query, doc, round(base + (doc % 10 / 10.0) * (1 - base) * 0.1, 6) AS score FROM (SELECT *, greatest(0.01, least(1.0, 0.7 * bm + 0.3 * h + boost)) AS base FROM parts)""")
 def r8_blend(spark, sf_dir):
     """Blend of field-weighted BM25 and heuristic relevance with an expansion boost and authority head-room."""
     age, authority = F.col("doc") % 60, F.col("doc") % 10 / 10.0
-    bm = K.field_bm25(F.col("terms"), F.col("title"), F.col("text"))
-    h = K.relevance(F.col("terms"), F.col("title"), F.col("text"), age, authority)
+    bm = K.field_bm25(F.col("terms"), F.col("tt"), F.col("ct"))
+    h = K.relevance(F.col("terms"), F.col("tt"), F.col("ct"), age, authority)
     boost = K.expansion_boost(F.col("terms"), F.col("title"), F.col("text"))
     return candidates(spark, sf_dir, 20).select("query", "doc", F.round(K.blended(bm, h, boost, authority), 6).alias("score"))
 
 
-@query()
+@query("WITH " + SQL_SCORED + """, b AS (SELECT query, doc, source, greatest(0.01, least(1.0, 0.7 * bm + 0.3 * h)) AS base FROM parts WHERE source <> 'src3'), s AS (SELECT query, doc, least(1.0, base + (doc % 10 / 10.0) * (1 - base) * 0.1 + CASE WHEN source IN ('src1', 'src2') THEN 0.15 ELSE 0 END) AS s FROM b),
+f AS (SELECT query, doc, round(s + 0.15 * exp(-(doc % 60) / 30.0) * (1 - s), 6) AS s FROM s), c AS (SELECT *, count(*) FILTER (s >= 0.10) OVER (PARTITION BY query) AS strong FROM f), k AS (SELECT query, doc, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) AS rank FROM c WHERE s >= 0.10 OR strong < 10 AND s >= 0.01) SELECT * FROM k WHERE rank <= 10""")
 def r11_ranking_pipeline(spark, sf_dir):
     """Filter, recompute, personal boost, recency sort and adaptive threshold over the candidates."""
     x = candidates(spark, sf_dir, 20).where("source <> 'src3'")
     age, authority = F.col("doc") % 60, F.col("doc") % 10 / 10.0
-    s = K.blended(K.field_bm25(F.col("terms"), F.col("title"), F.col("text")), K.relevance(F.col("terms"), F.col("title"), F.col("text"), age, authority), F.lit(0.0), authority)
+    s = K.blended(K.field_bm25(F.col("terms"), F.col("tt"), F.col("ct")), K.relevance(F.col("terms"), F.col("tt"), F.col("ct"), age, authority), F.lit(0.0), authority)
     x = x.withColumn("s", F.least(F.lit(1.0), s + F.when(F.col("source").isin("src1", "src2"), 0.15).otherwise(0.0)))
     x = x.withColumn("s", F.round(K.freshness_blend(F.col("s"), age), 6))
     strong = F.count_if(F.col("s") >= 0.10).over(Window.partitionBy("query"))
@@ -217,14 +237,14 @@ def w6_freshness(spark, sf_dir):
 
 @query()
 def w5_diversity(spark, sf_dir):
-    x = R.scaled_by_max(candidates(spark, sf_dir, 30), ["query"], "score").withColumn("words", F.array_distinct(X.tokens(F.col("text"))))
+    x = R.scaled_by_max(candidates(spark, sf_dir, 30), ["query"], "score").withColumn("words", F.array_distinct("ct"))
     return K.mmr(x, "query", "doc", "score", "source", "words").select("query", "doc", "place")
 
 
 @query()
 def a34_diversity_stats(spark, sf_dir):
     """Distinct sources and average score before and after diversification."""
-    x = R.scaled_by_max(candidates(spark, sf_dir, 30), ["query"], "score").withColumn("words", F.array_distinct(X.tokens(F.col("text"))))
+    x = R.scaled_by_max(candidates(spark, sf_dir, 30), ["query"], "score").withColumn("words", F.array_distinct("ct"))
     after = K.mmr(x, "query", "doc", "score", "source", "words").join(docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), "source"), "doc")
     told = lambda d, n: d.groupBy("query").agg(F.countDistinct("source").alias(f"sources_{n}"), F.round(F.avg("score"), 6).alias(f"score_{n}"))
     return told(x.where("rank <= 10"), "before").join(told(after, "after"), "query")
@@ -242,10 +262,10 @@ def w14_context(spark, sf_dir):
     return K.context_packs(candidates(spark, sf_dir, 5).select("query", "rank", "text"), "query", "rank", "text").select("query", "n", "rank", F.md5("pack").alias("digest"))
 
 
-@query()
+@query("WITH " + SQL_CANDIDATES + """, x AS (SELECT query, terms, unnest(list_distinct(tt)) AS term FROM tok), g AS (SELECT query, term, count(*) AS n FROM x WHERE NOT list_contains(terms, term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, term) AS rank FROM g) SELECT * FROM r WHERE rank <= 8""")
 def r13_related_terms(spark, sf_dir):
     """Terms that co-occur in the titles of a query's candidates."""
-    x = candidates(spark, sf_dir, 20).select("query", "terms", F.explode(F.array_distinct(X.tokens(F.col("title")))).alias("term"))
+    x = candidates(spark, sf_dir, 20).select("query", "terms", F.explode(F.array_distinct("tt")).alias("term"))
     g = x.where(~F.array_contains("terms", F.col("term"))).groupBy("query", "term").agg(F.count("*").alias("n"))
     return R.top_k(g, ["query"], "n", "term", 8).select("query", "term", "n", "rank")
 

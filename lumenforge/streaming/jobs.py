@@ -10,39 +10,63 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lumenforge.sources.storage import shared_dir
+from lumenforge.sources.storage import dropped, kept, shared_dir
 
 LATENESS = "10 minutes"
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str, slices: int = 4, files_per_batch: int = 64) -> DataFrame:
-    """File stream over a table: its rows are written to the shared folder in a few slices, as a landing folder would hold them."""
+def stream_of(spark: SparkSession, sf_dir: str, name: str, order: str | None = None, slices: int = 4, late: Column | None = None) -> DataFrame:
+    """File stream over a table, one micro-batch for each slice, as a landing folder would fill up.
+
+    With order, slices follow that column; rows for which `late` holds arrive after all others, in a slice of their own.
+    """
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     path = f"{shared_dir(spark)}/landing-{name}-{uuid.uuid4().hex}"
-    table.repartition(slices).write.parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream of the events table with event time as a timestamp."""
-    return stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def drained(job: DataFrame, mode: str, name: str, each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Rows of a finished run. complete: the last result table; append: all rows. each: transforms a batch before it is written."""
+    if order is None:
+        place = F.pmod(F.xxhash64(table.columns[0]), F.lit(slices))
+    else:
+        edges = table.select(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [k / slices for k in range(1, slices)]).alias("e")).first().e or []
+        place = F.lit(0)
+        for e in edges:
+            place = place + (F.unix_micros(F.col(order).cast("timestamp")) > F.lit(e)).cast("int")
+    if late is not None:
+        place = F.when(late, F.lit(slices)).otherwise(place)
+    placed = kept(table.withColumn("_place", place), "slices")
+    for k in range(slices + (late is not None)):  # one after the other: a file stream reads in the order of arrival
+        placed.where(F.col("_place") == k).drop("_place").coalesce(1).write.mode("append").parquet(path)
+    dropped(placed)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def events(spark: SparkSession, sf_dir: str, late: Column | None = None) -> DataFrame:
+    """Stream of the events table in the order of event time, in four micro-batches (five with late rows)."""
+    return stream_of(spark, sf_dir, "events", "ts", late=late).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drained(job: DataFrame, mode: str, name: str, each: Callable[[DataFrame, int, DataFrame | None], DataFrame] | None = None, key: list[str] | None = None) -> DataFrame:
+    """Rows of a finished run. complete: the last result table; append: all rows; update: the last row of each key.
+
+    each: transforms a batch before it is written; it gets the rows that earlier batches have written, if there are any.
+    """
     spark = job.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    written: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        out = each(batch, number) if each else batch
+        past = spark.read.parquet(*[f"{base}/out/batch={k}" for k in written if k != number]) if each and [k for k in written if k != number] else None
+        out = each(batch, number, past) if each else batch
         # a repeated batch overwrites its own folder, so a restart leaves no row twice
         out.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
+        written.append(number)
 
     job.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{base}/out")
+    if key is not None:
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("batch")))).where("_n = 1").drop("_n")
     return out.drop("batch")
 
 
@@ -90,8 +114,21 @@ def violations(e: DataFrame, key: str, limit: int, interval: str = "1 hour", sli
     return sliding(e, interval, slide, [key]).where(F.col("requests") > limit)
 
 
-def routed(batch: DataFrame, ts: str, lateness_us: int) -> DataFrame:
-    """Rows of a batch with late: older than the batch's newest row by more than the lateness."""
-    newest = batch.agg(F.max(ts).alias("_newest"))
+def routed(batch: DataFrame, past: DataFrame | None, ts: str, lateness_us: int) -> DataFrame:
+    """Rows of a batch with late: older than the newest row of all earlier batches by more than the lateness (the watermark)."""
+    if past is None:
+        return batch.withColumn("late", F.lit(False))
+    newest = past.agg(F.max(ts).alias("_newest"))
     micros = lambda c: F.unix_micros(F.col(c))
-    return batch.crossJoin(F.broadcast(newest)).withColumn("late", micros("_newest") - micros(ts) > lateness_us).drop("_newest")
+    return batch.crossJoin(F.broadcast(newest)).withColumn("late", F.coalesce(micros("_newest") - micros(ts) > lateness_us, F.lit(False))).drop("_newest")
+
+
+def messages(batch: DataFrame, past: DataFrame | None, key: str, op: str, built: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Index messages of a batch applied: index and reindex rows are built anew with their version (one more than the key's last),
+    delete rows become tombstones. The last row of a key is its state."""
+    latest = batch.dropDuplicates([key])
+    out = built(latest.where(F.col(op) != "delete")).join(latest.select(key, op), key, "right")
+    if past is None:
+        return out.withColumn("version", F.lit(1).cast("long"))
+    before = past.groupBy(key).agg(F.max("version").alias("_v"))
+    return out.join(before, key, "left").withColumn("version", F.coalesce("_v", F.lit(0)).cast("long") + 1).drop("_v")

@@ -21,7 +21,7 @@ def connect(sf_dir: str):
 
 def _plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 5) + 0.0
+        return None if math.isnan(x) else round(x, 6) + 0.0
     if hasattr(x, "isoformat"):
         return x.isoformat()[:26]
     return x
