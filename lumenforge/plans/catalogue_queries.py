@@ -191,7 +191,7 @@ def t21_links(spark, sf_dir):
     return C.links(V.table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
-@query()
+@query(K + """SELECT id FROM catalogue WHERE NOT (starts_with('/' || regexp_extract(url, '^https?://[^/]+/?([^#]*)', 1), '/fr/') OR starts_with('/' || regexp_extract(url, '^https?://[^/]+/?([^#]*)', 1), '/en/2'))""")
 def t22_robots(spark, sf_dir):
     """Rules of a robots body for each domain, applied to the catalogue's URLs."""
     c = V.catalogue(spark, sf_dir).select("id", "url", "domain")
@@ -200,7 +200,9 @@ def t22_robots(spark, sf_dir):
     return C.allowed(c, "url", "domain", rules).select("id")
 
 
-@query()
+@query(K + ", " + SQL_LINKS + r""", seeds AS (SELECT DISTINCT url, domain FROM catalogue WHERE importance >= 0.5),
+e AS (SELECT l.url AS src, l.dst, s.domain FROM links l JOIN seeds s ON s.url = l.url WHERE l.dst NOT IN (SELECT url FROM pages) AND regexp_replace(lower(regexp_extract(l.dst, '^https?://(?:[^/@]*@)?([^/?#:]+)', 1)), '^www\.', '') = s.domain),
+r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM e) SELECT src, dst FROM r WHERE rn <= 5 ORDER BY src, dst LIMIT 500""")
 def j20_frontier(spark, sf_dir):
     """One hop of links from important pages to unvisited URLs."""
     p = V.table(spark, sf_dir, "pages")
@@ -228,7 +230,11 @@ def d4_unseen(spark, sf_dir):
     return p.where("page_id % 3 <> 0").select("url").subtract(p.where("page_id % 3 = 0").select("url"))
 
 
-@query()
+@query(K + r""", b AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://', '') AS bare FROM catalogue), s AS (SELECT *, regexp_replace(regexp_replace(bare, '\?.*$', ''), '/+$', '') AS path,
+  list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref|ref_src)(=|$)')) AS params FROM b),
+k AS (SELECT language, id, url, importance AS score, lower(CASE WHEN len(params) > 0 THEN path || '?' || array_to_string(params, '&') ELSE path END) AS u, substr(trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')), 1, 80) AS t FROM s),
+one AS (SELECT *, CASE WHEN t = '' THEN chr(1) || u ELSE t END AS o FROM (SELECT *, row_number() OVER (PARTITION BY language, u ORDER BY score DESC, url) AS rn FROM k) WHERE rn = 1)
+SELECT language, id, score FROM (SELECT *, row_number() OVER (PARTITION BY language, o ORDER BY score DESC, url) AS rn2 FROM one) WHERE rn2 = 1""")
 def d1_result_dedup(spark, sf_dir):
     c = V.catalogue(spark, sf_dir).select("language", "id", "url", "title", F.col("importance").alias("score"))
     return R.dedup_results(c, ["language"], "url", "title", "score").select("language", "id", "score")
