@@ -114,6 +114,11 @@ class Words:
             out[w] = int.from_bytes(hashlib.blake2b(self.data[self.starts[w] : self.ends[w]], digest_size=8).digest(), "little")
         return out
 
+    def stems(self, size: int) -> np.ndarray:
+        """Hash of the first `size` bytes (up to eight) of each longer word; 0 for the others."""
+        h = mix((self._eight(np.arange(len(self.starts)), 0) & MASKS[size]) * MIX_B ^ mix(np.full(1, size, np.uint64)))
+        return np.where(self.ends - self.starts > size, h, np.uint64(0))
+
     def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the words a[i] and b[i] have the same bytes."""
         length = self.ends[a] - self.starts[a]

@@ -1,7 +1,7 @@
 """Operator 8: toxicity by maximum-scoring segments.
 
-Token log-odds between toxic and clean labelled documents, with an informative Dirichlet prior (the pooled corpus counts),
-become segment scores with a negative drift. A linear-time scan finds all maximal-scoring segments of a text; the
+Tokens are words and their stems. Token log-odds between toxic and clean labelled documents, with an informative Dirichlet prior
+(the pooled corpus counts), become segment scores with a negative drift; a word has the best score of its tokens. A linear-time scan finds all maximal-scoring segments of a text; the
 extreme-value law of such segments under the clean token distribution (E = K n exp(-lambda S)) says which passages are
 significant and calibrates the document score.
 
@@ -27,6 +27,8 @@ from lumenforge.llm import flat
 from lumenforge.llm.shared import cleared, dropped, kept
 
 SAMPLE_DOCS, MAX_TOKENS = 20_000, 1 << 16
+#: Bytes of the stems of a word; compounds and inflected forms share them.
+STEMS = (4, 5, 6, 7)
 #: Mass of the prior as a share of the corpus counts, least z-score of a token that may start a passage, score of any other token.
 PRIOR_SHARE, MIN_Z, DRIFT = 0.5, 3.2, -0.25
 #: A passage is significant below this expected number of chance passages as good in a clean text of the same length.
@@ -102,18 +104,24 @@ def evidence(found: list[tuple[int, int, float]], n_words: int, model: Model) ->
     return float(total), count
 
 
-def _gains(hashes: np.ndarray, model: Model) -> np.ndarray:
-    """Score of each word; 0 where the model has no positive score."""
-    if not len(model.keys):
+def pieces(words: flat.Words) -> np.ndarray:
+    """The tokens of each word, a column each: the word and its stems (0 where it is too short)."""
+    return np.stack([words.hashes, *[words.stems(k) for k in STEMS]], 1)
+
+
+def _gains(words: flat.Words, model: Model) -> np.ndarray:
+    """Score of each word, the best of its tokens; 0 where the model has no positive score."""
+    hashes = pieces(words)
+    if not len(model.keys) or not len(hashes):
         return np.zeros(len(hashes))
     at = np.minimum(np.searchsorted(model.keys, hashes), len(model.keys) - 1)
-    return np.where(model.keys[at] == hashes, model.scores[at], 0.0)
+    return np.where(model.keys[at] == hashes, model.scores[at], 0.0).max(1)
 
 
 def _scan(data: np.ndarray, offsets: np.ndarray, model: Model):
     """Per document of a part: words, segments found."""
     words = words_of(data, offsets)
-    gain = _gains(words.hashes, model)
+    gain = _gains(words, model)
     at = np.flatnonzero(gain > 0)
     cut = np.searchsorted(at, words.first)
     for k in range(len(offsets) - 1):
@@ -150,7 +158,9 @@ def token_counts(sample: DataFrame) -> DataFrame:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for row, data, offsets in flat.text_parts(batch.column(0)):
                 words = words_of(data, offsets)
-                own = [np.unique(words.hashes[x:y]) for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+                every_piece = pieces(words)
+                own = [np.unique(every_piece[x:y]) for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+                own = [x[x != 0] for x in own]
                 kind = np.repeat(label[row : row + len(own)], [len(x) for x in own]) > 0
                 keys, at = np.unique(np.concatenate(own), return_inverse=True)
                 toxic = np.bincount(at, kind, len(keys)).astype(np.int64)

@@ -176,6 +176,118 @@ def test_html_is_linear_on_malformed_pages():
         assert isinstance(html_text.main_text(page), str) and time.time() - began < 4, page[:20]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header><h1>Head</h1><p>By Ann.</p></header><p>Text, long enough, to win here.</p></article>", "Head\nBy Ann.\nText, long enough, to win here."),
+        ("<header><h1>Site</h1></header><article><p>Text, with commas, of the article.</p></article>", "Text, with commas, of the article."),
+        ("<article><p>Before, the picture.</p><figure><img src=x><figcaption>A caption, too.</figcaption></figure><p>After it, more.</p></article>", "Before, the picture.\nA caption, too.\nAfter it, more."),
+        ("<article><p>One, two, three.</p><p class='related'>This paragraph, which reads like text, is related to it.</p><div class='social-history'><p>A section, on history.</p></div></article>", "One, two, three.\nThis paragraph, which reads like text, is related to it.\nA section, on history."),
+        ("<div class='page-header'>Top</div><div class=content><p>Body, of text, here.</p><div class='share-buttons'>Share, it, now</div><p class='advert'>Buy</p></div><div id=comments><p>Reader, says, a, lot, of, things, here.</p></div>", "Body, of text, here."),
+        ("<div class='sidebarWrapper'><article><p>An article, inside, of it.</p></article></div>", "An article, inside, of it."),
+        ("<p>a <b>bold<p>next</b> one &lt;x&gt; &#233;&nbsp;é", "a bold\nnext one <x> é é"),
+        ("<p>2 < 3, and 4 > 3</p>", "2 < 3, and 4 > 3"),
+        ("<p title='a>b'>quoted, end</p><p data-x=\"'>\">other</p>", "quoted, end\nother"),
+        ("<p>text</p><!-- open <p>gone</p>", "text"),
+        ("<article><p>甲，乙，丙。</p><table><caption>Cap</caption><tr><td>1<td>2</table></article>", "甲，乙，丙。\nCap\n1\n2"),
+        ("<p>math <math><mi>x</mi></math>, and <svg><text>no</text></svg> more</p>", "math x, and more"),
+    ],
+)
+def test_html_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_is_linear_on_malformed_pages():
+    n = 20_000
+    for page in ("<a \"" * n, "<a =\"" * n, "<a =\"" * n + ">", "<svg>" * n, "<b>" + "<div></b>" * n, "<b>" * n + "<li>x" * n, "<!--" * n, "<" * n, "<p>" * n + "</q>" * n, "<ul><li>" * n, "<script>" * n, "<div class='ad'>" * n + "x"):
+        began = time.time()
+        assert isinstance(html_text.main_text(page), str) and time.time() - began < 4, page[:20]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header><h1>Head</h1><p>By Ann.</p></header><p>Text, long enough, to win here.</p></article>", "Head\nBy Ann.\nText, long enough, to win here."),
+        ("<header><h1>Site</h1></header><article><p>Text, with commas, of the article.</p></article>", "Text, with commas, of the article."),
+        ("<article><p>Before, the picture.</p><figure><img src=x><figcaption>A caption, too.</figcaption></figure><p>After it, more.</p></article>", "Before, the picture.\nA caption, too.\nAfter it, more."),
+        ("<article><p>One, two, three.</p><p class='related'>This paragraph, which reads like text, is related to it.</p><div class='social-history'><p>A section, on history.</p></div></article>", "One, two, three.\nThis paragraph, which reads like text, is related to it.\nA section, on history."),
+        ("<div class='page-header'>Top</div><div class=content><p>Body, of text, here.</p><div class='share-buttons'>Share, it, now</div><p class='advert'>Buy</p></div><div id=comments><p>Reader, says, a, lot, of, things, here.</p></div>", "Body, of text, here."),
+        ("<div class='sidebarWrapper'><article><p>An article, inside, of it.</p></article></div>", "An article, inside, of it."),
+        ("<p>a <b>bold<p>next</b> one &lt;x&gt; &#233;&nbsp;é", "a bold\nnext one <x> é é"),
+        ("<p>2 < 3, and 4 > 3</p>", "2 < 3, and 4 > 3"),
+        ("<p title='a>b'>quoted, end</p><p data-x=\"'>\">other</p>", "quoted, end\nother"),
+        ("<p>text</p><!-- open <p>gone</p>", "text"),
+        ("<article><p>甲，乙，丙。</p><table><caption>Cap</caption><tr><td>1<td>2</table></article>", "甲，乙，丙。\nCap\n1\n2"),
+        ("<p>math <math><mi>x</mi></math>, and <svg><text>no</text></svg> more</p>", "math x, and more"),
+    ],
+)
+def test_html_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_is_linear_on_malformed_pages():
+    n = 20_000
+    for page in ("<a \"" * n, "<a =\"" * n, "<a =\"" * n + ">", "<svg>" * n, "<b>" + "<div></b>" * n, "<b>" * n + "<li>x" * n, "<!--" * n, "<" * n, "<p>" * n + "</q>" * n, "<ul><li>" * n, "<script>" * n, "<div class='ad'>" * n + "x"):
+        began = time.time()
+        assert isinstance(html_text.main_text(page), str) and time.time() - began < 4, page[:20]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header><h1>Head</h1><p>By Ann.</p></header><p>Text, long enough, to win here.</p></article>", "Head\nBy Ann.\nText, long enough, to win here."),
+        ("<header><h1>Site</h1></header><article><p>Text, with commas, of the article.</p></article>", "Text, with commas, of the article."),
+        ("<article><p>Before, the picture.</p><figure><img src=x><figcaption>A caption, too.</figcaption></figure><p>After it, more.</p></article>", "Before, the picture.\nA caption, too.\nAfter it, more."),
+        ("<article><p>One, two, three.</p><p class='related'>This paragraph, which reads like text, is related to it.</p><div class='social-history'><p>A section, on history.</p></div></article>", "One, two, three.\nThis paragraph, which reads like text, is related to it.\nA section, on history."),
+        ("<div class='page-header'>Top</div><div class=content><p>Body, of text, here.</p><div class='share-buttons'>Share, it, now</div><p class='advert'>Buy</p></div><div id=comments><p>Reader, says, a, lot, of, things, here.</p></div>", "Body, of text, here."),
+        ("<div class='sidebarWrapper'><article><p>An article, inside, of it.</p></article></div>", "An article, inside, of it."),
+        ("<p>a <b>bold<p>next</b> one &lt;x&gt; &#233;&nbsp;é", "a bold\nnext one <x> é é"),
+        ("<p>2 < 3, and 4 > 3</p>", "2 < 3, and 4 > 3"),
+        ("<p title='a>b'>quoted, end</p><p data-x=\"'>\">other</p>", "quoted, end\nother"),
+        ("<p>text</p><!-- open <p>gone</p>", "text"),
+        ("<article><p>甲，乙，丙。</p><table><caption>Cap</caption><tr><td>1<td>2</table></article>", "甲，乙，丙。\nCap\n1\n2"),
+        ("<p>math <math><mi>x</mi></math>, and <svg><text>no</text></svg> more</p>", "math x, and more"),
+    ],
+)
+def test_html_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_is_linear_on_malformed_pages():
+    n = 20_000
+    for page in ("<a \"" * n, "<a =\"" * n, "<a =\"" * n + ">", "<svg>" * n, "<b>" + "<div></b>" * n, "<b>" * n + "<li>x" * n, "<!--" * n, "<" * n, "<p>" * n + "</q>" * n, "<ul><li>" * n, "<script>" * n, "<div class='ad'>" * n + "x"):
+        began = time.time()
+        assert isinstance(html_text.main_text(page), str) and time.time() - began < 4, page[:20]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header><h1>Head</h1><p>By Ann.</p></header><p>Text, long enough, to win here.</p></article>", "Head\nBy Ann.\nText, long enough, to win here."),
+        ("<header><h1>Site</h1></header><article><p>Text, with commas, of the article.</p></article>", "Text, with commas, of the article."),
+        ("<article><p>Before, the picture.</p><figure><img src=x><figcaption>A caption, too.</figcaption></figure><p>After it, more.</p></article>", "Before, the picture.\nA caption, too.\nAfter it, more."),
+        ("<article><p>One, two, three.</p><p class='related'>This paragraph, which reads like text, is related to it.</p><div class='social-history'><p>A section, on history.</p></div></article>", "One, two, three.\nThis paragraph, which reads like text, is related to it.\nA section, on history."),
+        ("<div class='page-header'>Top</div><div class=content><p>Body, of text, here.</p><div class='share-buttons'>Share, it, now</div><p class='advert'>Buy</p></div><div id=comments><p>Reader, says, a, lot, of, things, here.</p></div>", "Body, of text, here."),
+        ("<div class='sidebarWrapper'><article><p>An article, inside, of it.</p></article></div>", "An article, inside, of it."),
+        ("<p>a <b>bold<p>next</b> one &lt;x&gt; &#233;&nbsp;é", "a bold\nnext one <x> é é"),
+        ("<p>2 < 3, and 4 > 3</p>", "2 < 3, and 4 > 3"),
+        ("<p title='a>b'>quoted, end</p><p data-x=\"'>\">other</p>", "quoted, end\nother"),
+        ("<p>text</p><!-- open <p>gone</p>", "text"),
+        ("<article><p>甲，乙，丙。</p><table><caption>Cap</caption><tr><td>1<td>2</table></article>", "甲，乙，丙。\nCap\n1\n2"),
+        ("<p>math <math><mi>x</mi></math>, and <svg><text>no</text></svg> more</p>", "math x, and more"),
+    ],
+)
+def test_html_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_is_linear_on_malformed_pages():
+    n = 20_000
+    for page in ("<a \"" * n, "<a =\"" * n, "<a =\"" * n + ">", "<svg>" * n, "<b>" + "<div></b>" * n, "<b>" * n + "<li>x" * n, "<!--" * n, "<" * n, "<p>" * n + "</q>" * n, "<ul><li>" * n, "<script>" * n, "<div class='ad'>" * n + "x"):
+        began = time.time()
+        assert isinstance(html_text.main_text(page), str) and time.time() - began < 4, page[:20]
+
+
 # Jaccard join
 
 
@@ -486,6 +598,22 @@ def test_toxicity_held_out(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out.itertuples())
 
 
+def test_toxicity_ties_and_repeats(spark):
+    """Repeated ids and rows, labels that disagree, very long texts: the model is the same in every run, equal texts score alike."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k % 100, " ".join(rng.choice(words) for _ in range(60)) + (" badword foulword" if k % 4 == 0 else "")) for k in range(200)]
+    rows += [rows[0], rows[0], (None, "badword " * 50_000), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(100)] + [(3, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    models = [toxicity.fit(df.repartition(n), labels, sample_docs=120) for n in (1, 7)]
+    assert np.array_equal(models[0].keys, models[1].keys) and (models[0].rate, models[0].scale, models[0].slope) == (models[1].rate, models[1].scale, models[1].slope)
+    found = {}
+    for r in toxicity.score(df, models[0]).collect():
+        assert found.setdefault(r.text, (r.score, r.n_passages)) == (r.score, r.n_passages)
+    assert found["badword " * 50_000][0] > found[None][0]
+
+
 def test_toxicity_edges(spark, docs):
     rows = [(k, int(k % 3 == 0)) for k in range(12)]
     labels = spark.createDataFrame(rows, "doc_id long, toxic int")
@@ -528,8 +656,17 @@ def test_ogg_format():
 
 
 def test_ogg_columns(docs):
-    for r in ogg.digests(docs).collect():
-        assert r.payload_bytes % 192 == 0 and r.payload_bytes >= max(r.n_bytes, 192)
+    want = collections.Counter()
+    for r in docs.collect():
+        own = (r.text or "").encode()
+        payload = own + b" " * (-len(own) % 192 if own else 192)
+        media = ogg.write_media(payload)
+        assert ogg.read_media(media)["payload"] == payload
+        want[r.doc_id, len(own), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    got = ogg.digests(docs).collect()
+    assert collections.Counter(tuple(r[n] for n in names) for r in got) == want
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})  # equal texts, equal values
     back = ogg.decode(ogg.encode(docs.withColumnRenamed("n_words", "media"))).collect()
     assert all(bytes(r.payload) == ogg.payload_of(r.text) and r.media_status == "ok" for r in back)
     assert ogg.digests(empty(docs)).count() == 0
@@ -563,6 +700,14 @@ def test_quality_counts(spark):
     assert quality.judge(df.where("false"), quality.Field.neutral()).count() == 0
 
 
+def test_quality_fit_does_not_depend_on_order(spark):
+    rows = [(k % 6, f"line {k}\n" + " ".join(f"word{(k * j) % 17}" for j in range(60))) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    one, two = (quality.fit(df.repartition(n), labels, sample_docs=5) for n in (1, 6))
+    assert np.allclose(one.emission, two.emission) and np.allclose(one.transition, two.transition)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     for _ in range(40):

@@ -43,3 +43,29 @@ def test_pipeline_is_its_stages(spark, sf_dir):
     assert [r.text for r in cut] == [w[2] for w in brute.brute_repeats([r.text for r in before], 35)]
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.count() == kept.count() and set(columns) <= set(packed.columns)
+
+
+def edge_documents(spark):
+    """Rows of documents with nulls, repeats, one id with two texts, a very long text, and a column of another kind."""
+    base = " ".join(f"word{k}" for k in range(80))
+    other = " ".join(f"other{k} thing{k % 7}" for k in range(60))
+    rows = [(1, base, "en", "s", 10, {"a": 1}), (1, base, "en", "s", 10, {"a": 1}), (2, base + " more", "en", None, None, None), (1, other, None, "s", 3, {}), (None, other + " x", "de", "s", 1, None), (None, None, None, None, None, None), (3, "", "en", "s", 0, None), (4, "long text " * 30_000, "en", "s", 1, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key map<string,int>")
+
+
+def test_pipeline_stages_on_edge_rows(spark, tmp_path):
+    """Each stage on its own: the columns stay, an empty table gives an empty one, and every row has its defined fate."""
+    docs = edge_documents(spark)
+    spark.createDataFrame([(1, 1, 0), (3, 0, 1), (4, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    told = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        told[name] = sorted((r.doc_id or 0, (r.text or "")[:6], len((r.text or "").split())) for r in out.collect())
+    every = sorted((r.doc_id or 0, (r.text or "")[:6], len((r.text or "").split())) for r in docs.collect())
+    assert {k[0] for k in told["quality"]} <= {0, 1, 2} and (3, "", 0) not in told["quality"]
+    assert told["toxicity"] == every  # too few labels for a model
+    assert told["near_duplicates"] == [(0, "", 0), (1, "other0", 120), (1, "word0 ", 80), (3, "", 0), (4, "long t", 60_000)]
+    assert told["substring_dedup"] == [(0, "", 0), (0, "x", 1), (1, "", 0), (1, "", 0), (1, "", 0), (2, "more", 1), (3, "", 0), (4, "", 0)]
+    assert told["packing"] == every
