@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,6 +76,37 @@ def active(listed: DataFrame, as_of: Column, expires: str = "expires_at") -> Dat
     return listed.where(F.col(expires).isNull() | (F.col(expires) > as_of))
 
 
+def metadata_filter(df: DataFrame, as_of: Column, language: str | None = None, topic: str | None = None, domain: str | None = None, newer_than_days: int | None = None, since: Column | None = None, until: Column | None = None, score: Column | None = None, min_score: float | None = None) -> DataFrame:
+    """Rows that pass every filter that is given; rows without content never do. Filters run before any top-k."""
+    tests = [F.col("n_chars") > 0]
+    if language is not None:
+        tests.append(F.col("language") == language)
+    if topic is not None:
+        tests.append(F.contains(F.lower("title"), F.lit(topic.lower())))
+    if domain is not None:
+        tests.append(F.col("domain") == domain)
+    if newer_than_days is not None:
+        tests.append(F.col("last_indexed") >= as_of - F.expr(f"interval {newer_than_days} days"))
+    if since is not None:
+        tests.append(F.col("last_indexed") >= since)
+    if until is not None:
+        tests.append(F.col("last_indexed") <= until)
+    if min_score is not None and score is not None:
+        tests.append(score >= min_score)
+    return df.where(reduce(lambda a, b: a & b, tests))
+
+
+def context_weights(df: DataFrame, host: str, contexts: Column, tables: DataFrame) -> DataFrame:
+    """df with weight: the sum, over the tables of a row's contexts (array), of the weight of the longest listed suffix of its
+    host. tables: context, domain, weight (bonus or penalty). Suffixes make it an equi-join over distinct hosts and contexts."""
+    asked = df.select(F.col(host).alias("_host"), F.explode(contexts).alias("_context")).distinct()
+    hits = asked.select("_host", "_context", F.explode(X.suffixes(F.col("_host"))).alias("_suffix")).join(tables.select(F.col("context").alias("_context"), F.col("domain").alias("_suffix"), "weight"), ["_context", "_suffix"])
+    best = hits.groupBy("_host", "_context").agg(F.max_by("weight", F.char_length("_suffix")).alias("weight"))
+    keyed = df.withColumn("_row", F.array_join(F.array_sort(contexts), ","))
+    named = keyed.select(F.col(host).alias("_host"), "_row", F.explode(contexts).alias("_context")).distinct().join(best, ["_host", "_context"]).groupBy("_host", "_row").agg(F.sum("weight").alias("weight"))
+    return keyed.withColumn("_host", F.col(host)).join(named, ["_host", "_row"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).drop("_host", "_row")
+
+
 def page_slice(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     """Rows of one page (from 1) in a total order, with total and total_pages."""
     total = df.agg(F.count("*").alias("total"))

@@ -56,6 +56,26 @@ def cost_breakdown(df: DataFrame, service: str, operation: str, amount: Column)
     return df.rollup(service, operation).agg(F.count("*").alias("calls"), F.round(F.sum(amount), 4).alias("cost"), F.grouping_id().cast("long").alias("level"))
 
 
+def priced_usage(df: DataFrame, prices: DataFrame, service: str, operation: str, units: str, ts: str) -> DataFrame:
+    """Cost of usage by a price table (service, operation, price: a bounded constant, so it is broadcast), for each month and day,
+    by service and operation with totals. level: 0 detail, 1 service, 3 window; span: day, month or all."""
+    priced = df.join(F.broadcast(prices), [service, operation], "left").withColumn("_cost", (F.col(units).cast("decimal(18,4)") * F.coalesce("price", F.lit(0)).cast("decimal(18,6)")))
+    spans = {"day": F.date_format(ts, "yyyy-MM-dd"), "month": F.date_format(ts, "yyyy-MM"), "all": F.lit("all")}
+    dealt = priced.select(service, operation, "_cost", F.explode(F.array(*[F.struct(F.lit(n).alias("span"), w.alias("window")) for n, w in spans.items()])).alias("w")).select(service, operation, "_cost", "w.span", "w.window")
+    sets = dealt.groupingSets([["span", "window", service, operation], ["span", "window", service], ["span", "window"]], "span", "window", service, operation)
+    return sets.agg(F.count("*").alias("calls"), F.round(F.sum("_cost").cast("double"), 4).alias("cost"), (F.grouping(service) * 2 + F.grouping(operation)).cast("long").alias("level"))
+
+
+def budget_windows(df: DataFrame, ts: str, spent: str, daily: float, monthly: float) -> DataFrame:
+    """(span, window, spent, share, status, advice) of each day and month against its limit: warning from 80 %, critical from 95 %."""
+    spans = F.explode(F.array(F.struct(F.lit("day").alias("span"), F.date_format(ts, "yyyy-MM-dd").alias("window"), F.lit(float(daily)).alias("limit")), F.struct(F.lit("month").alias("span"), F.date_format(ts, "yyyy-MM").alias("window"), F.lit(float(monthly)).alias("limit")))).alias("w")
+    out = df.select(F.col(spent).cast("decimal(20,4)").alias("_x"), spans).groupBy("w.span", "w.window", "w.limit").agg(F.sum("_x").cast("double").alias("spent"))
+    share = F.col("spent") / F.col("limit")
+    status = F.when(share >= 0.95, "critical").when(share >= 0.8, "warning").otherwise("ok")
+    advice = F.when(share >= 1, "stop or raise the limit").when(share >= 0.95, "defer what can wait").when(share >= 0.8, "use cheaper services").otherwise("none")
+    return out.select("span", "window", F.round("spent", 4).alias("spent"), F.round(share, 6).alias("share"), status.alias("status"), advice.alias("advice"))
+
+
 def budget_status(df: DataFrame, spent: Column, limit: float) -> DataFrame:
     share = F.col("spent") / limit
     return df.agg(F.round(F.sum(spent), 4).alias("spent")).withColumn("share", F.round(share, 6)).withColumn("status", F.when(share >= 0.95, "critical").when(share >= 0.8, "warning").otherwise("ok"))

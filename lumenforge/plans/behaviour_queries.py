@@ -141,13 +141,22 @@ def w16_interest_decay(spark, sf_dir):
     return B.decayed_interest(V.table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", F.col("value") / 1000.0, V.as_of())
 
 
-@query(f"""WITH {V.SQL_IMPRESSIONS}, {V.SQL_CLICKS}, v AS (SELECT user_id, url, count(*) AS visits FROM clicks GROUP BY 1, 2)
-SELECT s.impression_id, s.url, round(s.score + least(0.1, 0.01 * coalesce(v.visits, 0)), 6) AS personal_score FROM shown s LEFT JOIN v ON v.user_id = s.user_id AND v.url = s.url""")
+@query(f"""WITH {V.SQL_IMPRESSIONS}, {V.SQL_CLICKS}, v AS (SELECT user_id, url, count(*) AS visits FROM clicks GROUP BY 1, 2), n AS (SELECT user_id, url, count(*) AS seen FROM shown GROUP BY 1, 2),
+t AS (SELECT user_id, query, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS affinity FROM clicks GROUP BY 1, 2)
+SELECT s.impression_id, s.url, round(s.score + least(0.1, 0.01 * coalesce(v.visits, 0) + 0.05 * least(1.0, coalesce(v.visits, 0) / n.seen)) + 0.05 * coalesce(t.affinity, 0), 6) AS personal_score
+FROM shown s JOIN n ON n.user_id = s.user_id AND n.url = s.url LEFT JOIN v ON v.user_id = s.user_id AND v.url = s.url LEFT JOIN t ON t.user_id = s.user_id AND t.query = s.query""")
 def w17_personal_rank(spark, sf_dir):
-    shown = V.impressions(spark, sf_dir).select("impression_id", "user_id", F.explode("results").alias("r")).select("impression_id", "user_id", "r.url", "r.score")
-    visits = V.clicks(spark, sf_dir).groupBy("user_id", "url").agg(F.count("*").alias("visits"))
-    boost = F.least(F.lit(0.1), 0.01 * F.coalesce("visits", F.lit(0)))
-    return shown.join(visits, ["user_id", "url"], "left").select("impression_id", "url", F.round(F.col("score") + boost, 6).alias("personal_score"))
+    """Scores raised by a user's visits to a result and its click rate, a tenth at most, and by the user's affinity to the topic (the
+    share of the user's clicks that the query has)."""
+    shown = V.impressions(spark, sf_dir).select("impression_id", "user_id", "query", F.explode("results").alias("r")).select("impression_id", "user_id", "query", "r.url", "r.score")
+    clicks = V.clicks(spark, sf_dir)
+    visits = clicks.groupBy("user_id", "url").agg(F.count("*").alias("visits"))
+    seen = shown.groupBy("user_id", "url").agg(F.count("*").alias("seen"))
+    topics = clicks.groupBy("user_id", "query").agg(F.count("*").alias("n")).withColumn("affinity", F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).drop("n")
+    x = shown.join(seen, ["user_id", "url"]).join(visits, ["user_id", "url"], "left").join(topics, ["user_id", "query"], "left")
+    n = F.coalesce("visits", F.lit(0))
+    boost = F.least(F.lit(0.1), 0.01 * n + 0.05 * F.least(F.lit(1.0), n / F.col("seen"))) + 0.05 * F.coalesce("affinity", F.lit(0.0))
+    return x.select("impression_id", "url", F.round(F.col("score") + boost, 6).alias("personal_score"))
 
 
 @query(f"""WITH {V.SQL_IMPRESSIONS}, h AS (SELECT user_id, query, count(*) AS n FROM impressions WHERE query LIKE 'q1%' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, query) AS place FROM h)

@@ -112,9 +112,16 @@ def f3_adaptive_threshold(spark, sf_dir):
     return s.where("score >= least").select("language", "id")
 
 
-@query(K + "SELECT id FROM catalogue WHERE language = 'en' AND contains(lower(title), 'the') AND importance >= 0.2 AND n_chars > 0")
+@query(K + f""", v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0), s AS (SELECT c.*, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS score FROM catalogue c JOIN v ON 'd' || vec_id::VARCHAR = c.id, q)
+SELECT id, round(score, 6) AS score FROM s WHERE language = 'en' AND contains(lower(title), 'the') AND n_chars > 0 AND last_indexed >= {AS_OF} - INTERVAL 80 DAY AND last_indexed >= {AS_OF} - INTERVAL 75 DAY AND last_indexed <= {AS_OF} - INTERVAL 2 DAY AND round(score, 9) >= -0.05""")
 def f10_metadata_filters(spark, sf_dir):
-    return V.catalogue(spark, sf_dir).where((F.col("language") == "en") & F.lower("title").contains("the") & (F.col("importance") >= 0.2) & (F.col("n_chars") > 0)).select("id")
+    """All filters of an index search at once; the vector score of a page is that of the embedding of its number against the first one."""
+    v = V.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    first = v.where("vec_id = 0").select(F.col("v").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = v.crossJoin(F.broadcast(first)).select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("id"), (dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q")))).alias("score"))
+    rows, day = V.catalogue(spark, sf_dir).join(scored, "id"), lambda n: V.as_of() - F.expr(f"interval {n} days")
+    return C.metadata_filter(rows, V.as_of(), "en", "the", None, 80, day(75), day(2), F.round("score", 9), -0.05).select("id", F.round("score", 6).alias("score"))
 
 
 @query(K + "SELECT id, (SELECT count(*) FROM catalogue) AS total, ceil((SELECT count(*) FROM catalogue) / 20)::BIGINT AS total_pages FROM catalogue ORDER BY importance DESC, id LIMIT 20 OFFSET 20")
@@ -153,11 +160,19 @@ def t25_importance(spark, sf_dir):
     return V.catalogue(spark, sf_dir).select("id", F.round(C.importance(F.col("n_chars"), F.col("title"), age, F.col("importance")), 6).alias("score"))
 
 
-@query(K + "SELECT id, CASE WHEN regexp_matches(domain, '(^|\\.)ththe\\.example\\.com$') THEN 0.9::DOUBLE WHEN regexp_matches(domain, '(^|\\.)example\\.com$') THEN 0.5::DOUBLE WHEN regexp_matches(domain, '(^|\\.)org$') THEN 0.3::DOUBLE END AS authority FROM catalogue")
+#: Suffixes with their weights by context: for every query, by language, by query type; negative weights are penalties.
+AUTHORITY = [("all", "example.com", 0.5), ("all", "ththe.example.com", 0.9), ("all", "org", 0.3), ("en", "example.net", 0.2), ("en", "com", 0.05), ("de", "example.org", 0.25), ("fr", "com", -0.1), ("news", "blog.thernd.example.net", -0.4), ("news", "net", 0.1), ("code", "example.org", 0.35)]
+
+
+@query(K + f""", a(context, suffix, weight) AS (VALUES {', '.join(f"('{c}', '{d}', {w}::DOUBLE)" for c, d, w in AUTHORITY)}), x AS (SELECT id, domain, unnest(list_distinct(['all', language, CASE WHEN priority < 5 THEN 'news' ELSE 'code' END])) AS context FROM catalogue),
+h AS (SELECT id, weight, row_number() OVER (PARTITION BY id, x.context ORDER BY length(suffix) DESC) AS rn FROM x JOIN a ON a.context = x.context AND (domain = suffix OR ends_with(domain, '.' || suffix)))
+SELECT id, round(coalesce((SELECT sum(weight) FROM h WHERE h.id = c.id AND rn = 1), 0), 6) AS authority FROM catalogue c""")
 def j12_longest_suffix(spark, sf_dir):
-    c = V.catalogue(spark, sf_dir).select("id", "domain")
-    listed = spark.createDataFrame([("example.com", 0.5), ("ththe.example.com", 0.9), ("org", 0.3)], "d string, authority double")
-    return C.longest_suffix(c, "domain", listed, "d", "authority").select("id", "authority")
+    """Authority of a page's domain in its contexts: everywhere, its language, and the type of query it is shown for."""
+    c = V.catalogue(spark, sf_dir).select("id", "domain", "language", "priority")
+    contexts = F.array_distinct(F.array(F.lit("all"), F.coalesce("language", F.lit("")), F.when(F.col("priority") < 5, "news").otherwise("code")))
+    listed = spark.createDataFrame(AUTHORITY, "context string, domain string, weight double")
+    return C.context_weights(c, "domain", contexts, listed).select("id", F.round("weight", 6).alias("authority"))
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS domain FROM pages")

@@ -84,17 +84,27 @@ def a19_cache_effect(spark, sf_dir):
     return M.cache_effect(pairs, "user_id", "cold", "warm")
 
 
-@query("""SELECT l_shipmode_key AS service, l_returnflag AS operation, count(*) AS calls, round(sum(cost), 4) AS cost, grouping_id(l_shipmode_key, l_returnflag)::BIGINT AS level
-FROM (SELECT l_linestatus AS l_shipmode_key, l_returnflag, l_extendedprice * (1 - l_discount) AS cost FROM lineitem) GROUP BY ROLLUP (l_shipmode_key, l_returnflag)""")
+#: Price of a unit by service and operation.
+PRICES = [("O", "N", 0.002), ("F", "N", 0.0015), ("F", "A", 0.01), ("F", "R", 0.0125)]
+
+
+@query(f"""WITH p(service, operation, price) AS (VALUES {', '.join(f"('{a}', '{b}', {c}::DECIMAL(18,6))" for a, b, c in PRICES)}), u AS (SELECT l_linestatus AS service, l_returnflag AS operation, l_quantity::DECIMAL(18,4) AS units, l_shipdate AS ts FROM lineitem),
+c AS (SELECT u.service, u.operation, units * coalesce(price, 0) AS cost, unnest([{{'span': 'day', 'w': strftime(ts, '%Y-%m-%d')}}, {{'span': 'month', 'w': strftime(ts, '%Y-%m')}}, {{'span': 'all', 'w': 'all'}}]) AS s FROM u LEFT JOIN p USING (service, operation)),
+d AS (SELECT service, operation, cost, s.span AS span, s.w AS "window" FROM c)
+SELECT span, "window", service, operation, count(*) AS calls, round(sum(cost)::DOUBLE, 4) AS cost, (grouping(service) * 2 + grouping(operation))::BIGINT AS level FROM d GROUP BY GROUPING SETS ((span, "window", service, operation), (span, "window", service), (span, "window"))""")
 def a20_cost_rollup(spark, sf_dir):
-    l = V.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("service"), F.col("l_returnflag").alias("operation"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"))
-    return M.cost_breakdown(l, "service", "operation", F.col("amount"))
+    """Line items as usage: status is the service, return flag the operation, quantity the units."""
+    l = V.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("service"), F.col("l_returnflag").alias("operation"), F.col("l_quantity").alias("units"), F.col("l_shipdate").alias("ts"))
+    prices = spark.createDataFrame(PRICES, "service string, operation string, price double")
+    return M.priced_usage(l, prices, "service", "operation", "units", "ts")
 
 
-@query("""WITH s AS (SELECT round(sum(o_totalprice), 4) AS spent FROM orders)
-SELECT spent, round(spent / 200000000.0, 6) AS share, CASE WHEN spent / 200000000.0 >= 0.95 THEN 'critical' WHEN spent / 200000000.0 >= 0.8 THEN 'warning' ELSE 'ok' END AS status FROM s""")
+@query("""WITH w AS (SELECT 'day' AS span, strftime(o_orderdate, '%Y-%m-%d') AS "window", 3000000.0::DOUBLE AS lim, o_totalprice::DECIMAL(20,4) AS x FROM orders UNION ALL SELECT 'month', strftime(o_orderdate, '%Y-%m'), 40000000.0, o_totalprice::DECIMAL(20,4) FROM orders),
+s AS (SELECT span, "window", lim, sum(x)::DOUBLE AS spent FROM w GROUP BY 1, 2, 3)
+SELECT span, "window", round(spent, 4) AS spent, round(spent / lim, 6) AS share, CASE WHEN spent / lim >= 0.95 THEN 'critical' WHEN spent / lim >= 0.8 THEN 'warning' ELSE 'ok' END AS status,
+ CASE WHEN spent / lim >= 1 THEN 'stop or raise the limit' WHEN spent / lim >= 0.95 THEN 'defer what can wait' WHEN spent / lim >= 0.8 THEN 'use cheaper services' ELSE 'none' END AS advice FROM s""")
 def a21_budget_status(spark, sf_dir):
-    return M.budget_status(V.table(spark, sf_dir, "orders"), F.col("o_totalprice"), 200_000_000.0)
+    return M.budget_windows(V.table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", 3_000_000.0, 40_000_000.0)
 
 
 @query(R + """, d AS (SELECT backend, date_trunc('day', ts) AS day, count(*) FILTER (outcome = 'error') / count(*) AS measured FROM requests GROUP BY 1, 2),
