@@ -29,6 +29,8 @@ from lumenforge.llm.shared import cleared, dropped, kept
 SAMPLE_DOCS, MAX_TOKENS = 20_000, 1 << 16
 #: Bytes of the stems of a word; compounds and inflected forms share them.
 STEMS = (4, 5, 6, 7)
+#: Share of its log-odds that a stem scores: many words share it by chance, so one alone is less than a word.
+STEM_WEIGHT = 0.5
 #: Mass of the prior as a share of the corpus counts, least z-score of a token that may start a passage, score of any other token.
 PRIOR_SHARE, MIN_Z, DRIFT = 0.5, 3.2, -0.25
 #: A passage is significant below this expected number of chance passages as good in a clean text of the same length.
@@ -105,8 +107,10 @@ def evidence(found: list[tuple[int, int, float]], n_words: int, model: Model) ->
 
 
 def pieces(words: flat.Words) -> np.ndarray:
-    """The tokens of each word, a column each: the word and its stems (0 where it is too short)."""
-    return np.stack([words.hashes, *[words.stems(k) for k in STEMS]], 1)
+    """The tokens of each word, a column each: the word (even hash) and its stems (odd; 0 where the word is too short)."""
+    odd = np.uint64(1)
+    stems = [words.stems(k) for k in STEMS]
+    return np.stack([words.hashes & ~odd, *[np.where(x == 0, x, x | odd) for x in stems]], 1)
 
 
 def _gains(words: flat.Words, model: Model) -> np.ndarray:
@@ -187,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         return Model()
     keys = np.array([r.token for r in top], np.int64).view(np.uint64)
     order = np.argsort(keys)
-    gains = np.array([r.odds for r in top])[order]
+    gains = np.array([r.odds * (STEM_WEIGHT if r.token & 1 else 1.0) for r in top])[order]
     clean = np.array([r.clean for r in top], float)[order]
     model = Model(keys[order], gains)
     rest = max(float(top[0].c) - clean.sum(), 1.0)
