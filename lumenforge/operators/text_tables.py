@@ -128,14 +128,25 @@ def entities(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def structured_data(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """(page, type, name, rating, price) of JSON-LD objects: single, in arrays, and in @graph; ratings are capped at 5."""
+    """(page, type, name, rating, price, items) of structured data: JSON-LD objects (single, in arrays, in @graph); for pages without
+    any, microdata; for pages without both, meta tags. Ratings are capped at 5; items counts the questions of a FAQ and the steps of
+    a breadcrumb list."""
     raw = F.explode(F.regexp_extract_all(F.col(html), F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), 1)).alias("raw")
     v = F.try_parse_json("raw")
     many = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))
     x = pages.select(page, raw).select(page, F.explode(many).alias("o"))
     get = lambda path, kind: F.try_variant_get("o", path, kind)
     price = F.coalesce(get("$.offers.price", "double"), get("$.offers[0].price", "double"))
-    return x.select(page, get("$['@type']", "string").alias("type"), F.coalesce(get("$.name", "string"), get("$.headline", "string")).alias("name"), F.when(get("$.aggregateRating.ratingValue", "double").isNotNull(), F.least(get("$.aggregateRating.ratingValue", "double"), F.lit(5.0))).alias("rating"), price.alias("price")).where("type IS NOT NULL")
+    listed = F.coalesce(F.size(get("$.mainEntity", "array<variant>")), F.lit(-1)), F.coalesce(F.size(get("$.itemListElement", "array<variant>")), F.lit(-1))
+    rating = lambda c: F.when(c.isNotNull(), F.least(c, F.lit(5.0))).alias("rating")
+    script = x.select(page, get("$['@type']", "string").alias("type"), F.coalesce(get("$.name", "string"), get("$.headline", "string")).alias("name"), rating(get("$.aggregateRating.ratingValue", "double")), price.alias("price"), F.greatest(*listed, F.lit(0)).cast("long").alias("items")).where("type IS NOT NULL")
+    found = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
+    prop = lambda n: F.coalesce(found(rf'(?is)itemprop="{n}"[^>]*content="([^"]*)"'), found(rf'(?is)itemprop="{n}"[^>]*>([^<]*)<'))
+    micro = pages.where(F.col(html).contains("itemscope")).select(page, found(r'(?is)itemtype="[^"]*/(\w+)"').alias("type"), prop("name").alias("name"), rating(prop("ratingValue").try_cast("double")), prop("price").try_cast("double").alias("price"), F.lit(0).cast("long").alias("items")).where("type IS NOT NULL")
+    meta = lambda n: found(rf'(?is)<meta[^>]*(?:property|name)="{n}"[^>]*content="([^"]*)"')
+    tags = pages.select(page, meta("og:type").alias("type"), meta("og:title").alias("name"), F.lit(None).cast("double").alias("rating"), meta("product:price:amount").try_cast("double").alias("price"), F.lit(0).cast("long").alias("items")).where("type IS NOT NULL")
+    first = script.unionByName(micro.join(script.select(page).distinct(), page, "left_anti"))
+    return first.unionByName(tags.join(first.select(page).distinct(), page, "left_anti"))
 
 
 def claims(df: DataFrame, key: str, text: str, per_source: int = 6) -> DataFrame:

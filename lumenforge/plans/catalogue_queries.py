@@ -266,11 +266,11 @@ def j5_source_merge(spark, sf_dir):
     return a.join(b, "id", "full_outer").select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(15)
 
 
-@query(K + """, ch AS (SELECT id || '_chunk_' || n AS chunk, (priority * 7 + n) % 10 / 10.0 AS score FROM catalogue, range(3) t(n) WHERE n < total_chunks)
+@query(K + """, ch AS (SELECT id || '_chunk_' || n AS chunk, (priority * 7 + n) % 10 / 10.0 AS score FROM catalogue, LATERAL (SELECT unnest(range(total_chunks)) AS n))
 SELECT chunk, c.id, domain, score FROM ch JOIN catalogue c ON c.id = split_part(chunk, '_chunk_', 1) WHERE status = 'indexed' AND score >= 0.5""")
 def j1_chunks_documents(spark, sf_dir):
     c = V.catalogue(spark, sf_dir)
-    n = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("total_chunks"), F.lit(3)) - 1)).alias("n")
+    n = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_chunks") - 1)).alias("n")
     chunks = c.select("id", "priority", n).select(F.concat("id", F.lit("_chunk_"), F.col("n").cast("string")).alias("chunk"), ((F.col("priority") * 7 + F.col("n")) % 10 / 10.0).alias("score")).where("score >= 0.5")
     docs = c.where("status = 'indexed'").select("id", "domain")
     return chunks.withColumn("id", F.split_part("chunk", F.lit("_chunk_"), F.lit(1))).join(docs, "id").select("chunk", "id", "domain", "score")

@@ -32,14 +32,12 @@ def _place(spark, name: str) -> str:
 
 @query("WITH " + Q.SQL_RUNS + " SELECT query, gold_domain FROM gd")
 def s3_gold_map(spark, sf_dir):
-    """Gold written as one JSON map for each query and read back."""
+    """Gold written as one JSON map and read back; the query set bounds its size."""
     g = Q.gold(spark, sf_dir).groupBy("query").agg(F.array_sort(F.collect_set("gold_domain")).alias("d"))
     path = _place(spark, "s3")
-    as_map = F.create_map(F.col("query").cast("string"), F.struct(F.col("d").alias("relevantDomains")))
-    g.select(F.to_json(as_map).alias("value")).write.text(path)
-    lines = spark.read.text(path)
-    m = F.from_json("value", "map<string, struct<relevantDomains: array<string>>>")
-    return lines.select(F.explode(m).alias("query", "g")).where(~F.startswith("query", F.lit("_"))).select(F.col("query").cast("long").alias("query"), F.explode("g.relevantDomains").alias("gold_domain"))
+    entry = F.struct(F.col("query").cast("string"), F.struct(F.col("d").alias("relevantDomains")))
+    g.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.text(path)
+    return S.gold_map(spark, path).where("gold_domain IS NOT NULL").select(F.col("query").cast("long").alias("query"), "gold_domain")
 
 
 @query("""WITH e AS (SELECT user_id % 4 AS f, event_id, regexp_extract(props, '([0-9]+)', 1) AS k, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id % 4) AS n FROM events)
@@ -61,7 +59,7 @@ def s4_log_lines(spark, sf_dir):
 def s5_seed_urls(spark, sf_dir):
     path = _place(spark, "s5")
     V.table(spark, sf_dir, "pages").select(F.when(F.col("url").startswith("https:"), F.col("url")).otherwise(F.regexp_replace("url", "^http:", "ftp:")).alias("url"), F.regexp_extract("url", r"^https?://([^/?#:]+)", 1).alias("topic")).write.json(path)
-    return spark.read.schema("url string, topic string").json(path).where("url RLIKE '^https?://'").groupBy("topic").agg(F.count("*").alias("seeds"))
+    return S.seed_urls(spark, path).groupBy("topic").agg(F.count("*").alias("seeds"))
 
 
 @query("WITH " + TQ.SQL_CANDIDATES + " SELECT query, doc, round(least(0.05, list_sum(list_transform(['nd', 'st', 'zz'], lambda w: CASE WHEN contains(lower(title), w) THEN 0.04 WHEN contains(lower(text), w) THEN 0.02 ELSE 0.0 END)))::DOUBLE, 6) AS boost FROM cand")

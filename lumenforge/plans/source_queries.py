@@ -52,7 +52,8 @@ def s10_metric_export(spark, sf_dir):
     return spark.read.option("header", True).schema("metric string, value string").csv(path)
 
 
-@query()
+@query("""WITH g AS (SELECT event_id % 3 + 1 AS run, regexp_extract(props, '([0-9]+)', 1)::BIGINT % 20 AS q, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2)
+SELECT run, count(*) AS queries, sum(least(n, 10))::BIGINT AS hits, max(least(n, 10))::BIGINT AS deepest FROM g GROUP BY 1""")
 def s2_eval_reports(spark, sf_dir):
     """Events as evaluation reports, one JSON file for each of three runs, read back into rows."""
     path = _place(spark, "s2")
@@ -73,11 +74,11 @@ def s2_eval_reports(spark, sf_dir):
     return rows.groupBy("run").agg(F.countDistinct("query").alias("queries"), F.count("url").alias("hits"), F.max("rank").alias("deepest"))
 
 
-@query()
+@query("""SELECT floor(doc_id / 10)::BIGINT AS feed, count(*) AS articles, TIMESTAMP '2024-01-15 10:00:00' AS first FROM documents WHERE length(trim(regexp_replace(text, '[<>&]', ' ', 'g'))) >= 5 GROUP BY 1""")
 def s6_feeds(spark, sf_dir):
     """Documents as feed entries, ten to a feed, parsed back into articles."""
     d = V.table(spark, sf_dir, "documents")
-    safe = F.regexp_replace(F.substring("text", 1, 60), "[<>&]", " ")
+    safe = F.regexp_replace("text", "[<>&]", " ")
     item = F.concat(F.lit("<item><title><![CDATA["), safe, F.lit("]]></title><link>https://news.example.com/"), F.col("doc_id").cast("string"), F.lit("</link><pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate></item>"))
     feeds = d.groupBy(F.floor(F.col("doc_id") / 10).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.concat_ws("", F.sort_array(F.collect_list(item))), F.lit("</channel></rss>")).alias("xml"))
     return S.feed_items(feeds, "feed", "xml").groupBy("feed").agg(F.count("*").alias("articles"), F.min("published").alias("first"))

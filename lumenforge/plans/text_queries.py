@@ -132,9 +132,24 @@ def t19_injection_scan(spark, sf_dir):
     return s.groupBy("role", "severity", "quarantine").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH p AS (SELECT page_id AS i FROM pages) SELECT i AS page_id, 'Product' AS type, 'p' || i::VARCHAR AS name, least(i % 8, 5)::DOUBLE AS rating, (i % 100)::DOUBLE AS price, 0::BIGINT AS items FROM p WHERE i % 6 = 0
+UNION ALL SELECT i, 'Article', 'a' || i::VARCHAR, NULL, NULL, 0 FROM p WHERE i % 6 = 1 UNION ALL SELECT i, 'FAQPage', NULL, NULL, NULL, 2 FROM p WHERE i % 6 = 1
+UNION ALL SELECT i, 'Product', 'm' || i::VARCHAR, least(i % 7, 5)::DOUBLE, (i % 90)::DOUBLE, 0 FROM p WHERE i % 6 = 2 UNION ALL SELECT i, 'article', 't' || i::VARCHAR, NULL, (i % 80)::DOUBLE, 0 FROM p WHERE i % 6 = 3
+UNION ALL SELECT i, 'BreadcrumbList', NULL, NULL, NULL, 3 FROM p WHERE i % 6 = 4""")
 def t20_structured_data(spark, sf_dir):
-    return T.structured_data(V.table(spark, sf_dir, "pages"), "page_id", "html")
+    """The pages hold no structured data of their own, so each gets a snippet by its number: JSON-LD, a graph, microdata, meta tags, a breadcrumb list or none."""
+    made = [
+        '<script type="application/ld+json">{"@type":"Product","name":"p%1$d","aggregateRating":{"ratingValue":%2$d},"offers":[{"price":%3$d}]}</script><meta property="og:type" content="other">',
+        '<script type="application/ld+json">{"@graph":[{"@type":"Article","headline":"a%1$d"},{"@type":"FAQPage","mainEntity":[{"name":"x"},{"name":"y"}]}]}</script>',
+        '<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">m%1$d</b><meta itemprop="ratingValue" content="%4$d"><i itemprop="price">%5$d</i></div><meta property="og:type" content="other">',
+        '<meta property="og:type" content="article"><meta property="og:title" content="t%1$d"><meta property="product:price:amount" content="%6$d">',
+        '<script type="application/ld+json">[{"@type":"BreadcrumbList","itemListElement":[{"name":"a"},{"name":"b"},{"name":"c"}]}]</script>',
+        "",
+    ]
+    i = F.col("page_id")
+    snippet = F.element_at(F.array(*[F.format_string(m, i, i % 8, i % 100, i % 7, i % 90, i % 80) for m in made]), (i % 6 + 1).cast("int"))
+    pages = V.table(spark, sf_dir, "pages").withColumn("html", F.concat("html", snippet))
+    return T.structured_data(pages, "page_id", "html")
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'software|computer|program|code|data') THEN 'technology' WHEN regexp_matches(lower(text), 'market|stock|company|price') THEN 'business' WHEN regexp_matches(lower(text), 'health|doctor|medicine|disease') THEN 'health' WHEN regexp_matches(lower(text), 'research|physics|chemistry|biology') THEN 'science' ELSE 'general' END AS topic FROM documents")

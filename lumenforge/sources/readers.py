@@ -44,7 +44,12 @@ def log_lines(spark: SparkSession, path: str, marker: str = r"^=== run (\d+)") -
 
 
 def seed_urls(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema("url string, topic string").json(path).where("url RLIKE '^https?://'")
+    """(url, topic) of seed files: a JSON array, or an object a line; only http(s) URLs."""
+    one = "struct<url: string, topic: string>"
+    text = spark.read.text(path, wholetext=True)
+    lines = F.transform(F.split("value", r"\r?\n"), lambda x: F.from_json(x, one))
+    rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{one}>")).otherwise(lines)
+    return text.select(F.explode(rows).alias("s")).select("s.url", "s.topic").where("url RLIKE '^https?://'")
 
 
 def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
