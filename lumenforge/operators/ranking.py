@@ -65,9 +65,9 @@ def content_quality(text: Column) -> Column:
     return 0.25 * (band + lines + lexical + special)
 
 
-def mmr(df: DataFrame, key: str, item: str, score: str, domain: str, terms: str, k: int = 10, trade: float = 0.7, per_domain: int = 3) -> DataFrame:
+def mmr(df: DataFrame, key: str, item: str, score: str, domain: str, terms: str, k: int = 10, trade: float = 0.7, per_domain: int = 3, least: int = 5) -> DataFrame:
     """Maximal marginal relevance per key over a bounded pool: token Jaccard, at most per_domain rows of a domain, -0.15 for each
-    repeat of a domain. Ties by item. The pool of a key is one group, so callers bound it (top candidates)."""
+    repeat of a domain; below `least` rows it is refilled in the order of scores, at 0.8 of the score. Ties by item. The pool of a key is one group, so callers bound it (top candidates)."""
 
     def select(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values([score, item], ascending=[False, True]).reset_index(drop=True)
@@ -87,7 +87,9 @@ def mmr(df: DataFrame, key: str, item: str, score: str, domain: str, terms: str,
             for i in left:
                 union = len(sets[i] | sets[best])
                 nearest[i] = max(nearest[i], len(sets[i] & sets[best]) / union if union else 0.0)
-        out = pool.loc[chosen, [key, item, score]].copy()
+        filled = left[: max(0, min(least, k) - len(chosen))]  # left is in the order of scores
+        out = pool.loc[chosen + filled, [key, item, score]].copy()
+        out.loc[filled, score] *= 0.8
         out["place"] = np.arange(1, len(out) + 1)
         return out
 

@@ -120,6 +120,23 @@ def intent(text: Column) -> Column:
     return F.when(best["score"] > 0, best["label"]).otherwise("search")
 
 
+def query_labels(text: Column) -> list[Column]:
+    """intent, subtype, is_question and complexity (words, and two for each conjunction) of a query."""
+    label = intent(text)
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    wh = text.rlike(r"(?i)^(what|who|when|where|why|how)\b")
+    subtype = (
+        F.when(label == "question", F.when(text.rlike(r"(?i)^(how|why)\b"), "explanation").otherwise("fact"))
+        .when(label == "compare", "versus")
+        .when(label == "buy", F.when(text.rlike(r"(?i)\b(price|cheap)\b"), "price").otherwise("purchase"))
+        .when(label == "news", F.when(text.rlike(r"(?i)\b(latest|today)\b"), "latest").otherwise("topic"))
+        .otherwise(F.when(words <= 3, "short").otherwise("long"))
+    )
+    load = words + 2 * F.regexp_count(F.lower(text), F.lit(r"\b(and|or|but|und|et|y|if)\b"))
+    complexity = F.when(load < 8, "low").when(load < 30, "medium").otherwise("high")
+    return [label.alias("intent"), subtype.alias("subtype"), (wh | F.contains(text, F.lit("?"))).alias("is_question"), complexity.alias("complexity")]
+
+
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, mention, n): e-mail addresses, URLs, numbers with units, years and capitalised phrases."""
     kinds = {"email": r"[\w.+-]+@[\w-]+\.[\w.]+", "url": r"https?://[^\s<>\"]+", "quantity": r"\b\d+(?:\.\d+)?\s?(?:km|kg|m|cm|%|USD|EUR)\b", "year": r"\b(?:19|20)\d\d\b", "phrase": r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b"}

@@ -104,6 +104,19 @@ def test_chunks_cover_the_text():
     assert sum(len(p) for p in text_tables.cut_chunks(solid)) >= 5000 and text_tables.cut_chunks("") == []
 
 
+def test_mmr_refills_when_domains_are_full(spark):
+    rows = [(1, k, 1.0 - k / 10, "one", [f"w{k}"]) for k in range(6)]
+    out = ranking.mmr(spark.createDataFrame(rows, "q int, doc int, score double, domain string, words array<string>"), "q", "doc", "score", "domain", "words").orderBy("place").collect()
+    assert [(r.doc, round(r.score, 6)) for r in out] == [(0, 1.0), (1, 0.9), (2, 0.8), (3, 0.56), (4, 0.48)]
+
+
+def test_links_are_resolved_against_the_page(spark):
+    cases = {"c": "http://h/a/c", "./c": "http://h/a/c", "../c?x=../y": "http://h/c?x=../y", "/d/../e/.": "http://h/e/", "//o/p": "http://o/p", "?q": "http://h/a/b?q", "mailto:x": None, "https://z/../y": "https://z/y", "../../..": "http://h/"}
+    df = spark.createDataFrame([(k,) for k in cases], "href string")
+    got = {r.href: r.u for r in df.select("href", catalogue.resolved(F.lit("http://h/a/b?z"), F.col("href")).alias("u")).collect()}
+    assert got == cases
+
+
 def test_structured_data(spark):
     pages = [(1, '<script type="application/ld+json">{"@type":"Product","name":"P","offers":[{"price":"9.5"}],"aggregateRating":{"ratingValue":7}}</script>'), (2, '<script type="application/ld+json">{"@graph":[{"@type":"Article","headline":"H"},{"@type":"FAQPage"}]}</script>'), (3, '<script type="application/ld+json">broken{</script>')]
     got = sorted((r.page, r.type, r.name, r.rating, r.price) for r in text_tables.structured_data(spark.createDataFrame(pages, "page int, html string"), "page", "html").collect() if r.type != "FAQPage")
