@@ -23,8 +23,11 @@ whole; further columns pass unchanged, but an output replaces an old column of i
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +73,20 @@ LICENSE_WORD = r"(?i)licen[sc]e|copyright|\bspdx\b|permission (is|to use)|redist
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.\-_].*)?$"
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
+TOKEN = re.compile("[a-z0-9]+")
+
+
+def counted(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys, token, tf of each row's line; the tokens of a row are counted where it is read."""
+
+    def run(batches):
+        for batch in batches:
+            counts = [Counter(TOKEN.findall((x or "").lower())) for x in batch.column(len(keys)).to_pylist()]
+            rows = pa.array([k for k, c in enumerate(counts) for _ in c], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(len(keys))], pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], names=[*keys, "token", "tf"])
+
+    kinds = ", ".join(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in keys)
+    return lines.select(*keys, "line").mapInArrow(run, f"{kinds}, token string, tf long")
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -99,37 +114,39 @@ def units(texts: DataFrame) -> DataFrame:
     placed = texts.select("digest", lines.alias("lines"), F.explode(at).alias("i"))
     blocks = placed.select("digest", F.explode(F.array(*[F.concat_ws(" ", F.slice("lines", F.col("i") + 1, k)) for k in BLOCK_LINES])).alias("line"), F.lit(False).alias("whole"))
     every = blocks.unionByName(texts.select("digest", F.col("text").alias("line"), F.lit(True).alias("whole")))
-    return every.select("digest", F.sha2("line", 256).alias("unit"), "line", "whole")
+    return every.select("digest", F.unhex(F.substring(F.sha2("line", 256), 1, 32)).alias("unit"), "line", "whole")
 
 
 def cosines(units: DataFrame, known: DataFrame) -> DataFrame:
-    """unit, license, cosine, share (words that the template holds) of every pair of a unit (unit, line) and a template that reaches MIN_COSINE."""
-    tokens_of = lambda df, *by: df.select(*by, F.explode(tokens(F.col("line"))).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("tf"))
-    unit_tokens, template_tokens = kept(tokens_of(units, "unit"), "unit-tokens"), tokens_of(known, "template", "license")
+    """number, license, cosine, share (words that the template holds) of every pair of a unit (number, line) and a template that
+    reaches MIN_COSINE."""
+    unit_tokens, template_tokens = kept(counted(units, "number"), "unit-tokens"), counted(known, "template", "license")
     # frequencies over all units and templates; a partial sum per task is all that is shuffled for a frequent word
     counts = unit_tokens.groupBy("token").agg(F.count("*").alias("df")).unionByName(template_tokens.groupBy("token").agg(F.countDistinct("template").alias("df")))
     total = units.count() + known.count()
-    idf = kept(counts.groupBy("token").agg((F.log((total + 1) / (F.sum("df") + 1)) + 1).alias("idf")), "idf")
-    weighted = kept(unit_tokens.join(idf, "token").withColumn("w", (1 + F.log("tf")) * F.col("idf")), "weighted")
-    norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
+    idf = kept(counts.groupBy("token").agg((F.log((total + 1) / (F.sum("df") + 1)) + 1).alias("idf"), F.sum("df").alias("n")), "idf")
+    weighted = salted_join(unit_tokens, idf.select("token", "idf"), ["token"], idf.select("token", "n"), F.col("number")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norms = weighted.groupBy("number").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
     # the templates' tokens are a constant of the module, so this side is broadcast
     fixed = template_tokens.join(idf, "token").withColumn("v", (1 + F.log("tf")) * F.col("idf"))
     fixed_norm = fixed.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v_norm"))
     fixed = fixed.join(fixed_norm, "template").select("template", "license", "token", (F.col("v") / F.col("v_norm")).alias("v"))
-    dots = weighted.join(F.broadcast(fixed), "token").groupBy("unit", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sum("tf").alias("held"))
-    return dots.join(norms, "unit").select("unit", "license", (F.col("dot") / F.col("norm")).alias("cosine"), (F.col("held") / F.col("words")).alias("share")).where(F.col("cosine") >= MIN_COSINE)
+    dots = weighted.join(F.broadcast(fixed), "token").groupBy("number", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sum("tf").alias("held"))
+    return dots.join(norms, "number").select("number", "license", (F.col("dot") / F.col("norm")).alias("cosine"), (F.col("held") / F.col("words")).alias("share")).where(F.col("cosine") >= MIN_COSINE)
 
 
 def own_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     """digest, license, cosine, whole, n of each distinct text that has a licence: that of the whole text if it is a licence
     text, else that of its best header."""
     texts = kept(licensed_texts(df, text_col), "license-texts")  # all texts are read once
-    parts = kept(units(texts), "units")
-    scored = cosines(parts.groupBy("unit").agg(F.any_value("line").alias("line")), templates(df.sparkSession))
+    parts = units(texts)
+    distinct = kept(parts.groupBy("unit").agg(F.any_value("line").alias("line"), F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()), "units")
+    scored = cosines(distinct.select("number", "line"), templates(df.sparkSession))
     order = F.struct((-F.round("cosine", 9)).alias("c"), F.col("license"))
-    best = kept(scored.groupBy("unit").agg(F.min(order).alias("header"), F.min(F.when(F.col("share") >= MIN_SHARE, order)).alias("file")), "best")
+    found = scored.groupBy("number").agg(F.min(order).alias("header"), F.min(F.when(F.col("share") >= MIN_SHARE, order)).alias("file"))
+    best = kept(distinct.select("number", "unit", "n").join(found, "number").drop("number"), "best")
     members = parts.select("digest", "unit", "whole").distinct()
-    met = salted_join(members, best, ["unit"], members.groupBy("unit").agg(F.count("*").alias("n")), F.col("digest"))
+    met = salted_join(members, best.drop("n"), ["unit"], best.select("unit", "n"), F.col("digest"))
     found = met.select("digest", F.struct((~F.col("whole")).alias("part"), F.when(F.col("whole"), F.col("file")).otherwise(F.col("header")).alias("b")).alias("b")).where("b.b IS NOT NULL")
     return found.groupBy("digest").agg(F.min("b").alias("b")).select("digest", F.col("b.b.license").alias("license"), (-F.col("b.b.c")).alias("cosine"), (~F.col("b.part")).alias("whole")).join(texts.select("digest", "n"), "digest")
 
