@@ -85,7 +85,11 @@ def t27_phrase_votes(spark, sf_dir):
     return A.phrase_votes(V.catalogue(spark, sf_dir).select("language", "title"), "language", "title")
 
 
-@query()
+@query(f"""WITH {V.SQL_CATALOGUE}, r AS (SELECT id, domain, title FROM catalogue WHERE priority % 2 = 0), i AS (SELECT id AS image, domain, title FROM catalogue WHERE priority % 2 = 1),
+d AS (SELECT id, image FROM (SELECT id, image, row_number() OVER (PARTITION BY id ORDER BY image) AS rn FROM r JOIN i USING (domain)) WHERE rn <= 3),
+w AS (SELECT id, unnest(list_distinct(list_filter(list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({Q.STOPS})), lambda x: length(x) > 2))) AS w FROM r WHERE id NOT IN (SELECT id FROM d)), v AS (SELECT image, unnest(list_distinct(list_filter(list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({Q.STOPS})), lambda x: length(x) > 2))) AS w FROM i),
+m AS (SELECT id, image, row_number() OVER (PARTITION BY id ORDER BY image) AS rn FROM w JOIN v USING (w) GROUP BY id, image HAVING count(*) >= 2)
+SELECT id, image, 'domain' AS how FROM d UNION ALL SELECT id, image, 'title' FROM m WHERE rn = 1""")
 def j21_images(spark, sf_dir):
     """Pages of odd number as images of the others: by domain, else by title words."""
     c = V.catalogue(spark, sf_dir).select("id", "domain", "title", "priority")
@@ -147,7 +151,10 @@ def r5_hybrid_search(spark, sf_dir):
     return tagged.select("query", "doc", "rank", kind.alias("source"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query("WITH " + TQ.SQL_CANDIDATES + r""", w AS (SELECT *, list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM tok WHERE rank <= 15),
+s AS (SELECT query, doc, round(0.4 * least(1.0, 0.05 + 0.6 * len(list_intersect(list_distinct(terms), tt)) / len(terms) + 0.3 * len(list_intersect(list_distinct(terms), ct)) / len(terms) + 0.1 * exp(-(doc % 60) / 30.0))
+ + 0.2 * 0.25 * (CASE WHEN len(w) BETWEEN 50 AND 2000 THEN 1.0 WHEN len(w) > 0 THEN 0.5 ELSE 0 END + least(1.0, len(regexp_extract_all(text, '[.!?]')) / 5.0) + CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END + (1 - least(1.0, len(regexp_extract_all(text, '[#*$%&|<>]')) / greatest(length(text), 1) * 10)))
+ + 0.15 * exp(-(doc % 60) / 30.0) + 0.1 * (doc % 10 / 10.0) + 0.15 / rank, 6) AS s FROM w) SELECT query, doc, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) AS place FROM s""")
 def r9_heuristic_rerank(spark, sf_dir):
     """Weighted parts: relevance, content quality, recency, authority and rank."""
     c = TQ.candidates(spark, sf_dir, 15)

@@ -1,4 +1,4 @@
-"""Every query with SQL gives DuckDB's rows; every other one runs."""
+"""Every query with SQL gives DuckDB's rows; every other one gives distinct rows with values."""
 
 import pytest
 
@@ -8,6 +8,10 @@ from tests.oracle import compare, connect
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
+#: The given tables hold no statement with a unit in two sources.
+NO_ROWS = {"j17_conflicts"}
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
@@ -19,4 +23,6 @@ def test_query(spark, con, sf_dir, name):
     if name in SQL:
         assert compare(df, con, SQL[name]) == ""
     else:
-        df.collect()
+        rows = df.collect()
+        assert rows or name in NO_ROWS
+        assert all(any(v is not None for v in r) for r in rows) and len({tuple(map(repr, r)) for r in rows}) > len(rows) // 2
