@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenforge.operators import learning as L
 from lumenforge.plans import behaviour_queries as Q
+from lumenforge.plans import text_queries as TQ
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
 
@@ -27,9 +28,43 @@ SQL_LABELLED = f"""{V.SQL_IMPRESSIONS}, {V.SQL_CLICKS}, lab AS (SELECT s.impress
 W = f"WITH {SQL_LABELLED} "
 
 
-@query(W + "SELECT impression_id, url, label, round(f_position, 6) AS f_position, round(f_score, 6) AS f_score, f_hour, round(f_value, 6) AS f_value FROM lab")
+#: Sources that count as well known, as news and as academic.
+MAJOR, NEWS, ACADEMIC = ["src1", "src2"], ["src3"], ["src4"]
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    """Passages with their 20 best documents and what the features need: the age, authority and images of a document come from its
+    number, the visits to its source are the clicks of the user with the passage's number on that many results."""
+    c = TQ.candidates(spark, sf_dir, 20)
+    b = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
+    visits = V.table(spark, sf_dir, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("query")).agg(F.count("*").alias("visits"))
+    doc = F.col("doc")
+    x = c.join(b, "query").join(visits, "query", "left").select("query", "doc", "query_text", "title", F.col("text").alias("content"), F.col("source").alias("domain"), F.col("rank").alias("position"), F.coalesce("visits", F.lit(0)).alias("visits"))
+    return x.withColumns({"age_days": F.when(doc % 5 != 0, doc % 400), "has_images": doc % 2 == 0, "authority": doc % 4 / 10.0, "age_proxy": doc % 10 / 10.0, "source_share": doc % 7 / 7.0})
+
+
+SQL_PAIRS = TQ.SQL_CANDIDATES + """, vis AS (SELECT user_id AS query, count(*) AS visits FROM events WHERE event_type = 'click' GROUP BY 1),
+pr AS (SELECT c.query, c.doc, b.text AS qt, lower(b.text) AS ql, c.title, c.text AS content, lower(c.title) AS lt, lower(c.text) AS lc, c.source, c.rank, coalesce(visits, 0) AS visits,
+  list_distinct(list_filter(string_split_regex(lower(b.text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 1)) AS q, list_filter(string_split_regex(lower(c.title), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 1) AS t, list_filter(string_split_regex(lower(c.text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 1) AS w
+  FROM cand c JOIN benchmark b ON b.item_id = c.query LEFT JOIN vis ON vis.query = c.query),
+fx AS (SELECT *, least(1.0, length(qt) / 100) AS q_len, least(1.0, len(q) / 20) AS q_terms, CASE WHEN contains(ql, '?') THEN 1.0 ELSE 0 END AS q_has_question, CASE WHEN regexp_matches(ql, '[0-9]') THEN 1.0 ELSE 0 END AS q_has_number, 0.0 AS q_has_cjk,
+  least(1.0, length(title) / 200) AS title_len, least(1.0, length(content) / 2000) AS content_len, least(1.0, least(length(content), 200) / 200) AS snippet_len, CASE WHEN doc % 5 <> 0 THEN 1.0 ELSE 0 END AS has_date,
+  CASE WHEN doc % 5 = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, 1 - (doc % 400) / 365)) END AS date_recency, CASE WHEN doc % 2 = 0 THEN 1.0 ELSE 0 END AS has_images,
+  CASE WHEN len(q) = 0 OR lt = '' THEN 0 ELSE len(list_filter(q, lambda x: contains(lt, x))) / len(q) END AS title_overlap, CASE WHEN len(q) = 0 OR lc = '' THEN 0 ELSE len(list_filter(q, lambda x: contains(lc, x))) / len(q) END AS content_overlap,
+  CASE WHEN len(q) = 0 OR lc = '' THEN 0 ELSE len(list_filter(q, lambda x: contains(substr(lc, 1, 200), x))) / len(q) END AS snippet_overlap, CASE WHEN contains(lt, ql) THEN 1.0 ELSE 0 END AS title_exact_match,
+  least(1.0, coalesce(list_sum(list_transform(q, lambda x: ln(1 + 999000.5 / 1000.5) * len(list_filter(t, lambda y: y = x)) * 2.5 / (len(list_filter(t, lambda y: y = x)) + 1.5 * (0.25 + 0.75 * len(t) / 100.0)))), 0) / 10) AS bm25_title,
+  least(1.0, coalesce(list_sum(list_transform(q, lambda x: ln(1 + 999000.5 / 1000.5) * len(list_filter(w, lambda y: y = x)) * 2.5 / (len(list_filter(w, lambda y: y = x)) + 1.5 * (0.25 + 0.75 * len(w) / 100.0)))), 0) / 10) AS bm25_content,
+  CASE WHEN len(q) > 0 THEN least(1.0, len(list_intersect(q, w)) * ln(101) / (len(q) * 5)) ELSE 0 END AS tfidf_avg, (doc % 4) / 10.0 AS domain_authority, (doc % 10) / 10.0 AS domain_age_proxy, CASE WHEN source IN ('src1', 'src2') THEN 1.0 ELSE 0 END AS is_major_domain,
+  (doc % 7) / 7.0 AS result_source, least(1.0, rank / 20) AS result_position, CASE WHEN source = 'src3' THEN 1.0 ELSE 0 END AS is_news_source, CASE WHEN source = 'src4' THEN 1.0 ELSE 0 END AS is_academic_source,
+  CASE WHEN regexp_matches(ql, '\\b(news|latest|breaking|headline)') THEN 1.0 ELSE 0 END AS is_news, CASE WHEN regexp_matches(ql, '\\b(stock|market|price|finance|bank)') THEN 1.0 ELSE 0 END AS is_finance, 0.0 AS korean, 0.0 AS chinese,
+  CASE WHEN is_news > 0 THEN 1.0 WHEN is_finance > 0 THEN 2.0 ELSE 0 END / 3 AS query_type_num, CASE WHEN visits > 0 THEN 1.0 ELSE 0 END AS user_visited, least(1.0, visits / 10) AS user_visits_norm FROM pr)"""
+
+
+@query("WITH " + SQL_PAIRS + " SELECT query, doc, " + ", ".join(f"round({n}::DOUBLE, 6) AS {n}" for n in L.LONG_FEATURES) + " FROM fx")
 def m1_features(spark, sf_dir):
-    return labelled(spark, sf_dir).select("impression_id", "url", "label", F.round("f_position", 6).alias("f_position"), F.round("f_score", 6).alias("f_score"), "f_hour", F.round("f_value", 6).alias("f_value"))
+    """The 32 features of every passage with each of its 20 best documents."""
+    f = L.long_features(pairs(spark, sf_dir), MAJOR, NEWS, ACADEMIC)
+    return f.select("query", "doc", *[F.round(n, 6).alias(n) for n in L.LONG_FEATURES])
 
 
 @query(W + "SELECT count(*) AS examples, count(*) FILTER (label > 0) AS positives, count(*) FILTER (label <= 0) AS negatives, count(DISTINCT query) AS queries, count(DISTINCT url) AS domains FROM lab")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from lumenforge.functions import text as X
 from lumenforge.operators import evaluation as E
+from lumenforge.operators import learning as L
 from lumenforge.operators import ranking as K
 from lumenforge.operators import retrieval as R
 from lumenforge.operators import text_tables as T
@@ -20,7 +21,7 @@ from lumenforge.plans import text_queries as TQ
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
 from lumenforge.sources import readers as S
-from lumenforge.sources.storage import shared_dir
+from lumenforge.sources.storage import kept, shared_dir
 
 query = Registry()
 K_ = f"WITH {V.SQL_CATALOGUE} "
@@ -170,12 +171,12 @@ def e14_own_index(spark, sf_dir):
     return g.select("query").distinct().join(f, "query", "left").select("query", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
-@query(LQ.W + "SELECT impression_id, url, round(f_score, 6) AS v1_score, round(f_position, 6) AS v1_position FROM lab")
+@query("WITH " + LQ.SQL_PAIRS + " SELECT query, doc, " + ", ".join(f"round({L.LONG_FEATURES[k]}::DOUBLE, 6) AS s{n}" for n, k in enumerate(L.SHORT_PLACES)) + " FROM fx")
 def m2_projected_features(spark, sf_dir):
-    """The long feature vector projected to the short one by index."""
-    rows = LQ.labelled(spark, sf_dir).withColumn("v", F.array(*LQ.FEATURES))
-    short = F.transform(F.array(F.lit(1), F.lit(0)), lambda i: F.get("v", i))
-    return rows.select("impression_id", "url", short.alias("s")).select("impression_id", "url", F.round(F.get("s", F.lit(0)), 6).alias("v1_score"), F.round(F.get("s", F.lit(1)), 6).alias("v1_position"))
+    """The long feature vector projected to the short one of sixteen places."""
+    long = kept(L.long_features(LQ.pairs(spark, sf_dir), LQ.MAJOR, LQ.NEWS, LQ.ACADEMIC).select("query", "doc", F.array(*L.LONG_FEATURES).alias("long")), "features")
+    rows = long.select("query", "doc", L.projected(F.col("long")).alias("s"))
+    return rows.select("query", "doc", *[F.round(F.get("s", F.lit(k)), 6).alias(f"s{k}") for k in range(len(L.SHORT_PLACES))])
 
 
 @query(LQ.W + "SELECT query, count(*) AS examples, sum(label)::BIGINT AS positives FROM lab JOIN impressions i USING (impression_id) WHERE i.ts >= TIMESTAMP '2024-01-10' GROUP BY 1".replace("SELECT query", "SELECT lab.query"))
