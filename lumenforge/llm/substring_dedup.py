@@ -152,6 +152,16 @@ def flags_of(column: pa.Array, base: np.ndarray) -> np.ndarray:
     return covered(at[0::2], at[1::2], int(base[-1]))
 
 
+def parts_of(batches, words: int = 1 << 18):
+    """Slices of the batches of documents with about `words` words each (column 2), so that a task's arrays stay small."""
+    for batch in batches:
+        total = np.cumsum(batch.column(2).to_numpy().astype(np.int64)) // words
+        edges = np.append(np.flatnonzero(np.diff(total, prepend=-1)), batch.num_rows).tolist()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
 STATE = "id long, key binary, n int, alive array<int>, known array<int>, name array<long>, left array<long>, right array<int>, start array<int>, size array<int>, open boolean"
 
 
@@ -234,7 +244,7 @@ def first_state(joined: DataFrame, window: int) -> DataFrame:
     """State after round 1. joined: first_phrases with their names. alive: windows that are told; known: repeated ones."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             n = batch.column(2).to_numpy().astype(np.int64)
             base = np.append(0, np.cumsum(n - window + 1))
             ids = batch.column(0).to_numpy()
@@ -272,7 +282,7 @@ def next_state(joined: DataFrame, window: int) -> DataFrame:
     """State after a later round. joined: the state before with the names of its phrases."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             n = batch.column(2).to_numpy().astype(np.int64)
             base = np.append(0, np.cumsum(n - window + 1))
             ids = batch.column(0).to_numpy()
