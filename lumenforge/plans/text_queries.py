@@ -87,7 +87,10 @@ def t14_keywords(spark, sf_dir):
 
 
 T15_LEADS = ["", "how does ", "what is ", "latest news on ", "buy cheap ", "compare ", "price of "]
-T15_TEXT = F.concat(F.element_at(F.array(*[F.lit(x) for x in T15_LEADS]), (F.col("conv_id") % 7 + 1).cast("int")), F.coalesce("text", F.lit("")))
+
+
+def t15_text():
+    return F.concat(F.element_at(F.array(*[F.lit(x) for x in T15_LEADS]), (F.col("conv_id") % 7 + 1).cast("int")), F.coalesce("text", F.lit("")))
 
 
 @query(r"""WITH u AS (SELECT ['', 'how does ', 'what is ', 'latest news on ', 'buy cheap ', 'compare ', 'price of '][conv_id % 7 + 1] || coalesce(text, '') AS t FROM conversations WHERE role = 'user'),
@@ -100,7 +103,7 @@ FROM (SELECT *, CASE WHEN greatest(question, compare, buy, news) = 0 THEN 'searc
   words + 2 * len(regexp_extract_all(lower(t), '\b(and|or|but|und|et|y|if)\b')) AS load FROM (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS words FROM s)) GROUP BY ALL""")
 def t15_intents(spark, sf_dir):
     """Mix of the user turns by label. The given turns hold no question or buying words, so each gets a lead by its number."""
-    c = V.table(spark, sf_dir, "conversations").where("role = 'user'").select(T15_TEXT.alias("text"))
+    c = V.table(spark, sf_dir, "conversations").where("role = 'user'").select(t15_text().alias("text"))
     return c.groupBy(*T.query_labels(F.col("text"))).agg(F.count("*").alias("n"))
 
 
