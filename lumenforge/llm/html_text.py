@@ -165,7 +165,8 @@ class Reader:
             self.close_items(ITEMS[tag])
         node = Node(tag, self.open[-1])
         node.cut = tag in CUT or tag == "header" and self.last(("article", "main")) < 0
-        _attributes(node, raw)
+        if raw:
+            _attributes(node, raw)
         self.open[-1].parts.append(node)
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             return at
