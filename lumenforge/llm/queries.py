@@ -1,4 +1,4 @@
-"""Queries of the ten operators, one thin function each over whole tables."""
+"""Queries of the operators, one thin function each over whole tables."""
 
 from __future__ import annotations
 
@@ -76,7 +76,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(spark, docs, table(spark, sf_dir, "labels")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_html_text, op4_jaccard_join, op5_licenses, op6_chat, op7_substring_dedup, op8_toxicity, op9_ogg, op10_quality)}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lumenforge.llm import token_counts
+
+    return token_counts.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_html_text, op4_jaccard_join, op5_licenses, op6_chat, op7_substring_dedup, op8_toxicity, op9_ogg, op10_quality, op12_token_counts)}
 
 ORACLE_SQL = {
     "op6_chat": r"""
