@@ -84,7 +84,13 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_html_text, op4_jaccard_join, op5_licenses, op6_chat, op7_substring_dedup, op8_toxicity, op9_ogg, op10_quality, op12_token_counts)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenforge.llm import conversation_trie
+
+    return conversation_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_html_text, op4_jaccard_join, op5_licenses, op6_chat, op7_substring_dedup, op8_toxicity, op9_ogg, op10_quality, op12_token_counts, op13_conversation_trie)}
 
 ORACLE_SQL = {
     "op6_chat": r"""
@@ -100,4 +106,24 @@ t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        formatted_chars::BIGINT AS formatted_chars, regexp_full_match(roles, 's?u(au)*a?') AS valid
 FROM t""",
+    # crc32 by its table; a node is told by the list of its turns, a subtree by the prefixes of its nodes
+    "op13_conversation_trie": r"""
+WITH RECURSIVE bits(b, k, v) AS (SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc(conv_id, i, v) AS (SELECT conv_id, 0, 4294967295 FROM own
+  UNION ALL SELECT conv_id, i + 1, xor(crc.v >> 8, bits.v) FROM crc JOIN bits ON k = 8 AND b = xor(crc.v & 255, ascii(substr(conv_id::VARCHAR, i + 1, 1))) WHERE i < length(conv_id::VARCHAR)),
+heads AS (SELECT conv_id, (xor(v, 4294967295) % 4)::BIGINT AS h FROM crc WHERE i = length(conv_id::VARCHAR)),
+built AS (SELECT own.conv_id, list_concat(coalesce(base.turns[1:h], []), own.turns[h + 1:]) AS turns
+          FROM own JOIN heads USING (conv_id) LEFT JOIN own AS base ON base.conv_id = own.conv_id - own.conv_id % 20),
+prefixes AS (SELECT conv_id, turns[1:d] AS path, d, d = len(turns) AS ended FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+node AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM prefixes GROUP BY path, d),
+family AS (SELECT a.*, p.conv_id AS parent_conv_id,
+                  CASE WHEN a.d = 0 THEN 0 ELSE (a.n_convs - 1) * len(regexp_extract_all(a.path[a.d].text, '[^\x20\x09-\x0D]+')) END AS saves
+           FROM node a LEFT JOIN node p ON p.d = a.d - 1 AND p.path = a.path[1:a.d - 1]),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT f.*, coalesce(k.n, 0) AS n_children FROM family f LEFT JOIN kids k USING (path)),
+below AS (SELECT path[1:k] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saves)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM whole) GROUP BY ALL)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM whole JOIN below USING (path)""",
 }

@@ -13,7 +13,7 @@ def test_sql(spark, sf_dir, name):
     assert compare(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op6_chat", "op3_html_text"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op6_chat", "op3_html_text", "op11_ranked_search", "op13_conversation_trie"}))
 def test_row_for_each_document(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
