@@ -121,16 +121,20 @@ class Words:
 
     def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the words a[i] and b[i] have the same bytes."""
+        return self.equal_to(a, self, b)
+
+    def equal_to(self, a: np.ndarray, other: Words, b: np.ndarray) -> np.ndarray:
+        """Whether the words a[i] and the words b[i] of other have the same bytes."""
         length = self.ends[a] - self.starts[a]
-        same = length == self.ends[b] - self.starts[b]
+        same = length == other.ends[b] - other.starts[b]
         who, k = np.flatnonzero(same), 0
         while len(who) and k < LONG_WORD // 8:
-            good = self._eight(a[who], k) == self._eight(b[who], k)
+            good = self._eight(a[who], k) == other._eight(b[who], k)
             same[who[~good]] = False
             k += 1
             who = who[good & (length[who] > 8 * k)]
         for w in who.tolist():
-            same[w] = np.array_equal(self.data[self.starts[a[w]] : self.ends[a[w]]], self.data[self.starts[b[w]] : self.ends[b[w]]])
+            same[w] = np.array_equal(self.data[self.starts[a[w]] : self.ends[a[w]]], other.data[other.starts[b[w]] : other.ends[b[w]]])
         return same
 
     def exact_ids(self) -> np.ndarray:

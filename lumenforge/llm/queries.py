@@ -76,6 +76,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(spark, docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenforge.llm import ranked_search
+
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,7 +96,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.nodes(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_html_text, op4_jaccard_join, op5_licenses, op6_chat, op7_substring_dedup, op8_toxicity, op9_ogg, op10_quality, op12_token_counts, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_html_text, op4_jaccard_join, op5_licenses, op6_chat, op7_substring_dedup, op8_toxicity, op9_ogg, op10_quality, op11_ranked_search, op12_token_counts, op13_conversation_trie)}
 
 ORACLE_SQL = {
     "op6_chat": r"""
@@ -106,6 +112,18 @@ t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        formatted_chars::BIGINT AS formatted_chars, regexp_full_match(roles, 's?u(au)*a?') AS valid
 FROM t""",
+    "op11_ranked_search": r"""
+WITH told AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+doc AS (SELECT row, doc_id, t, len(t) AS n FROM told WHERE len(t) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM doc),
+item AS (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+posting AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(t) AS term FROM doc) WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
+gain AS (SELECT row, doc_id, p.term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))) AS g
+         FROM posting p JOIN held USING (term) CROSS JOIN total),
+ranked AS (SELECT item, item_id, doc_id, sum(g)::BIGINT AS score, row_number() OVER (PARTITION BY item ORDER BY sum(g) DESC, doc_id) AS rank
+           FROM item JOIN gain USING (term) GROUP BY item, item_id, row, doc_id HAVING sum(g) > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
     # crc32 by its table; a node is told by the list of its turns, a subtree by the prefixes of its nodes
     "op13_conversation_trie": r"""
 WITH RECURSIVE bits(b, k, v) AS (SELECT range, 0, range FROM range(256)
