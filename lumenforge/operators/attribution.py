@@ -78,21 +78,3 @@ def attach(results: DataFrame, images: DataFrame, key: str, domain: str, title:
     left = results.join(same.select(key).distinct(), key, "left_anti")
     shared = words(left, key).join(words(images, image), "w").groupBy(key, image).agg(F.count("*").alias("m")).where("m >= 2")
     return same.unionByName(newest(shared, [key], [image], 1).select(key, image, F.lit("title").alias("how")))
-
-
-def near_pairs(df: DataFrame, key: str, words: Column, least: float) -> DataFrame:
-    """(a, b, similarity): pairs of keys whose word sets have a Jaccard of at least `least`.
-
-    Candidates share a word of the prefix under a seldom-first order, so none is lost; equal sets are one class and meet as one.
-    """
-    listed = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(words)).alias("w")).where(F.size("w") > 0)
-    classes = listed.groupBy("w").agg(F.min("k").alias("c"))
-    df_ = classes.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    terms = classes.select("c", F.size("w").alias("size"), F.explode("w").alias("t")).join(df_, "t")
-    ordered = terms.groupBy("c", "size").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("o"))
-    prefix = ordered.select("c", "size", F.explode(F.slice("o", F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int"))).alias("p")).select("c", "size", "p.t")
-    other = prefix.select(F.col("c").alias("d"), F.col("size").alias("size_d"), "t")
-    pairs = prefix.join(other, "t").where((F.col("c") < F.col("d")) & (F.least("size", "size_d") >= least * F.greatest("size", "size_d") - 1e-9)).select("c", "d").distinct()
-    a, b = classes.select("c", F.col("w").alias("wa")), classes.select(F.col("c").alias("d"), F.col("w").alias("wb"))
-    s = pairs.join(a, "c").join(b, "d").withColumn("similarity", F.round(X.jaccard(F.col("wa"), F.col("wb")), 6))
-    return s.where(F.col("similarity") >= least).select(F.col("c").alias("a"), F.col("d").alias("b"), "similarity")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenforge.functions import text as X
+from lumenforge.operators import clusters as C
+from lumenforge.sources.storage import kept
 
 MAX_CHARS, MIN_CHARS, OVERLAP, SMALL_TOKENS = 1200, 200, 200, 300
 
@@ -166,26 +168,114 @@ def structured_data(pages: DataFrame, page: str, html: str) -> DataFrame:
     return first.unionByName(tags.join(first.select(page).distinct(), page, "left_anti"))
 
 
-def claims(df: DataFrame, key: str, text: str, per_source: int = 6) -> DataFrame:
-    """(key, n, claim, negated, value, unit): up to per_source sentences of 40 to 300 characters that state a number or use a stating verb."""
-    s = df.select(key, F.posexplode(X.sentences(F.col(text))).alias("n", "claim")).where(F.char_length("claim").between(40, 300))
-    score = F.when(F.col("claim").rlike(r"\d"), 1.0).otherwise(0.0) + F.when(F.col("claim").rlike(r"(?i)\b(is|are|was|were|has|have|will)\b"), 0.5).otherwise(0.0)
+#: Words that negate a statement, by language, and units of quantities.
+NEGATIONS = (
+    r"(?i)(?:^|[^\p{L}\p{N}_])(?:not|never|nobody|nothing|neither|denie[sd]|deny|refused?|refuses|lacks?|fails? to|cannot"
+    r"|(?:do|does|is|are|was|were|has|have|ca|wo|would|should)n['\x{2019}]?t|nicht|keine?|keine[mnrs]|niemals|jamais|nunca|tampoco)(?:$|[^\p{L}\p{N}_])"
+    r"|아니|않|없|못|불가|부정|거부|반대|不|没有|无法|否认|缺乏|反对|拒绝|ない|ません|できず|拒否"
+)
+UNITS = r"(%|percent|％|pp|bp|만|억|조|원|달러|엔|유로|billion|trillion|million|thousand|개|년|월|kg|km|gb|tb|mb|hz|ghz)"
+#: Phrases of page furniture.
+FURNITURE = r"(?i)subscribe|newsletter|cookie|click here|sign up|log in|©|copyright|all rights reserved|javascript|menu|footer|privacy policy|terms of service|skip to content"
+#: Lengths of a claim; half and one and a half of them for CJK text.
+CLAIM_LENGTHS = (40, 300)
+
+
+def claims(df: DataFrame, key: str, text: str, per_source: int | None = 6) -> DataFrame:
+    """(key, n, claim, score, negated, quantities): the per_source most telling sentences of each row (all, if None).
+
+    A sentence has a claim's length and a score above 0: 0.35 for 60 to 220 characters or 0.15 for another length, 0.3 with a digit, 0.2 for CJK
+    or 0.15 for a capitalised word, less 0.6 for page furniture and 0.5 for a run of one character. Equal sentences of a row count
+    once. quantities: distinct (unit, value) of the numbers with a unit.
+    """
+    low, high = CLAIM_LENGTHS
+    s = df.select(key, F.posexplode(X.sentences(F.col(text))).alias("n", "claim"))
+    size, cjk = F.char_length("claim"), F.col("claim").rlike(X.CJK)
+    s = s.where(F.when(cjk, size.between(low // 2, high + high // 2)).otherwise(size.between(low, high)))
+    # in hundredths, so that sums are exact
+    score = (
+        F.when(size.between(60, 220), 35).when(size >= 40, 15).otherwise(0)
+        + F.when(F.col("claim").rlike(r"\d"), 30).otherwise(0)
+        + F.when(cjk, 20).when(F.col("claim").rlike(r"[A-Z][a-z]+|[A-Z]{2,}"), 15).otherwise(0)
+        - F.when(F.col("claim").rlike(FURNITURE), 60).otherwise(0)
+        - F.when(F.col("claim").rlike(r"(.)\1{5,}"), 50).otherwise(0)
+    )
     s = s.withColumn("score", score).where("score > 0").withColumn("k", X.text_key(F.col("claim")))
     s = s.withColumn("_d", F.row_number().over(Window.partitionBy(key, "k").orderBy("n"))).where("_d = 1")
-    s = s.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "n"))).where(F.col("_p") <= per_source)
-    number = F.regexp_extract("claim", r"(\d+(?:\.\d+)?)\s?(%|km|kg|million|billion)?", 1).try_cast("double")
-    return s.select(key, F.col("n").cast("long").alias("n"), "claim", F.col("claim").rlike(r"(?i)\b(not|no|never)\b").alias("negated"), number.alias("value"), F.regexp_extract("claim", r"\d+(?:\.\d+)?\s?(%|km|kg|million|billion)", 1).alias("unit"))
-
-
-def conflicts(claims_: DataFrame, group: str, item: str) -> DataFrame:
-    """Pairs of a group with one unit whose values differ by over 15% and at least 1 (numeric), or of which one is negated (negation)."""
-    a = claims_.select(group, F.col(item).alias("a"), F.col("unit").alias("unit_a"), F.col("value").alias("value_a"), F.col("negated").alias("neg_a"))
-    b = claims_.select(F.col(group).alias("g2"), F.col(item).alias("b"), F.col("unit").alias("unit_b"), F.col("value").alias("value_b"), F.col("negated").alias("neg_b"))
-    pairs = a.join(b, (F.col(group) == F.col("g2")) & (F.col("unit_a") == F.col("unit_b")) & (F.col("a") < F.col("b")))
-    gap = F.abs(F.col("value_a") - F.col("value_b"))
-    numeric = (gap >= 1) & (gap / F.greatest(F.abs("value_a"), F.abs("value_b")) > 0.15)
-    kind = F.when(numeric, "numeric").when(F.col("neg_a") != F.col("neg_b"), "negation")
-    return pairs.withColumn("kind", kind).where("kind IS NOT NULL").select(group, "a", "b", "kind").dropDuplicates()
+    if per_source is not None:
+        s = s.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "n"))).where(F.col("_p") <= per_source)
+    told = F.regexp_extract_all("claim", F.lit(r"(?i)(\d+(?:[.,]\d+)*)\s*" + UNITS), 0)
+    quantity = F.transform(told, lambda m: F.struct(F.lower(F.regexp_extract(m, r"(?i)" + UNITS + "$", 1)).alias("unit"), F.regexp_replace(F.regexp_extract(m, r"^([\d.,]+)", 1), ",", "").try_cast("double").alias("value")))
+    return s.select(key, F.col("n").cast("long").alias("n"), "claim", (F.col("score") / 100).alias("score"), F.col("claim").rlike(NEGATIONS).alias("negated"), F.array_sort(F.array_distinct(F.filter(quantity, lambda q: q.value.isNotNull()))).alias("quantities"))
+
+
+def claim_clusters(claims_: DataFrame, item: str, least: float = 0.55, with_quantity: float = 0.3) -> DataFrame:
+    """claims_ with cluster: the least item of the claims that are linked with it.
+
+    Two claims are linked if the Dice overlap of their words is `least`, or `with_quantity` if they share a quantity. A claim without
+    words is a cluster of its own. A Dice overlap d is a Jaccard of d / (2 - d).
+    """
+    words = X.tokens(F.col("claim"))
+    classes = C.set_classes(claims_, item, words)
+    sets = kept(classes.select("c", "w").distinct(), "claim-sets")
+    links = C.class_pairs(sets, least / (2 - least)).select("a", "b")
+    counted = claims_.where(F.size("quantities") > 0).select(F.col(item).alias("k"), "quantities")
+    told = classes.join(counted, "k").groupBy("c", "w").agg(F.array_distinct(F.flatten(F.collect_set("quantities"))).alias("q"))
+    if not told.isEmpty():
+        told = kept(told, "claim-quantities")
+        near = C.class_pairs(told.select("c", "w"), with_quantity / (2 - with_quantity)).select("a", "b")
+        both = near.join(told.select(F.col("c").alias("a"), F.col("q").alias("qa")), "a").join(told.select(F.col("c").alias("b"), F.col("q").alias("qb")), "b")
+        links = links.unionByName(both.where(F.arrays_overlap("qa", "qb")).select("a", "b"))
+    found = C.clusters(classes, links)
+    return claims_.join(found.withColumnRenamed("k", item), item, "left").withColumn("cluster", F.coalesce("cluster", item))
+
+
+def conflicts(clustered: DataFrame, item: str) -> DataFrame:
+    """(cluster, kind, unit, a, b, n_a, n_b): what contradicts inside clusters of claims, without forming the pairs of a cluster.
+
+    negation: once for a cluster with denied and stated claims; a is the least stated and b the least denied item, n_a and n_b
+    their numbers. numeric: claims of a cluster with one unit and value are a class (n_a claims, a the least item); it contradicts
+    every larger value of that unit that exceeds it by 1 or more and by over 15 % of the larger one. n_b counts these claims and b is the
+    least item of the nearest such value. Their places are found by running counts over the sorted values, so a class is one row.
+    """
+    denied = F.col("negated")
+    sides = clustered.groupBy("cluster").agg(F.min(F.when(~denied, F.col(item))).alias("a"), F.min(F.when(denied, F.col(item))).alias("b"), F.count_if(~denied).alias("n_a"), F.count_if(denied).alias("n_b"))
+    negation = sides.where("n_a > 0 AND n_b > 0").select("cluster", F.lit("negation").alias("kind"), F.lit("").alias("unit"), "a", "b", "n_a", "n_b")
+    told = clustered.select("cluster", item, F.explode("quantities").alias("q"))
+    classes = told.groupBy("cluster", "q.unit", "q.value").agg(F.min(item).alias("a"), F.count("*").alias("n_a"))
+
+    def beyond(at: Column, probe: Column, first: int, out: str) -> DataFrame:
+        """For each class, the claims at or behind its probe on a sorted axis; first: whether classes or probes come first on ties."""
+        on = classes.select("cluster", "unit", at.alias("x"), F.lit(first).alias("turn"), F.lit(None).cast("double").alias("own"), "n_a", F.struct("value", "a").alias("named"))
+        asks = classes.select("cluster", "unit", probe.alias("x"), F.lit(1 - first).alias("turn"), F.col("value").alias("own"), F.lit(0).cast("long").alias("n_a"), F.lit(None).cast("struct<value:double,a:string>").alias("named"))
+        behind = Window.partitionBy("cluster", "unit").orderBy(F.desc("x"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = on.withColumn("named", F.col("named").cast("struct<value:double,a:string>")).unionByName(asks)
+        return ranked.withColumn("n", F.sum("n_a").over(behind)).withColumn("next", F.min("named").over(behind)).where("own IS NOT NULL").select("cluster", "unit", F.col("own").alias("value"), F.struct("n", "next").alias(out))
+
+    # both conditions hold from a place on: the later of the two places is the one with fewer claims behind it
+    one = beyond(F.col("value"), F.col("value") + 1, 1, "one")
+    share = beyond(F.col("value") * 0.85, F.col("value"), 0, "share")
+    both = classes.join(one, ["cluster", "unit", "value"]).join(share, ["cluster", "unit", "value"]).withColumn("far", F.when(F.col("one.n") <= F.col("share.n"), F.col("one")).otherwise(F.col("share")))
+    numeric = both.where("far.n > 0").select("cluster", F.lit("numeric").alias("kind"), "unit", "a", F.col("far.next.a").alias("b"), "n_a", F.col("far.n").alias("n_b"))
+    return negation.unionByName(numeric)
+
+
+def corroboration(clustered: DataFrame, item: str, source: str, conflicts_: DataFrame) -> DataFrame:
+    """(cluster, representative, n_claims, n_sources, agreement, conflicts, verdict, confidence) of each cluster of claims.
+
+    The representative is the claim of the greatest score. agreement: share of the other claims that come from another source than
+    it. conflicting: with a conflict; corroborated: two sources or more; else single-source. confidence: 0.25, 0.4 more if corroborated or 0.05 if single-source, a
+    fifth of the agreement, up to 0.1 for four sources, less 0.25 for each conflict; from 0 to 0.95.
+    """
+    best = F.min_by(F.struct(F.col(item).alias("item"), F.col(source).alias("source")), F.struct(-F.col("score"), F.col(item))).alias("best")
+    sides = clustered.groupBy("cluster", F.col(source).alias("_source")).agg(F.count("*").alias("n"), best, F.min(F.struct(-F.col("score"), F.col(item))).alias("rank"))
+    whole = sides.groupBy("cluster").agg(F.sum("n").alias("n_claims"), F.count("_source").alias("n_sources"), F.min_by("best", "rank").alias("best"), F.min_by("n", "rank").alias("own"))
+    found = whole.join(conflicts_.groupBy("cluster").agg(F.count("*").alias("conflicts")), "cluster", "left").na.fill(0, ["conflicts"])
+    agreement = F.when(F.col("n_claims") > 1, (F.col("n_claims") - F.col("own")) / (F.col("n_claims") - 1)).otherwise(0.0)
+    verdict = F.when(F.col("conflicts") > 0, "conflicting").when(F.col("n_sources") >= 2, "corroborated").otherwise("single-source")
+    found = found.withColumn("agreement", agreement).withColumn("verdict", verdict)
+    raw = 0.25 + F.when(F.col("verdict") == "corroborated", 0.4).when(F.col("verdict") == "single-source", 0.05).otherwise(0.0) + 0.2 * F.col("agreement") + 0.1 * F.least(F.col("n_sources") / 4, F.lit(1.0)) - 0.25 * F.col("conflicts")
+    return found.select("cluster", F.col("best.item").alias("representative"), "n_claims", "n_sources", F.round("agreement", 6).alias("agreement"), "conflicts", "verdict", F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(0.95)), 6).alias("confidence"))
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from lumenforge.functions import text as X
 from lumenforge.operators import attribution as A
+from lumenforge.operators import clusters as C
 from lumenforge.operators import learning as L
 from lumenforge.operators import ranking as K
 from lumenforge.operators import retrieval as R
+from lumenforge.operators.joins import salted_join
 from lumenforge.plans import retrieval_queries as Q
 from lumenforge.plans import text_queries as TQ
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
+from lumenforge.sources.storage import kept
 
 query = Registry()
 SQL_FB = """fb AS (SELECT 'b' || (regexp_extract(props, '([0-9]+)', 1)::BIGINT % 4)::VARCHAR AS backend, 'q' || (regexp_extract(props, '([0-9]+)', 1)::BIGINT % 20)::VARCHAR AS query,
@@ -96,15 +99,34 @@ def j21_images(spark, sf_dir):
     return A.attach(c.where("priority % 2 = 0").select("id", "domain", "title"), c.where("priority % 2 = 1").select(F.col("id").alias("image"), "domain", "title"), "id", "domain", "title", "image")
 
 
-@query(f"""WITH w AS (SELECT item_id AS k, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({Q.STOPS})))) AS w FROM benchmark
+SQL_NEAR = f"""w AS (SELECT item_id AS k, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({Q.STOPS})))) AS w FROM benchmark
+ UNION ALL SELECT 1000000000 + doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({Q.STOPS})))) FROM documents
  UNION ALL SELECT 100000 + page_id, list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({Q.STOPS})))) FROM pages),
-c AS (SELECT w, min(k) AS c FROM w WHERE len(w) > 0 GROUP BY 1), p AS (SELECT a.c AS a, b.c AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM c a JOIN c b ON a.c < b.c)
-SELECT a, b, round(i / (n - i), 6) AS similarity FROM p WHERE round(i / (n - i), 6) >= 0.65""")
-def d5_near_titles(spark, sf_dir):
-    """Near-equal titles and passages by token Jaccard of 0.65 or more."""
+c AS (SELECT w, min(k) AS c FROM w WHERE len(w) > 0 GROUP BY 1), p AS (SELECT a.c AS a, b.c AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM c a JOIN c b ON a.c < b.c),
+link AS (SELECT a, b, round(i / (n - i), 6) AS similarity FROM p WHERE round(i / (n - i), 6) >= 0.65)"""
+
+
+def title_sets(spark, sf_dir):
     titles = V.catalogue(spark, sf_dir).select((F.lit(100000) + F.regexp_extract("id", r"(\d+)", 1).cast("long")).alias("k"), "title")
     both = titles.unionByName(V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("title")))
-    return A.near_pairs(both, "k", X.tokens(F.col("title")), 0.65)
+    both = both.unionByName(V.table(spark, sf_dir, "documents").select((F.lit(1_000_000_000) + F.col("doc_id")).alias("k"), F.split("text", "\n")[0].alias("title")))
+    return kept(C.set_classes(both, "k", X.tokens(F.col("title"))), "title-sets")
+
+
+@query("WITH " + SQL_NEAR + " SELECT * FROM link")
+def d5_near_titles(spark, sf_dir):
+    """Near-equal titles, first lines and passages by token Jaccard of 0.65 or more."""
+    return C.class_pairs(title_sets(spark, sf_dir).select("c", "w").distinct(), 0.65)
+
+
+@query("WITH RECURSIVE " + SQL_NEAR + """, ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), reach AS (SELECT c AS node, c AS r FROM c UNION SELECT node, ways.b FROM reach JOIN ways ON ways.a = r),
+least AS (SELECT node, min(r) AS cluster FROM reach GROUP BY node) SELECT k, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM w JOIN c USING (w) JOIN least ON node = c.c""")
+def d5_clusters(spark, sf_dir):
+    """Each title, first line or passage with the least key of its cluster of near-equal ones, and the cluster's size."""
+    classes = title_sets(spark, sf_dir)
+    found = C.clusters(classes, C.class_pairs(classes.select("c", "w").distinct(), 0.65))
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))
+    return salted_join(found, sizes, ["cluster"], sizes.withColumnRenamed("size", "n"), F.col("k")).select("k", "cluster", "size")
 
 
 @query("""SELECT conv_id, role, md5(text) AS digest FROM conversations GROUP BY ALL""")

@@ -181,24 +181,64 @@ def t28_hash_embedding(spark, sf_dir):
     return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"))
 
 
-@query()
+#: Sentences of a text: ends are marked by chr(1), the points of abbreviations by chr(2).
+SQL_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Dr|St|vs|etc|e\.g|i\.e)\.(\s)', '\1' || chr(2) || '\2', 'g'),
+ '([.!?])\s+', '\1' || chr(1), 'g'), '([\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: trim(replace(s, chr(2), '.'))), lambda s: s <> '')"""
+SQL_CLAIMS = f"""sent AS (SELECT doc_id, source, unnest(list_zip(range(len(s)), s)) AS x FROM (SELECT doc_id, source, {SQL_SENTENCES} AS s FROM documents)),
+sized AS (SELECT doc_id, source, x[1] AS n, x[2] AS claim, length(x[2]) AS size, regexp_matches(x[2], '{X.CJK}') AS cjk FROM sent),
+scored AS (SELECT doc_id, source, n, claim, CASE WHEN size BETWEEN 60 AND 220 THEN 35 WHEN size >= 40 THEN 15 ELSE 0 END + CASE WHEN regexp_matches(claim, '[0-9]') THEN 30 ELSE 0 END
+   + CASE WHEN cjk THEN 20 WHEN regexp_matches(claim, '[A-Z][a-z]+|[A-Z]{{2,}}') THEN 15 ELSE 0 END - CASE WHEN regexp_matches(claim, '{T.FURNITURE}') THEN 60 ELSE 0 END
+   - CASE WHEN len(list_filter(range(1, length(claim) - 4), lambda i: claim[i:i + 5] = repeat(claim[i], 6))) > 0 THEN 50 ELSE 0 END AS score
+   FROM sized WHERE CASE WHEN cjk THEN size BETWEEN 20 AND 450 ELSE size BETWEEN 40 AND 300 END),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(lower(claim), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) ORDER BY n) AS d FROM scored WHERE score > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n) AS p FROM firsts WHERE d = 1),
+claim AS (SELECT doc_id, source, doc_id || '-' || n AS id, n, claim, score, regexp_matches(claim, '{T.NEGATIONS.replace("'", "''")}') AS negated,
+   list_sort(list_distinct(list_transform(regexp_extract_all(claim, '(?i)[0-9]+(?:[.,][0-9]+)*\\s*{T.UNITS}'), lambda m: {{'unit': lower(regexp_extract(m, '(?i){T.UNITS}$')), 'value': try_cast(replace(regexp_extract(m, '^[0-9.,]+'), ',', '') AS DOUBLE)}}))) AS quantities
+   FROM placed WHERE p <= {{most}})"""
+#: Clusters by the least id that is reached over links of a Dice overlap of 0.55, or 0.3 with a common quantity; equal sets are one node.
+SQL_CLUSTERS = "RECURSIVE " + SQL_CLAIMS.replace("{most}", "100000") + f""", sets AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(lower(claim), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({STOPS})))) AS w FROM claim),
+class AS (SELECT w, min(id) AS c, len(w) AS size, flatten(list(quantities)) AS q FROM sets WHERE len(w) > 0 GROUP BY w),
+word AS (SELECT c, size, unnest(w) AS t FROM class),
+met AS (SELECT a.c AS a, b.c AS b, 2.0 * count(*) / (a.size + b.size) AS dice FROM word a JOIN word b ON a.t = b.t AND a.c <> b.c GROUP BY a.c, b.c, a.size, b.size),
+link AS (SELECT a, b FROM met JOIN class x ON x.c = a JOIN class y ON y.c = b WHERE dice >= 0.55 OR (dice >= 0.3 AND list_has_any(x.q, y.q))),
+reach AS (SELECT c AS node, c AS r FROM class UNION SELECT reach.node, link.b FROM reach JOIN link ON link.a = reach.r),
+least AS (SELECT node, min(r) AS cluster FROM reach GROUP BY node),
+told AS (SELECT sets.*, coalesce(cluster, id) AS cluster FROM sets LEFT JOIN class USING (w) LEFT JOIN least ON node = c),
+deny AS (SELECT cluster, 'negation' AS kind, '' AS unit, min(id) FILTER (NOT negated) AS a, min(id) FILTER (negated) AS b, count(*) FILTER (NOT negated) AS n_a, count(*) FILTER (negated) AS n_b FROM told GROUP BY cluster HAVING n_a > 0 AND n_b > 0),
+amount AS (SELECT cluster, q.unit AS unit, q.value AS value, min(id) AS a, count(*) AS n_a FROM (SELECT cluster, id, unnest(quantities) AS q FROM told) GROUP BY ALL),
+differ AS (SELECT x.cluster, 'numeric' AS kind, x.unit, x.a, arg_min(y.a, y.value) AS b, x.n_a, sum(y.n_a)::BIGINT AS n_b FROM amount x JOIN amount y ON x.cluster = y.cluster AND x.unit = y.unit AND y.value >= x.value + 1 AND y.value * 0.85 > x.value GROUP BY x.cluster, x.unit, x.value, x.a, x.n_a),
+conflict AS (SELECT * FROM deny UNION ALL SELECT * FROM differ)"""
+
+
+@query("WITH " + SQL_CLAIMS.replace("{most}", "6") + " SELECT doc_id, n, md5(claim) AS digest, round(score / 100, 6) AS score, negated, list_aggregate(list_transform(quantities, lambda q: q.value || ' ' || q.unit), 'string_agg', ', ') AS quantities FROM claim")
 def t29_claims(spark, sf_dir):
-    return T.claims(docs(spark, sf_dir), "doc_id", "text").select("doc_id", "n", F.md5("claim").alias("digest"), "negated", "value", "unit")
+    c = T.claims(docs(spark, sf_dir), "doc_id", "text")
+    told = F.nullif(F.concat_ws(", ", F.transform("quantities", lambda q: F.concat_ws(" ", q.value.cast("string"), q.unit))), F.lit(""))
+    return c.select("doc_id", "n", F.md5("claim").alias("digest"), F.round("score", 6).alias("score"), "negated", told.alias("quantities"))
 
 
-@query()
+def clustered_claims(spark, sf_dir):
+    """All claims of all documents with their clusters, kept because several results read them."""
+    d = docs(spark, sf_dir)
+    c = T.claims(d, "doc_id", "text", None).join(d.select("doc_id", "source"), "doc_id").withColumn("claim_id", F.concat_ws("-", "doc_id", "n"))
+    return kept(T.claim_clusters(kept(c, "claims"), "claim_id"), "claim-clusters")
+
+
+@query("WITH " + SQL_CLUSTERS + """, stat AS (SELECT cluster, count(*) AS n_claims, count(DISTINCT source) AS n_sources, arg_min({'id': id, 'source': source}, {'s': -score, 'id': id}) AS best FROM told GROUP BY cluster),
+full_ AS (SELECT s.*, (SELECT count(*) FROM told t WHERE t.cluster = s.cluster AND t.source IS NOT DISTINCT FROM s.best.source) AS own, (SELECT count(*) FROM conflict c WHERE c.cluster = s.cluster) AS conflicts FROM stat s),
+v AS (SELECT *, CASE WHEN n_claims > 1 THEN (n_claims - own) / (n_claims - 1) ELSE 0.0 END AS agreement, CASE WHEN conflicts > 0 THEN 'conflicting' WHEN n_sources >= 2 THEN 'corroborated' ELSE 'single-source' END AS verdict FROM full_)
+SELECT cluster, best.id AS representative, n_claims, n_sources, round(agreement, 6) AS agreement, conflicts, verdict,
+ round(least(greatest(0.25 + CASE verdict WHEN 'corroborated' THEN 0.4 WHEN 'single-source' THEN 0.05 ELSE 0.0 END + 0.2 * agreement + 0.1 * least(n_sources / 4, 1.0) - 0.25 * conflicts, 0.0), 0.95), 6) AS confidence FROM v""")
 def a46_corroboration(spark, sf_dir):
-    """Claims that several documents state: distinct sources, agreement and verdict."""
-    c = T.claims(docs(spark, sf_dir), "doc_id", "text").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id").withColumn("k", F.md5(X.text_key(F.col("claim"))))
-    g = c.groupBy("k").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("n"), F.round(F.count_if(~F.col("negated")) / F.count("*"), 6).alias("agreement"))
-    return g.withColumn("verdict", F.when((F.col("sources") >= 3) & (F.col("agreement") >= 0.7), "supported").when(F.col("agreement") < 0.5, "disputed").otherwise("unclear"))
+    """Clusters of claims that several documents state: sources, agreement, conflicts, verdict and confidence."""
+    c = clustered_claims(spark, sf_dir)
+    return T.corroboration(c, "claim_id", "source", T.conflicts(c, "claim_id"))
 
 
-@query()
+@query("WITH " + SQL_CLUSTERS + " SELECT * FROM conflict")
 def j17_conflicts(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    c = T.claims(d, "doc_id", "text").where("unit <> '' AND value IS NOT NULL").join(d.select("doc_id", "source"), "doc_id").withColumn("claim_id", F.concat_ws("-", "doc_id", "n"))
-    return T.conflicts(c, "source", "claim_id")
+    """Denied and stated claims, and quantities that differ, inside clusters of claims."""
+    return T.conflicts(clustered_claims(spark, sf_dir), "claim_id")
 
 
 def candidates(spark, sf_dir, k: int):

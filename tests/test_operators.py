@@ -129,10 +129,91 @@ def test_injection_scan(spark):
     assert [(r.labels, r.quarantine) for r in got[:3]] == [(["override"], True), (["delimiter"], False), ([], False)]
 
 
+def clustered(spark, rows):
+    """(cluster, claim_id, source, score, negated, quantities)."""
+    return spark.createDataFrame(rows, "cluster string, claim_id string, source string, score double, negated boolean, quantities array<struct<unit:string,value:double>>")
+
+
 def test_conflicts(spark):
-    rows = [("g", 1, "%", 10.0, False), ("g", 2, "%", 20.0, False), ("g", 3, "%", 10.5, True), ("g", 4, "kg", 10.0, False)]
-    got = sorted((r.a, r.b, r.kind) for r in text_tables.conflicts(spark.createDataFrame(rows, "g string, i int, unit string, value double, negated boolean"), "g", "i").collect())
-    assert got == [(1, 2, "numeric"), (1, 3, "negation"), (2, 3, "numeric")]
+    rows = [("g", "1", "s", 0.5, False, [("%", 10.0), ("km", 3.0)]), ("g", "2", "s", 0.8, False, [("%", 20.0)]), ("g", "3", "t", 0.1, True, [("%", 10.5)]), ("g", "4", "u", 0.1, False, [("kg", 10.0)]), ("g", "5", "u", 0.1, False, [("%", 20.0)]), ("h", "6", "u", 0.2, True, []), ("i", "7", "u", 0.2, False, [("%", 0.1), ("%", 0.9), ("%", 1.1)])]
+    df = clustered(spark, rows)
+    got = sorted(tuple(r) for r in text_tables.conflicts(df, "claim_id").collect())
+    assert got == [("g", "negation", "", "1", "3", 4, 1), ("g", "numeric", "%", "1", "2", 1, 2), ("g", "numeric", "%", "3", "2", 1, 2), ("i", "numeric", "%", "7", "7", 1, 1)]
+    told = {r.cluster: (r.representative, r.n_claims, r.n_sources, r.agreement, r.conflicts, r.verdict, r.confidence) for r in text_tables.corroboration(df, "claim_id", "source", text_tables.conflicts(df, "claim_id")).collect()}
+    assert told == {"g": ("2", 5, 3, 0.75, 3, "conflicting", 0.0), "h": ("6", 1, 1, 0.0, 0, "single-source", 0.325), "i": ("7", 1, 1, 0.0, 1, "conflicting", 0.025)}
+
+
+def test_conflicts_of_many_values_are_linear_and_complete(spark):
+    import random
+
+    rng = random.Random(6)
+    values = [round(rng.uniform(0, 60), 1) for _ in range(300)] + [0.0, 1.0, 1.0, 20.0, 20.0, 23.0]
+    rows = [("g", f"{k:03}", "s", 0.5, False, [("kg", v)]) for k, v in enumerate(values)]
+    got = {r.a: (r.n_a, r.n_b, r.b) for r in text_tables.conflicts(clustered(spark, rows), "claim_id").collect()}
+    want = {}
+    for v in set(values):
+        beyond = [w for w in values if w >= v + 1 and w * 0.85 > v]
+        if beyond:
+            first = lambda x: f"{values.index(x):03}"
+            want[first(v)] = (values.count(v), len(beyond), first(min(beyond)))
+    assert got == want
+
+
+def test_claim_clusters(spark):
+    texts = ["the red harbour bridge opened spring morning", "red harbour bridge opened in the spring morning", "red harbour bridge opened autumn evening today", "harbour rates rose by 5 % since january again", "harbour rates fell over 5 % after june", "the of and", "wholly other matter entirely"]
+    rows = [(None, f"{k}", "s", 0.5, False, [("%", 5.0)] if "5 %" in t else [], t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "x string, claim_id string, source string, score double, negated boolean, quantities array<struct<unit:string,value:double>>, claim string").drop("x")
+    got = {r.claim_id: r.cluster for r in text_tables.claim_clusters(df, "claim_id").collect()}
+    assert got == {"0": "0", "1": "0", "2": "0", "3": "3", "4": "3", "5": "5", "6": "6"}
+
+
+def test_components_of_chains_stars_and_a_hub(spark):
+    import random
+
+    from lumenforge.operators import clusters
+
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 1500)] + [(5000 + k, 6000 + rng.randint(0, 40)) for k in range(60)] + [(9, 9), (300, 299)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, seen = {}, set()
+    for n in sorted(near):
+        if n in seen:
+            continue
+        stack, part = [n], {n}
+        while stack:
+            new = near[stack.pop()] - part
+            part |= new
+            stack.extend(new)
+        seen |= part
+        want |= {m: n for m in part}
+    got = clusters.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b").collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_near_sets_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from lumenforge.functions import text as X
+    from lumenforge.operators import clusters, joins
+
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 7)
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:-1] + ["zz"]) for b in base] + ["", None, " ".join(base[0])]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    classes = clusters.set_classes(df, "k", X.tokens(F.col("t"))).cache()
+    sets = {}
+    for k, t in enumerate(texts):
+        w = frozenset((t or "").split())
+        if w:
+            sets.setdefault(w, k)
+    pairs = {(min(i, j), max(i, j)) for w, i in sets.items() for v, j in sets.items() if i < j and len(w & v) / len(w | v) >= 0.5}
+    got = clusters.class_pairs(classes.select("c", "w").distinct(), 0.5).collect()
+    assert {(r.a, r.b) for r in got} == pairs and len(got) == len(pairs)
+    assert {r.k: r.c for r in classes.collect()} == {k: sets[frozenset(t.split())] for k, t in enumerate(texts) if t}
 
 
 def test_fnv_and_normal(spark):
@@ -244,8 +325,8 @@ def test_claims_differ_after_eighty_characters(spark, tmp_path):
     got = sorted((r.doc_id, r.n, r.negated) for r in text_tables.claims(df, "doc_id", "text").collect())
     assert got == [(1, 0, False), (1, 1, True), (2, 0, False), (3, 0, False)]
     df.write.parquet(str(tmp_path / "documents.parquet"))
-    rows = sorted((r.sources, r.n, r.agreement, r.verdict) for r in TQ.a46_corroboration(spark, str(tmp_path)).collect())
-    assert rows == [(1, 1, 0.0, "disputed"), (1, 1, 1.0, "unclear"), (2, 2, 1.0, "unclear")]
+    rows = sorted((r.n_claims, r.n_sources, r.agreement, r.conflicts, r.verdict) for r in TQ.a46_corroboration(spark, str(tmp_path)).collect())
+    assert rows == [(4, 3, 0.666667, 1, "conflicting")]  # two of the three others are from other sources than the representative
 
 
 def test_expansion_and_decomposition_take_whole_texts(spark, tmp_path):
