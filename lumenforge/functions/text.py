@@ -13,13 +13,15 @@ from lumenforge.functions.times import micros
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 #: URL parameters that only track.
 TRACKING = r"^(utm_[a-z]+|gclid|fbclid|ref|ref_src)(=|$)"
+#: What lies between two words of tokens().
+WORD_GAP = r"[^\p{L}\p{N}&+#]+"
 CJK = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
 
 def tokens(text: Column, stop: list[str] | None = None) -> Column:
     """Lower-case words of letters, digits, & + #; at least two characters, no stop words; CJK words as two-character pieces."""
     stops = F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)])
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}&+#]+"), lambda w: (F.char_length(w) > 1) & ~F.array_contains(stops, w))
+    words = F.filter(F.split(F.lower(text), WORD_GAP), lambda w: (F.char_length(w) > 1) & ~F.array_contains(stops, w))
 
     def pieces(w: Column) -> Column:
         return F.when(w.rlike(CJK) & (F.char_length(w) > 2), F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))

@@ -1,10 +1,9 @@
-"""Retrieval of a table of queries against a corpus: inverted index, BM25, vectors, rank fusion, deduplication."""
+"""Retrieval of a table of queries against a corpus: BM25 of postings, vectors, rank fusion, deduplication. For the kept index see text_index."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,23 +13,6 @@ from lumenforge.functions import text as X
 K1, B = 1.5, 0.75
 #: Rows of a block in the exact vector search.
 BLOCK_ROWS = 2048
-#: Queries of a block in the text search (a bound on what is broadcast), documents that are scored at once.
-QUERY_BLOCK, SCORED_DOCS = 2048, 256
-
-
-def inverted_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(term, doc, tf, doc_len). Terms are counted in each task before they are shuffled."""
-    listed = docs.select(F.col(doc).alias("doc"), X.tokens(F.col(text)).alias("_t")).withColumn("doc_len", F.size("_t").cast("long"))
-    return listed.select("doc", "doc_len", F.explode("_t").alias("term")).groupBy("term", "doc", "doc_len").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
-    """One row: documents, average length in terms."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(X.tokens(F.col(text)))).alias("avg_len"))
-
-
-def document_frequency(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -38,7 +20,7 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, settings: list[tuple[int, float, float]] | None = None) -> DataFrame:
-    """(run, query, doc, score) of all documents with a term of a query, for queries (query, term); for the best k see search(). Only the query terms of the index are joined and shuffled by (query, doc).
+    """(run, query, doc, score) of all documents with a term of a query, for queries (query, term); for the best k see text_index.search(). Only the query terms of the index are joined and shuffled by (query, doc).
 
     settings: (run, k1, b) of runs that are scored over one join. The statistics are one row, so that side has one row.
     """
@@ -54,110 +36,6 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, settings: list[
     return x.groupBy(F.col("s.run").alias("run"), "query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
 
 
-class QueryBlock:
-    """A block of queries as a vocabulary and the queries of each of its terms."""
-
-    def __init__(self, rows: pa.Table):
-        query, term = rows.column("query").to_numpy(), rows.column("term").combine_chunks()
-        self.queries, who = np.unique(query, return_inverse=True)
-        self.terms = pc.unique(term)
-        at = pc.index_in(term, value_set=self.terms).to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.lexsort((who, at))
-        self.who = who[order]
-        self.start = np.searchsorted(at[order], np.arange(len(self.terms) + 1))
-        self.n_terms = np.bincount(who, minlength=len(self.queries))
-
-    def hits(self, tokens: pa.Array) -> tuple[np.ndarray, ...]:
-        """(document, term, count of the term in it) of a column of token lists, and the length of each document."""
-        length = np.nan_to_num(tokens.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        ids = pc.fill_null(pc.index_in(tokens.flatten(), value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        doc = np.repeat(np.arange(len(length)), length)
-        known = ids >= 0
-        code, tf = np.unique(doc[known] * max(len(self.terms), 1) + ids[known], return_counts=True)
-        return code // max(len(self.terms), 1), code % max(len(self.terms), 1), tf, length
-
-    def spread(self, doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hit, cell = document * queries + query) for each query of each hit."""
-        times = self.start[term + 1] - self.start[term]
-        hit = np.repeat(np.arange(len(term)), times)
-        within = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times)
-        return hit, doc[hit] * len(self.queries) + self.who[self.start[term[hit]] + within]
-
-
-def query_blocks(queries: DataFrame) -> list[QueryBlock]:
-    """The query set (query, term) in blocks of about QUERY_BLOCK queries; every block meets all documents."""
-    wanted = queries.select("query", "term").where("query IS NOT NULL AND term IS NOT NULL").distinct()
-    n = max(1, -(-wanted.select("query").distinct().count() // QUERY_BLOCK))
-    found = [wanted.where(F.pmod(F.xxhash64("query"), F.lit(n)) == k).toArrow() for k in range(n)]
-    return [QueryBlock(rows) for rows in found if rows.num_rows]
-
-
-def tokenised(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc).cast("long").alias("doc"), X.tokens(F.col(text)).alias("tokens"))
-
-
-def search(queries: DataFrame, docs: DataFrame, doc: str, text: str, k: int, settings: list[tuple[int, float, float]] | None = None) -> DataFrame:
-    """(run, query, doc, score, rank): the k best documents of each query by BM25, for queries (query, term).
-
-    settings: (run, k1, b) of runs that are scored in one pass. A block of queries goes to the documents, not the other way
-    round: a task scores its documents against the block and hands on k of them for each query, so nothing of the size of
-    documents times queries or of the postings is shuffled. Frequencies and lengths come from a first pass over all documents.
-    """
-    settings = settings or [(1, K1, B)]
-    every = tokenised(docs, doc, text)
-    parts = [_searched(every, block, k, settings) for block in query_blocks(queries)]
-    out = parts[0] if parts else docs.sparkSession.createDataFrame([], "run long, query long, doc long, score double")
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return top_k(out, ["run", "query"], "score", "doc", k)
-
-
-def _searched(every: DataFrame, block: QueryBlock, k: int, settings: list) -> DataFrame:
-    shared = every.sparkSession.sparkContext.broadcast(block)
-
-    def count(batches):
-        block, df = shared.value, None
-        for batch in batches:
-            _, term, _, length = block.hits(batch.column(1))
-            df = np.zeros(len(block.terms) + 2, np.int64) if df is None else df
-            df[:-2] += np.bincount(term, minlength=len(block.terms))
-            df[-2:] += len(length), length.sum()
-        if df is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
-
-    summed = every.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(block.terms) + 2, np.int64)
-    df[summed.column("term").to_numpy()] = summed.column("n").to_numpy()
-    n_docs, words = int(df[-2]), int(df[-1])
-    weight = np.log(np.maximum(1.0, (n_docs - df[:-2] + 0.5) / (df[:-2] + 0.5)) + 1)
-    average = words / max(n_docs, 1) or 1.0
-    width = len(block.queries)
-
-    def best(docs: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((docs, -scores), axis=0)[:k]
-        return np.take_along_axis(docs, order, 0), np.take_along_axis(scores, order, 0)
-
-    def score(batches):
-        block = shared.value
-        held = [(np.zeros((0, width), np.int64), np.zeros((0, width))) for _ in settings]
-        for batch in batches:
-            for row in range(0, batch.num_rows, SCORED_DOCS):
-                part = batch.slice(row, SCORED_DOCS)
-                doc, term, tf, length = block.hits(part.column(1))
-                hit, cell = block.spread(doc, term)
-                ids = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False)[:, None], (part.num_rows, width))
-                for r, (_, k1, b) in enumerate(settings):
-                    gain = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / average))
-                    scores = np.round(np.bincount(cell, gain[hit], part.num_rows * width).reshape(-1, width), 9)
-                    own = best(ids, scores)
-                    held[r] = best(np.concatenate([held[r][0], own[0]]), np.concatenate([held[r][1], own[1]]))
-        for (run, _, _), (ids, scores) in zip(settings, held, strict=True):
-            at, who = np.nonzero(scores > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), run)), pa.array(block.queries[who]), pa.array(ids[at, who]), pa.array(scores[at, who])], names=["run", "query", "doc", "score"])
-
-    return every.mapInArrow(score, "run long, query long, doc long, score double")
-
-
 def top_k(df: DataFrame, key: list[str], score: str, tie: str, k: int) -> DataFrame:
     """The best k rows of each key with their rank from 1; ties by id."""
     by = Window.partitionBy(*key).orderBy(F.desc(score), tie)
@@ -228,29 +106,3 @@ def dedup_results(df: DataFrame, key: list[str], url: str, title: str, score: st
     first = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*key, "_u").orderBy(F.desc(score), url))).where("_rn = 1")
     own = F.when(F.col("_t") == "", F.concat(F.lit("\u0001"), F.col("_u"))).otherwise(F.col("_t"))
     return first.withColumn("_o", own).withColumn("_rn", F.row_number().over(Window.partitionBy(*key, "_o").orderBy(F.desc(score), url))).where("_rn = 1").drop("_u", "_t", "_o", "_rn")
-
-
-def all_terms_match(queries: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(query, doc) of documents that hold every term of a query, for queries (query, term); without a shuffle."""
-    every = tokenised(docs, doc, text)
-
-    def matched(block: QueryBlock) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches):
-            block = shared.value
-            for batch in batches:
-                for row in range(0, batch.num_rows, SCORED_DOCS):
-                    part = batch.slice(row, SCORED_DOCS)
-                    found, term, _, _ = block.hits(part.column(1))
-                    cells = np.bincount(block.spread(found, term)[1], minlength=part.num_rows * len(block.queries)).reshape(part.num_rows, -1)
-                    at, who = np.nonzero(cells == block.n_terms)
-                    yield pa.RecordBatch.from_arrays([pa.array(block.queries[who]), part.column(0).take(pa.array(at))], names=["query", "doc"])
-
-        return every.mapInArrow(run, "query long, doc long")
-
-    parts = [matched(block) for block in query_blocks(queries)]
-    out = parts[0] if parts else docs.sparkSession.createDataFrame([], "query long, doc long")
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

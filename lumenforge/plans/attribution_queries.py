@@ -10,6 +10,7 @@ from lumenforge.operators import clusters as C
 from lumenforge.operators import learning as L
 from lumenforge.operators import ranking as K
 from lumenforge.operators import retrieval as R
+from lumenforge.operators import text_index as I
 from lumenforge.operators.joins import salted_join
 from lumenforge.plans import retrieval_queries as Q
 from lumenforge.plans import text_queries as TQ
@@ -137,7 +138,7 @@ def d6_distinct_turns(spark, sf_dir):
 @query("WITH " + Q.SQL_BM25 + ", l AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored WHERE run = 2) SELECT query, doc, rank FROM l WHERE rank <= 5")
 def w1_ranked_lists(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
-    return R.search(Q.query_terms(spark, sf_dir), d, "doc_id", "text", 5, [Q.SETTINGS[1]]).select("query", "doc", "rank")
+    return I.search(Q.query_terms(spark, sf_dir), Q.index_of(spark, sf_dir), 5, [Q.SETTINGS[1]]).select("query", "doc", "rank")
 
 
 @query("WITH " + TQ.SQL_CANDIDATES + " SELECT query, doc, round(0.6 * (1 / (1 + exp(-(score / 10 - 1)))) + 0.4 * (1.0 / rank), 6) AS blended FROM cand")

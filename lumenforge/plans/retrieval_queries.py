@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lumenforge.functions import text as X
 from lumenforge.operators import evaluation as E
 from lumenforge.operators import retrieval as R
+from lumenforge.operators import text_index as I
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
 from lumenforge.sources.storage import kept
@@ -17,8 +18,18 @@ query = Registry()
 SETTINGS = [(1, 1.5, 0.75), (2, 1.2, 0.5), (3, 2.0, 0.9)]
 
 
-def index_of(spark, sf_dir) -> DataFrame:
-    return R.inverted_index(V.table(spark, sf_dir, "documents"), "doc_id", "text")
+#: Indexes of this process, by application and the files that they were built of.
+_INDEXES: dict[tuple, I.TextIndex] = {}
+
+
+def index_of(spark, sf_dir) -> I.TextIndex:
+    """The postings index of the documents: built once for each state of the table's files, then read by every search."""
+    docs = V.table(spark, sf_dir, "documents")
+    files = tuple(map(tuple, docs.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct().orderBy("file_path").collect()))
+    key = spark.sparkContext.applicationId, sf_dir, files
+    if key not in _INDEXES:
+        _INDEXES[key] = I.TextIndex.build(docs, "doc_id", "text")
+    return _INDEXES[key]
 
 
 def query_terms(spark, sf_dir) -> DataFrame:
@@ -30,7 +41,7 @@ def query_terms(spark, sf_dir) -> DataFrame:
 def runs(spark, sf_dir, settings=SETTINGS) -> DataFrame:
     """run, query, doc, score, rank, domain, latency_ms of the top 10: three parameter sets stand for three runs."""
     docs = V.table(spark, sf_dir, "documents")
-    best = R.search(query_terms(spark, sf_dir), docs, "doc_id", "text", 10, settings)
+    best = I.search(query_terms(spark, sf_dir), index_of(spark, sf_dir), 10, settings)
     named = kept(best, "runs").join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("domain")), "doc")
     return named.withColumn("latency_ms", (F.col("query") * 37 % 900 + F.col("run") * F.col("query") % 7 * 60 + 100).cast("double"))
 
@@ -39,7 +50,7 @@ def gold(spark, sf_dir) -> DataFrame:
     """query, doc, gold_domain: documents that contain the whole passage. The documents with all its terms are found first."""
     docs, b = V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark")
     terms = b.select(F.col("item_id").alias("query"), F.explode(X.tokens(F.col("text"))).alias("term"))
-    pairs = R.all_terms_match(terms, docs, "doc_id", "text")
+    pairs = I.all_terms(terms, index_of(spark, sf_dir))
     x = pairs.join(b.select(F.col("item_id").alias("query"), F.col("text").alias("passage")), "query").join(docs.select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("gold_domain")), "doc")
     return x.where(F.contains("text", "passage")).select("query", "doc", "gold_domain")
 
@@ -75,7 +86,7 @@ def bm25_ndcg(spark, sf_dir):
 
 @query(W + SQL_INDEX + " SELECT term, count(*) AS df FROM idx GROUP BY 1")
 def a33_document_frequency(spark, sf_dir):
-    return R.document_frequency(index_of(spark, sf_dir))
+    return index_of(spark, sf_dir).document_frequency()
 
 
 @query(W + SQL_BM25 + " SELECT query, doc, score, rank FROM ranked WHERE run = 1 AND rank <= 10")
@@ -86,7 +97,7 @@ def r1_bm25(spark, sf_dir):
 @query(W + SQL_BM25 + ", t AS (SELECT query, doc, score, rank FROM ranked WHERE run = 1 AND rank <= 20) SELECT query, doc, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS scaled FROM t WINDOW w AS (PARTITION BY query)")
 def w2_min_max(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    out = R.min_max(R.search(query_terms(spark, sf_dir), docs, "doc_id", "text", 20), ["query"], "score", "scaled")
+    out = R.min_max(I.search(query_terms(spark, sf_dir), index_of(spark, sf_dir), 20), ["query"], "score", "scaled")
     return out.select("query", "doc", F.round("scaled", 6).alias("scaled"))
 
 
@@ -94,7 +105,7 @@ def w2_min_max(spark, sf_dir):
 f AS (SELECT query, doc, round(sum(p), 9) AS score, min(seen) AS seen FROM p GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen, doc) AS rank FROM f) SELECT query, doc, score, rank FROM n WHERE rank <= 10""")
 def r4_rank_fusion(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    best = R.search(query_terms(spark, sf_dir), docs, "doc_id", "text", 30, [SETTINGS[0], SETTINGS[2]])
+    best = I.search(query_terms(spark, sf_dir), index_of(spark, sf_dir), 30, [SETTINGS[0], SETTINGS[2]])
     fused = R.rank_fusion([(best.where("run = 1"), 0.3), (best.where("run = 3"), 0.7)], "query", "doc")
     return fused.where("rank <= 10").select("query", "doc", "score", "rank")
 
@@ -120,12 +131,12 @@ def j8_near_queries(spark, sf_dir):
 
 @query(W + SQL_INDEX + ", n AS (SELECT query, count(*) AS n FROM q GROUP BY 1), m AS (SELECT query, doc, count(*) AS m FROM q JOIN idx USING (term) GROUP BY 1, 2) SELECT query, doc FROM m JOIN n USING (query) WHERE m = n")
 def f11_all_terms(spark, sf_dir):
-    return R.all_terms_match(query_terms(spark, sf_dir), V.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return I.all_terms(query_terms(spark, sf_dir), index_of(spark, sf_dir))
 
 
 @query(W + SQL_INDEX + ", m AS (SELECT query, doc, count(*) AS m FROM q JOIN idx USING (term) GROUP BY 1, 2) SELECT query, lang, count(*) AS docs, max(m) AS most FROM m JOIN documents ON doc_id = doc GROUP BY 1, 2")
 def j2_postings_documents(spark, sf_dir):
-    hits = index_of(spark, sf_dir).join(query_terms(spark, sf_dir), "term").groupBy("query", "doc").agg(F.count("*").alias("m"))
+    hits = index_of(spark, sf_dir).postings().join(query_terms(spark, sf_dir), "term").groupBy("query", "doc").agg(F.count("*").alias("m"))
     docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang")
     return hits.join(docs, "doc").groupBy("query", "lang").agg(F.count("*").alias("docs"), F.max("m").alias("most"))
 
@@ -133,14 +144,14 @@ def j2_postings_documents(spark, sf_dir):
 @query(W + SQL_BM25 + ", t AS (SELECT * FROM ranked WHERE run = 1 AND rank <= 30), c AS (SELECT t.*, source, row_number() OVER (PARTITION BY query, source ORDER BY rank) AS rn FROM t JOIN documents ON doc_id = doc) SELECT query, doc, source, rank FROM c WHERE rn <= 2")
 def w3_source_cap(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source")
-    best = R.search(query_terms(spark, sf_dir), V.table(spark, sf_dir, "documents"), "doc_id", "text", 30).join(docs, "doc")
+    best = I.search(query_terms(spark, sf_dir), index_of(spark, sf_dir), 30).join(docs, "doc")
     return best.withColumn("rn", F.row_number().over(Window.partitionBy("query", "source").orderBy("rank"))).where("rn <= 2").select("query", "doc", "source", "rank")
 
 
 @query(W + SQL_BM25 + ", t AS (SELECT r.*, source, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, doc) AS rn FROM ranked r JOIN documents ON doc_id = doc WHERE run = 1), b AS (SELECT query, source, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM t WHERE rn = 1) SELECT * FROM b WHERE place <= 5")
 def w4_best_per_source(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    scored = R.bm25(query_terms(spark, sf_dir), index_of(spark, sf_dir), R.corpus_stats(docs, "text")).join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc")
+    scored = R.bm25(query_terms(spark, sf_dir), index_of(spark, sf_dir).postings(), index_of(spark, sf_dir).stats()).join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc")
     best = scored.groupBy("query", "source").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc")).alias("b")).select("query", "source", F.col("b.doc").alias("doc"), (-F.col("b.s")).alias("score"))
     return R.top_k(best, ["query"], "score", "doc", 5).withColumnRenamed("rank", "place")
 
@@ -248,7 +259,7 @@ def d2_query_union(spark, sf_dir):
 def e4_term_coverage(spark, sf_dir):
     q = query_terms(spark, sf_dir)
     sizes = q.groupBy("query").agg(F.count("*").alias("n"))
-    both = index_of(spark, sf_dir).select("term", "doc").join(q, "term").groupBy("query", "doc").agg(F.count("*").alias("both")).where("both >= 2")
+    both = index_of(spark, sf_dir).postings().select("term", "doc").join(q, "term").groupBy("query", "doc").agg(F.count("*").alias("both")).where("both >= 2")
     return both.join(sizes, "query").select("query", "doc", F.round(F.col("both") / F.col("n"), 6).alias("coverage"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lumenforge.functions import text as X
 from lumenforge.operators import ranking as K
 from lumenforge.operators import retrieval as R
+from lumenforge.operators import text_index as I
 from lumenforge.operators import text_tables as T
 from lumenforge.plans import retrieval_queries as Q
 from lumenforge.plans import views as V
@@ -245,7 +246,7 @@ def candidates(spark, sf_dir, k: int):
     """Top k documents of each benchmark passage with their texts and the tokens tt, ct of title and text; the title is the first
     line. They are kept, so that scores don't cut the texts into tokens once for each term."""
     d = docs(spark, sf_dir)
-    best = R.search(Q.query_terms(spark, sf_dir), d, "doc_id", "text", k).drop("run")
+    best = I.search(Q.query_terms(spark, sf_dir), Q.index_of(spark, sf_dir), k).drop("run")
     terms = Q.query_terms(spark, sf_dir).groupBy("query").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     found = best.join(d.select(F.col("doc_id").alias("doc"), "text", "source"), "doc").join(terms, "query").withColumn("title", F.split("text", "\n")[0])
     return kept(found.withColumn("tt", X.tokens(F.col("title"))).withColumn("ct", X.tokens(F.col("text"))), "candidates")
