@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lumenforge.operators.sessions import changed, islands, newest
+from lumenforge.functions.times import micros
+from lumenforge.operators import scans
+from lumenforge.operators.sessions import newest
 
 
 def interpolated(column: str, shares: list[float]) -> list[Column]:
@@ -94,10 +95,11 @@ def compliance(df: DataFrame, key: list[str], measured: str, target: str, lower_
 
 def uptime(df: DataFrame, key: list[str], up: Column, order: list[str]) -> DataFrame:
     """Uptime share, incidents (runs of failed checks) and status tier of each key."""
-    down = islands(df, key, order, ~up).groupBy(*key).agg(F.countDistinct("island").alias("incidents"))
+    down = scans.incidents(df, key, order, ~up)
     share = F.count_if(up) / F.count("*")
     tier = F.when(F.col("uptime") >= 0.999, "operational").when(F.col("uptime") >= 0.95, "degraded").otherwise("down")
-    return df.groupBy(*key).agg(F.count("*").alias("checks"), F.round(share, 6).alias("uptime")).join(down, key, "left").withColumn("incidents", F.coalesce("incidents", F.lit(0)).cast("long")).withColumn("status", tier)
+    shares = df.groupBy(*key).agg(F.count("*").alias("checks"), F.round(share, 6).alias("uptime"))
+    return scans.joined(shares, down, key).withColumn("status", tier)
 
 
 def burn_rate(df: DataFrame, key: list[str], good: Column, objective: float) -> DataFrame:
@@ -108,13 +110,20 @@ def burn_rate(df: DataFrame, key: list[str], good: Column, objective: float) ->
 
 def bursts(df: DataFrame, key: list[str], order: list[str], limited: Column, least: int = 2) -> DataFrame:
     """Runs of at least `least` consecutive limited rows of a key: length, ends, and whether the run reaches the key's last row."""
-    by = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    marked = df.withColumn("_last", F.row_number().over(by) == 1)
-    runs = islands(marked, key, order, limited).groupBy(*key, "island").agg(F.count("*").alias("length"), F.min(order[0]).alias("first_ts"), F.max(order[0]).alias("last_ts"), F.bool_or("_last").alias("open"))
-    return runs.where(F.col("length") >= least).drop("island")
+    runs = scans.runs(df, key, order, limited).where(F.col("length") >= least)
+    return runs.select(*key, "length", F.col(f"first.{order[0]}").alias("first_ts"), F.col(f"last.{order[0]}").alias("last_ts"), "open")
 
 
 def state_changes(df: DataFrame, key: list[str], order: list[str], state: str) -> DataFrame:
     """Rows whose state differs from the key's previous row."""
-    by = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_changed", changed([state], by)).withColumn("previous", F.lag(state).over(by)).where("_changed").drop("_changed")
+    return scans.Scan(df, key, order).previous(F.col(state), "previous").where(~F.col("previous").eqNullSafe(F.col(state))).drop("_slice")
+
+
+def failure_risk(df: DataFrame, key: list[str], order: list[str], failed: Column) -> DataFrame:
+    """key, streak, rate, risk: half of the share of failures, 0.3 for a streak of three failures at the end, 0.2 if the last failure is less than an hour old."""
+    ts = order[0]
+    streaks = scans.trailing(df, key, order, failed)
+    s = df.groupBy(*key).agg((F.count_if(~failed) / F.count("*")).alias("rate"), F.max(F.when(failed, F.col(ts))).alias("last_failure"), F.max(ts).alias("last_seen"))
+    s = scans.joined(s, streaks, key)
+    recent = F.when(micros("last_seen") - micros("last_failure") < 3_600_000_000, 1.0).otherwise(0.0)
+    return s.select(*key, "streak", F.round("rate", 6).alias("rate"), F.round(0.5 * (1 - F.col("rate")) + 0.3 * F.least(F.lit(1.0), F.col("streak") / 3.0) + 0.2 * recent, 6).alias("risk"))

@@ -1,9 +1,7 @@
-"""Sessions, streaks, moving averages and other ordered work per key."""
+"""Sessions and other ordered work per key. For scans over keys of any size see scans."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,28 +19,12 @@ def sessionise(df: DataFrame, key: str, ts: str, tie: str, idle_minutes: int = I
     return df.withColumn("_fresh", fresh).withColumn("session_no", F.sum("_fresh").over(order).cast("long")).drop("_fresh")
 
 
-def islands(df: DataFrame, key: list[str], order: list[str], flag: Column) -> DataFrame:
-    """Rows with flag, with island: a number shared by consecutive flagged rows of a key."""
-    by = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_flag", flag).withColumn("island", F.sum(F.when(F.col("_flag"), 0).otherwise(1)).over(by).cast("long")).where("_flag").drop("_flag")
-
-
 def ordered_fold(df: DataFrame, key: list[str], order: list[str], value: Column, start: Column, step) -> DataFrame:
     """key, folded: step(accumulator, value) over the values of each key in order. The values of one key form one array."""
     items = F.sort_array(F.collect_list(F.struct(*order, value.alias("_v"))))
     return df.groupBy(*key).agg(F.aggregate(items, start, lambda a, x: step(a, x["_v"])).alias("folded"))
 
 
-def moving_average(df: DataFrame, key: list[str], order: list[str], value: Column, start: float, keep: float) -> DataFrame:
-    """key, folded: exponential moving average, keep * old + (1 - keep) * new."""
-    return ordered_fold(df, key, order, value.cast("double"), F.lit(float(start)), lambda a, x: a * keep + x * (1.0 - keep))
-
-
 def newest(df: DataFrame, key: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each key in the given order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
-
-
-def changed(columns: list[str], by) -> Column:
-    """True where any of the columns differs from the previous row (a first row has changed)."""
-    return reduce(lambda a, b: a | b, [~F.lag(c).over(by).eqNullSafe(F.col(c)) for c in columns])

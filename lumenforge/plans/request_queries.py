@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenforge.functions.times import micros
 from lumenforge.operators import metrics as M
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
@@ -196,7 +195,7 @@ def w15_transitions(spark, sf_dir):
 f AS (SELECT backend, rn, 0.5 * 0.8 + x * (1.0 - 0.8) AS a FROM n WHERE rn = 1 UNION ALL SELECT n.backend, n.rn, f.a * 0.8 + n.x * (1.0 - 0.8) FROM f JOIN n ON n.backend = f.backend AND n.rn = f.rn + 1)
 SELECT backend, round(arg_max(a, rn), 6) AS latency_average FROM f GROUP BY backend""")
 def w7_moving_average(spark, sf_dir):
-    from lumenforge.operators.sessions import moving_average
+    from lumenforge.operators.scans import moving_average
 
     return moving_average(V.requests(spark, sf_dir), ["backend"], ["ts", "event_id"], F.col("latency_s"), 0.5, 0.8).select("backend", F.round("folded", 6).alias("latency_average"))
 
@@ -205,11 +204,7 @@ def w7_moving_average(spark, sf_dir):
 s AS (SELECT backend, count(*) FILTER (outcome = 'error' AND ahead = 0) AS streak, count(*) FILTER (outcome <> 'error') / count(*) AS rate, max(ts) FILTER (outcome = 'error') AS last_failure, max(ts) AS last_seen FROM n GROUP BY 1)
 SELECT backend, streak, round(rate, 6) AS rate, round(0.5 * (1 - rate) + 0.3 * least(1.0, streak / 3.0) + 0.2 * CASE WHEN epoch_us(last_seen) - epoch_us(last_failure) < 3600000000 THEN 1.0 ELSE 0.0 END, 6) AS risk FROM s""")
 def w8_failure_risk(spark, sf_dir):
-    by = Window.partitionBy("backend").orderBy(F.desc("ts"), F.desc("event_id"))
-    r = V.requests(spark, sf_dir).withColumn("ahead", F.sum(F.when(failed(), 0).otherwise(1)).over(by))
-    s = r.groupBy("backend").agg(F.count_if(failed() & (F.col("ahead") == 0)).alias("streak"), (F.count_if(~failed()) / F.count("*")).alias("rate"), F.max(F.when(failed(), F.col("ts"))).alias("last_failure"), F.max("ts").alias("last_seen"))
-    recent = F.when(micros("last_seen") - micros("last_failure") < 3_600_000_000, 1.0).otherwise(0.0)
-    return s.select("backend", "streak", F.round("rate", 6).alias("rate"), F.round(0.5 * (1 - F.col("rate")) + 0.3 * F.least(F.lit(1.0), F.col("streak") / 3.0) + 0.2 * recent, 6).alias("risk"))
+    return M.failure_risk(V.requests(spark, sf_dir), ["backend"], ["ts", "event_id"], failed())
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenforge.functions import statistics as S
 from lumenforge.functions import text as X
-from lumenforge.operators import behaviour, catalogue, evaluation, experiments, ranking, retrieval, sessions, text_tables
+from lumenforge.operators import behaviour, catalogue, evaluation, experiments, ranking, retrieval, scans, text_tables
 from lumenforge.sources import readers
 
 
@@ -243,9 +243,9 @@ def test_moving_average_and_islands(spark):
     want = 0.5
     for *_, x in rows:
         want = want * 0.8 + x * 0.2
-    assert sessions.moving_average(df, ["k"], ["t"], F.col("x"), 0.5, 0.8).first().folded == pytest.approx(want)
-    runs = sessions.islands(df, ["k"], ["t"], F.col("x") == 0).groupBy("island").count().collect()
-    assert sorted(r["count"] for r in runs) == [1, 2]
+    assert scans.moving_average(df, ["k"], ["t"], F.col("x"), 0.5, 0.8).first().folded == pytest.approx(want)
+    runs = scans.runs(df, ["k"], ["t"], F.col("x") == 0).collect()
+    assert sorted(r.length for r in runs) == [1, 2]
 
 
 def test_mmr_is_a_bounded_choice(spark):
