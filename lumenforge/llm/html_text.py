@@ -7,8 +7,12 @@ paragraphs, and its blocks are joined in page order.
 
 Elements that are boilerplate by what they are (menus, footers, sidebars, forms, scripts, styles; headers outside an article) are
 cut before scoring. Names of classes and ids are weaker evidence: a part is cut for its name only if one of its names consists
-of such words alone (`site-header`, `related-posts`; not `social-history`), and then not if it holds an article or is a
-paragraph that reads like running text. Headings, captions and tables of the article stay.
+of such words alone (`site-header`, `related-posts`; not `social-history`). A part that holds an article is not cut for its name,
+unless it names comments or adverts: there articles are the comments of readers and the cards of sponsors. An article is cut
+for such a name, or for another one if the page has an article without a bad name. A paragraph named like a part of the page
+(`related`, `header`) stays if it is a sentence without many links; one named as an advert, notice or the like goes, however long it is.
+Headings, captions and tables of the article stay, and so do paragraphs beside the best container, if they are sentences or stand
+next to what is kept; length decides nothing.
 
 Defined results: null and empty html and pages without text give an empty text; unclosed, crossed and unknown tags are closed
 as browsers do for blocks; a quote in a tag counts only behind an equals sign; an unclosed value, comment or script goes to the
@@ -43,8 +47,11 @@ BAD_WORD = frozenset("nav navbar navigation menu header masthead footer sidebar
 PLAIN_WORD = frozenset("site page top bottom left right box bar block list wrap wrapper container inner outer section link links button buttons icon icons item items area content slot unit form post posts story stories text global primary secondary main fixed sticky title heading body group row col column".split())
 GOOD_ROLE = frozenset(["main", "article"])
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Length of a paragraph that reads like running text whatever its name is.
-RUNNING_TEXT = 40
+#: Those of them that name comments of readers or adverts, and those that name places of a page, where a sentence may still be text.
+GUEST_WORD = frozenset("comment comments disqus replies respond ad ads advert advertisement advertising sponsor sponsored".split())
+PLACE_WORD = frozenset("nav navbar navigation menu header masthead footer sidebar aside social related recommended recommendations toolbar widget legal".split())
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 COMMAS = re.compile("[,،、，﹐﹑､]")
 #: Shares of a paragraph's points for its parent, grandparent and so on.
 SHARES = (1.0, 0.5, 0.33, 0.25)
@@ -58,24 +65,27 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "named", "score", "length", "linked", "good", "at")
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "guest", "place", "score", "length", "linked", "good", "at")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts, self.at = tag, parent, [], 0
-        self.cut, self.named, self.good, self.score, self.length, self.linked = False, False, False, 0.0, 0, 0
+        self.cut, self.named, self.guest, self.place, self.good, self.score, self.length, self.linked = False, False, False, True, False, 0.0, 0, 0
 
 
-def bad_name(name: str) -> bool:
-    """Whether a class or id name says that its part is boilerplate, and nothing else."""
+def bad_words(name: str) -> set[str]:
+    """The words of a class or id name that say that its part is boilerplate; none if it says anything else."""
     words = [w.lower() for w in NAME_PARTS.findall(name)]
-    return any(w in BAD_WORD for w in words) and all(w in BAD_WORD or w in PLAIN_WORD or w.isdigit() for w in words)
+    return {w for w in words if w in BAD_WORD} if all(w in BAD_WORD or w in PLAIN_WORD or w.isdigit() for w in words) else set()
 
 
 def _attributes(node: Node, raw: str) -> None:
     for m in ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
-        if key in ("class", "id") and node.tag not in ("article", "main", "body", "html"):
-            node.named |= any(map(bad_name, value.split()))
+        if key in ("class", "id") and node.tag not in ("main", "body", "html"):
+            for words in map(bad_words, value.split()):
+                node.named |= bool(words)
+                node.guest |= not words.isdisjoint(GUEST_WORD)
+                node.place &= words <= PLACE_WORD
         elif key == "role":
             node.cut |= value.lower() in BAD_ROLE
             node.good |= value.lower() in GOOD_ROLE
@@ -187,12 +197,19 @@ def parse(page: str) -> Node:
     _measure(root)
     order = _nodes(root)
     holds = set()
+    plain_article = any(n.tag == "article" and not n.named for n in order)
     for node in reversed(order):  # children first
-        if node.tag in ("article", "main") or node.good or id(node) in holds:
+        if (node.tag == "article" and not node.named) or node.tag == "main" or node.good or id(node) in holds:
             holds.add(id(node.parent))
     for node in order:
-        if node.named and not node.cut and id(node) not in holds:
-            node.cut = not (node.tag in PARAGRAPH and node.length >= RUNNING_TEXT and density(node) < 0.5)
+        if not node.named or node.cut:
+            continue
+        if node.tag == "article":
+            node.cut = node.guest or plain_article
+        elif node.tag in PARAGRAPH:
+            node.cut = not (node.place and density(node) < 0.5 and is_sentence(node))
+        else:
+            node.cut = node.guest or id(node) not in holds
     return root
 
 
@@ -205,6 +222,12 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def is_sentence(node: Node) -> bool:
+    """Whether the text of a paragraph ends as sentences do and is no note of rights."""
+    text = " ".join(t for _, t in blocks(node))
+    return SENTENCE.search(text) is not None and RIGHTS.match(text) is None
+
+
 def plain(text: str) -> str:
     return SPACES.sub(" ", html.unescape(text)).strip() if text else ""
 
@@ -299,17 +322,17 @@ def main_nodes(root: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     limit = max(5.0, best.score * SIBLING_SHARE)
-    kept = []
-    for part in best.parent.parts:
-        if isinstance(part, str) or part.cut:
-            continue
-        if part is best or part.score >= limit and density(part) < 0.3:
-            kept.append(part)
-        elif part.tag in PARAGRAPH and part.length > 80 and density(part) < 0.25:
-            kept.append(part)
-        elif part.tag in ("h1", "h2") and part.length:
-            kept.append(part)
-    return kept
+    parts = [p for p in best.parent.parts if not isinstance(p, str) and not p.cut and p.length]
+    keep = []
+    for part in parts:
+        text = part.tag in PARAGRAPH and density(part) < 0.25 and is_sentence(part)
+        keep.append(part is best or part.score >= limit and density(part) < 0.3 or part.tag in ("h1", "h2") or text)
+    for step in (1, -1):  # short paragraphs next to what is kept
+        for k in range(len(parts))[::step]:
+            beside = k - step
+            if not keep[k] and 0 <= beside < len(parts) and keep[beside] and parts[k].tag in PARAGRAPH and density(parts[k]) < 0.25:
+                keep[k] = not RIGHTS.match(" ".join(t for _, t in blocks(parts[k])))
+    return [p for p, k in zip(parts, keep, strict=True) if k]
 
 
 def _ancestors(node: Node):

@@ -162,6 +162,14 @@ def test_html_keeps_the_article(spark):
         ("<p title='a>b'>quoted, end</p><p data-x=\"'>\">other</p>", "quoted, end\nother"),
         ("<p>text</p><!-- open <p>gone</p>", "text"),
         ("<article><p>甲，乙，丙。</p><table><caption>Cap</caption><tr><td>1<td>2</table></article>", "甲，乙，丙。\nCap\n1\n2"),
+        ("<article><h1>T</h1><p>Body, text, here.</p><section class='comments'><article class='comment'><p>Nice, post, indeed, I, like, it.</p></article><article><p>Me, too, and, more, so.</p></article></section></article>", "T\nBody, text, here."),
+        ("<main><article><p>Body, text, here, of it.</p></article><section id=comments><h2>Comments</h2><article class=comment><p>I, say, many, things, here, about, it, at, length.</p></article></section></main>", "Body, text, here, of it."),
+        ("<article><p>Body, text.</p><article class='comment'><p>A, reader, says, so.</p></article><p>The end.</p></article>", "Body, text.\nThe end."),
+        ("<article class='sidebar'><p>The only, article, of this page.</p></article>", "The only, article, of this page."),
+        ("<article><p>One, two.</p><p class='advert'>Buy our wonderful thing today, it only costs you nine dollars, and more later.</p><p class='cookie-notice'>We use cookies on this site, so please accept them all, and read on.</p><p>Three.</p></article>", "One, two.\nThree."),
+        ("<div><p>A short lead.</p><div class=content><p>The text, of it, with commas.</p><p>And more, of it, as well.</p></div><p>The end</p><blockquote>A quote, said so.</blockquote></div>", "A short lead.\nThe text, of it, with commas.\nAnd more, of it, as well.\nThe end\nA quote, said so."),
+        ("<div><div class=content><p>The text, of it, with commas.</p><p>And more, of it, as well.</p></div><p><a href=x>Next page</a></p><p>Far, but a sentence.</p></div>", "The text, of it, with commas.\nAnd more, of it, as well.\nFar, but a sentence."),
+        ("<article><p>Text, of it.</p></article><div class='sponsored'><article><p>A card, of a sponsor, to buy, and, to, have.</p></article></div>", "Text, of it."),
         ("<p>math <math><mi>x</mi></math>, and <svg><text>no</text></svg> more</p>", "math x, and more"),
     ],
 )
