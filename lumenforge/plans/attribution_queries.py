@@ -11,6 +11,7 @@ from lumenforge.operators import learning as L
 from lumenforge.operators import ranking as K
 from lumenforge.operators import retrieval as R
 from lumenforge.operators import text_index as I
+from lumenforge.operators import vector_index as VI
 from lumenforge.operators.joins import salted_join
 from lumenforge.plans import retrieval_queries as Q
 from lumenforge.plans import text_queries as TQ
@@ -187,25 +188,10 @@ def r9_heuristic_rerank(spark, sf_dir):
 
 @query()
 def j7_approximate_vectors(spark, sf_dir):
-    """Approximate neighbours: random hyperplane buckets choose candidates, cosine ranks them. Every vector is indexed."""
-    import numpy as np
-
-    e = V.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
-    rng = np.random.default_rng(7)
-    tables, bits = 24, 3
-    planes = rng.normal(size=(tables, bits, 64))
-
-    def signs(t: int):
-        dots = [F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in planes[t, j]]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) > 0 for j in range(bits)]
-        return F.concat_ws("", F.lit(f"{t}:"), *[F.when(d, "1").otherwise("0") for d in dots])
-
-    keyed = e.select("vec_id", F.explode(F.array(*[signs(t) for t in range(tables)])).alias("bucket"))
-    pairs = keyed.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "bucket").join(keyed.select(F.col("vec_id").alias("doc"), "bucket"), "bucket").where("query <> doc").select("query", "doc").distinct()
-    v = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    both = pairs.join(v.select(F.col("vec_id").alias("doc"), F.col("v").alias("b")), "doc").join(v.select(F.col("vec_id").alias("query"), F.col("v").alias("a")), "query")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    s = both.select("query", "doc", F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 9).alias("score"))
-    return R.top_k(s, ["query"], "score", "doc", 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    """Approximate neighbours: product codes of all vectors choose eight candidates for each result, their cosine ranks them."""
+    e = V.table(spark, sf_dir, "embeddings")
+    found = VI.VectorIndex(e, "vec_id", "embedding", 10).search(e.where("vec_id % 50 = 0"), "vec_id", "embedding", 80)
+    return found.select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql
