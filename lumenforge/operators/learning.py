@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,18 @@ def query_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(feature_terms(text), pieces))
 
 
+def counts_of():
+    """A function of (terms, words): how often each term occurs among the words, in one pass over them.
+
+    Arrow batches carry the word lists; a built-in expression would compare each term with each word of a whole text."""
+    @F.pandas_udf("array<int>")
+    def counted(terms: pd.Series, words: pd.Series) -> pd.Series:
+        told = ({} if w is None else Counter(w) for w in words)
+        return pd.Series([[n.get(t, 0) for t in ([] if own is None else own)] for own, n in zip(terms, told, strict=True)])
+
+    return counted
+
+
 def long_features(df: DataFrame, major: list[str], news: list[str], academic: list[str]) -> DataFrame:
     """df with the 32 numbers of LONG_FEATURES, each between 0 and 1 (the authority between 0 and 0.3).
 
@@ -59,9 +73,11 @@ def long_features(df: DataFrame, major: list[str], news: list[str], academic: li
     def overlap(lower: Column) -> Column:
         return F.when((n == 0) | (lower == ""), 0.0).otherwise(F.size(F.filter("_q", lambda t: F.contains(lower, t))) / n)
 
+    counted = counts_of()
+
     def bm25(words: Column) -> Column:
         idf = math.log(1 + (1_000_000 - 1000 + 0.5) / (1000 + 0.5))
-        tfs = F.transform("_q", lambda t: F.size(F.filter(words, lambda w: w == t)))
+        tfs = counted(F.col("_q"), words)
         return capped(F.aggregate(tfs, F.lit(0.0), lambda a, tf: a + idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.size(words) / 100.0))) / 10)
 
     is_news, is_finance = text.rlike(r"\b(news|latest|breaking|headline)"), text.rlike(r"\b(stock|market|price|finance|bank)")
@@ -91,25 +107,6 @@ def usable(rows: DataFrame, group: str) -> DataFrame:
     return rows.join(sizes, group, "left_semi")
 
 
-def train(rows: DataFrame, features: list[str], label: str, least: int = 200):
-    """Pointwise logistic model of label > 0, or None below `least` rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    if rows.limit(least).count() < least:
-        return None
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=25, regParam=0.01, probabilityCol="_p", predictionCol="_q", rawPredictionCol="_m")]
-    return Pipeline(stages=stages).fit(rows.withColumn("_y", F.when(F.col(label) > 0, 1.0).otherwise(0.0)))
-
-
-def scored(model, rows: DataFrame, out: str = "model_score") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    keep = rows.columns
-    return model.transform(rows).withColumn(out, vector_to_array("_p")[1]).select(*keep, out)
-
-
 def blend(model_score: Column, current: Column, weight: float = 0.6) -> Column:
     return weight * model_score + (1 - weight) * current
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenforge.operators import learning as L
+from lumenforge.operators import rank_model as RM
 from lumenforge.plans import behaviour_queries as Q
 from lumenforge.plans import text_queries as TQ
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
+from lumenforge.sources.storage import kept
 
 query = Registry()
 FEATURES = ["f_position", "f_score", "f_hour", "f_value"]
@@ -83,13 +85,18 @@ def m4_split(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy(L.split(F.col("query")).alias("part")).agg(F.count("*").alias("rows"), F.countDistinct("query").alias("queries"))
 
 
+def click_model(spark, sf_dir):
+    """(rows, model): labelled rows with their part, and the list-wise model of the training part, read back from its table; None below the least number of rows."""
+    rows = kept(L.usable(labelled(spark, sf_dir), "impression_id").withColumn("part", L.split(F.col("query"))), "labelled")
+    model = RM.fit(rows.where("part = 'train'"), "impression_id", ["f_position", "url"], FEATURES, "label")
+    return rows, model if model is None else RM.RankModel.read(kept(model.table(spark), "rank-model"))
+
+
 @query()
 def m5_train_and_score(spark, sf_dir):
-    """A pointwise model on four fifths of the queries, scored on the rest and blended with the current score."""
-    rows = L.usable(labelled(spark, sf_dir), "impression_id").withColumn("part", L.split(F.col("query")))
-    model = L.train(rows.where("part = 'train'"), FEATURES, "label")
-    test = rows.where("part = 'test'")
-    out = L.scored(model, test) if model is not None else test.withColumn("model_score", F.lit(0.5))
+    """A list-wise model of four fifths of the queries, scored on the rest and blended with the current score."""
+    rows, model = click_model(spark, sf_dir)
+    out = rows.where("part = 'test'").withColumn("model_score", F.lit(0.5) if model is None else model.score())
     return out.select("impression_id", "url", "label", F.round("model_score", 4).alias("model_score"), F.round(L.blend(F.col("model_score"), F.col("f_score")), 4).alias("blended"))
 
 

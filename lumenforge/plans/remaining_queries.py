@@ -185,10 +185,12 @@ def m3_training_window(spark, sf_dir):
     return LQ.labelled(spark, sf_dir).join(recent, "impression_id", "left_semi").groupBy("query").agg(F.count("*").alias("examples"), F.sum("label").cast("long").alias("positives"))
 
 
-@query(LQ.W + "SELECT impression_id, url, round(1 / (1 + exp(-(0.8 * f_score - 0.3 * f_position + 0.1 * f_value - 0.2))), 6) AS p FROM lab")
+@query()
 def m6_sigmoid_scores(spark, sf_dir):
-    margin = 0.8 * F.col("f_score") - 0.3 * F.col("f_position") + 0.1 * F.col("f_value") - 0.2
-    return LQ.labelled(spark, sf_dir).select("impression_id", "url", F.round(1 / (1 + F.exp(-margin)), 6).alias("p"))
+    """Every labelled row with the score of the trained model, and its place in its list by that score."""
+    rows, model = LQ.click_model(spark, sf_dir)
+    out = rows.select("impression_id", "url", "part", F.round(F.lit(0.5) if model is None else model.score(), 6).alias("p"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("impression_id").orderBy(F.desc("p"), "url")))
 
 
 @query("""WITH r AS (SELECT count(DISTINCT user_id) FILTER (value > 20) AS a, count(DISTINCT user_id) FILTER (value > 95 AND event_type = 'click') AS b FROM events)
