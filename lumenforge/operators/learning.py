@@ -128,12 +128,3 @@ def drift(now: DataFrame, baseline: DataFrame, features: list[str], threshold: f
     b = long(now).groupBy("feature").agg(F.avg("x").alias("m1"), F.count("*").alias("n"))
     shift = F.abs(F.col("m1") - F.col("m0")) / F.col("s0")
     return b.join(a, "feature").select("feature", F.round(shift, 6).alias("shift"), ((F.col("n") >= least) & (shift > threshold)).alias("drifted"))
-
-
-def gradient_step(rows: DataFrame, features: list[str], label: str, weights: list[float], rate: float) -> list[float]:
-    """One logistic step on a batch: gradients are sums over the rows; the last weight is the offset. The state is as long as the features."""
-    terms = [F.col(f).cast("double") * w for f, w in zip(features, weights, strict=False)]
-    margin = sum(terms[1:], terms[0]) + weights[-1]
-    error = 1 / (1 + F.exp(-margin)) - F.col(label)
-    row = rows.agg(*[F.avg(error * F.col(f)).alias(f"g{i}") for i, f in enumerate(features)], F.avg(error).alias("g_offset")).first()
-    return [w - rate * (g or 0.0) for w, g in zip(weights, row, strict=True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from lumenforge.plans import behaviour_queries as Q
 from lumenforge.plans import text_queries as TQ
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
-from lumenforge.sources.storage import kept
+from lumenforge.sources.storage import kept, shared_dir
+from lumenforge.streaming import jobs as J
+from lumenforge.streaming import learner
 
 query = Registry()
 FEATURES = ["f_position", "f_score", "f_hour", "f_value"]
@@ -117,11 +121,13 @@ def m8_drift(spark, sf_dir):
 
 @query()
 def m9_gradient_step(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    weights = [0.0] * (len(FEATURES) + 1)
-    for _ in range(3):
-        weights = L.gradient_step(rows, FEATURES, "label", weights, 0.1)
-    return rows.agg(F.count("*").alias("rows")).withColumn("weights", F.array(*[F.lit(round(w, 6)) for w in weights]))
+    """The labelled rows as a stream in the order of time: a version of the model for each flush, with its metrics before learning."""
+    rows = labelled(spark, sf_dir).join(V.impressions(spark, sf_dir).select("impression_id", "ts"), "impression_id")
+    folder = f"{shared_dir(spark)}/examples-{uuid.uuid4().hex}"
+    rows.select("ts", *FEATURES, "label").write.parquet(f"{folder}/examples.parquet")
+    told = learner.learn(J.stream_of(spark, folder, "examples", "ts"), FEATURES, "label", flush_rows=200)
+    right = lambda a, b: F.round(F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(0.0), 6)
+    return told.select("version", F.col("n").cast("long").alias("rows"), F.round(F.col("right") / F.col("n"), 6).alias("accuracy"), right("hits", "false_hits").alias("precision"), right("hits", "misses").alias("recall"), F.round("bias", 6).alias("bias"), F.transform("weights", lambda w: F.round(w, 6)).alias("weights"))
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql
