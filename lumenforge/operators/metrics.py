@@ -60,11 +60,13 @@ def cost_breakdown(df: DataFrame, service: str, operation: str, amount: Column)
 def priced_usage(df: DataFrame, prices: DataFrame, service: str, operation: str, units: str, ts: str) -> DataFrame:
     """Cost of usage by a price table (service, operation, price: a bounded constant, so it is broadcast), for each month and day,
     by service and operation with totals. level: 0 detail, 1 service, 3 window; span: day, month or all."""
-    priced = df.join(F.broadcast(prices), [service, operation], "left").withColumn("_cost", (F.col(units).cast("decimal(18,4)") * F.coalesce("price", F.lit(0)).cast("decimal(18,6)")))
-    spans = {"day": F.date_format(ts, "yyyy-MM-dd"), "month": F.date_format(ts, "yyyy-MM"), "all": F.lit("all")}
-    dealt = priced.select(service, operation, "_cost", F.explode(F.array(*[F.struct(F.lit(n).alias("span"), w.alias("window")) for n, w in spans.items()])).alias("w")).select(service, operation, "_cost", "w.span", "w.window")
+    # units add up, so they are summed by day, service and operation before anything is repeated for windows and totals
+    daily = df.groupBy(service, operation, F.date_trunc("day", ts).alias("_day")).agg(F.sum(F.col(units).cast("decimal(18,4)")).cast("decimal(28,4)").alias("_units"), F.count("*").alias("_calls"))
+    priced = daily.join(F.broadcast(prices), [service, operation], "left").withColumn("_cost", (F.coalesce("_units", F.lit(0)) * F.coalesce("price", F.lit(0)).cast("decimal(9,6)")).cast("decimal(38,10)"))
+    spans = {"day": F.date_format("_day", "yyyy-MM-dd"), "month": F.date_format("_day", "yyyy-MM"), "all": F.lit("all")}
+    dealt = priced.select(service, operation, "_cost", "_calls", F.explode(F.array(*[F.struct(F.lit(n).alias("span"), w.alias("window")) for n, w in spans.items()])).alias("w")).select(service, operation, "_cost", "_calls", "w.span", "w.window")
     sets = dealt.groupingSets([["span", "window", service, operation], ["span", "window", service], ["span", "window"]], "span", "window", service, operation)
-    return sets.agg(F.count("*").alias("calls"), F.round(F.sum("_cost").cast("double"), 4).alias("cost"), (F.grouping(service) * 2 + F.grouping(operation)).cast("long").alias("level"))
+    return sets.agg(F.sum("_calls").alias("calls"), F.round(F.sum("_cost").cast("double"), 4).alias("cost"), (F.grouping(service) * 2 + F.grouping(operation)).cast("long").alias("level"))
 
 
 def budget_windows(df: DataFrame, ts: str, spent: str, daily: float, monthly: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenforge.operators import metrics as M
+from lumenforge.operators.quantiles import exact_quantiles, median
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
 
@@ -19,8 +20,8 @@ def failed():
 
 @query(R + """SELECT backend, quantile_cont(latency_s, 0.5) AS p50, quantile_cont(latency_s, 0.95) AS p95, quantile_cont(latency_s, 0.99) AS p99, min(latency_s) AS least, max(latency_s) AS most FROM requests GROUP BY backend""")
 def a8_interpolated_percentiles(spark, sf_dir):
-    out = V.requests(spark, sf_dir).groupBy("backend").agg(*M.interpolated("latency_s", [0.5, 0.95, 0.99]), F.min("latency_s").alias("least"), F.max("latency_s").alias("most"))
-    return out
+    q = exact_quantiles(V.requests(spark, sf_dir), ["backend"], "latency_s", [0.5, 0.95, 0.99, 0.0, 1.0])
+    return q.withColumnsRenamed({"q0": "p50", "q1": "p95", "q2": "p99", "q3": "least", "q4": "most"})
 
 
 @query(R + """, n AS (SELECT *, row_number() OVER (PARTITION BY backend ORDER BY ts DESC, event_id DESC) AS rn FROM requests)
@@ -140,10 +141,11 @@ g AS (SELECT median(latency_s) AS overall FROM requests)
 SELECT backend, round(avg(coalesce(on_median, overall) - coalesce(off_median, overall)), 6) AS effect, count(*) AS pairs FROM m, g GROUP BY backend""")
 def a49_paired_effect(spark, sf_dir):
     r = V.requests(spark, sf_dir)
-    even = F.when(F.col("user_id") % 2 == 0, F.col("latency_s"))
-    odd = F.when(F.col("user_id") % 2 == 1, F.col("latency_s"))
-    pairs = r.groupBy("backend", (F.col("user_id") % 5).alias("bucket")).agg(F.median(even).alias("on"), F.median(odd).alias("off"))
-    overall = r.agg(F.median("latency_s").alias("overall"))
+    rows = r.select("backend", (F.col("user_id") % 5).alias("bucket"), (F.col("user_id") % 2).alias("side"), "latency_s")
+    halves = median(rows, ["backend", "bucket", "side"], "latency_s", "m")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("m")))
+    pairs = rows.select("backend", "bucket").distinct().join(halves.groupBy("backend", "bucket").agg(of(0).alias("on"), of(1).alias("off")), ["backend", "bucket"], "left")
+    overall = median(r, [], "latency_s", "overall")
     effect = F.coalesce("on", "overall") - F.coalesce("off", "overall")
     return pairs.crossJoin(F.broadcast(overall)).groupBy("backend").agg(F.round(F.avg(effect), 6).alias("effect"), F.count("*").alias("pairs"))
 
