@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenforge.functions.times import micros
 from lumenforge.operators import behaviour as B
+from lumenforge.operators import retention
 from lumenforge.operators.sessions import newest
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
+from lumenforge.sources.storage import shared_dir
 
 query = Registry()
 AS_OF = f"TIMESTAMP '{V.AS_OF}'"
@@ -189,10 +193,28 @@ def f9_audit_page(spark, sf_dir):
     return e.orderBy(F.desc("ts"), F.desc("event_id")).offset(20).limit(20).select("event_id", "event_type", "ts")
 
 
-@query(f"SELECT event_type, count(*) AS kept FROM events WHERE ts >= {AS_OF} - INTERVAL 14 DAY GROUP BY 1")
+@query(f"""WITH {V.SQL_CATALOGUE}, rows AS (SELECT 'events' AS source, event_type AS kind, ts, ts < {AS_OF} - INTERVAL 14 DAY AS gone FROM events
+UNION ALL SELECT 'schedule', status, last_indexed, status IN ('indexed', 'failed') AND last_indexed < {AS_OF} - INTERVAL 30 DAY FROM catalogue),
+days AS (SELECT source, ts::DATE AS day FROM rows GROUP BY ALL HAVING bool_or(gone))
+SELECT source, kind, count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS removed, (SELECT count(*) FROM days d WHERE d.source = r.source) AS days_written FROM rows r GROUP BY source, kind""")
 def f13_retention(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").where(F.col("ts") >= V.as_of() - F.expr("interval 14 days"))
-    return e.groupBy("event_type").agg(F.count("*").alias("kept"))
+    """Events older than two weeks and finished schedule rows older than thirty days leave tables that are partitioned by day: what
+    each kind keeps, as read back, what it lost, and how many days were written anew or dropped."""
+    two_weeks, month = V.as_of() - F.expr("interval 14 days"), V.as_of() - F.expr("interval 30 days")
+    tables = [
+        ("events", V.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "ts"), F.col("ts") < two_weeks),
+        ("schedule", V.catalogue(spark, sf_dir).select(F.col("status").alias("kind"), F.col("last_indexed").alias("ts")), F.col("kind").isin("indexed", "failed") & (F.col("ts") < month)),
+    ]
+    out = None
+    for name, rows, gone in tables:
+        path = f"{shared_dir(spark)}/retained-{name}-{uuid.uuid4().hex}"
+        retention.write_days(rows, path, F.col("ts"))
+        days = retention.prune(spark, path, gone).agg(F.count("*").alias("days_written"))
+        left = spark.read.parquet(path).groupBy("kind").agg(F.count("*").alias("kept"))
+        before = rows.groupBy("kind").agg(F.count("*").alias("n"))
+        part = before.join(left, "kind", "left").na.fill(0, ["kept"]).crossJoin(F.broadcast(days)).select(F.lit(name).alias("source"), "kind", "kept", (F.col("n") - F.col("kept")).alias("removed"), "days_written")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-15' INTERSECT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
