@@ -139,13 +139,6 @@ def query_labels(text: Column) -> list[Column]:
     return [label.alias("intent"), subtype.alias("subtype"), (wh | F.contains(text, F.lit("?"))).alias("is_question"), complexity.alias("complexity")]
 
 
-def entities(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, mention, n): e-mail addresses, URLs, numbers with units, years and capitalised phrases."""
-    kinds = {"email": r"[\w.+-]+@[\w-]+\.[\w.]+", "url": r"https?://[^\s<>\"]+", "quantity": r"\b\d+(?:\.\d+)?\s?(?:km|kg|m|cm|%|USD|EUR)\b", "year": r"\b(?:19|20)\d\d\b", "phrase": r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b"}
-    every = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), 0), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("mention"))) for k, p in kinds.items()]))
-    return df.select(key, F.explode(every).alias("e")).groupBy(key, "e.kind", "e.mention").agg(F.count("*").alias("n"))
-
-
 def structured_data(pages: DataFrame, page: str, html: str) -> DataFrame:
     """(page, type, name, rating, price, items) of structured data: JSON-LD objects (single, in arrays, in @graph); for pages without
     any, microdata; for pages without both, meta tags. Ratings are capped at 5; items counts the questions of a FAQ and the steps of

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenforge.functions import text as X
+from lumenforge.operators import dictionary as D
 from lumenforge.operators import ranking as K
 from lumenforge.operators import retrieval as R
 from lumenforge.operators import text_index as I
@@ -108,9 +109,20 @@ def t15_intents(spark, sf_dir):
     return c.groupBy(*T.query_labels(F.col("text"))).agg(F.count("*").alias("n"))
 
 
+#: Names of licences and bodies for the dictionary.
+NAMES = [("organization", "Apache"), ("organization", "GNU"), ("organization", "MIT"), ("product", "Apache License"), ("product", "GNU General Public License"), ("product", "General Public License"), ("product", "Creative Commons"), ("product", "BSD")]
+
+
+def names(spark, sf_dir):
+    """(kind, entry): names of licences, and the first two words of each benchmark passage as things to be found in documents."""
+    first = V.table(spark, sf_dir, "benchmark").select(F.lit("passage").alias("kind"), F.regexp_extract("text", r"^(\S+\s\S+)", 1).alias("entry"))
+    return spark.createDataFrame(NAMES, "kind string, entry string").unionByName(first.where("entry <> ''"))
+
+
 @query()
 def t16_entities(spark, sf_dir):
-    return T.entities(docs(spark, sf_dir), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("mentions"), F.countDistinct("mention").alias("distinct_mentions"))
+    """Entities of each document with any: counts by kind and the primary one."""
+    return D.summary(D.mentions(docs(spark, sf_dir), "doc_id", "text", names(spark, sf_dir)), "doc_id")
 
 
 @query(f"""WITH t AS (SELECT list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}&+#]+'), lambda w: length(w) > 1 AND w NOT IN ({STOPS})) AS w FROM documents),
