@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lumenforge.functions import text as X
 from lumenforge.operators import evaluation as E
 from lumenforge.operators import retrieval as R
+from lumenforge.operators import substrings
 from lumenforge.operators import text_index as I
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
@@ -129,9 +130,19 @@ def j8_near_queries(spark, sf_dir):
     return near.groupBy("query").agg(F.min(F.struct("rank", "doc", "score")).alias("h")).select("query", "h.doc", F.round("h.score", 6).alias("score"))
 
 
-@query(W + SQL_INDEX + ", n AS (SELECT query, count(*) AS n FROM q GROUP BY 1), m AS (SELECT query, doc, count(*) AS m FROM q JOIN idx USING (term) GROUP BY 1, 2) SELECT query, doc FROM m JOIN n USING (query) WHERE m = n")
+@query(W + SQL_INDEX + f""", {V.SQL_CATALOGUE}, n AS (SELECT query, count(*) AS n FROM q GROUP BY 1), m AS (SELECT query, doc, count(*) AS m FROM q JOIN idx USING (term) GROUP BY 1, 2), whole AS (SELECT query, 'd' || doc AS doc FROM m JOIN n USING (query) WHERE m = n),
+short AS (SELECT DISTINCT item_id AS query, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}&+#]+')[1:2], lambda w: length(w) >= 3)) AS term FROM benchmark),
+needs AS (SELECT query, count(*) AS n FROM short GROUP BY 1), sub AS (SELECT query, id AS doc FROM short s JOIN catalogue c ON contains(lower(c.url), s.term) OR contains(lower(c.title), s.term) JOIN needs USING (query) GROUP BY query, id, n HAVING count(*) = n)
+SELECT query, doc, 'terms' AS how FROM whole UNION ALL SELECT query, doc, 'substring' FROM sub WHERE query NOT IN (SELECT query FROM whole)""")
 def f11_all_terms(spark, sf_dir):
-    return I.all_terms(query_terms(spark, sf_dir), index_of(spark, sf_dir))
+    """Documents with all terms of a passage; for passages without any, the pages whose URL or title holds each of the first two words
+    of three letters or more as substrings."""
+    terms = query_terms(spark, sf_dir)
+    whole = kept(I.all_terms(terms, index_of(spark, sf_dir)), "all-terms")
+    first = F.filter(F.slice(F.split(F.lower("text"), X.WORD_GAP), 1, 2), lambda w: F.char_length(w) >= 3)
+    short = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(first).alias("term")).distinct().join(whole.select("query").distinct(), "query", "left_anti")
+    near = substrings.containing(short, V.catalogue(spark, sf_dir), "id", ["url", "title"])
+    return whole.select("query", F.concat(F.lit("d"), F.col("doc").cast("string")).alias("doc"), F.lit("terms").alias("how")).unionByName(near.select("query", "doc", F.lit("substring").alias("how")))
 
 
 @query(W + SQL_INDEX + ", m AS (SELECT query, doc, count(*) AS m FROM q JOIN idx USING (term) GROUP BY 1, 2) SELECT query, lang, count(*) AS docs, max(m) AS most FROM m JOIN documents ON doc_id = doc GROUP BY 1, 2")
