@@ -68,3 +68,27 @@ def stabilised(rows: DataFrame, least: int = 2) -> DataFrame:
     """(query, metric, runs, worst before, worst after) of regressions that at least `least` runs show."""
     gap = F.struct(F.abs(F.col("after") - F.col("before")).alias("gap"), "before", "after")
     return rows.groupBy("query", "metric").agg(F.countDistinct("run").alias("runs"), F.max(gap).alias("w")).where(F.col("runs") >= least).select("query", "metric", "runs", F.col("w.before").alias("before"), F.col("w.after").alias("after"))
+
+
+def zero_gold(pools: DataFrame, gold: DataFrame, queries: DataFrame, runs: list[int], k: int = 10) -> DataFrame:
+    """(query, zero, kind, gold_runs) of each query with gold: whether the median over the runs of its NDCG at k is 0, and why.
+
+    pools: (run, query, doc, rank); gold: (query, doc); queries: query. kind of a zero query: empty, if no run has a result; coverage, if no pool holds
+    gold; ranking, if every pool does, below rank k; mixed, if some do. A run without results is an empty pool. NDCG is 0 where no gold
+    stands among the first k, so the median of these marks decides.
+    """
+    every = queries.select("query").join(gold.select("query").distinct(), "query", "left_semi").select("query", F.explode(F.array(*[F.lit(r).cast("long") for r in runs])).alias("run"))
+    marked = pools.join(gold.select("query", "doc", F.lit(True).alias("_gold")).distinct(), ["query", "doc"], "left")
+    told = marked.groupBy(F.col("run").cast("long").alias("run"), "query").agg(F.count("*").alias("size"), F.count("_gold").alias("held"), F.count_if(F.col("_gold") & (F.col("rank") <= k)).alias("hits"))
+    each = every.join(told, ["run", "query"], "left").na.fill(0, ["size", "held", "hits"])
+    g = each.groupBy("query").agg((F.median((F.col("hits") > 0).cast("int")) == 0).alias("zero"), F.count_if(F.col("held") > 0).alias("gold_runs"), F.max("size").alias("size"))
+    kind = F.when(F.col("size") == 0, "empty").when(F.col("gold_runs") == 0, "coverage").when(F.col("gold_runs") == len(runs), "ranking").otherwise("mixed")
+    return g.select("query", "zero", F.when(F.col("zero"), kind).otherwise("found").alias("kind"), "gold_runs")
+
+
+def zero_gold_report(kinds: DataFrame, axes: DataFrame) -> DataFrame:
+    """(axis, value, queries, zero, share, empty, coverage, ranking, mixed) for axes (query, axis, value), with one row for all queries."""
+    every = axes.select("query", "axis", "value").distinct().unionByName(kinds.select("query", F.lit("all").alias("axis"), F.lit("all").alias("value")))
+    counts = [F.count_if(F.col("kind") == n).alias(n) for n in ("empty", "coverage", "ranking", "mixed")]
+    g = every.join(kinds, "query").groupBy("axis", "value").agg(F.count("*").alias("queries"), F.count_if("zero").alias("zero"), *counts)
+    return g.select("axis", "value", "queries", "zero", F.round(F.col("zero") / F.col("queries"), 6).alias("share"), "empty", "coverage", "ranking", "mixed")

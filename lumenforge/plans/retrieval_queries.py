@@ -13,7 +13,7 @@ from lumenforge.operators import substrings
 from lumenforge.operators import text_index as I
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
-from lumenforge.sources.storage import kept
+from lumenforge.sources.storage import exists, kept
 
 query = Registry()
 SETTINGS = [(1, 1.5, 0.75), (2, 1.2, 0.5), (3, 2.0, 0.9)]
@@ -28,7 +28,7 @@ def index_of(spark, sf_dir) -> I.TextIndex:
     docs = V.table(spark, sf_dir, "documents")
     files = tuple(map(tuple, docs.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct().orderBy("file_path").collect()))
     key = spark.sparkContext.applicationId, sf_dir, files
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(spark, f"{_INDEXES[key].path}/_SUCCESS"):  # the shared folder may have been cleared
         _INDEXES[key] = I.TextIndex.build(docs, "doc_id", "text")
     return _INDEXES[key]
 
@@ -232,14 +232,32 @@ def e12_gold_drift(spark, sf_dir):
     return both.select("query", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("drift"))
 
 
-@query(W + SQL_RUNS + """, x AS (SELECT run, g.query, bool_or(r.doc IS NOT NULL) AS present, bool_or(r.domain = g.gold_domain) AS hit FROM (SELECT DISTINCT query, gold_domain, run FROM gd, (VALUES (1), (2), (3)) v(run)) g LEFT JOIN runs r USING (query, run) GROUP BY 1, 2)
-SELECT query, count(*) FILTER (hit) AS runs_with_gold, CASE WHEN NOT bool_or(present) THEN 'empty' WHEN bool_and(coalesce(hit, false)) THEN 'found' WHEN bool_or(coalesce(hit, false)) THEN 'mixed' ELSE 'coverage' END AS class FROM x GROUP BY 1""")
+SQL_SHORT = SQL_INDEX + """, short AS (SELECT query, term, run FROM (SELECT query, term, (row_number() OVER (PARTITION BY query ORDER BY pos) - 1) // 2 + 1 AS run FROM qt) WHERE run <= 3),
+shorts AS (SELECT run, query, doc, round(sum(ln(greatest(1.0, (n_docs - df + 0.5) / (df + 0.5)) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avg_len))), 9) AS score FROM short JOIN idx USING (term) JOIN dfs USING (term) JOIN lens USING (doc), st GROUP BY 1, 2, 3),
+pool AS (SELECT * FROM (SELECT run, query, doc, row_number() OVER (PARTITION BY run, query ORDER BY score DESC, doc) AS rank FROM shorts) WHERE rank <= 30),
+gold AS (SELECT item_id AS query, doc_id AS doc, lang, source FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+
+
+def short_runs(spark, sf_dir) -> DataFrame:
+    """(run, query, doc, rank): the 30 best documents for the first, second and third pair of a passage's distinct terms, as three runs."""
+    b = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.posexplode(F.array_distinct(X.tokens(F.col("text")))).alias("pos", "term")).where("pos < 6")
+    best = I.search(b.select((F.col("query") * 10 + F.floor(F.col("pos") / 2) + 1).alias("query"), "term"), index_of(spark, sf_dir), 30)
+    return best.select((F.col("query") % 10).alias("run"), F.floor(F.col("query") / 10).alias("query"), "doc", "rank")
+
+
+@query(W + SQL_SHORT + """, each AS (SELECT g.query, v.run, count(p.doc) AS size, count(p.doc) FILTER (p.doc IN (SELECT doc FROM gold x WHERE x.query = p.query)) AS held, count(p.doc) FILTER (rank <= 10 AND p.doc IN (SELECT doc FROM gold x WHERE x.query = p.query)) AS hits
+  FROM (SELECT DISTINCT query FROM gold) g CROSS JOIN (VALUES (1), (2), (3)) v(run) LEFT JOIN pool p ON p.query = g.query AND p.run = v.run GROUP BY 1, 2),
+kinds AS (SELECT query, median(CASE WHEN hits > 0 THEN 1 ELSE 0 END) = 0 AS zero, count(*) FILTER (held > 0) AS gold_runs, max(size) AS size FROM each GROUP BY 1),
+named AS (SELECT query, zero, CASE WHEN NOT zero THEN 'found' WHEN size = 0 THEN 'empty' WHEN gold_runs = 0 THEN 'coverage' WHEN gold_runs = 3 THEN 'ranking' ELSE 'mixed' END AS kind FROM kinds),
+axes AS (SELECT DISTINCT query, 'language' AS axis, lang AS value FROM gold UNION ALL SELECT DISTINCT query, 'gold source', source FROM gold UNION ALL SELECT query, 'all', 'all' FROM named)
+SELECT axis, value, count(*) AS queries, count(*) FILTER (zero) AS zero, round(count(*) FILTER (zero) / count(*), 6) AS share, count(*) FILTER (kind = 'empty') AS empty, count(*) FILTER (kind = 'coverage') AS coverage, count(*) FILTER (kind = 'ranking') AS ranking, count(*) FILTER (kind = 'mixed') AS mixed FROM axes JOIN named USING (query) GROUP BY 1, 2""")
 def a42_zero_gold(spark, sf_dir):
-    g = gold(spark, sf_dir).select("query", "gold_domain").distinct().crossJoin(spark.range(1, 4).withColumnRenamed("id", "run"))
-    r = runs(spark, sf_dir).select("run", "query", "doc", "domain")
-    x = g.join(r, ["query", "run"], "left").groupBy("run", "query").agg(F.bool_or(F.col("doc").isNotNull()).alias("present"), F.coalesce(F.bool_or(F.col("domain") == F.col("gold_domain")), F.lit(False)).alias("hit"))
-    kind = F.when(~F.bool_or("present"), "empty").when(F.bool_and("hit"), "found").when(F.bool_or("hit"), "mixed").otherwise("coverage")
-    return x.groupBy("query").agg(F.count_if("hit").alias("runs_with_gold"), kind.alias("class"))
+    """Passages whose documents miss the first ten in most of three short searches, by cause, language and source of these documents."""
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source")
+    g = kept(gold(spark, sf_dir).select("query", "doc").distinct(), "gold").join(docs, "doc")
+    kinds = kept(E.zero_gold(short_runs(spark, sf_dir), g, g.select("query").distinct(), [1, 2, 3]), "zero-gold")
+    axes = g.select("query", F.lit("language").alias("axis"), F.col("lang").alias("value")).unionByName(g.select("query", F.lit("gold source").alias("axis"), F.col("source").alias("value")))
+    return E.zero_gold_report(kinds, axes)
 
 
 @query(W + SQL_RUNS + """, p AS (SELECT query, domain, bool_or(run = 1) AS r1, bool_or(run = 2) AS r2, bool_or(run = 3) AS r3 FROM runs GROUP BY 1, 2)

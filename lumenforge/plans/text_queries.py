@@ -339,7 +339,8 @@ def w13_answers(spark, sf_dir):
 
 @query()
 def w14_context(spark, sf_dir):
-    return K.context_packs(candidates(spark, sf_dir, 5).select("query", "rank", "text"), "query", "rank", "text").select("query", "n", "rank", F.md5("pack").alias("digest"))
+    """Packs of sentences of the ten best documents of each passage."""
+    return K.context_packs(candidates(spark, sf_dir, 10).select("query", "rank", "title", "text"), "query", "rank", "title", "text").select("query", "n", "rank", F.md5("pack").alias("digest"))
 
 
 @query("WITH " + SQL_CANDIDATES + """, x AS (SELECT query, terms, unnest(list_distinct(tt)) AS term FROM tok), g AS (SELECT query, term, count(*) AS n FROM x WHERE NOT list_contains(terms, term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, term) AS rank FROM g) SELECT * FROM r WHERE rank <= 8""")

@@ -28,6 +28,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what kept() has written, once nothing reads it any more."""
     spark = df.sparkSession
