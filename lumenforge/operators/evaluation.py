@@ -92,3 +92,20 @@ def zero_gold_report(kinds: DataFrame, axes: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("kind") == n).alias(n) for n in ("empty", "coverage", "ranking", "mixed")]
     g = every.join(kinds, "query").groupBy("axis", "value").agg(F.count("*").alias("queries"), F.count_if("zero").alias("zero"), *counts)
     return g.select("axis", "value", "queries", "zero", F.round(F.col("zero") / F.col("queries"), 6).alias("share"), "empty", "coverage", "ranking", "mixed")
+
+
+def gold_drift(before: DataFrame, after: DataFrame, gold: DataFrame, threshold: float = 0.01, gate: float = 0.05) -> DataFrame:
+    """(query, before, after, delta, drift, flips) of each query with a result in any run, where its gold has changed since the runs were judged.
+
+    before, after: (run, query, ndcg) by the old and the new gold, null where a run was not judged; gold: queries with new gold. before, after and
+    delta are medians over the runs. drift: removed (no new gold, but a judgement), added (new gold, no judgement), changed (a median delta of
+    threshold or more either way), else same; flips: a change that reaches the gate.
+    """
+    key = ["run", "query"]
+    both = before.select(*key, F.col("ndcg").alias("b")).join(after.select(*key, F.col("ndcg").alias("a")), key, "full_outer").join(gold.select("query", F.lit(True).alias("_gold")).distinct(), "query", "left")
+    a = F.when(F.col("_gold"), F.coalesce("a", F.lit(0.0))).otherwise(0.0)  # without gold the NDCG is 0
+    g = both.withColumn("a", a).groupBy("query").agg(F.median("b").alias("before"), F.median("a").alias("after"), F.median(F.col("a") - F.col("b")).alias("delta"), F.bool_or(F.coalesce("_gold", F.lit(False))).alias("held"))
+    changed = F.coalesce(F.abs(F.round("delta", 6)) >= threshold, F.lit(False))
+    drift = F.when(~F.col("held") & F.col("before").isNotNull(), "removed").when(F.col("held") & F.col("before").isNull(), "added").when(changed, "changed").otherwise("same")
+    told = g.withColumn("drift", drift)
+    return told.select("query", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round("delta", 6).alias("delta"), "drift", ((F.col("drift") == "changed") & (F.abs(F.round("delta", 6)) >= gate)).alias("flips"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -222,14 +224,25 @@ def e11_stabilised_regressions(spark, sf_dir):
     return E.stabilised(regressed(spark, sf_dir))
 
 
-@query(W + SQL_RUNS + """, g2 AS (SELECT query, gold_domain FROM gd WHERE query % 3 <> 0 UNION SELECT query, 'src1' FROM gd WHERE query % 2 = 0), a AS (SELECT query, string_agg(DISTINCT gold_domain, ',' ORDER BY gold_domain) AS g FROM gd GROUP BY 1), b AS (SELECT query, string_agg(DISTINCT gold_domain, ',' ORDER BY gold_domain) AS g FROM g2 GROUP BY 1)
-SELECT coalesce(a.query, b.query) AS query, CASE WHEN a.query IS NULL THEN 'added' WHEN b.query IS NULL THEN 'removed' WHEN a.g <> b.g THEN 'changed' ELSE 'same' END AS drift FROM a FULL JOIN b ON a.query = b.query""")
+#: The metrics of the runs by newer gold: the sources of English or longer documents that hold the passage.
+SQL_NEWER = """, g2 AS (SELECT DISTINCT g.query, g.gold_domain FROM gold g JOIN documents d ON d.doc_id = g.doc WHERE d.lang = 'en' OR length(d.text) > 4000), """
+SQL_TAIL = SQL_RUNS[SQL_RUNS.index("gn AS") :]
+for _old, _new in (("gd", "g2"), ("gn", "gn2"), ("ideal", "ideal2"), ("firsts", "firsts2"), ("metrics", "metrics2")):
+    SQL_TAIL = re.sub(rf"\b{_old}\b", _new, SQL_TAIL)
+
+
+@query(W + SQL_RUNS + SQL_NEWER + SQL_TAIL + """, two AS (SELECT coalesce(m.query, n.query) AS query, m.ndcg AS b, CASE WHEN coalesce(m.query, n.query) IN (SELECT query FROM g2) THEN coalesce(n.ndcg, 0) ELSE 0 END AS a FROM metrics m FULL JOIN metrics2 n ON m.run = n.run AND m.query = n.query),
+med AS (SELECT query, median(b) AS before, median(a) AS after, median(a - b) AS delta, query IN (SELECT query FROM g2) AS held FROM two GROUP BY query),
+named AS (SELECT *, CASE WHEN NOT held AND before IS NOT NULL THEN 'removed' WHEN held AND before IS NULL THEN 'added' WHEN abs(round(delta, 6)) >= 0.01 THEN 'changed' ELSE 'same' END AS drift FROM med)
+SELECT query, round(before, 6) AS before, round(after, 6) AS after, round(delta, 6) AS delta, drift, drift = 'changed' AND abs(round(delta, 6)) >= 0.05 AS flips FROM named""")
 def e12_gold_drift(spark, sf_dir):
-    g = gold(spark, sf_dir).select("query", "gold_domain").distinct()
-    newer = g.where("query % 3 <> 0").union(g.where("query % 2 = 0").select("query", F.lit("src1"))).distinct()
-    named = lambda d, c: d.groupBy("query").agg(F.concat_ws(",", F.sort_array(F.collect_set("gold_domain"))).alias(c))
-    both = named(g, "a").join(named(newer, "b"), "query", "full_outer")
-    return both.select("query", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("drift"))
+    """Three runs judged by the sources of all documents that hold a passage, and again by those of English or longer documents."""
+    old = kept(gold(spark, sf_dir), "gold")
+    d = V.table(spark, sf_dir, "documents").where("lang = 'en' OR char_length(text) > 4000").select(F.col("doc_id").alias("doc"))
+    newer = kept(old.join(d, "doc", "left_semi").select("query", "gold_domain").distinct(), "newer-gold")
+    told = kept(runs(spark, sf_dir), "judged-runs")
+    judged_by = lambda g: E.ranking_metrics(told, g, ["run", "query"]).select("run", "query", "ndcg")
+    return E.gold_drift(judged_by(old.select("query", "gold_domain").distinct()), judged_by(newer), newer.select("query"))
 
 
 SQL_SHORT = SQL_INDEX + """, short AS (SELECT query, term, run FROM (SELECT query, term, (row_number() OVER (PARTITION BY query ORDER BY pos) - 1) // 2 + 1 AS run FROM qt) WHERE run <= 3),
