@@ -15,7 +15,7 @@ ENTRIES = 1 << 17
 PATTERNS = {"email": (r"[\w.+-]+@[\w-]+\.[\w.]+", 0.95), "url": (r"https?://[^\s<>\"]+", 0.95), "quantity": (r"\b\d+(?:\.\d+)?\s?(?:km|kg|m|cm|%|USD|EUR)\b", 0.8), "year": (r"\b(?:19|20)\d\d\b", 0.85)}
 KNOWN, CONCEPT = 0.9, 0.5
 PHRASE = re.compile(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b")
-#: What may stand beside a short entry.
+#: What may stand beside a short entry.
 BORDER = frozenset(" \t\n\r\f\v,.;:!?()[]{}\"'-–—")
 MENTION = [("kind", T.StringType()), ("mention", T.StringType()), ("entry", T.StringType()), ("start", T.LongType()), ("confidence", T.DoubleType())]
 

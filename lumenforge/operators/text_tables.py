@@ -161,12 +161,12 @@ def structured_data(pages: DataFrame, page: str, html: str) -> DataFrame:
     return first.unionByName(tags.join(first.select(page).distinct(), page, "left_anti"))
 
 
-#: Words that negate a statement, by language, and units of quantities.
-NEGATIONS = (
-    r"(?i)(?:^|[^\p{L}\p{N}_])(?:not|never|nobody|nothing|neither|denie[sd]|deny|refused?|refuses|lacks?|fails? to|cannot"
-    r"|(?:do|does|is|are|was|were|has|have|ca|wo|would|should)n['\x{2019}]?t|nicht|keine?|keine[mnrs]|niemals|jamais|nunca|tampoco)(?:$|[^\p{L}\p{N}_])"
-    r"|아니|않|없|못|불가|부정|거부|반대|不|没有|无法|否认|缺乏|反对|拒绝|ない|ません|できず|拒否"
-)
+#: Words that negate a statement, of English, German and Spanish as whole words, of Korean, Chinese and Japanese as pieces, and units of quantities.
+NEGATION_WORDS = """not, never, nobody, nothing, neither, denies, denied, refuse, refuses, refused, lack, lacks, lack of, fail to, fails to,
+doesn't, don't, isn't, aren't, wasn't, weren't, hasn't, haven't, cannot, can't, won't, wouldn't, shouldn't,
+nicht, kein, keine, keinem, keinen, keiner, keines, niemals, jamais, nunca, tampoco"""
+NEGATION_PIECES = "아니|않|없|못|불가|부정|거부|반대|不|没有|不是|无法|不能|否认|缺乏|反对|拒绝|ない|ません|ではない|ではなかった|できません|できず|反対|拒否"
+NEGATIONS = r"(?i)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(w.strip().replace("'", r"['\x{2019}]?") for w in NEGATION_WORDS.split(",")) + r")(?:$|[^\p{L}\p{N}_])|" + NEGATION_PIECES
 UNITS = r"(%|percent|％|pp|bp|만|억|조|원|달러|엔|유로|billion|trillion|million|thousand|개|년|월|kg|km|gb|tb|mb|hz|ghz)"
 #: Phrases of page furniture.
 FURNITURE = r"(?i)subscribe|newsletter|cookie|click here|sign up|log in|©|copyright|all rights reserved|javascript|menu|footer|privacy policy|terms of service|skip to content"
