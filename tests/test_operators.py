@@ -303,7 +303,14 @@ def test_passages_are_searched_by_all_their_terms(spark, tmp_path):
     texts = {1: " ".join(terms[:6] * 3), 2: " ".join(terms) + " other", 3: " ".join(terms[4:]), 4: "nothing here"}
     spark.createDataFrame([(k, t, "s") for k, t in texts.items()], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(7, " ".join(terms) + " word0")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert [tuple(r) for r in Q.f11_all_terms(spark, str(tmp_path)).collect()] == [(7, 2)]
+    spark.createDataFrame([(1, "http://word.org/ord0", "<title>sword01</title>"), (2, "http://word.org/", "<title>word0</title>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [tuple(r) for r in Q.f11_all_terms(spark, str(tmp_path)).collect()] == [(7, "d2", "terms")]
+    # a passage without a document looks for its first words inside URLs and titles
+    other = tmp_path / "other"
+    spark.createDataFrame([(8, "ord0 wor gone"), (9, "nowhere")], "item_id long, text string").write.parquet(str(other / "benchmark.parquet"))
+    for name in ("documents", "pages"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(other / f"{name}.parquet"))
+    assert sorted(tuple(r) for r in Q.f11_all_terms(spark, str(other)).collect()) == [(8, "d1", "substring"), (8, "d2", "substring")]
     held = {d: t.split() for d, t in texts.items()}
     mean = sum(len([w for w in t if w not in X.STOP_WORDS]) for t in held.values()) / len(held)
     want = {}
