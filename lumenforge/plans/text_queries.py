@@ -57,9 +57,14 @@ def t9_token_estimate(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query()
+#: Sentences of a text: ends are marked by chr(1), the points of abbreviations by chr(2).
+SQL_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Dr|St|vs|etc|e\.g|i\.e)\.(\s)', '\1' || chr(2) || '\2', 'g'),
+ '([.!?])\s+', '\1' || chr(1), 'g'), '([\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: trim(replace(s, chr(2), '.'))), lambda s: s <> '')"""
+
+
+@query(f"SELECT doc_id, x[1] AS n, md5(x[2]) AS digest FROM (SELECT doc_id, unnest(list_zip(range(len(s)), s)) AS x FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents))")
 def t10_sentences(spark, sf_dir):
-    return T.sentence_table(docs(spark, sf_dir), "doc_id", "text").select("doc_id", "n", F.md5("sentence").alias("digest"))
+    return T.sentence_table(docs(spark, sf_dir), "doc_id", "text").select("doc_id", F.col("n").cast("long").alias("n"), F.md5("sentence").alias("digest"))
 
 
 @query("SELECT lang, CASE WHEN regexp_matches(text, '[\\x{AC00}-\\x{D7AF}]') THEN 'ko' WHEN regexp_matches(text, '[\\x{3040}-\\x{30FF}]') THEN 'ja' WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'zh' ELSE 'en' END AS script, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -194,9 +199,6 @@ def t28_hash_embedding(spark, sf_dir):
     return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"))
 
 
-#: Sentences of a text: ends are marked by chr(1), the points of abbreviations by chr(2).
-SQL_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Dr|St|vs|etc|e\.g|i\.e)\.(\s)', '\1' || chr(2) || '\2', 'g'),
- '([.!?])\s+', '\1' || chr(1), 'g'), '([\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: trim(replace(s, chr(2), '.'))), lambda s: s <> '')"""
 SQL_CLAIMS = f"""sent AS (SELECT doc_id, source, unnest(list_zip(range(len(s)), s)) AS x FROM (SELECT doc_id, source, {SQL_SENTENCES} AS s FROM documents)),
 sized AS (SELECT doc_id, source, x[1] AS n, x[2] AS claim, length(x[2]) AS size, regexp_matches(x[2], '{X.CJK}') AS cjk FROM sent),
 scored AS (SELECT doc_id, source, n, claim, CASE WHEN size BETWEEN 60 AND 220 THEN 35 WHEN size >= 40 THEN 15 ELSE 0 END + CASE WHEN regexp_matches(claim, '[0-9]') THEN 30 ELSE 0 END
