@@ -114,27 +114,42 @@ def topic(text: Column) -> Column:
     return F.coalesce(*[F.when(F.lower(text).rlike(p), F.lit(n)) for n, p in TOPICS], F.lit("general"))
 
 
+#: Ends of a whole word, for expressions that Java and RE2 read alike: \\b splits letters beyond ASCII in some of them.
+OPEN, SHUT = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:$|[^\p{L}\p{M}\p{N}_])"
+CONJUNCTIONS = ["and", "or", "but", "und", "et", "y", "if"]
+
+
+def _holds(text: Column, words: str, opening: str = OPEN) -> Column:
+    """Whether the text has one of the words (w|w) as a whole word, in either case; opening ^: as its first word."""
+    return F.lower(text).rlike(f"{opening}(?:{words}){SHUT}")
+
+
 def intent(text: Column) -> Column:
-    """Label of a query by weighted patterns; ties go to the first label in the alphabet."""
-    weighted = {"question": [(r"(?i)^(what|who|when|where|why|how)\b", 2.0), (r"\?", 1.0)], "compare": [(r"(?i)\b(vs|versus|compare|better)\b", 2.5)], "buy": [(r"(?i)\b(buy|price|cheap|deal)\b", 2.0)], "news": [(r"(?i)\b(news|latest|today)\b", 2.0)]}
-    scores = [F.struct(reduce(lambda a, b: a + b, [F.when(text.rlike(p), F.lit(w)).otherwise(0.0) for p, w in rules]).alias("score"), F.lit(name).alias("label")) for name, rules in sorted(weighted.items(), reverse=True)]
+    """Label of a query by weighted whole words; ties go to the first label in the alphabet."""
+    weighted = {
+        "question": [(_holds(text, "what|who|when|where|why|how", "^"), 2.0), (F.contains(text, F.lit("?")), 1.0)],
+        "compare": [(_holds(text, "vs|versus|compare|better"), 2.5)],
+        "buy": [(_holds(text, "buy|price|cheap|deal"), 2.0)],
+        "news": [(_holds(text, "news|latest|today"), 2.0)],
+    }
+    scores = [F.struct(reduce(lambda a, b: a + b, [F.when(p, F.lit(w)).otherwise(0.0) for p, w in rules]).alias("score"), F.lit(name).alias("label")) for name, rules in sorted(weighted.items(), reverse=True)]
     best = F.array_max(F.array(*scores))
     return F.when(best["score"] > 0, best["label"]).otherwise("search")
 
 
 def query_labels(text: Column) -> list[Column]:
-    """intent, subtype, is_question and complexity (words, and two for each conjunction) of a query."""
+    """intent, subtype, is_question and complexity (words, and two for each conjunction that is a whole word) of a query."""
     label = intent(text)
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    wh = text.rlike(r"(?i)^(what|who|when|where|why|how)\b")
+    words = F.size(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    wh = _holds(text, "what|who|when|where|why|how", "^")
     subtype = (
-        F.when(label == "question", F.when(text.rlike(r"(?i)^(how|why)\b"), "explanation").otherwise("fact"))
+        F.when(label == "question", F.when(_holds(text, "how|why", "^"), "explanation").otherwise("fact"))
         .when(label == "compare", "versus")
-        .when(label == "buy", F.when(text.rlike(r"(?i)\b(price|cheap)\b"), "price").otherwise("purchase"))
-        .when(label == "news", F.when(text.rlike(r"(?i)\b(latest|today)\b"), "latest").otherwise("topic"))
+        .when(label == "buy", F.when(_holds(text, "price|cheap"), "price").otherwise("purchase"))
+        .when(label == "news", F.when(_holds(text, "latest|today"), "latest").otherwise("topic"))
         .otherwise(F.when(words <= 3, "short").otherwise("long"))
     )
-    load = words + 2 * F.regexp_count(F.lower(text), F.lit(r"\b(and|or|but|und|et|y|if)\b"))
+    load = words + 2 * F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.isin(CONJUNCTIONS)))
     complexity = F.when(load < 8, "low").when(load < 30, "medium").otherwise("high")
     return [label.alias("intent"), subtype.alias("subtype"), (wh | F.contains(text, F.lit("?"))).alias("is_question"), complexity.alias("complexity")]
 

@@ -391,3 +391,20 @@ def test_expansion_and_decomposition_take_whole_texts(spark, tmp_path):
     assert {"tail", "end", "yy"} <= more and len(more) > 8
     assert [(r.item_id, r.expansion) for r in TQ.t17_expansion(spark, str(tmp_path)).collect()] == [(1, " ".join(sorted(more)[:8]))]
     assert {(r.conv_id, r.turn): r.parts for r in TQ.t18_decomposition(spark, str(tmp_path)).collect()} == {(1, 0): 9, (2, 0): 2}
+
+
+def test_labels_take_whole_words_only(spark):
+    """Letters beyond ASCII belong to words on both sides: the SQL counted the start of etéparé as a conjunction."""
+    from lumenforge.plans import text_queries
+    from tests.oracle import compare
+
+    rows = [(7 * k, k, "user", t) for k, t in enumerate(["un etéparé de la une fin", "un et une, et et", "dealé", "Price\u000bor deal?", "howé", "HOW é", "priceless news", None, "vs.", "a_or b"])]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = [tuple(r) for r in table.orderBy("turn").select(*text_tables.query_labels(F.coalesce("text", F.lit("")))).collect()]
+    assert got[0][3] == "low" and got[1][3] == "medium" and [r[0] for r in got] == ["search", "search", "search", "buy", "search", "question", "news", "search", "compare", "search"]
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("conversations", table.toPandas())
+    mix = table.select(text_queries.t15_text().alias("text")).groupBy(*text_tables.query_labels(F.col("text"))).agg(F.count("*").alias("n"))
+    assert compare(mix, con, text_queries.ORACLE_SQL["t15_intents"]) == ""
