@@ -73,8 +73,16 @@ def attach(results: DataFrame, images: DataFrame, key: str, domain: str, title:
     """(key, image, how): up to n images of the result's domain; else the first image whose title shares two words of three letters or more."""
     from lumenforge.operators.sessions import newest
 
-    same = newest(results.select(key, domain).join(images.select(image, domain), domain), [key], [image], n).select(key, image, F.lit("domain").alias("how"))
-    words = lambda d, k: d.select(k, F.explode(F.array_distinct(F.filter(X.tokens(F.col(title)), lambda w: F.char_length(w) > 2))).alias("w"))
-    left = results.join(same.select(key).distinct(), key, "left_anti")
-    shared = words(left, key).join(words(images, image), "w").groupBy(key, image).agg(F.count("*").alias("m")).where("m >= 2")
-    return same.unionByName(newest(shared, [key], [image], 1).select(key, image, F.lit("title").alias("how")))
+    firsts = newest(images.select(domain, image).where(F.col(domain).isNotNull()), [domain], [image], n).groupBy(domain).agg(F.sort_array(F.collect_list(image)).alias("_images"))
+    told = results.select(key, domain, title).join(firsts, domain, "left")
+    same = told.select(key, F.explode("_images").alias(image), F.lit("domain").alias("how"))
+    # two words are shared if and only if a pair of words is: of each pair only the first image is kept, so no image meets all others
+    found = word_pairs(told.where(F.col("_images").isNull()), key, title).join(word_pairs(images, image, title).groupBy("pair").agg(F.min(image).alias(image)), "pair")
+    return same.unionByName(found.groupBy(key).agg(F.min(image).alias(image)).select(key, image, F.lit("title").alias("how")))
+
+
+def word_pairs(df: DataFrame, key: str, title: str) -> DataFrame:
+    """(key, pair): every two different words of three letters or more of a title; a title of w words has w * (w - 1) / 2 of them."""
+    words = F.array_sort(F.array_distinct(F.filter(X.tokens(F.col(title)), lambda w: F.char_length(w) > 2)))
+    later = lambda w: F.transform(F.slice("_w", F.array_position("_w", w).cast("int") + 1, F.size("_w")), lambda v: F.concat_ws(" ", w, v))
+    return df.select(key, words.alias("_w")).where(F.size("_w") > 1).select(key, F.explode("_w").alias("_a"), "_w").select(key, F.explode(later(F.col("_a"))).alias("pair"))
