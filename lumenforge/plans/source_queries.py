@@ -87,7 +87,7 @@ def s6_feeds(spark, sf_dir):
 @query("SELECT regexp_extract(url, '^(https?://[^/]+)', 1) AS host, count(DISTINCT url) AS urls FROM pages GROUP BY 1")
 def s7_sitemaps(spark, sf_dir):
     p = V.table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", r"^(https?://[^/]+)", 1))
-    maps = p.groupBy("host").agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list(F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc></url>")))), F.lit("</urlset>")).alias("xml"))
+    maps = S.sitemaps(p, "host", "url")
     return S.sitemap_urls(maps, "host", "xml").groupBy("host").agg(F.count("*").alias("urls"))
 
 

@@ -63,6 +63,19 @@ def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
     return x.select(key, inner("title").alias("title"), link.alias("link"), published.alias("published")).where((F.char_length("title") >= 5) & F.col("link").rlike("^https?://"))
 
 
+#: URLs of a sitemap file on average; the format allows 50,000.
+MAP_URLS = 5000
+
+
+def sitemaps(pages: DataFrame, host: str, url: str) -> DataFrame:
+    """(host, xml): the distinct URLs of each host as urlsets. A host of many pages has many files, so none holds a whole host."""
+    urls = pages.select(host, url).where(F.col(url).isNotNull()).distinct()
+    parts = max(1, -(-urls.count() // MAP_URLS))
+    entry = F.concat(F.lit("<url><loc> "), F.col(url), F.lit(" </loc></url>"))
+    files = urls.groupBy(host, F.pmod(F.xxhash64(url), F.lit(parts)).alias("_file")).agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list(entry)), F.lit("</urlset>")).alias("xml"))
+    return files.select(host, "xml")
+
+
 def sitemap_urls(maps: DataFrame, key: str, xml: str) -> DataFrame:
     """(key, loc, is_index): page URLs of a urlset and child maps of a sitemapindex; relative locations are resolved against the map's host."""
     host = F.regexp_extract(F.col(key), r"^(https?://[^/]+)", 1)

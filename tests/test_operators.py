@@ -408,3 +408,24 @@ def test_labels_take_whole_words_only(spark):
     con.register("conversations", table.toPandas())
     mix = table.select(text_queries.t15_text().alias("text")).groupBy(*text_tables.query_labels(F.col("text"))).agg(F.count("*").alias("n"))
     assert compare(mix, con, text_queries.ORACLE_SQL["t15_intents"]) == ""
+
+
+def test_images_by_domain_or_two_words_without_all_pairs(spark):
+    from lumenforge.operators import attribution
+
+    results = [("r1", "a.com", "one two"), ("r2", "b.com", "red green of"), ("r3", "b.com", "red up of it"), ("r4", None, "Green red blue"), ("r5", "c.com", None)]
+    images = [("i4", "a.com", "x"), ("i3", "a.com", "x"), ("i2", "a.com", "x"), ("i1", "a.com", "x"), ("i5", "d.com", "blue red"), ("i6", None, "red green blue"), ("i7", "d.com", "red of it up")]
+    r = spark.createDataFrame(results, "id string, domain string, title string")
+    i = spark.createDataFrame(images, "image string, domain string, title string")
+    got = sorted(tuple(x) for x in attribution.attach(r, i, "id", "domain", "title", "image").collect())
+    assert got == [("r1", "i1", "domain"), ("r1", "i2", "domain"), ("r1", "i3", "domain"), ("r2", "i6", "title"), ("r4", "i5", "title")]
+    assert sorted(x.pair for x in attribution.word_pairs(i.where("image = 'i6'"), "image", "title").collect()) == ["blue green", "blue red", "green red"]
+
+
+def test_a_host_of_many_pages_has_many_sitemaps(spark, monkeypatch):
+    monkeypatch.setattr(readers, "MAP_URLS", 20)
+    pages = spark.range(1000).select(F.lit("https://a.com").alias("host"), F.concat(F.lit("https://a.com/"), (F.col("id") % 500).cast("string")).alias("url"))
+    maps = readers.sitemaps(pages, "host", "url")
+    sizes = [x.n for x in maps.select(F.regexp_count("xml", F.lit("<loc>")).alias("n")).collect()]
+    assert sum(sizes) == 500 and max(sizes) <= 60
+    assert readers.sitemap_urls(maps, "host", "xml").count() == 500
