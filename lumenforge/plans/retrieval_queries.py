@@ -149,9 +149,8 @@ def f11_all_terms(spark, sf_dir):
 
 @query(W + SQL_INDEX + ", m AS (SELECT query, doc, count(*) AS m FROM q JOIN idx USING (term) GROUP BY 1, 2) SELECT query, lang, count(*) AS docs, max(m) AS most FROM m JOIN documents ON doc_id = doc GROUP BY 1, 2")
 def j2_postings_documents(spark, sf_dir):
-    hits = index_of(spark, sf_dir).postings().join(query_terms(spark, sf_dir), "term").groupBy("query", "doc").agg(F.count("*").alias("m"))
-    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang")
-    return hits.join(docs, "doc").groupBy("query", "lang").agg(F.count("*").alias("docs"), F.max("m").alias("most"))
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("value"))
+    return I.by_group(query_terms(spark, sf_dir), index_of(spark, sf_dir), docs).select("query", F.col("value").alias("lang"), "docs", "most")
 
 
 @query(W + SQL_BM25 + ", t AS (SELECT * FROM ranked WHERE run = 1 AND rank <= 30), c AS (SELECT t.*, source, row_number() OVER (PARTITION BY query, source ORDER BY rank) AS rn FROM t JOIN documents ON doc_id = doc) SELECT query, doc, source, rank FROM c WHERE rn <= 2")
@@ -163,9 +162,8 @@ def w3_source_cap(spark, sf_dir):
 
 @query(W + SQL_BM25 + ", t AS (SELECT r.*, source, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, doc) AS rn FROM ranked r JOIN documents ON doc_id = doc WHERE run = 1), b AS (SELECT query, source, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM t WHERE rn = 1) SELECT * FROM b WHERE place <= 5")
 def w4_best_per_source(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
-    scored = R.bm25(query_terms(spark, sf_dir), index_of(spark, sf_dir).postings(), index_of(spark, sf_dir).stats()).join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc")
-    best = scored.groupBy("query", "source").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc")).alias("b")).select("query", "source", F.col("b.doc").alias("doc"), (-F.col("b.s")).alias("score"))
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("value"))
+    best = I.by_group(query_terms(spark, sf_dir), index_of(spark, sf_dir), docs).select("query", F.col("value").alias("source"), "doc", "score")
     return R.top_k(best, ["query"], "score", "doc", 5).withColumnRenamed("rank", "place")
 
 
