@@ -82,7 +82,7 @@ def st7_indexing(spark, sf_dir):
         chunks = T.chunks(text, "page_id", "text").groupBy("page_id").agg(F.count("*").alias("chunks"))
         return text.select("page_id", F.sha2("text", 256).alias("content_hash")).join(chunks, "page_id", "left")
 
-    stream = J.stream_of(spark, folder, "messages", late=F.col("second"))
+    stream = J.stream_of(spark, folder, "messages", late=F.col("second"), file_rows=4000)
     out = J.drained(stream, "append", "st7", lambda b, n, past: J.messages(b, past, "page_id", "op", built).withColumn("batch_no", F.lit(n)))
     last = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("version")))
     return out.withColumn("n", last).where("n = 1").select("page_id", "op", "version")

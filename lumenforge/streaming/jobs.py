@@ -17,12 +17,17 @@ from pyspark.sql.window import Window
 from lumenforge.sources.storage import dropped, kept, shared_dir
 
 LATENESS = "10 minutes"
+#: Rows of a file of a stream.
+FILE_ROWS = 100_000
+#: State is kept on the executors' disks, with a fixed share of memory, not as a map of all keys in memory.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str, order: str | None = None, slices: int = 4, late: Column | None = None) -> DataFrame:
+def stream_of(spark: SparkSession, sf_dir: str, name: str, order: str | None = None, slices: int = 4, late: Column | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """File stream over a table, one micro-batch for each slice, as a landing folder would fill up.
 
-    With order, slices follow that column; rows for which `late` holds arrive after all others, in a slice of their own.
+    With order, slices follow that column; rows for which `late` holds arrive after all others, in a slice of their own. All slices have
+    the same number of files, about one for file_rows rows, so that a micro-batch takes the files of one slice.
     """
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     path = f"{shared_dir(spark)}/landing-{name}-{uuid.uuid4().hex}"
@@ -36,10 +41,21 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str, order: str | None = N
     if late is not None:
         place = F.when(late, F.lit(slices)).otherwise(place)
     placed = kept(table.withColumn("_place", place), "slices")
+    files = slice_files(placed, slices + (late is not None), file_rows)
     for k in range(slices + (late is not None)):  # one after the other: a file stream reads in the order of arrival
-        placed.where(F.col("_place") == k).drop("_place").coalesce(1).write.mode("append").parquet(path)
+        part = placed.where(F.col("_place") == k).drop("_place")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
     dropped(placed)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def slice_files(placed: DataFrame, slices: int, file_rows: int) -> int:
+    """Files of a slice: as the largest slice needs, but so few that rows dealt in turn leave none of the least slice empty.
+
+    A partition with as many rows as there are files gives a row to each; the fullest one has at least the mean."""
+    sizes = [r.n for r in placed.groupBy("_place").agg(F.count("*").alias("n")).collect()]
+    sizes += [0] * (slices - len(sizes))
+    return max(1, min(-(-max(sizes) // file_rows), min(sizes) // max(1, placed.rdd.getNumPartitions())))
 
 
 def events(spark: SparkSession, sf_dir: str, late: Column | None = None) -> DataFrame:
@@ -63,7 +79,14 @@ def drained(job: DataFrame, mode: str, name: str, each: Callable[[DataFrame, int
         out.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
         written.append(number)
 
-    job.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
+    try:
+        job.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     out = spark.read.parquet(f"{base}/out")
     if key is not None:
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("batch")))).where("_n = 1").drop("_n")
