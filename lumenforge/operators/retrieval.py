@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from lumenforge.functions import text as X
 
 K1, B = 1.5, 0.75
-#: Rows of a block in the exact vector search.
-BLOCK_ROWS = 2048
+#: Rows of a block in the exact vector search, pairs of blocks in a task at most on average: an Arrow batch may hold all of a task's pairs.
+BLOCK_ROWS, TASK_PAIRS = 2048, 4
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -69,6 +69,12 @@ def vector_blocks(df: DataFrame, id_col: str, vector: str, rows: int) -> DataFra
     return df.where(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("items"))
 
 
+def pair_tasks(queries: int, corpus: int, block_rows: int, cores: int) -> int:
+    """Tasks for the pairs of blocks: they grow with the pairs, so that a task's memory doesn't."""
+    pairs = max(1, -(-queries // block_rows)) * max(1, -(-corpus // block_rows))
+    return max(1, cores, -(-pairs // TASK_PAIRS))
+
+
 def vector_top_k(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query, doc, score, rank): exact cosine top k of each query, other than itself.
 
@@ -95,7 +101,7 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str
                 good = best > -2
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[0], order.shape[1])[good.ravel()]), pa.array(ids[1][order].ravel()[good.ravel()]), pa.array(best.ravel()[good.ravel()])], names=["query", "doc", "score"])
 
-    pairs = c.crossJoin(q).select("q", "c").repartition(max(1, c.sparkSession.sparkContext.defaultParallelism))
+    pairs = c.crossJoin(q).select("q", "c").repartition(pair_tasks(queries.count(), corpus.count(), block_rows, c.sparkSession.sparkContext.defaultParallelism))
     return top_k(pairs.mapInArrow(products, "query long, doc long, score double"), ["query"], "score", "doc", k)
 
 

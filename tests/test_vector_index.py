@@ -48,3 +48,10 @@ def test_edges(spark):
     assert got == [(1, 1, 2), (1, 2, 3), (5, 1, 2), (5, 2, 1)]
     none = vector_index.VectorIndex(df.where("false"), "id", "v", 2)
     assert none.search(df, "id", "v", 4).count() == 0
+
+
+def test_tasks_of_the_exact_search_grow_with_the_pairs_of_blocks():
+    from lumenforge.operators import retrieval
+
+    assert retrieval.pair_tasks(10, 100, 2048, 8) == 8
+    assert retrieval.pair_tasks(12_300, 615_000, 2048, 12) * retrieval.TASK_PAIRS >= 7 * 301
