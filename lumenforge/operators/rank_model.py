@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,46 +15,80 @@ from lumenforge.sources.storage import dropped, kept
 
 #: Passes over the groups, share of a Newton step, weight of the penalty, rows below which nothing is fitted.
 ROUNDS, STEP, PENALTY, LEAST = 15, 0.5, 0.01, 200
+#: Pairs of rows that are held at once, unless one row has more.
+PAIRS = 1 << 18
 MODEL = "version long, place int, feature string, mean double, scale double, weight double"
 
 
-def group_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(gradient, curvature, NDCG) of one list with labels y under weights w.
+def gradients(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(gradient, curvature, NDCG), each summed over lists, whose rows lie one list after the other, with labels y under weights w.
 
     Each pair of a better and a worse row pulls the weights by the chance that it is misplaced, weighed by what its exchange would
-    change in the list's NDCG. Ties of scores keep the order of the rows.
+    change in the list's NDCG. Ties of scores keep the order of the rows. All lists of a call are worked at once, their pairs in
+    pieces of about PAIRS.
     """
-    s = x @ w
+    s, of = x @ w, np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    start = ends - sizes
+    place = np.arange(len(y)) - start[of]
     rank = np.empty(len(s), np.int64)
-    rank[np.argsort(-s, kind="stable")] = np.arange(len(s))
+    rank[np.lexsort((-s, of))] = place
     gain, discount = 2.0**y - 1, 1 / np.log2(rank + 2)
-    ideal = float((np.sort(gain)[::-1] / np.log2(np.arange(len(y)) + 2)).sum())
-    better, worse = np.nonzero(y[:, None] > y[None, :])
-    if not len(better):
-        return np.zeros_like(w), np.zeros_like(w), 1.0
-    pull = 1 / (1 + np.exp(np.clip(s[better] - s[worse], -30, 30)))
-    weight = np.abs(gain[better] - gain[worse]) * np.abs(discount[better] - discount[worse]) / ideal
-    gap = x[better] - x[worse]
-    return (weight * pull) @ gap, (weight * pull * (1 - pull)) @ (gap * gap), float((gain * discount).sum() / ideal)
-
-
-def _lists(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(features, labels) of each list; rows are sorted by list."""
+    ideal = np.bincount(of, gain[np.lexsort((-gain, of))] / np.log2(place + 2), len(sizes))
+    quality = np.bincount(of, gain * discount, len(sizes))[ideal > 0] / ideal[ideal > 0]
+    gradient, curvature = np.zeros_like(w), np.zeros_like(w)
+    # only a list with two labels has pairs
+    mixed = np.flatnonzero((np.minimum.reduceat(y, start) < np.maximum.reduceat(y, start))[of]) if len(y) else np.zeros(0, np.int64)
+    done = np.cumsum(sizes[of[mixed]])
+    row = 0
+    while row < len(mixed):
+        end = max(row + 1, int(np.searchsorted(done, (done[row - 1] if row else 0) + PAIRS, "right")))
+        own = mixed[row:end]
+        n = sizes[of[own]]
+        better = np.repeat(own, n)
+        worse = np.repeat(start[of[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        told = y[better] > y[worse]
+        better, worse = better[told], worse[told]
+        pull = 1 / (1 + np.exp(np.clip(s[better] - s[worse], -30, 30)))
+        weight = np.abs(gain[better] - gain[worse]) * np.abs(discount[better] - discount[worse]) / ideal[of[better]]
+        gap = x[better] - x[worse]
+        gradient, curvature = gradient + (weight * pull) @ gap, curvature + (weight * pull * (1 - pull)) @ (gap * gap)
+        row = end
+    return gradient, curvature, float(quality.sum() + np.count_nonzero(ideal <= 0))
+
+
+def _lists(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, labels, rows of each list) of the whole lists of each batch; rows are sorted by list, a list that a batch cuts comes with the next."""
     held, last = [], None
     for batch in batches:
-        keys = batch.column(0).to_pylist()
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0)
         x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
         y = batch.column(1).to_numpy(zero_copy_only=False)
-        cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and keys[a] != last:
-                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                held = []
-            if a < b:
-                held.append((x[a:b], y[a:b]))
-                last = keys[a]
+        same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False) | (keys[1:].is_null().to_numpy(zero_copy_only=False) & keys[:-1].is_null().to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(~same) + 1
+        if held and not keys[0].equals(last):
+            yield _joined(held)
+            held = []
+        if len(cuts):
+            sizes = np.diff(np.append(0, cuts))
+            held.append((x[: cuts[-1]], y[: cuts[-1]], sizes))
+            yield _joined(held)
+            held = []
+        at = int(cuts[-1]) if len(cuts) else 0
+        held.append((x[at:], y[at:], np.array([batch.num_rows - at])))
+        last = keys[batch.num_rows - 1]
     if held:
-        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        yield _joined(held)
+
+
+def _joined(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of one list, and the lists that follow it in the last batch."""
+    first = sum(len(h[1]) for h in held[:-1])
+    sizes = held[-1][2].copy()
+    sizes[0] += first
+    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), sizes
 
 
 @dataclass
@@ -111,9 +146,9 @@ def round_sums(lists: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.nd
 
     def run(batches):
         gradient, curvature, n, quality = np.zeros(len(weights)), np.zeros(len(weights)), 0, 0.0
-        for x, y in _lists(batches):
-            g, h, q = group_gradient(x, y, weights)
-            gradient, curvature, n, quality = gradient + g, curvature + h, n + 1, quality + q
+        for x, y, sizes in _lists(batches):
+            g, h, q = gradients(x, y, sizes, weights)
+            gradient, curvature, n, quality = gradient + g, curvature + h, n + len(sizes), quality + q
         yield pa.RecordBatch.from_arrays([pa.array([gradient.tolist()]), pa.array([curvature.tolist()]), pa.array([n]), pa.array([quality])], names=["g", "h", "n", "q"])
 
     found = lists.mapInArrow(run, "g array<double>, h array<double>, n long, q double").collect()

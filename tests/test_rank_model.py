@@ -89,3 +89,40 @@ def test_models_of_the_given_tables(spark, sf_dir):
     # only position and score differ inside a list here, and both follow the place
     assert scored.p.between(0, 1).all() and scored.p.nunique() >= 3 and set(scored.part) == {"train", "test"}
     assert (scored.groupby("impression_id").place.max() == scored.groupby("impression_id").place.count()).all()
+
+
+def test_lists_are_worked_together(monkeypatch):
+    """Batches come as whole lists, few calls whatever their number; pairs in pieces add up to the same sums."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 9, 3000)
+    keys = np.repeat(np.arange(3000), sizes)
+    x, y, w = rng.normal(size=(len(keys), 2)), rng.integers(0, 3, len(keys)).astype(float), np.array([0.7, -0.2])
+    x[::5] = x[1::5][: len(x[::5])][0]  # ties of scores
+    table = pa.table({"g": [None if k == 2999 else k for k in keys.tolist()], "y": y, "x": x.tolist()})
+    calls = list(R._lists(table.to_batches(max_chunksize=1000)))
+    assert len(calls) <= 2 * -(-len(keys) // 1000) and [n for c in calls for n in c[2]] == sizes.tolist()
+    assert (np.concatenate([c[0] for c in calls]) == x).all() and (np.concatenate([c[1] for c in calls]) == y).all()
+    assert [c[2].tolist() for c in R._lists(pa.table({"g": [1] * 5 + [2], "y": [0.0] * 6, "x": [[0.0]] * 6}).to_batches(max_chunksize=2))] == [[5], [1]]
+    want = [0.0, 0.0, 0.0]
+    for a, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+        v, t = x[a : a + n], y[a : a + n]
+        s = v @ w
+        rank = {i: p for p, i in enumerate(sorted(range(n), key=lambda i: (-s[i], i)))}
+        ideal = sum((2**u - 1) / math.log2(p + 2) for p, u in enumerate(sorted(t, reverse=True)))
+        want[2] += sum((2 ** t[i] - 1) / math.log2(rank[i] + 2) for i in range(n)) / ideal if ideal else 1.0
+        for i in range(n):
+            for j in range(n):
+                if t[i] > t[j]:
+                    p = 1 / (1 + math.exp(s[i] - s[j]))
+                    d = abs(2 ** t[i] - 2 ** t[j]) * abs(1 / math.log2(rank[i] + 2) - 1 / math.log2(rank[j] + 2)) / ideal
+                    want[0], want[1] = want[0] + d * p * (v[i] - v[j]), want[1] + d * p * (1 - p) * (v[i] - v[j]) ** 2
+    for pairs in (1 << 18, 50, 1):
+        monkeypatch.setattr(R, "PAIRS", pairs)
+        g, h, q = R.gradients(x, y, sizes, w)
+        assert g == pytest.approx(want[0]) and h == pytest.approx(want[1]) and q == pytest.approx(want[2])
+        if pairs > 1:
+            parts = [R.gradients(*c, w) for c in calls]
+            assert sum(p[0] for p in parts) == pytest.approx(want[0]) and sum(p[2] for p in parts) == pytest.approx(want[2])
+    assert [v.tolist() for v in R.gradients(x[:0], y[:0], sizes[:0], w)[:2]] == [[0, 0], [0, 0]]
