@@ -51,8 +51,9 @@ def retained(df: DataFrame, user: str, ts: str, cutoff: Column) -> DataFrame:
     return flags.agg(F.count("*").alias("users"), F.count_if("after").alias("retained"), F.round(F.count_if("after") / F.count("*"), 6).alias("retention"))
 
 
-def click_labels(shown: DataFrame, clicks: DataFrame, hours: int = 24) -> DataFrame:
+def click_labels(shown: DataFrame, clicks: DataFrame, hours: int = 24, carried: list[str] | None = None) -> DataFrame:
     """Label of each shown result: 1 if the same user (null equals null) clicks that URL for that query within `hours`, ends included.
+    carried: further columns of the shown results, handed on.
 
     The time range becomes an equi-join on day buckets: a click can only follow an impression of its own day or of the days
     before it, so a pair of hot keys meets only inside its days.
@@ -64,7 +65,7 @@ def click_labels(shown: DataFrame, clicks: DataFrame, hours: int = 24) -> DataFr
     s = shown.withColumn("_us", micros("ts")).withColumn("_day", F.floor(F.col("_us") / day))
     hit = F.col("user_id").eqNullSafe(F.col("c_user")) & (F.col("query") == F.col("c_query")) & (F.col("url") == F.col("c_url")) & (F.col("_day") == F.col("c_day")) & (F.col("c_ts") >= F.col("_us")) & (F.col("c_ts") <= F.col("_us") + hours * 3_600_000_000)
     labelled = s.join(c, hit, "left")
-    return labelled.groupBy("impression_id", "url", "position").agg(F.max(F.when(F.col("c_ts").isNotNull(), 1).otherwise(0)).cast("long").alias("label"))
+    return labelled.groupBy("impression_id", "url", "position", *(carried or [])).agg(F.max(F.when(F.col("c_ts").isNotNull(), 1).otherwise(0)).cast("long").alias("label"))
 
 
 def popular(df: DataFrame, key: str, ts: str, latency_ms: Column, as_of: Column, least: int, limit: int) -> DataFrame:

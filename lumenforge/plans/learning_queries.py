@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenforge.operators import behaviour as B
 from lumenforge.operators import learning as L
 from lumenforge.operators import rank_model as RM
-from lumenforge.plans import behaviour_queries as Q
 from lumenforge.plans import text_queries as TQ
 from lumenforge.plans import views as V
 from lumenforge.plans.registry import Registry
@@ -23,10 +23,10 @@ FEATURES = ["f_position", "f_score", "f_hour", "f_value"]
 
 def labelled(spark, sf_dir) -> DataFrame:
     """Impression rows with label and features; the position is a feature and so leaks a little."""
-    i = V.impressions(spark, sf_dir).select("impression_id", "query", "user_id", "ts", "value", F.explode("results").alias("r"))
-    i = i.select("impression_id", "query", "user_id", "r.url", F.col("r.position").cast("double").alias("f_position"), F.col("r.score").cast("double").alias("f_score"), F.hour("ts").cast("double").alias("f_hour"), (F.col("value") / 100).alias("f_value"))
-    labels = Q.j3_click_labels(spark, sf_dir).select("impression_id", "url", "label")
-    return i.join(labels, ["impression_id", "url"])
+    i = V.impressions(spark, sf_dir).where("impression_id IS NOT NULL").select("impression_id", "query", "user_id", "ts", "value", F.explode("results").alias("r"))
+    i = i.select("impression_id", "query", "user_id", "ts", "r.url", "r.position", F.col("r.position").cast("double").alias("f_position"), F.col("r.score").cast("double").alias("f_score"), F.hour("ts").cast("double").alias("f_hour"), (F.col("value") / 100).alias("f_value"))
+    carried = ["query", "user_id", *FEATURES]
+    return B.click_labels(i.where("url IS NOT NULL"), V.clicks(spark, sf_dir), carried=carried).select("impression_id", "url", *carried, "label")
 
 
 SQL_LABELLED = f"""{V.SQL_IMPRESSIONS}, {V.SQL_CLICKS}, lab AS (SELECT s.impression_id, s.url, s.query, s.user_id, s.position::DOUBLE AS f_position, s.score::DOUBLE AS f_score, hour(s.ts)::DOUBLE AS f_hour, i.value / 100 AS f_value,

@@ -126,3 +126,14 @@ def test_lists_are_worked_together(monkeypatch):
             parts = [R.gradients(*c, w) for c in calls]
             assert sum(p[0] for p in parts) == pytest.approx(want[0]) and sum(p[2] for p in parts) == pytest.approx(want[2])
     assert [v.tolist() for v in R.gradients(x[:0], y[:0], sizes[:0], w)[:2]] == [[0, 0], [0, 0]]
+
+
+def test_labels_carry_their_features(spark, sf_dir):
+    """The events are read once for what was shown and once for the clicks; nothing is joined back."""
+    from lumenforge.plans import learning_queries as LQ
+
+    rows = LQ.labelled(spark, sf_dir)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert rows.columns == ["impression_id", "url", "query", "user_id", *LQ.FEATURES, "label"]
+    labels = {(r.impression_id, r.url): r.label for r in LQ.V.impressions(spark, sf_dir).select("impression_id", F.explode("results.url").alias("url")).join(rows.select("impression_id", "url", "label"), ["impression_id", "url"], "left").collect()}
+    assert set(labels.values()) == {0, 1} and len(labels) == rows.count()
