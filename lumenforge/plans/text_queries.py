@@ -139,9 +139,10 @@ SELECT item_id, coalesce(array_to_string(list_sort(more)[1:8], ' '), '') AS expa
 def t17_expansion(spark, sf_dir):
     """Benchmark terms expanded by the terms that most often follow them in the corpus (top two), minus those present."""
     words = F.array_distinct(X.tokens(F.col("text")))
-    pairs = docs(spark, sf_dir).select(F.explode(F.arrays_zip(X.tokens(F.col("text")).alias("a"), F.slice(X.tokens(F.col("text")), 2, F.size(X.tokens(F.col("text")))).alias("b"))).alias("p")).select("p.a", "p.b").where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
-    near = R.top_k(pairs, ["a"], "n", "b", 2)
     q = V.table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"))
+    asked = q.select(F.explode("words").alias("a")).distinct()
+    pairs = I.following(docs(spark, sf_dir), "text").join(asked, "a", "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    near = R.top_k(pairs, ["a"], "n", "b", 2)
     x = q.select("item_id", "words", F.explode("words").alias("a")).join(near, "a")
     return x.groupBy("item_id", "words").agg(F.collect_set("b").alias("more")).select("item_id", F.array_join(F.slice(F.sort_array(F.array_except("more", "words")), 1, 8), " ").alias("expansion"))
 
