@@ -78,7 +78,7 @@ def j13_gold_suffix(spark, sf_dir):
 
 @query("WITH " + Q.SQL_JUDGED + " SELECT a.query, round(b.ndcg - a.ndcg, 6) AS ndcg_change, b.n_results - a.n_results AS result_change, round(b.latency_ms / a.latency_ms, 6) AS slower FROM judged a JOIN judged b ON a.query = b.query AND a.run = 1 AND b.run = 3")
 def j14_run_diff(spark, sf_dir):
-    j = Q.judged(spark, sf_dir)
+    j = kept(Q.judged(spark, sf_dir, [Q.SETTINGS[0], Q.SETTINGS[2]]), "judged")  # both sides read it
     a = j.where("run = 1").select("query", *[F.col(c).alias(f"a_{c}") for c in ("ndcg", "n_results", "latency_ms")])
     return j.where("run = 3").join(a, "query").select("query", F.round(F.col("ndcg") - F.col("a_ndcg"), 6).alias("ndcg_change"), (F.col("n_results") - F.col("a_n_results")).alias("result_change"), F.round(F.col("latency_ms") / F.col("a_latency_ms"), 6).alias("slower"))
 

@@ -172,8 +172,8 @@ def metrics(spark, sf_dir, ranked: DataFrame | None = None) -> DataFrame:
     return E.ranking_metrics(runs(spark, sf_dir) if ranked is None else ranked, g, ["run", "query"])
 
 
-def judged(spark, sf_dir) -> DataFrame:
-    ranked = runs(spark, sf_dir)
+def judged(spark, sf_dir, settings=SETTINGS) -> DataFrame:
+    ranked = runs(spark, sf_dir, settings)
     r = ranked.groupBy("run", "query").agg(F.count("*").alias("n_results"), F.max("latency_ms").alias("latency_ms"))
     return metrics(spark, sf_dir, ranked).join(r, ["run", "query"]).withColumn("passed", F.col("ndcg") >= 0.5)
 
