@@ -100,17 +100,27 @@ def mmr(df: DataFrame, key: str, item: str, score: str, domain: str, terms: str,
 def extractive_answer(results: DataFrame, queries: DataFrame, key: str, rank: str, text: str, n_results: int = 5, n_sentences: int = 5) -> DataFrame:
     """Per query: the best sentences of its top results in source order with [rank] marks; near-equal sentences are taken once.
 
-    queries: key, terms. A sentence scores by its share of query terms, then by rank and position. The sentences of one query's
-    top results are one bounded group.
+    queries: key, terms. A sentence scores by its share of query terms, then by rank and position; one with a word Jaccard over 0.7 to a better
+    one is passed over, however many there are. The sentences of one query's top results are one bounded group.
     """
     s = results.where(F.col(rank) <= n_results).select(key, rank, F.posexplode(X.sentences(F.col(text))).alias("pos", "sentence")).join(queries.select(key, "terms"), key)
     s = s.withColumn("words", F.array_distinct(X.tokens(F.col("sentence")))).withColumn("hit", F.size(F.array_intersect("words", "terms")) / F.greatest(F.size("terms"), F.lit(1))).where("hit > 0")
-    by = Window.partitionBy(key).orderBy(F.desc("hit"), rank, "pos")
-    pool = s.withColumn("place", F.row_number().over(by)).where(F.col("place") <= 4 * n_sentences)
-    other = pool.select(F.col(key).alias("k2"), F.col("place").alias("p2"), F.col("words").alias("w2"))
-    twins = pool.join(other, (F.col(key) == F.col("k2")) & (F.col("p2") < F.col("place")) & (X.jaccard(F.col("words"), F.col("w2")) > 0.7)).select(key, "place").distinct()
-    alone = pool.join(twins, [key, "place"], "left_anti")
-    best = alone.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("n") <= n_sentences)
+
+    def pick(pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values(["hit", rank, "pos"], ascending=[False, True, True])
+        better: dict[frozenset, None] = {}  # in the order of places; equal sets are compared once
+        taken = []
+        for row, words in enumerate(pool["words"]):
+            own = frozenset(words)
+            if own not in better and not any(len(own & w) / len(own | w) > 0.7 for w in better):
+                taken.append(row)
+                if len(taken) == n_sentences:
+                    break
+            better[own] = None
+        return pool.iloc[taken][[key, rank, "pos", "sentence"]]
+
+    kinds = s.select(key, rank, "pos", "sentence").schema
+    best = s.select(key, rank, "pos", "sentence", "words", "hit").groupBy(key).applyInPandas(pick, kinds)
     parts = F.transform(F.sort_array(F.collect_list(F.struct(rank, "pos", "sentence"))), lambda x: F.concat(x["sentence"], F.lit(" ["), x[rank].cast("string"), F.lit("]")))
     return best.groupBy(key).agg(F.concat_ws(" ", parts).alias("answer"), F.count("*").alias("sentences"))
 
