@@ -43,7 +43,7 @@ def test_clusters_of_claims_leave_no_texts_or_sets_on_disk(spark):
     c = text_tables.claims(df, "doc_id", "text", None, ("source",), sets=True).withColumn("claim_id", F.concat_ws("-", "doc_id", "n"))
     assert text_tables.claim_clusters(c, "claim_id").count() == 300
     left = {name.rsplit("-", 1)[0] for name in there() - before}
-    assert "claim-clusters" in left and not left & {"claims", "claim-words", "claim-classes", "word-sets", "word-classes", "numbered-sets", "near-candidates", "near-halves"}
+    assert "claim-clusters" in left and not left & {"claims", "claim-words", "claim-classes", "word-sets", "word-classes", "numbered-sets", "near-candidates", "near-pairs", "near-halves"}
 
 
 @pytest.mark.parametrize("turns", [1, 3])
@@ -51,6 +51,7 @@ def test_turns_lose_no_pair(spark, monkeypatch, turns):
     monkeypatch.setattr(clusters, "TURNS", turns)
     monkeypatch.setattr(clusters, "TURN_SETS", 1)
     monkeypatch.setattr(clusters, "PACKED_ROWS", 50)
+    monkeypatch.setattr(clusters, "SET_PAIRS", 1 if turns == 1 else 100)
     rng = random.Random(6)
     sets = sorted({tuple(sorted({f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 9))})) for _ in range(250)})
     rows = [(f"k{n:04d}", list(w)) for n, w in enumerate(sets)]
